@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import quality
+from . import quality, secrets
 
 
 def _over(table: str, f: Callable[[DataFrame], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
@@ -15,6 +15,7 @@ def _over(table: str, f: Callable[[DataFrame], DataFrame]) -> Callable[[SparkSes
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op7_secret_scan": _over("documents", secrets.op7),
         "op9_quality_rules": _over("documents", quality.op9),
     }
 
