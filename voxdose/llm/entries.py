@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import quality, secrets
+from . import licenses, private, quality, secrets
 
 
 def _over(table: str, f: Callable[[DataFrame], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
@@ -15,7 +15,9 @@ def _over(table: str, f: Callable[[DataFrame], DataFrame]) -> Callable[[SparkSes
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op3_private_data": _over("documents", private.op3),
         "op7_secret_scan": _over("documents", secrets.op7),
+        "op8_license_scan": _over("documents", licenses.op8),
         "op9_quality_rules": _over("documents", quality.op9),
     }
 
