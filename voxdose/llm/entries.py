@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import byte_bpe, licenses, packing, private, quality, secrets
+from . import byte_bpe, licenses, minhash, packing, private, quality, secrets
 
 
 def _over(table: str, f: Callable[[DataFrame], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
@@ -17,6 +17,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op3_private_data": _over("documents", private.op3),
         "op5_byte_bpe": _over("documents", byte_bpe.op5),
+        "op6_minhash_near_dedup": _over("documents", minhash.op6),
         "op7_secret_scan": _over("documents", secrets.op7),
         "op8_license_scan": _over("documents", licenses.op8),
         "op9_quality_rules": _over("documents", quality.op9),
