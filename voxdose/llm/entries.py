@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import byte_bpe, embeddings, html_text, licenses, minhash, packing, private, quality, secrets
+from . import byte_bpe, embeddings, html_text, licenses, minhash, packing, private, quality, repeats, secrets
 
 
 def _over(table: str, f: Callable[[DataFrame], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
@@ -16,6 +16,7 @@ def _over(table: str, f: Callable[[DataFrame], DataFrame]) -> Callable[[SparkSes
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_html_extraction": _over("pages", html_text.op1),
+        "op2_suffix_array_dedup": _over("documents", repeats.op2),
         "op3_private_data": _over("documents", private.op3),
         "op4_embedding_near_dedup": _over("embeddings", embeddings.op4),
         "op5_byte_bpe": _over("documents", byte_bpe.op5),
