@@ -6,6 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+import corpus_pipeline
+
 from . import byte_bpe, embeddings, html_text, licenses, minhash, packing, private, quality, repeats, secrets
 
 
@@ -25,6 +27,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_license_scan": _over("documents", licenses.op8),
         "op9_quality_rules": _over("documents", quality.op9),
         "op10_best_fit_packing": _over("documents", packing.op10),
+        "pipeline": corpus_pipeline.run,
     }
 
 

@@ -9,8 +9,8 @@ there hold near copies and are compared exhaustively block by block. What looks
 gathered into candidate clusters, and there every pair's full sets are compared, again block by
 block. A task emits a spanning forest of the links it finds, never all pairs.
 
-A pair at similarity ``s`` meets in one tree with a chance of at least s ** levels, so ten trees miss a pair
-at 0.85 less than once in ten thousand even four levels down.
+A pair at similarity ``s`` meets in one tree with a chance of at least s ** levels: ten trees miss a pair
+at 0.85 once in a billion times in small nodes one level down, once in a thousand four levels down.
 
 Null and empty texts have an empty set and link with nothing. Repeated rows are in one class.
 Rows of one doc_id count as one document. A row without doc_id has no component and is kept.
@@ -30,8 +30,8 @@ from .common import stored, text_of
 from .components import roots
 
 SIGNATURE, TREES, DEPTH, SMALL = 64, 10, 4, 192
-#: Agreeing signature places of a candidate pair, at least: a pair at 0.85 has fewer about once in ten million.
-AGREE = 38
+#: A candidate pair agrees in at least so many signature places as a pair at the threshold has, less so many standard deviations.
+DEVIATIONS = 5.5
 #: Classes in a block whose full sets are compared; columns of a block's incidence matrix at a time.
 BLOCK, COLUMNS = 64, 4096
 #: Most candidate documents whose ids are broadcast.
@@ -184,15 +184,15 @@ def _edges(groups: DataFrame, alike, column: str) -> DataFrame:
     return groups.mapInPandas(run, "a bigint, b bigint")
 
 
-def _look_alike(sigs: list) -> np.ndarray:
+def _look_alike(sigs: list, agree: int) -> np.ndarray:
     s = np.asarray(sigs, dtype=np.int32)
     if len(s) == 2:
-        yes = np.count_nonzero(s[0] == s[1]) >= AGREE
+        yes = np.count_nonzero(s[0] == s[1]) >= agree
         return np.array([[False, yes], [yes, False]])
     n = np.zeros((len(s), len(s)), dtype=np.uint8)
     for k in range(SIGNATURE):
         n += s[:, k, None] == s[None, :, k]
-    return n >= AGREE
+    return n >= agree
 
 
 def overlaps(sets: list[np.ndarray]) -> np.ndarray:
@@ -214,8 +214,10 @@ def overlaps(sets: list[np.ndarray]) -> np.ndarray:
     return out.astype(np.int64)
 
 
-def candidates(classes: DataFrame, trees: int = TREES) -> DataFrame:
+def candidates(classes: DataFrame, percent: int, trees: int = TREES) -> DataFrame:
     """Edges (a, b) between classes (rep, sig) that look alike, by the trees."""
+    s = percent / 100
+    agree = int(SIGNATURE * s - DEVIATIONS * (SIGNATURE * s * (1 - s)) ** 0.5)
     salts = F.array(*[F.xxhash64(F.lit("tree"), F.lit(t)) for t in range(trees)])
     rows = classes.select("rep", F.explode(F.flatten(F.transform(salts, lambda s: _children(s, F.col("sig"))))).alias("node")).distinct()
     ready = None
@@ -230,7 +232,7 @@ def candidates(classes: DataFrame, trees: int = TREES) -> DataFrame:
     same = ready.groupBy("node").agg(F.sum(F.xxhash64("rep").cast("decimal(38,0)")).alias("who"), F.first("n").alias("n"))
     one = same.groupBy("who", "n").agg(F.min("node").alias("node")).select("node")
     dealt = _blocks(ready.join(one, "node").join(classes, "rep"), "node", SMALL)
-    return _edges(dealt.groupBy("node", "b1", "b2").agg(F.collect_list(F.struct("rep", "sig")).alias("members")), _look_alike, "sig")
+    return _edges(dealt.groupBy("node", "b1", "b2").agg(F.collect_list(F.struct("rep", "sig")).alias("members")), lambda sigs: _look_alike(sigs, agree), "sig")
 
 
 def confirmed(docs: DataFrame, clusters: DataFrame, width: int, percent: int, column: str = "text") -> DataFrame:
@@ -262,7 +264,7 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, column:
     each = stored(described(docs, width, column))
     classes = stored(each.where("n_shingles > 0 and doc_id is not null").groupBy("print_a", "print_b").agg(F.min("doc_id").alias("rep"), F.first("sig").alias("sig")))
     lone = classes.select("rep", "sig")
-    found = roots(candidates(lone, trees))
+    found = roots(candidates(lone, percent, trees))
     members = found.select(F.col("node").alias("rep"), F.col("root").alias("cluster"))
     members = members.unionByName(found.select(F.col("root").alias("rep"), F.col("root").alias("cluster")).distinct())
     sized = stored(members.join(members.groupBy("cluster").agg(F.count("*").alias("n")), "cluster"))
