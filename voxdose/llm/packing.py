@@ -30,7 +30,8 @@ from .common import stored, text_of
 
 CAPACITY, CLOSE = 2048, 0
 #: Words whose ids a worker remembers; it starts afresh beyond them.
-REMEMBERED = 600_000
+REMEMBERED = 1_200_000
+MARKS = ".,;:!?"
 #: Rows in a salted group, about, and most runs that are broadcast.
 GROUP, BROADCAST = 20_000, 200_000
 
@@ -61,19 +62,25 @@ def encode(texts: list[str], path: str) -> list[bytes]:
     if len(known) + len(fresh) > REMEMBERED:
         known.clear()
         fresh = {w for x in split if x is not None for w in x}
+    # letters and the marks after them are encoded apart by the tokenizer too
+    ends = {w: core for w in fresh if (core := w.rstrip(MARKS)) != w and core.isalpha()}
+    fresh -= ends.keys()
+    fresh |= {x for w, core in ends.items() for x in (core, w[len(core) :]) if x not in known}
     if fresh:
         ordered = sorted(fresh)
         for i in range(0, len(ordered), 4096):
             some = ordered[i : i + 4096]
             coded = tokenizer.encode(" ".join(some), add_special_tokens=False)
-            ends = np.cumsum([len(w) + 1 for w in some])
-            at = np.searchsorted(ends, np.fromiter((o[0] for o in coded.offsets), dtype=np.int64, count=len(coded.offsets)), side="right")
+            stop_at = np.cumsum([len(w) + 1 for w in some])
+            at = np.searchsorted(stop_at, np.fromiter((o[0] for o in coded.offsets), dtype=np.int64, count=len(coded.offsets)), side="right")
             ids = np.asarray(coded.ids, dtype="<u4").tobytes()
             stops = 4 * np.searchsorted(at, np.arange(len(some)), side="right")
             start = 0
             for w, stop in zip(some, stops.tolist(), strict=True):
                 known[w] = ids[start:stop]
                 start = stop
+    for w, core in ends.items():
+        known[w] = known[core] + known[w[len(core) :]]
     whole = [t for t, x in zip(texts, split, strict=True) if x is None]
     direct = iter(tokenizer.encode_batch(whole, add_special_tokens=False) if whole else ())
     find = known.__getitem__
