@@ -285,11 +285,12 @@ def spans(docs: DataFrame, length: int = LENGTH, column: str = "text") -> DataFr
 
     source = keyed.where(F.octet_length("_text") >= length).select("k1", "k2", F.col("_text").cast("binary").alias("data"))
     places = stored(source.mapInPandas(run, "k1 bigint, k2 bigint, pos int, anchor bigint, context bigint"))
-    often = places.groupBy("anchor").agg(F.count("*").alias("total")).where("total > 1").select("anchor")
+    # written apart, so that a very common anchor's rows can be split among tasks where they are joined
+    often = stored(places.groupBy("anchor").agg(F.count("*").alias("total")).where("total > 1").select("anchor"))
     places = stored(places.join(often, "anchor"))
     kinds = places.groupBy("anchor", "context").agg(F.count("*").alias("n"), F.min(F.struct("k1", "k2", "pos")).alias("one"))
     kinds = stored(kinds)
-    several = kinds.groupBy("anchor").agg(F.count("*").alias("contexts"))
+    several = stored(kinds.groupBy("anchor").agg(F.count("*").alias("contexts")))
     kinds = stored(kinds.join(several, "anchor"))
     whole = kinds.where("contexts = 1").select("anchor", "context", F.lit(0).alias("lo"), F.lit(None).cast("int").alias("hi"))  # null: its whole length
     listed = kinds.where("contexts > 1").groupBy(F.col("one.k1").alias("k1"), F.col("one.k2").alias("k2")).agg(F.collect_set(F.struct(F.col("one.pos").alias("pos"), "anchor", "context", "n")).alias("places"))
