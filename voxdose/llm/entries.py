@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 import corpus_pipeline
 
-from . import byte_bpe, embeddings, html_text, licenses, minhash, packing, private, quality, repeats, secrets
+from . import byte_bpe, embeddings, html_text, licenses, minhash, oracle, packing, private, quality, repeats, secrets
 
 
 def _over(table: str, f: Callable[[DataFrame], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
@@ -31,5 +31,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     }
 
 
-def oracle_sql() -> dict[str, str]:
-    return {}
+oracle_sql = oracle.oracle_sql
