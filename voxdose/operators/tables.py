@@ -9,13 +9,12 @@ from pyspark.sql import functions as F
 
 def two_decimals(x: Column, unit: str = "", compat: bool = False) -> Column:
     """Text with two decimals. ``compat`` rounds the binary value half to even, as Python does."""
-    text = _python_format(x) if compat else F.format_string("%.2f", x)
+    text = F.pandas_udf(_python_format, "string")(x) if compat else F.format_string("%.2f", x)
     return F.when(x.isNotNull(), F.concat(text, F.lit(unit)))
 
 
-@F.pandas_udf("string")
 def _python_format(x: pd.Series) -> pd.Series:
-    return x.map(lambda v: f"{v:.2f}", na_action="ignore")
+    return pd.Series([f"{v:.2f}" for v in x], dtype="str")
 
 
 def last_of_name(stats: DataFrame) -> DataFrame:
