@@ -28,6 +28,8 @@ KINDS = ("assign", "access", "hex", "markov")
 SAMPLE = 4000
 #: Least log-likelihood ratio, in nats, of a reported token, and least of it for each character.
 THRESHOLD, PER_CHAR = 20.0, 1.2
+#: Weight of single characters in a pair's estimate; bounds of one pair's log-likelihood ratio.
+BACKED, LEAST, MOST = 5.0, -4.0, 3.0
 SYMBOLS = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789+/_=-"
 STATES = len(SYMBOLS) + 1  # 0: none of them, or the start
 
@@ -87,15 +89,19 @@ def fit(rows: DataFrame) -> str | None:
     if not all(seen):
         return None
 
-    def log_p(count: dict[int, int], uniform: float, unseen: float) -> list[float]:
+    def log_p(count: dict[int, int], uniform: float) -> list[float]:
+        """Pairs, backed by single characters where a pair's first is rare, backed by the uniform share."""
+        single = [sum(count.get(a * STATES + b, 0) for a in range(STATES)) for b in range(STATES)]
+        single = [(x + 0.1) / (sum(single) + 0.1 * STATES) for x in single]
         out = []
         for a in range(STATES):
             n = [count.get(a * STATES + b, 0) for b in range(STATES)]
-            out += [math.log((1 - uniform) * (x + unseen) / (sum(n) + unseen * STATES) + uniform / STATES) for x in n]
+            out += [math.log((1 - uniform) * (x + BACKED * s) / (sum(n) + BACKED) + uniform / STATES) for x, s in zip(n, single, strict=True)]
         return out
 
-    # any symbol may follow any other in a random string; in a name, a pair never seen is rare
-    return ",".join(f"{r - o:.3f}" for r, o in zip(log_p(seen[1], 0.5, 0.5), log_p(seen[0], 0.0, 0.1), strict=True))
+    # any symbol may follow any other in a random string; no single pair decides
+    pairs = zip(log_p(seen[1], 0.5), log_p(seen[0], 0.0), strict=True)
+    return ",".join(f"{max(LEAST, min(MOST, r - o)):.3f}" for r, o in pairs)
 
 
 def ratio(s: Column, model: str) -> Column:
