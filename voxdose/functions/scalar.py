@@ -5,6 +5,8 @@ A zero divisor gives NULL, never an error.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -68,21 +70,34 @@ def placed(matrix: Column, x: Column, y: Column, z: Column) -> list[Column]:
     return [matrix[4 * r] * x + matrix[4 * r + 1] * y + matrix[4 * r + 2] * z + matrix[4 * r + 3] for r in range(3)]
 
 
+def bound(value: Column, body: Callable[[Column], Column]) -> Column:
+    """Evaluate ``value`` once and use it many times inside ``body``."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def product(a: Column, b: Column) -> Column:
     """Product of two row-major 4x4 matrices."""
-    return F.array(*[a[4 * r] * b[c] + a[4 * r + 1] * b[4 + c] + a[4 * r + 2] * b[8 + c] + a[4 * r + 3] * b[12 + c] for r in range(4) for c in range(4)])
+    cell = lambda x, y, r, c: x[4 * r] * y[c] + x[4 * r + 1] * y[4 + c] + x[4 * r + 2] * y[8 + c] + x[4 * r + 3] * y[12 + c]
+    return bound(a, lambda x: bound(b, lambda y: F.array(*[cell(x, y, r, c) for r in range(4) for c in range(4)])))
 
 
 def inverse(m: Column) -> Column:
     """Inverse of an affine 4x4 matrix; NULL entries where it has none."""
-    e = lambda r, c: m[4 * r + c]
-    minor = lambda r, c: e((r + 1) % 3, (c + 1) % 3) * e((r + 2) % 3, (c + 2) % 3) - e((r + 1) % 3, (c + 2) % 3) * e((r + 2) % 3, (c + 1) % 3)
-    det = e(0, 0) * minor(0, 0) + e(0, 1) * minor(0, 1) + e(0, 2) * minor(0, 2)
-    rows = []
-    for r in range(3):
-        turn = [over(minor(c, r), det) for c in range(3)]
-        rows += [*turn, -(turn[0] * e(0, 3) + turn[1] * e(1, 3) + turn[2] * e(2, 3))]
-    return F.array(*rows, *[F.lit(x) for x in (0.0, 0.0, 0.0, 1.0)])
+
+    def of(e: Column) -> Column:
+        at = lambda r, c: e[4 * (r % 3) + c % 3]
+        minor = lambda r, c: at(r + 1, c + 1) * at(r + 2, c + 2) - at(r + 1, c + 2) * at(r + 2, c + 1)
+
+        def with_det(det: Column) -> Column:
+            rows = []
+            for r in range(3):
+                turn = [over(minor(c, r), det) for c in range(3)]
+                rows += [*turn, -(turn[0] * e[3] + turn[1] * e[7] + turn[2] * e[11])]
+            return F.array(*rows, *[F.lit(x) for x in (0.0, 0.0, 0.0, 1.0)])
+
+        return bound(at(0, 0) * minor(0, 0) + at(0, 1) * minor(0, 1) + at(0, 2) * minor(0, 2), with_det)
+
+    return bound(m, of)
 
 
 def nearest(x: Column) -> Column:
