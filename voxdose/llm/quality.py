@@ -167,12 +167,10 @@ def judged(docs: DataFrame, column: str = "text", threshold: float = 0.5) -> Dat
 
 def keep_good(docs: DataFrame, column: str = "text", threshold: float = 0.5) -> DataFrame:
     """The documents that pass, with the columns they came with."""
-    own = docs.columns
-    inner = docs.select(F.struct(*[F.col(f"`{c}`") for c in own]).alias("_doc"), text_of(F.col(column)).alias("_text"))
-    model = fit(inner.select(votes(features(F.col("_text"))).alias("_votes")))
-    judged_rows = inner.withColumn("_q", features(F.col("_text")))
-    good = judged_rows.where(~base_failed(F.col("_q")) & (posterior(votes(F.col("_q")), model) >= threshold))
-    return good.select(*[F.col("_doc").getField(c).alias(c) for c in own])
+    text = text_of(F.col(column))
+    model = fit(docs.select(let(features(text), votes).alias("_votes")))
+    good = lambda q: ~base_failed(q) & let(votes(q), lambda v: posterior(v, model) >= threshold)
+    return docs.where(let(features(text), good))
 
 
 def op9(docs: DataFrame) -> DataFrame:
