@@ -104,7 +104,7 @@ def signatures(h: np.ndarray, bounds: np.ndarray) -> np.ndarray:
     return out.T
 
 
-def _slices(column: pd.Series, most: int = 4 << 20) -> Iterator[tuple[int, int, list[bytes]]]:
+def _slices(column: pd.Series, most: int = 1 << 20) -> Iterator[tuple[int, int, list[bytes]]]:
     """Runs of rows with about ``most`` bytes of text, so that work space stays small."""
     texts, lo, held = [], 0, 0
     for i, t in enumerate(column):

@@ -35,7 +35,7 @@ from .minhash import SALT, _mixed, _slices
 
 LENGTH, GRAM = 200, 32
 #: Bytes indexed together, about; most contexts of an indexed anchor; most documents whose keys are broadcast.
-INDEXED, WIDE, BROADCAST = 1 << 20, 20_000, 1_000_000
+INDEXED, WIDE, BROADCAST = 1 << 19, 20_000, 1_000_000
 _BYTE = _mixed(np.arange(1, 257, dtype=np.uint64) * SALT)
 
 
