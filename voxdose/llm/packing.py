@@ -29,8 +29,8 @@ from pyspark.sql import functions as F
 from .common import stored, text_of
 
 CAPACITY, CLOSE = 2048, 0
-#: Words whose ids a worker remembers; it starts afresh beyond them.
-REMEMBERED = 1_200_000
+#: Words whose ids a worker remembers, in each of two generations; words of the older one that are met again move to the newer.
+REMEMBERED = 300_000
 MARKS = ".,;:!?"
 #: Rows in a salted group, about, and most runs that are broadcast.
 GROUP, BROADCAST = 20_000, 200_000
@@ -41,7 +41,7 @@ def _tokenizer(path: str):
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
     from tokenizers import Tokenizer
 
-    return Tokenizer.from_file(path), {}
+    return Tokenizer.from_file(path), [{}, {}]
 
 
 def _plain(text: str) -> bool:
@@ -56,12 +56,14 @@ def encode(texts: list[str], path: str) -> list[bytes]:
     """
     import numpy as np
 
-    tokenizer, known = _tokenizer(path)
+    tokenizer, generations = _tokenizer(path)
+    if len(generations[0]) > REMEMBERED:
+        generations[:] = [{}, generations[0]]
+    known, older = generations
     split = [t.lower().split() if _plain(t) else None for t in texts]
     fresh = {w for x in split if x is not None for w in x if w not in known}
-    if len(known) + len(fresh) > REMEMBERED:
-        known.clear()
-        fresh = {w for x in split if x is not None for w in x}
+    known.update((w, older[w]) for w in fresh & older.keys())
+    fresh -= known.keys()
     # letters and the marks after them are encoded apart by the tokenizer too
     ends = {w: core for w in fresh if (core := w.rstrip(MARKS)) != w and core.isalpha()}
     fresh -= ends.keys()
