@@ -97,7 +97,7 @@ def text_of(column: str | Column = "text") -> Column:
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share; a local one only where none is named, as in tests."""
-    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.sparkContext.getCheckpointDir()
     if not named:
         named = _own.setdefault(spark.sparkContext.applicationId, tempfile.mkdtemp(prefix="spark-shared-"))
     return named
