@@ -42,6 +42,11 @@ def pre_token_starts(text: str, pattern: str) -> list[int]:
     return [s for s in starts if s and text[s].isascii() and text[s - 1].isascii() and not text[s - 1].isspace()]
 
 
+def _parts(batches: Iterator[pd.DataFrame], rows: int = 512) -> Iterator[pd.DataFrame]:
+    """The same rows in short frames, so that little is held beside a batch."""
+    return (b.iloc[lo : lo + rows].copy() for b in batches for lo in range(0, len(b), rows))
+
+
 def _encoded(docs: DataFrame, column: str, path: str, pattern: str) -> DataFrame:
     """``ids``, little-endian unsigned 32-bit integers, in place of a text column."""
 
@@ -49,7 +54,7 @@ def _encoded(docs: DataFrame, column: str, path: str, pattern: str) -> DataFrame
         import numpy as np
 
         coder = encoding(path, pattern)
-        for b in batches:
+        for b in _parts(batches):
             ids = [np.asarray(coder.encode_ordinary(t), dtype="<u4").tobytes() for t in b.pop(column)]
             yield b.assign(ids=ids)
 
@@ -108,7 +113,7 @@ def decode(coded: DataFrame, path: str, pattern: str) -> DataFrame:
         import numpy as np
 
         coder = encoding(path, pattern)
-        for b in batches:
+        for b in _parts(batches):
             yield b.assign(decoded=[coder.decode_bytes(np.frombuffer(x, dtype="<u4").tolist()) for x in b["ids"]])
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in coded.schema)
