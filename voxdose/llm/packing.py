@@ -30,7 +30,7 @@ from .common import stored, text_of
 
 CAPACITY, CLOSE = 2048, 0
 #: Words whose ids a worker remembers, in each of two generations; words of the older one that are met again move to the newer.
-REMEMBERED = 300_000
+REMEMBERED = 500_000
 MARKS = ".,;:!?"
 #: Rows in a salted group, about, and most runs that are broadcast.
 GROUP, BROADCAST = 20_000, 200_000
@@ -69,7 +69,7 @@ def encode(texts: list[str], path: str) -> list[bytes]:
     fresh -= ends.keys()
     fresh |= {x for w, core in ends.items() for x in (core, w[len(core) :]) if x not in known}
     if fresh:
-        ordered = sorted(fresh)
+        ordered = list(fresh)
         for i in range(0, len(ordered), 4096):
             some = ordered[i : i + 4096]
             coded = tokenizer.encode(" ".join(some), add_special_tokens=False)
