@@ -143,6 +143,36 @@ def test_license_with_changed_words(spark):
     assert r[1]["labels"] == "" and r[1]["score"] == 0
 
 
+LICENSE_LINES = {
+    "This work is licensed under the GNU General Public License, version 3.": "gpl,gpl-3-notice",
+    "All rights reserved.": "all-rights-reserved,reserved",
+    "Licensed under CC BY-NC 4.0.": "cc-by,cc-by-nc-4.0",
+    "Released under the MIT License.": "mit",
+    "Licensed under the Apache License, Version 2.0.": "apache-2.0",
+}
+OTHER_LICENSES = {
+    "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation": "gpl,lgpl",
+    "you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation": "agpl-3.0,gpl",
+    "This work is licensed under the GNU General Public License, version 2.": "gpl,gpl-2-notice",
+    "Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software": "bsd-3-clause",
+    "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License": "cc-by-sa-4.0",
+    "This work is licensed under a Creative Commons Attribution 4.0 International License": "cc-by-4.0",
+    "SPDX-License-Identifier: MIT": "mit",
+    "Licensed under the Mozilla Public License, Version 2.0.": "mpl-2.0",
+    "Licensed under the Educational Community License, Version 2.0.": "",
+    "Released under the Foo License.": "",
+}
+
+
+def test_every_license_line(docs, spark):
+    """Each license line of the tables, and short forms and texts of other licenses, has its label and no other."""
+    seen = {x for i, t in texts(docs) if (i or -1) >= 0 for x in t.split("\n") if re.fullmatch(r"(?=.*(?i:licen[sc]e|rights reserved)).{0,100}", x)}
+    assert seen and seen <= LICENSE_LINES.keys()
+    want = dict(enumerate({**LICENSE_LINES, **OTHER_LICENSES}.items()))
+    rows = licenses.op8(spark.createDataFrame([(i, f"Some words stand before it. {x}\nSome words follow.") for i, (x, _) in want.items()], "doc_id long, text string")).collect()
+    assert {want[r["doc_id"]][0]: r["labels"] for r in rows} == dict(want.values())
+
+
 def words_and_repeats(t):
     w = re.findall(SPACE, t)
     seen = Counter(tuple(w[k : k + 8]) for k in range(len(w) - 7))

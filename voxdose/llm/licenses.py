@@ -3,7 +3,9 @@
 All rolling hashes of ``GRAM`` words of a text are joined to their places in the license
 templates. Each hit votes for a diagonal, its place less the template's place. Neighbouring
 diagonals are merged, so that a few inserted or lost words do not split a vote, and a
-merged span is verified by the share of the template's words that its hits cover.
+merged span is verified by the share of the template's words that its hits cover, and by
+the template's key words. A label has several templates: short notices and passages of
+license texts. Mentions of fewer than ``GRAM`` words ("MIT licensed") have no hits.
 
 Null and empty texts have no words and no labels. Repeated rows are scanned alike; an
 empty table gives an empty result.
@@ -26,21 +28,121 @@ BREAK = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 
 # Base phrases with their labels.
 PHRASES = {"cc by": "cc-by", "general public license": "gpl", "all rights reserved": "reserved"}
-# Well-known wordings of public license notices.
+# Well-known wordings of public licenses and their notices, several to a label. Words in braces tell
+# the license from those with like wordings: all 3-grams in them must be hit, whatever the share of the rest.
 TEMPLATES = {
-    "all-rights-reserved": "All rights reserved",
-    "apache-2.0": "Licensed under the Apache License, Version 2.0 (the License); you may not use this file except in compliance with the License",
-    "bsd": "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met",
-    "cc-by-4.0": "This work is licensed under a Creative Commons Attribution 4.0 International License",
-    "cc-by-nc-4.0": "Licensed under CC BY-NC 4.0",
-    "cc-by-sa-4.0": "Licensed under CC BY-SA 4.0",
-    "cc0-1.0": "The person who associated a work with this deed has dedicated the work to the public domain",
-    "gpl-3-notice": "This work is licensed under the GNU General Public License, version 3",
-    "gpl-or-later": "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation",
-    "isc": "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted",
-    "mit": "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files",
-    "mpl-2.0": "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0",
-    "unlicense": "This is free and unencumbered software released into the public domain",
+    "agpl-3.0": (
+        "it under the terms of the {GNU Affero General Public License} as published by the Free Software Foundation",
+        "{GNU Affero General Public License}",
+        "{License identifier AGPL}",
+        "{Licensed under AGPL}",
+        "{under the AGPL}",
+    ),
+    "all-rights-reserved": ("All rights reserved",),
+    "apache-2.0": (
+        "Licensed under the {Apache License Version} 2.0 (the License); you may not use this file except in compliance with the License",
+        "{Apache License Version 2}",
+        "{Apache License 2.0}",
+        "{Apache License v2}",
+        "{Apache 2.0 License}",
+        "{under Apache 2.0}",
+        "{License identifier Apache 2}",
+        "unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an AS IS BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND",
+    ),
+    "bsd": (
+        "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met",
+        "Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer",
+        "Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution",
+        "{the BSD License}",
+        "{BSD style License}",
+        "{under BSD License}",
+    ),
+    "bsd-2-clause": ("{BSD 2 Clause}", "{2 Clause BSD}"),
+    "bsd-3-clause": (
+        "Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission",
+        "{BSD 3 Clause}",
+        "{3 Clause BSD}",
+    ),
+    "cc-by-4.0": (
+        "This work is licensed under a Creative {Commons Attribution 4}.0 International License",
+        "{Commons Attribution 4.0}",
+        "{under CC BY 4}.0",
+        "{License CC BY 4}.0",
+        "{the CC BY 4}.0",
+        "{identifier CC BY 4}.0",
+    ),
+    "cc-by-nc-4.0": ("Licensed under {CC BY NC 4.0}", "{CC BY NC 4.0}", "Creative Commons {Attribution NonCommercial 4}.0 International"),
+    "cc-by-nc-nd-4.0": ("{CC BY NC ND 4.0}", "Creative Commons {Attribution NonCommercial NoDerivatives 4}.0 International"),
+    "cc-by-nc-sa-4.0": ("{CC BY NC SA 4.0}", "Creative Commons {Attribution NonCommercial ShareAlike 4}.0 International"),
+    "cc-by-nd-4.0": ("{CC BY ND 4.0}", "Creative Commons {Attribution NoDerivatives 4}.0 International"),
+    "cc-by-sa-4.0": (
+        "Licensed under {CC BY SA 4.0}",
+        "{CC BY SA 4.0}",
+        "Creative Commons {Attribution ShareAlike 4}.0 International",
+        "By exercising the Licensed Rights You accept and agree to be bound by the terms and conditions of this Creative Commons {Attribution ShareAlike 4}.0 International Public License",
+    ),
+    "cc0-1.0": (
+        "The person who associated a work with this deed has dedicated the work to the public domain",
+        "{CC0 1.0 Universal}",
+        "{under CC0 1.0}",
+        "{identifier CC0 1.0}",
+    ),
+    "gpl-2-notice": (
+        "This work is licensed under the {GNU General Public License, version 2}",
+        "{General Public License version 2}",
+        "{General Public License v2}",
+        "modify it under the terms of the {GNU General Public License} as published by the Free Software Foundation; {either version 2} of the License",
+        "{identifier GPL 2}.0",
+        "{under GPL 2}.0",
+        "{under the GPLv2}",
+        "{License version 2 June 1991}",
+    ),
+    "gpl-3-notice": (
+        "This work is licensed under the GNU General Public {License, version 3}",
+        "{GNU General Public License version 3}",
+        "{GNU General Public License v3}",
+        "{License identifier GPL 3}.0",
+        "{under GPL 3}.0",
+        "{under the GPLv3}",
+        "{GNU General Public License Version 3 29 June 2007}",
+    ),
+    "gpl-or-later": ("This program is free software: you can redistribute it and/or modify it under the terms of the {GNU General Public} License as published by the Free Software Foundation",),
+    "isc": (
+        "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted",
+        "{the ISC License}",
+        "{under ISC License}",
+        "{License identifier ISC}",
+        "{ISC License Copyright}",
+    ),
+    "lgpl": (
+        "you can redistribute it and/or modify it under the terms of the {GNU Lesser General Public License} as published by the Free Software Foundation",
+        "{GNU Lesser General Public License}",
+        "{GNU Library General Public License}",
+        "{License identifier LGPL}",
+        "{Licensed under LGPL}",
+        "{under the LGPL}",
+    ),
+    "mit": (
+        "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files",
+        "to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software",
+        "{the MIT License}",
+        "{under MIT License}",
+        "{an MIT License}",
+        "{MIT License Copyright}",
+        "{MIT License MIT}",
+        "{Licensed under MIT}",
+        "{Released under MIT}",
+        "{License identifier MIT}",
+    ),
+    "mpl-2.0": (
+        "This Source Code Form is subject to the terms of the {Mozilla Public License}, v. 2.0",
+        "{Mozilla Public License version 2}",
+        "{Mozilla Public License 2}.0",
+        "{Mozilla Public License v 2}.0",
+        "{identifier MPL 2}.0",
+        "{under MPL 2}.0",
+    ),
+    "unlicense": ("This is free and unencumbered software released into the public domain", "{under the Unlicense}", "{License identifier Unlicense}"),
 }
 
 
@@ -89,27 +191,40 @@ def _label(first: Column) -> Column:
     return out
 
 
+def _parsed(template: str) -> tuple[list[str], list[int]]:
+    """A template's words, and the places of the k-grams that lie within its braces."""
+    found: list[str] = []
+    keys: list[int] = []
+    for k, part in enumerate(re.split("[{}]", template.lower())):
+        own = [x for x in re.split(BREAK, part) if x]
+        if k % 2:
+            keys += range(len(found), len(found) + len(own) - GRAM + 1)
+        found += own
+    return found, keys
+
+
 def templates(docs: DataFrame) -> DataFrame:
-    """Word k-grams of the templates: a few hundred rows, whatever the corpus."""
-    split = {k: [x for x in re.split(BREAK, v.lower()) if x] for k, v in TEMPLATES.items()}
-    rows = docs.sparkSession.createDataFrame([(k, " ".join(v), len(v)) for k, v in split.items()], "template string, words string, size int")
-    return rows.select("template", "size", F.posexplode(_grams(F.split("words", " "))).alias("t", "gram"))
+    """Word k-grams of the templates: some hundred rows, whatever the corpus. ``keys`` are the places that must be hit."""
+    split = [(k, n, *_parsed(v)) for k, all_of in TEMPLATES.items() for n, v in enumerate(all_of)]
+    rows = docs.sparkSession.createDataFrame([(k, n, " ".join(w), len(w), keys) for k, n, w, keys in split], "template string, variant int, words string, size int, keys array<int>")
+    return rows.select("template", "variant", "size", "keys", F.posexplode(_grams(F.split("words", " "))).alias("t", "gram"))
 
 
 def hits(docs: DataFrame) -> DataFrame:
     """Verified spans: key columns, template, first and last word, share of the template."""
     grams = docs.select("_id", "_same", F.posexplode(let(words(F.col("_text")), _grams)).alias("p", "gram"))
-    votes = stored(grams.join(F.broadcast(templates(docs)), "gram").groupBy("_id", "_same", "template", "size", (F.col("p") - F.col("t")).alias("diagonal")).agg(F.collect_set("t").alias("ts"), F.count("*").alias("n")))
-    one = Window.partitionBy("_id", "_same", "template").orderBy("diagonal")
+    votes = stored(grams.join(F.broadcast(templates(docs)), "gram").groupBy("_id", "_same", "template", "variant", "size", "keys", (F.col("p") - F.col("t")).alias("diagonal")).agg(F.collect_set("t").alias("ts"), F.count("*").alias("n")))
+    one = Window.partitionBy("_id", "_same", "template", "variant").orderBy("diagonal")
     far = F.coalesce((F.col("diagonal") - F.lag("diagonal").over(one) > NEAR).cast("int"), F.lit(1))
     merged = votes.withColumn("far", far).withColumn("span", F.sum("far").over(one))
-    spans = merged.groupBy("_id", "_same", "template", "size", "span").agg(
+    spans = merged.groupBy("_id", "_same", "template", "variant", "size", "keys", "span").agg(
         F.array_distinct(F.flatten(F.collect_set("ts"))).alias("ts"),
         F.min(F.col("diagonal") + F.array_min("ts")).alias("first"),
         F.max(F.col("diagonal") + F.array_max("ts") + GRAM - 1).alias("last"),
     )
     covered = F.size(F.array_distinct(F.flatten(F.transform("ts", lambda t: F.sequence(t, t + GRAM - 1)))))
-    return spans.withColumn("share", covered / F.col("size")).where(F.col("share") >= COVER)
+    whole = F.size(F.array_except("keys", "ts")) == 0
+    return spans.withColumn("share", covered / F.col("size")).where((F.col("share") >= COVER) & whole)
 
 
 def op8(docs: DataFrame) -> DataFrame:
