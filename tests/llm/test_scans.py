@@ -81,6 +81,20 @@ def test_private_context(spark):
     assert {r["doc_id"] for r in rows if "context" in r["spans"]} == {100, 101, 102}
 
 
+def test_private_context_of_other_shapes(spark):
+    """Instances of other shapes, in punctuation and of several words; found ones support a new pattern."""
+    seeds = [(i, f"please phone us on +1 (222) 333-44{i + 10} before noon") for i in range(40)]
+    runs = [(100 + i, f"please phone us on 555 {100 + i} before noon") for i in range(4)]
+    marks = [(110, 'please phone us on "x9-77", before noon'), (111, "please phone us on:8812. before noon")]
+    chained = [(120 + i, f"extension desk 555 {100 + i} rings") for i in range(4)] + [(130, "extension desk 777 901 rings")]
+    plain = [(200 + i, f"there were {i} birds in the tree") for i in range(40)]
+    odd = "(" * 30000 + "1 " * 30000 + "-" * 30000 + "1" + "-" * 30000 + "a:=" * 20000
+    rows = private.op3(spark.createDataFrame([*seeds, *runs, *marks, *chained, *plain, (300, odd)], "doc_id long, text string")).collect()
+    spans = {r["doc_id"]: r["spans"] for r in rows}
+    assert {i for i, x in spans.items() if "context" in x} == {x[0] for x in runs + marks + chained}
+    assert "context:19:26" in spans[100] and "context:20:25" in spans[110] and "context:19:23" in spans[111] and "context:15:22" in spans[130]
+
+
 def test_private_very_long(spark):
     text = "1" * 60000 + " " + "a" * 60000 + " " + "1." * 30000 + " +1" + " " * 50000 + "a.b@" + "c." * 30000 + "x@" * 20000 + " " + "1-" * 30000
     assert private.op3(spark.createDataFrame([(1, text)], "doc_id long, text string")).count() == 1

@@ -49,7 +49,7 @@ def before(numbers: Column, block: int = 256) -> Column:
     return let(numbers, blocks)
 
 
-SPAN = "array<struct<kind:string,start:bigint,end:bigint,hit:string,left:string>>"
+SPAN = "array<struct<kind:string,start:bigint,end:bigint,hit:string,left:string,right:string>>"
 
 
 def spans(text: Column, kind: str, pattern: str, keep: Callable[[Column], Column] | None = None, context: int = 0) -> Column:
@@ -57,7 +57,7 @@ def spans(text: Column, kind: str, pattern: str, keep: Callable[[Column], Column
 
     The text between matches and the matches themselves give the places, so
     nothing but built-in functions runs. ``keep`` drops failing matches.
-    ``context`` carries so many code points left of a match.
+    ``context`` carries so many code points left and right of a match, up to the next match.
     """
     nothing = F.array().cast(SPAN)
 
@@ -74,6 +74,7 @@ def spans(text: Column, kind: str, pattern: str, keep: Callable[[Column], Column
                         (F.get(at, i) + F.length(F.get(gaps, i)) + F.length(h)).alias("end"),
                         h.alias("hit"),
                         (F.right(F.get(gaps, i), F.lit(context)) if context else F.lit("")).alias("left"),
+                        (F.left(F.get(gaps, i + 1), F.lit(context)) if context else F.lit("")).alias("right"),
                     ),
                 ),
             )

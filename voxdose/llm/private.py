@@ -1,10 +1,14 @@
 """Personal data: fixed patterns, and bootstrapped contextual extraction.
 
-Spans of the fixed patterns are seed entities. The word before an entity and the
-entity's shape form a lexical pattern; the other digit-bearing tokens of the corpus
-are candidate instances. Scores go round the pattern-instance graph: a pattern's score
-is its instances' mean score, shrunk for few instances, and a candidate's score is the noisy-or of its
-patterns. Candidates that end with a high score are reported as kind ``context``.
+Spans of the fixed patterns are seed entities. The words before and after an entity form
+lexical patterns (left, right, both); the corpus's other words with a digit, without the
+punctuation at their edges, and runs of several numbers are candidate instances. Scores go
+round the pattern-instance graph: a pattern's score is its instances' mean score, shrunk for
+few instances, and a candidate's score is the noisy-or of its patterns, raised by the score
+of its shape where its patterns speak for it. Each round asks anew which patterns have
+enough instances that are seeds or have a high score, so found instances support new
+patterns. Candidates that end with a high score are reported as kind ``context``; such
+spans may overlap. Identifiers without a digit are not candidates.
 
 Null and empty texts have no spans. Repeated rows are scanned alike (a repeated pair
 of doc_id and text counts once in the graph); an empty table gives an empty result.
@@ -24,10 +28,14 @@ CARD = r"[0-9](?:[\x20-]?[0-9])++"
 PHONE = r"\+[0-9][\x20().0-9-]+[0-9]"
 #: Words with a digit.
 TOKEN = r"(?<![^\x20\x09-\x0D])[^0-9\x20\x09-\x0D]*+[0-9][^\x20\x09-\x0D]*+"
+#: Two numbers or more beside each other.
+RUN = r"(?<![0-9().,/+\p{L}-])\+?[(]*+[0-9][0-9().,/-]*+(?:\x20{1,3}+[0-9(][0-9().,/-]*+)++"
 KINDS = ("email", "ip", "card", "phone", "context")
 CONTEXT = 40
-#: Rounds over the graph; least score of a reported candidate; least number of distinct seeds behind a pattern.
+#: Rounds over the graph; least score of a reported candidate; least number of distinct seeds or found instances behind a pattern.
 ROUNDS, LEAST, SEEDS = 3, 0.8, 3
+#: A shape's weight beside the patterns, where these alone give at least ``LIKELY``.
+SHAPE, LIKELY = 0.5, 0.5
 SHRINK = 2.0
 
 
@@ -58,16 +66,56 @@ def base(text: Column) -> Column:
     )
 
 
-def _pattern(left: Column, hit: Column) -> Column:
-    """The word before, lower-cased, and the shape: runs of digits as 9, of letters as a."""
-    word = F.lower(F.regexp_extract(left, r"([^\x20\x09-\x0D]+)[\x20\x09-\x0D]*$", 1))
-    return F.concat_ws(" ", F.regexp_replace(word, "[0-9]+", "9"), F.regexp_replace(F.regexp_replace(hit, "[0-9]+", "9"), r"\p{L}+", "a"))
+def _shape(hit: Column) -> Column:
+    """Runs of digits as 9, of letters as a."""
+    return F.regexp_replace(F.regexp_replace(hit, "[0-9]+", "9"), r"\p{L}+", "a")
+
+
+def _patterns(left: Column, right: Column) -> Column:
+    """The word before, the word after, and both, lower-cased, with digits as 9."""
+    word = lambda c, p: F.regexp_replace(F.lower(F.regexp_extract(c, p, 1)), "[0-9]+", "9")
+    sides = F.struct(word(left, r"([\p{L}\p{N}]+)[^\p{L}\p{N}]*$").alias("l"), word(right, r"^[^\p{L}\p{N}]*([\p{L}\p{N}]+)").alias("r"))
+    three = let(
+        sides,
+        lambda w: F.array(
+            F.when(w["l"] != "", F.concat(w["l"], F.lit(" _"))),
+            F.when(w["r"] != "", F.concat(F.lit("_ "), w["r"])),
+            F.when((w["l"] != "") & (w["r"] != ""), F.concat(w["l"], F.lit(" _ "), w["r"])),
+        ),
+    )
+    return F.array_compact(three)
+
+
+def _trimmed(found: Column) -> Column:
+    """Candidates without a name and sign before them (``id:``) and without punctuation at the edges."""
+
+    def cut(s: Column) -> Column:
+        lead = F.regexp_extract(s["hit"], r"^(?:\p{L}++[:=#]++)*+[^\p{L}\p{N}+]*+", 0)
+
+        def cut_right(x: Column) -> Column:
+            core = F.regexp_extract(F.substring(s["hit"], F.length(x) + 1, F.length(s["hit"])), r"(?s)^(.*[\p{L}\p{N}])", 1)
+            return let(
+                core,
+                lambda c: F.struct(
+                    s["kind"].alias("kind"),
+                    (s["start"] + F.length(x)).cast("bigint").alias("start"),
+                    (s["start"] + F.length(x) + F.length(c)).cast("bigint").alias("end"),
+                    c.alias("hit"),
+                    F.concat(s["left"], x).alias("left"),
+                    F.concat(F.substring(s["hit"], F.length(x) + F.length(c) + 1, F.length(s["hit"])), s["right"]).alias("right"),
+                ),
+            )
+
+        return let(lead, cut_right)
+
+    return F.filter(F.transform(found, cut), lambda s: s["hit"].rlike("[0-9]"))
 
 
 def scanned(docs: DataFrame, column: str = "text") -> DataFrame:
-    """``_base`` and ``_more``, the seeds and the other digit-bearing tokens of each row."""
+    """``_base`` and ``_more``, the seeds and the candidates of each row."""
     t = text_of(F.col(column))
-    rows = docs.withColumn("_base", base(t)).withColumn("_all", let(t, lambda x: spans(x, "context", TOKEN, context=CONTEXT)))
+    both = lambda x: F.concat(spans(x, "context", TOKEN, context=CONTEXT), spans(x, "context", RUN, context=CONTEXT))
+    rows = docs.withColumn("_base", base(t)).withColumn("_all", _trimmed(let(t, both)))
     apart = lambda c: ~F.exists("_base", lambda b: (b["start"] < c["end"]) & (c["start"] < b["end"]))
     return rows.withColumn("_more", F.when(F.size("_base") == 0, F.col("_all")).otherwise(F.filter("_all", apart))).drop("_all")
 
@@ -75,18 +123,24 @@ def scanned(docs: DataFrame, column: str = "text") -> DataFrame:
 def graph(rows: DataFrame) -> DataFrame:
     """Distinct (pattern, instance) edges; ``seed`` is 1 for instances of the fixed patterns."""
     each = rows.select(F.explode(F.concat("_base", "_more")).alias("s"))
-    return each.groupBy(_pattern(F.col("s.left"), F.col("s.hit")).alias("pattern"), F.col("s.hit").alias("instance")).agg(F.max((F.col("s.kind") != "context").cast("double")).alias("seed"))
+    edges = each.select(F.explode(_patterns(F.col("s.left"), F.col("s.right"))).alias("pattern"), F.col("s.hit").alias("instance"), "s.kind")
+    return edges.groupBy("pattern", "instance").agg(F.max((F.col("kind") != "context").cast("double")).alias("seed"))
 
 
 def found(edges: DataFrame) -> DataFrame:
     """Instances beside the seeds whose score is high, by the rounds described above."""
-    support = edges.groupBy("pattern").agg(F.sum("seed").alias("seeds")).where(F.col("seeds") >= SEEDS).select("pattern")
-    edges = stored(edges.join(support, "pattern"))
-    score = edges.groupBy("instance").agg(F.max("seed").alias("score"))
+    edges = stored(edges)
+    score = edges.groupBy("instance").agg(F.max("seed").alias("seed")).withColumn("score", F.col("seed"))
     for _ in range(ROUNDS):
-        pattern = edges.join(score, "instance").groupBy("pattern").agg((F.sum("score") / (F.count("*") + SHRINK)).alias("trust"))
-        scored = edges.join(pattern, "pattern").groupBy("instance").agg(F.max("seed").alias("seed"), F.sum(F.log1p(-F.least(F.col("trust"), F.lit(0.999)))).alias("miss"))
-        score = stored(scored.select("instance", F.when(F.col("seed") == 1, 1.0).otherwise(1 - F.exp("miss")).alias("score"), "seed"))
+        support = F.sum((F.col("score") >= LEAST).cast("int"))
+        trust = F.sum("score") / (F.count("*") + SHRINK)
+        pattern = edges.select("pattern", "instance").join(score, "instance").groupBy("pattern").agg(trust.alias("trust"), support.alias("support")).where(F.col("support") >= SEEDS)
+        shape = score.groupBy(_shape(F.col("instance")).alias("shape")).agg(trust.alias("of_shape"))
+        scored = edges.join(pattern, "pattern").groupBy("instance").agg(F.max("seed").alias("_seed"), F.sum(F.log1p(-F.least(F.col("trust"), F.lit(0.999)))).alias("miss"))
+        by_words = 1 - F.exp(F.coalesce("miss", F.lit(0.0)))
+        raised = F.when(by_words >= LIKELY, 1 - (1 - by_words) * (1 - SHAPE * F.col("of_shape"))).otherwise(by_words)
+        old = score.select("instance", "seed", _shape(F.col("instance")).alias("shape"))
+        score = stored(old.join(scored, "instance", "left").join(shape, "shape").select("instance", "seed", F.when(F.col("seed") == 1, 1.0).otherwise(raised).alias("score")))
     return score.where((F.col("seed") == 0) & (F.col("score") >= LEAST)).select("instance")
 
 
