@@ -6,6 +6,7 @@ from collections import Counter
 
 import pytest
 from compare import DATA
+from pyspark.sql import functions as F
 
 from voxdose.llm import licenses, private, quality, secrets
 
@@ -216,6 +217,14 @@ def test_estimates_find_the_better_rule():
     assert 0.85 < prior < 0.95 and right[0][1] > right[5][1]
 
 
+def test_variety_of_long_text(spark):
+    """Long text from a natural vocabulary has as much variety as its first pages."""
+    text = " ".join(f"w{(i * 7919 + i // 300) % 400}" for i in range(8000))
+    long, dull = spark.createDataFrame([(1, text), (2, "a b c d e f g h i j " * 50)], "doc_id long, text string").select(quality.votes(quality.features(F.col("text"))).alias("v")).collect()
+    at = quality.RULES.index("variety")
+    assert long["v"][at] == 1 and dull["v"][at] == 0
+
+
 @pytest.mark.parametrize("op", [private.op3, secrets.op7, licenses.op8, quality.op9, secrets.redact, quality.keep_good])
 def test_empty_table(docs, op):
     assert op(docs.limit(0)).count() == 0

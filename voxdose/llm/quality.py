@@ -19,6 +19,8 @@ from pyspark.sql import functions as F
 from .common import SPACE, let, stored, text_of, total
 
 WINDOW = 8
+#: Words of a window over which distinct words are counted.
+SPREAD = 256
 #: Bounds of the estimates: how often a rule may call a good document bad, and how often it must call a bad one bad.
 FALSE_ALARM, FINDS = (0.0001, 0.002), (0.05, 0.9)
 RULES = ("length", "word_length", "symbols", "repeats", "lines", "capitals", "variety", "marks", "echoes")
@@ -43,6 +45,13 @@ def _repeated(words: Column) -> Column:
     return F.when(F.size(words) <= WINDOW, F.lit(0).cast("bigint")).otherwise(let(F.transform(words, lambda x: F.xxhash64(x)), of_hashes))
 
 
+def _spread(words: Column) -> Column:
+    """Distinct words, summed over windows of ``SPREAD`` words side by side; the last is filled up from before it."""
+    starts = F.sequence(F.lit(0), F.greatest(F.floor((F.size(words) - 1) / SPREAD).cast("int"), F.lit(0)))
+    first = lambda i: F.greatest(F.least(i * SPREAD, F.size(words) - SPREAD), F.lit(0)) + 1
+    return total(F.transform(starts, lambda i: F.size(F.array_distinct(F.slice(words, first(i), SPREAD))).cast("bigint")))
+
+
 def _count(text: Column, pattern: str) -> Column:
     return (F.length(text) - F.length(F.regexp_replace(text, pattern, ""))).cast("bigint")
 
@@ -57,7 +66,8 @@ def features(text: Column) -> Column:
             F.size(w).cast("bigint").alias("n_words"),
             F.length(F.array_join(w, "")).cast("bigint").alias("word_chars"),
             _repeated(w).alias("n_repeat_words"),
-            F.size(F.array_distinct(w)).cast("bigint").alias("n_distinct"),
+            _spread(w).alias("n_distinct"),
+            F.when(F.size(w) <= SPREAD, F.size(w)).otherwise(F.ceil(F.size(w) / SPREAD) * SPREAD).cast("bigint").alias("n_spread"),
             F.size(F.filter(w, lambda x, i: F.coalesce(F.get(w, i - 1) == x, F.lit(False)))).cast("bigint").alias("n_echoes"),
         ),
     )
@@ -92,7 +102,7 @@ def votes(q: Column) -> Column:
         _vote(20 * q["w"]["n_repeat_words"] <= n, 10 * q["w"]["n_repeat_words"] > 3 * n),
         _vote(10 * q["l"]["n_dup_lines"] <= lines, (q["l"]["n_dup_lines"] >= 3) & (10 * q["l"]["n_dup_lines"] > 3 * lines)),
         _vote(10 * q["n_capitals"] <= chars, 10 * q["n_capitals"] > 3 * chars),
-        _vote(5 * q["w"]["n_distinct"] >= 2 * n, 5 * q["w"]["n_distinct"] < n),
+        _vote(5 * q["w"]["n_distinct"] >= 2 * q["w"]["n_spread"], 5 * q["w"]["n_distinct"] < q["w"]["n_spread"]),
         _vote(20 * q["n_marks"] <= n, 5 * q["n_marks"] > n),
         _vote(50 * q["w"]["n_echoes"] <= n, 5 * q["w"]["n_echoes"] > n),
     )
