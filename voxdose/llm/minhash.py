@@ -1,25 +1,30 @@
 """Near-duplicates by a chosen-path set similarity join over word shingles.
 
 A document's set is its distinct word shingles; documents with equal sets form one class, and one
-member stands for it. Each of ``trees`` independent trees sends every class down a
-path: a node chooses one or two of the ``SIGNATURE`` minwise tokens at random, and classes that
-agree on a chosen token share a child. Nodes of up to ``SMALL`` classes are compared
-exhaustively on their signatures, larger ones branch again, down to ``DEPTH``; nodes that still are large
-there hold near copies and are compared exhaustively block by block. What looks alike is
-gathered into candidate clusters, and there every pair's full sets are compared, again block by
-block. A task emits a spanning forest of the links it finds, never all pairs.
+member stands for it. Each tree sends every class down paths: a node chooses one or two of its tree's
+own minwise places that the path has not used, and classes that agree on a chosen token share a child.
+Nodes of up to ``SMALL`` classes are compared exhaustively on their signatures, larger ones branch
+again, down to ``DEPTH``. What looks alike is gathered into candidate clusters, whose full sets are compared.
 
-A pair at similarity ``s`` meets in one tree with a chance of at least s ** levels: ten trees miss a pair
-at 0.85 once in a billion times in small nodes one level down, once in a thousand four levels down.
+Nodes and clusters that are large hold near copies. They are settled (``settled``): members are compared
+in blocks, then with the pivots, one block of the largest component found; only what still stands
+outside the largest component is compared with all others. Pairs within one component need no comparison, so
+work and rows grow with the members, and with the square only of those that stay apart. A task emits
+at most one edge for each component that it joins to another.
+
+``trees_for`` takes the number of trees from the target recall: a pair at the threshold meets in a tree with
+a chance of at least ``s * (1 - TWO) + (1 - (1 - s) ** 2) * TWO`` a level, for ``DEPTH`` levels, nearly; most pairs
+meet higher up. Trees use minwise places of their own, so they fail independently.
 
 Null and empty texts have an empty set and link with nothing. Repeated rows are in one class.
 Rows of one doc_id count as one document. A row without doc_id has no component and is kept.
-An empty table gives an empty result.
+Very long texts are one set like all others. An empty table gives an empty result.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import math
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -29,11 +34,15 @@ from pyspark.sql import functions as F
 from .common import stored, text_of
 from .components import roots
 
-SIGNATURE, TREES, DEPTH, SMALL = 64, 10, 4, 192
+SIGNATURE, DEPTH, SMALL = 64, 4, 192
+#: Share of nodes that choose two places; least chance that a pair at the threshold meets in some tree, even at the deepest level.
+TWO, RECALL = 0.18, 0.9999
 #: A candidate pair agrees in at least so many signature places as a pair at the threshold has, less so many standard deviations.
 DEVIATIONS = 5.5
 #: Classes in a block whose full sets are compared; columns of a block's incidence matrix at a time.
 BLOCK, COLUMNS = 64, 4096
+#: Most turns of pivots; they end earlier where a turn no longer halves what stands outside.
+TURNS = 12
 #: Most candidate documents whose ids are broadcast.
 BROADCAST = 1_000_000
 SALT = np.uint64(0x9E3779B97F4A7C15)
@@ -140,19 +149,20 @@ def described(docs: DataFrame, width: int, column: str = "text") -> DataFrame:
     return source.mapInPandas(run, "doc_id bigint, n_shingles bigint, print_a bigint, print_b bigint, sig array<int>")
 
 
-def _children(node: Column, sig: Column) -> Column:
-    """One child, now and then two, by the token at a place that the node chooses."""
-    pick = lambda k: F.pmod(F.xxhash64(node, F.lit(k)), F.lit(SIGNATURE)).cast("int")
-    child = lambda k: F.xxhash64(node, pick(k), F.get(sig, pick(k)))
-    return F.when(F.pmod(F.xxhash64(node, F.lit("two")), F.lit(100)) < 18, F.array(child(0), child(1))).otherwise(F.array(child(0)))
+def trees_for(percent: int) -> int:
+    """Trees that reach ``RECALL`` for pairs at the threshold, if all nodes branch down to ``DEPTH``."""
+    s = percent / 100
+    meet = (s * (1 - TWO) + (1 - (1 - s) ** 2) * TWO) ** DEPTH
+    return min(math.ceil(math.log(1 - RECALL) / math.log(1 - meet)) if meet < RECALL else 1, SIGNATURE // DEPTH)
 
 
-def _blocks(rows: DataFrame, group: str, size: int) -> DataFrame:
-    """Deal each group's ``n`` rows out to blocks and to all pairs of its blocks: columns b1, b2, of groups of bounded size."""
-    n = F.ceil(F.col("n") / size).cast("int")
-    mine = F.pmod(F.xxhash64("rep", group), n).cast("int")
-    rows = rows.withColumn("own", mine).withColumn("other", F.explode(F.sequence(F.lit(0), n - 1)))
-    return rows.withColumn("b1", F.least("own", "other")).withColumn("b2", F.greatest("own", "other")).drop("own", "other", "n")
+def _children(node: Column, left: Column, sig: Column) -> Column:
+    """One child, now and then two, by the tokens at places that the node chooses among those that its path has left."""
+    pick = lambda k, a: F.get(a, F.pmod(F.xxhash64(node, F.lit(k)), F.size(a)).cast("int"))
+    child = lambda place: F.struct(F.xxhash64(node, place, F.get(sig, place)).alias("node"), F.array_remove(left, place).alias("left"))
+    first = pick(0, left)
+    two = (F.size(left) > 1) & (F.pmod(F.xxhash64(node, F.lit("two")), F.lit(100)) < int(100 * TWO))
+    return F.when(two, F.array(child(first), child(pick(1, F.array_remove(left, first))))).otherwise(F.array(child(first)))
 
 
 def forest(ids: np.ndarray, alike: np.ndarray) -> list[tuple[int, int]]:
@@ -171,55 +181,152 @@ def forest(ids: np.ndarray, alike: np.ndarray) -> list[tuple[int, int]]:
     return out
 
 
-def _edges(groups: DataFrame, alike, column: str) -> DataFrame:
-    """Edges (a, b) of each row's members (rep, column) by a matrix of links."""
+def _joins(few: np.ndarray, every: np.ndarray, alike: np.ndarray) -> list[tuple[int, int]]:
+    """Edges between the labels of rows and columns that links join, no more than connect them."""
+    i, j = np.nonzero(alike & (few[:, None] != every[None, :]))
+    if not len(i):
+        return []
+    pairs = np.unique(np.stack((few[i], every[j]), axis=1), axis=0)
+    ids, at = np.unique(pairs, return_inverse=True)
+    at = at.reshape(-1, 2)
+    both = np.zeros((len(ids), len(ids)), dtype=bool)
+    both[at[:, 0], at[:, 1]] = both[at[:, 1], at[:, 0]] = True
+    return forest(ids, both)
+
+
+def _small_groups(rows: DataFrame, group: str, column: str, alike: Callable) -> DataFrame:
+    """Edges (a, b) of each whole group of rows (group, rep, column)."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             out = []
             for members in b["members"]:
-                out += forest(np.array([m["rep"] for m in members], dtype=np.int64), alike([m[column] for m in members]))
+                own = [m[column] for m in members]
+                out += forest(np.array([m["rep"] for m in members], dtype=np.int64), alike(own, own))
             yield pd.DataFrame(out, columns=["a", "b"], dtype="int64")
 
-    return groups.mapInPandas(run, "a bigint, b bigint")
+    return rows.groupBy(group).agg(F.collect_list(F.struct("rep", column)).alias("members")).mapInPandas(run, "a bigint, b bigint")
+
+
+def _in_blocks(rows: DataFrame, size: int, column: str, alike: Callable) -> DataFrame:
+    """Rows (grp, n, rep, column) with their block in the group and ``label``, the least rep that links within the block reach."""
+    kind = dict(rows.dtypes)[column]
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            for grp, n, block, members in zip(b["grp"], b["n"], b["block"], b["members"], strict=True):
+                reps, own = np.array([m["rep"] for m in members], dtype=np.int64), [m[column] for m in members]
+                low = dict(forest(reps, alike(own, own)))
+                yield pd.DataFrame({"grp": grp, "n": n, "block": block, "rep": reps, "label": [low.get(r, r) for r in reps.tolist()], column: own})
+
+    block = F.pmod(F.xxhash64("rep", "grp"), F.ceil(F.col("n") / size)).cast("int").alias("block")
+    dealt = rows.groupBy("grp", "n", block).agg(F.collect_list(F.struct("rep", column)).alias("members"))
+    return dealt.mapInPandas(run, f"grp bigint, n bigint, block int, rep bigint, label bigint, {column} {kind}")
+
 
+def _against(few: DataFrame, every: DataFrame, size: int, column: str, alike: Callable) -> DataFrame:
+    """Edges (grp, a, b) between labels by the links of some of a group's rows (``f`` of them) with all its rows."""
 
-def _look_alike(sigs: list, agree: int) -> np.ndarray:
-    s = np.asarray(sigs, dtype=np.int32)
-    if len(s) == 2:
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            out = []
+            for grp, members in zip(b["grp"], b["members"], strict=True):
+                here, there = [m for m in members if m["few"]], [m for m in members if not m["few"]]
+                if here and there:
+                    label = lambda x: np.array([m["label"] for m in x], dtype=np.int64)
+                    out += [(grp, *e) for e in _joins(label(here), label(there), alike([m[column] for m in here], [m[column] for m in there]))]
+            yield pd.DataFrame(out, columns=["grp", "a", "b"], dtype="int64")
+
+    # a few rows meet many blocks: they are copied in two steps, so that no task makes all copies of a row
+    strip = F.ceil(F.sqrt(F.ceil(F.col("n") / size))).cast("int")
+    copies = few.withColumn("strip", F.explode(F.sequence(F.lit(0), strip - 1))).repartition("grp", "rep", "strip")
+    last = F.least((F.col("strip") + 1) * strip, F.ceil(F.col("n") / size)).cast("int") - 1
+    copies = copies.withColumn("block", F.explode(F.when(F.col("strip") * strip <= last, F.sequence(F.col("strip") * strip, last)))).drop("strip")
+    copies = copies.withColumn("pile", F.pmod(F.xxhash64("rep", "grp"), F.ceil(F.col("f") / size)).cast("int"))
+    sizes = few.select("grp", "f").distinct()
+    met = every.join(sizes, "grp").withColumn("pile", F.explode(F.sequence(F.lit(0), F.ceil(F.col("f") / size).cast("int") - 1)))
+    part = lambda rows, flag: rows.select("grp", "block", "pile", F.struct(F.lit(flag).alias("few"), "label", column).alias("m"))
+    together = part(copies, True).unionByName(part(met, False)).groupBy("grp", "block", "pile").agg(F.collect_list("m").alias("members"))
+    return together.select("grp", "members").mapInPandas(run, "grp bigint, a bigint, b bigint")
+
+
+def settled(rows: DataFrame, group: str, size: int, column: str, alike: Callable) -> DataFrame:
+    """Edges (a, b) that connect what links within each group of rows (group, n, rep, column) connect.
+
+    ``alike`` gives the matrix of links between two lists of values.
+    """
+    rows = stored(rows.select(F.col(group).alias("grp"), "n", "rep", column))
+    edges = _small_groups(rows.where(F.col("n") <= size), "grp", column, alike)
+    large = rows.where(F.col("n") > size)
+    if large.isEmpty():
+        return edges
+    now = first = stored(_in_blocks(large, size, column, alike))
+    edges = edges.unionByName(first.where("rep <> label").select(F.col("rep").alias("a"), F.col("label").alias("b")))
+    before = None
+    for turn in range(TURNS):
+        sizes = now.groupBy("grp", "label", "block").count()
+        top = sizes.groupBy("grp", "label").agg(F.sum("count").alias("m")).groupBy("grp").agg(F.max(F.struct("m", "label")).alias("top"), F.sum("m").alias("all"))
+        top = stored(top.select("grp", F.col("top.label").alias("top"), (F.col("all") - F.col("top.m")).alias("f")).where("f > 0"))
+        left = top.agg(F.sum("f")).first()[0] or 0
+        if not left or before is not None and 2 * left > before:
+            break
+        before = left
+        # pivots: one block's members of the largest component, another block in each turn
+        well_filled = F.struct(F.least(F.col("count"), F.lit(size // 2)), F.xxhash64("block", F.lit(turn)))
+        pivot = sizes.join(top, "grp").where("label = top").groupBy("grp", "label").agg(F.max_by(F.struct("block", F.col("count").alias("f")), well_filled).alias("p")).select("grp", "label", "p.*")
+        rest = now.join(top.drop("f"), "grp").where("label <> top").drop("top")
+        met = stored(_against(now.join(stored(pivot), ["grp", "label", "block"]), rest, size, column, alike).distinct())
+        edges = edges.unionByName(met.select("a", "b"))
+        # what is linked with a pivot bears the pivots' label
+        ends = met.select("grp", F.explode(F.array("a", "b")).alias("label")).distinct().withColumn("linked", F.lit(True))
+        named = now.join(ends, ["grp", "label"], "left").join(top.drop("f"), "grp", "left")
+        now = stored(named.withColumn("label", F.when(F.col("linked"), F.col("top")).otherwise(F.col("label"))).drop("linked", "top"))
+    if not left:
+        return edges
+    rest = now.join(top, "grp").where("label <> top").drop("top")
+    return edges.unionByName(_against(rest, now, size, column, alike).select("a", "b"))
+
+
+def _look_alike(sigs: list, others: list, agree: int) -> np.ndarray:
+    s, o = np.asarray(sigs, dtype=np.int32), np.asarray(others, dtype=np.int32)
+    if sigs is others and len(s) == 2:
         yes = np.count_nonzero(s[0] == s[1]) >= agree
         return np.array([[False, yes], [yes, False]])
-    n = np.zeros((len(s), len(s)), dtype=np.uint8)
+    n = np.zeros((len(s), len(o)), dtype=np.uint8)
     for k in range(SIGNATURE):
-        n += s[:, k, None] == s[None, :, k]
+        n += s[:, k, None] == o[None, :, k]
     return n >= agree
 
 
-def overlaps(sets: list[np.ndarray]) -> np.ndarray:
+def overlaps(sets: list[np.ndarray], others: list[np.ndarray] | None = None) -> np.ndarray:
     """Sizes of all intersections, by products of incidence matrices over the hashes that occur twice or more."""
-    every, where, times = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    both = sets if others is None else [*sets, *others]
+    every, where, times = np.unique(np.concatenate(both), return_inverse=True, return_counts=True)
     shared = np.cumsum(times > 1) - 1
-    row = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
+    row = np.repeat(np.arange(len(both)), [len(s) for s in both])
     use = times[where] > 1
     row, col = row[use], shared[where[use]]
     order = np.argsort(col, kind="stable")
     row, col = row[order], col[order]
-    out = np.zeros((len(sets), len(sets)))
+    upto, since = (len(sets), 0) if others is None else (len(sets), len(sets))
+    out = np.zeros((upto, len(both) - since))
     width = int(col[-1]) + 1 if len(col) else 0
     for lo in range(0, width, COLUMNS):
         a, z = np.searchsorted(col, [lo, lo + COLUMNS])
-        m = np.zeros((len(sets), min(COLUMNS, width - lo)), dtype=np.float32)
+        m = np.zeros((len(both), min(COLUMNS, width - lo)), dtype=np.float32)
         m[row[a:z], col[a:z] - lo] = 1
-        out += m @ m.T
+        out += m[:upto] @ m[since:].T
     return out.astype(np.int64)
 
 
-def candidates(classes: DataFrame, percent: int, trees: int = TREES) -> DataFrame:
-    """Edges (a, b) between classes (rep, sig) that look alike, by the trees."""
+def candidates(classes: DataFrame, percent: int, trees: int | None = None) -> DataFrame:
+    """Edges (a, b) that connect classes (rep, sig) which look alike, by the trees."""
     s = percent / 100
+    trees = trees or trees_for(percent)
     agree = int(SIGNATURE * s - DEVIATIONS * (SIGNATURE * s * (1 - s)) ** 0.5)
-    salts = F.array(*[F.xxhash64(F.lit("tree"), F.lit(t)) for t in range(trees)])
-    rows = classes.select("rep", F.explode(F.flatten(F.transform(salts, lambda s: _children(s, F.col("sig"))))).alias("node")).distinct()
+    own = SIGNATURE // trees  # places of one tree
+    roots_ = F.array(*[F.struct(F.xxhash64(F.lit("tree"), F.lit(t)).alias("node"), F.array(*map(F.lit, range(t * own, (t + 1) * own))).alias("left")) for t in range(trees)])
+    rows = classes.select("rep", F.explode(F.flatten(F.transform(roots_, lambda r: _children(r["node"], r["left"], F.col("sig"))))).alias("c")).select("rep", "c.node", "c.left")
     ready = None
     for level in range(1, DEPTH + 1):
         counts = rows.groupBy("node").agg(F.count("*").alias("n")).where("n > 1")
@@ -227,16 +334,16 @@ def candidates(classes: DataFrame, percent: int, trees: int = TREES) -> DataFram
         done = inner if level == DEPTH else inner.where(F.col("n") <= SMALL)
         ready = done if ready is None else ready.unionByName(done)
         if level < DEPTH:
-            rows = inner.where(F.col("n") > SMALL).join(classes, "rep").select("rep", F.explode(_children(F.col("node"), F.col("sig"))).alias("node")).distinct()
+            wide = inner.where(F.col("n") > SMALL).join(classes, "rep")
+            rows = wide.select("rep", F.explode(_children(F.col("node"), F.col("left"), F.col("sig"))).alias("c")).select("rep", "c.node", "c.left")
     # nodes of the same members need one comparison only
     same = ready.groupBy("node").agg(F.sum(F.xxhash64("rep").cast("decimal(38,0)")).alias("who"), F.first("n").alias("n"))
     one = same.groupBy("who", "n").agg(F.min("node").alias("node")).select("node")
-    dealt = _blocks(ready.join(one, "node").join(classes, "rep"), "node", SMALL)
-    return _edges(dealt.groupBy("node", "b1", "b2").agg(F.collect_list(F.struct("rep", "sig")).alias("members")), lambda sigs: _look_alike(sigs, agree), "sig")
+    return settled(ready.join(one, "node").join(classes, "rep"), "node", SMALL, "sig", lambda x, y: _look_alike(x, y, agree))
 
 
 def confirmed(docs: DataFrame, clusters: DataFrame, width: int, percent: int, column: str = "text") -> DataFrame:
-    """Edges (a, b) between documents of one candidate cluster (rep, cluster, n) whose full sets are alike enough."""
+    """Edges (a, b) that connect documents of one candidate cluster (rep, cluster, n) whose full sets are alike enough."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
@@ -245,21 +352,23 @@ def confirmed(docs: DataFrame, clusters: DataFrame, width: int, percent: int, co
                 sets = [h[i:j].view(np.int64).tobytes() for i, j in zip(bounds[:-1], bounds[1:], strict=True)]
                 yield b[["rep", "cluster", "n"]].iloc[lo:hi].assign(hashes=sets)
 
-    def linked(blobs: list[bytes]) -> np.ndarray:
+    def linked(blobs: list[bytes], others: list[bytes]) -> np.ndarray:
         sets = [np.frombuffer(x, dtype=np.int64) for x in blobs]
-        both = overlaps(sets)
-        size = np.array([len(s) for s in sets], dtype=np.int64)
-        out = 100 * both >= percent * (size[:, None] + size[None, :] - both)
-        np.fill_diagonal(out, False)
+        more = sets if others is blobs else [np.frombuffer(x, dtype=np.int64) for x in others]
+        both = overlaps(sets, None if others is blobs else more)
+        size, other = (np.array([len(s) for s in x], dtype=np.int64) for x in (sets, more))
+        out = 100 * both >= percent * (size[:, None] + other[None, :] - both)
+        if others is blobs:
+            np.fill_diagonal(out, False)
         return out
 
     some = clusters if clusters.count() > BROADCAST else F.broadcast(clusters)
     text = docs.select(F.col("doc_id").cast("bigint").alias("rep"), text_of(F.col(column)).cast("binary").alias("bytes")).join(some, "rep")
     sets = text.mapInPandas(run, "rep bigint, cluster bigint, n bigint, hashes binary").where(F.octet_length("hashes") > 0)
-    return _edges(_blocks(sets, "cluster", BLOCK).groupBy("cluster", "b1", "b2").agg(F.collect_list(F.struct("rep", "hashes")).alias("members")), linked, "hashes")
+    return settled(sets, "cluster", BLOCK, "hashes", linked)
 
 
-def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, column: str = "text", trees: int = TREES) -> DataFrame:
+def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, column: str = "text", trees: int | None = None) -> DataFrame:
     """One row per document: doc_id, n_shingles, component_id, kept."""
     each = stored(described(docs, width, column))
     classes = stored(each.where("n_shingles > 0 and doc_id is not null").groupBy("print_a", "print_b").agg(F.min("doc_id").alias("rep"), F.first("sig").alias("sig")))
