@@ -21,8 +21,10 @@ import os
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import chain
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -38,65 +40,119 @@ GROUP, BROADCAST = 20_000, 200_000
 
 @lru_cache(maxsize=2)
 def _tokenizer(path: str):
+    import numpy as np
+
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
     from tokenizers import Tokenizer
 
-    return Tokenizer.from_file(path), [{}, {}]
+    tokenizer = Tokenizer.from_file(path)
+    closing = np.zeros(tokenizer.get_vocab_size(), dtype=bool)
+    closing[[i for token, i in tokenizer.get_vocab().items() if token.endswith(tokenizer.model.end_of_word_suffix or "</w>")]] = True
+    return tokenizer, closing, [{}, {}]
+
+
+def _low(text: str) -> bool:
+    """Whether all characters are below U+0250."""
+    try:
+        text.encode("latin-1")
+    except UnicodeEncodeError:
+        return max(text) < "ɐ"
+    return True
 
 
 def _plain(text: str) -> bool:
     """Whether words can be encoded apart and in lower case: no token string, no separator that libraries differ on."""
-    return "<|" not in text and (text.isascii() or max(text) < "ɐ") and not any(c in text for c in "\x1c\x1d\x1e\x1f")
+    return "<|" not in text and _low(text) and not any(c in text for c in "\x1c\x1d\x1e\x1f")
+
+
+def _of_letters(words: list[str], path: str) -> dict[str, bytes]:
+    """Ids of words of letters alone: each ends with its only token that closes a word."""
+    import numpy as np
+
+    tokenizer, closing, _ = _tokenizer(path)
+    out: dict[str, bytes] = {}
+    for i in range(0, len(words), 4096):
+        some = words[i : i + 4096]
+        ids = np.asarray(tokenizer.encode_batch_fast([" ".join(some)], add_special_tokens=False)[0].ids, dtype="<u4")
+        stops = (4 * (np.flatnonzero(closing[ids]) + 1)).tolist()
+        if len(stops) != len(some):
+            out |= _of_any(some, path)
+            continue
+        data, start = ids.tobytes(), 0
+        for w, stop in zip(some, stops, strict=True):
+            out[w] = data[start:stop]
+            start = stop
+    return out
+
+
+def _of_any(words: list[str], path: str) -> dict[str, bytes]:
+    """Ids of any words, told apart by the places of their tokens."""
+    import numpy as np
+
+    out: dict[str, bytes] = {}
+    for i in range(0, len(words), 4096):
+        some = words[i : i + 4096]
+        coded = _tokenizer(path)[0].encode(" ".join(some), add_special_tokens=False)
+        stop_at = np.cumsum([len(w) + 1 for w in some])
+        at = np.searchsorted(stop_at, np.fromiter((o[0] for o in coded.offsets), dtype=np.int64, count=len(coded.offsets)), side="right")
+        data, start = np.asarray(coded.ids, dtype="<u4").tobytes(), 0
+        for w, stop in zip(some, (4 * np.searchsorted(at, np.arange(len(some)), side="right")).tolist(), strict=True):
+            out[w] = data[start:stop]
+            start = stop
+    return out
 
 
 def encode(texts: list[str], path: str) -> list[bytes]:
     """Ids of each text as little-endian unsigned 32-bit integers, by a tokenizer that drops white space.
 
-    Each distinct word is encoded once in a while; most words of a corpus are repeated.
+    Each distinct word of the texts is looked up once; those not met for a while are encoded together.
     """
     import numpy as np
 
-    tokenizer, generations = _tokenizer(path)
+    tokenizer, _, generations = _tokenizer(path)
     if len(generations[0]) > REMEMBERED:
         generations[:] = [{}, generations[0]]
     known, older = generations
     split = [t.lower().split() if _plain(t) else None for t in texts]
-    fresh = {w for x in split if x is not None for w in x if w not in known}
-    known.update((w, older[w]) for w in fresh & older.keys())
-    fresh -= known.keys()
+    here = dict.fromkeys(chain.from_iterable(x for x in split if x is not None))
+    here.update(zip(here, list(map(known.get, here))))
+    new = {w for w, ids in here.items() if ids is None}
+    again = {w: older[w] for w in new if w in older}
+    known.update(again)
+    new -= again.keys()
     # letters and the marks after them are encoded apart by the tokenizer too
-    ends = {w: core for w in fresh if (core := w.rstrip(MARKS)) != w and core.isalpha()}
-    fresh -= ends.keys()
-    fresh |= {x for w, core in ends.items() for x in (core, w[len(core) :]) if x not in known}
-    if fresh:
-        ordered = list(fresh)
-        for i in range(0, len(ordered), 4096):
-            some = ordered[i : i + 4096]
-            coded = tokenizer.encode(" ".join(some), add_special_tokens=False)
-            stop_at = np.cumsum([len(w) + 1 for w in some])
-            at = np.searchsorted(stop_at, np.fromiter((o[0] for o in coded.offsets), dtype=np.int64, count=len(coded.offsets)), side="right")
-            ids = np.asarray(coded.ids, dtype="<u4").tobytes()
-            stops = 4 * np.searchsorted(at, np.arange(len(some)), side="right")
-            start = 0
-            for w, stop in zip(some, stops.tolist(), strict=True):
-                known[w] = ids[start:stop]
-                start = stop
+    ends = {w: core for w in new if (core := w.rstrip(MARKS)) != w and core.isalpha()}
+    parts = new - ends.keys()
+    parts |= {x for w, core in ends.items() for x in (core, w[len(core) :]) if x not in known}
+    letters = {w for w in parts if w.isalpha()}
+    known.update(_of_letters(list(letters), path))
+    known.update(_of_any(list(parts - letters), path))
     for w, core in ends.items():
         known[w] = known[core] + known[w[len(core) :]]
+    here.update((w, known[w]) for w in chain(new, again))
     whole = [t for t, x in zip(texts, split, strict=True) if x is None]
     direct = iter(tokenizer.encode_batch(whole, add_special_tokens=False) if whole else ())
-    find = known.__getitem__
+    find = here.__getitem__
     return [b"".join(map(find, x)) if x is not None else np.asarray(next(direct).ids, dtype="<u4").tobytes() for x in split]
 
 
+def _slices(batch: pa.RecordBatch, most: int = 1 << 21) -> Iterator[pa.RecordBatch]:
+    """Rows with about ``most`` bytes of text at a time."""
+    ends = pc.cumulative_sum(pc.binary_length(batch.column(1))).to_numpy()
+    lo = 0
+    while lo < batch.num_rows:
+        hi = max(lo + 1, bisect.bisect_right(ends, (ends[lo - 1] if lo else 0) + most))
+        yield batch.slice(lo, hi - lo)
+        lo = hi
+
+
 def pieces(docs: DataFrame, path: str, capacity: int = CAPACITY, column: str = "text") -> DataFrame:
     """doc_id, piece, start, length, ids_crc32, one row per piece."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         close = CLOSE.to_bytes(4, "little")
         for b in batches:
-            for lo in range(0, b.num_rows, 256):
-                part = b.slice(lo, 256)
+            for part in _slices(b):
                 out: tuple[list, ...] = ([], [], [], [], [])
                 for doc, ids in zip(part.column(0).to_pylist(), encode(part.column(1).to_pylist(), path), strict=True):
                     ids += close
