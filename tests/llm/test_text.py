@@ -41,15 +41,53 @@ def test_deep_and_long_pages():
     assert main("<p a=\"" * 20000) == ""
 
 
-def test_templates_are_removed_and_copies_kept(spark):
-    box = "<div><p>Read our other stories about cats 12</p></div>"
-    pages = [(i, f"http://a.example/{i}", f"<body>{box}<div><p>own text number {'abcdefghij'[i % 10]} {i} of this page, longer than the box is in any case</p></div></body>") for i in range(30)]
-    pages += [(100 + i, "http://b.example/x", "<body><div><p>one article that is copied on its host</p></div></body>") for i in range(30)]
-    pages += [(200, None, None), (201, "http://a.example/0", ""), (202, None, "<p>x")]
-    rows = {r["page_id"]: r["text"] for r in html_text.op1(spark.createDataFrame(pages, "page_id long, url string, html string")).collect()}
-    assert all("cats" not in rows[i] and rows[i].startswith("own text") for i in range(30))
-    assert all(rows[100 + i].startswith("one article") for i in range(30))
-    assert (rows[200], rows[201], rows[202]) == ("", "", "x")
+def words(*seed, n=40):
+    rng = random.Random(str(seed))
+    return " ".join("".join(rng.choice("abcdefghij") for _ in range(rng.randint(3, 8))) for _ in range(n))
+
+
+def extracted(spark, pages):
+    rows = html_text.op1(spark.createDataFrame(pages, "page_id long, url string, html string")).collect()
+    assert len(rows) == len(pages) and all(r["n_chars"] == len(r["text"]) for r in rows)
+    return {r["page_id"]: r["text"] for r in rows}
+
+
+def test_templates_of_a_large_host_without_marks(spark):
+    """A thousand pages without article, main, classes or roles; furniture on some of them only."""
+    own = [words(i) for i in range(1000)]
+    box, line, links = "<div><p>Read our other stories about cats 12</p></div>", "<p>Sign up for our letter</p>", "<span>All we have</span><a href=x>Start</a>"
+    passage = f"<p>{words('shared', n=20)}</p>"
+
+    def page(i):
+        middle = passage if i % 20 == 3 else ""
+        return f"<body>{links}{box.replace('12', str(i)) if i % 100 == 7 else ''}<div><h2>{words('h', i, n=4)}</h2><p>{own[i]}</p>{middle}<p>see <b>the</b> end {i}</p></div>{line}</body>"
+
+    rows = extracted(spark, [(i, f"http://big.example/{i}", page(i)) for i in range(1000)] + [(-1, "http://small.example/", page(0))])
+    for i in range(1000):
+        assert rows[i].split("\n") == [words("h", i, n=4), own[i], *([words("shared", n=20)] if i % 20 == 3 else []), f"see the end {i}"]
+    assert "Sign up" in rows[-1]  # a single page tells nothing
+
+
+def test_copies_on_a_host_are_no_template(spark):
+    article = f"<h1>{words('t', n=5)}</h1><ul><li>{words('l')}</li></ul><section><p>{words('s')}</p></section>"
+    pages = [(i, f"http://a.example/{i}", f"<body><nav>x</nav><article>{article}</article></body>") for i in range(40)]  # copies
+    pages += [(100 + i, f"http://b.example/{i}", f"<body><div>{article}</div></body>") for i in range(40)]
+    pages += [(200 + i, f"http://c.example/{i}", f"<article>{article}<p>near copy {i}</p></article>") for i in range(12)]
+    pages += [(300 + i, f"http://c.example/{i}", f"<article><p>{words(i)}</p></article>") for i in range(12)]
+    pages += [(400 + i, f"http://d.example/{i}", f"<article><p>{words(i)}</p><p>Share this</p></article>") for i in range(12)]
+    rows = extracted(spark, pages)
+    full = "\n".join((words("t", n=5), words("l"), words("s")))
+    assert {rows[i] for i in range(40)} | {rows[100 + i] for i in range(40)} == {full}
+    assert all(rows[200 + i] == f"{full}\nnear copy {i}" for i in range(12))
+    assert all(rows[400 + i] == words(i) for i in range(12))
+
+
+def test_odd_pages(spark):
+    schema = "page_id long, url string, html string, text string, template string, host string, k1 int"
+    odd = [(1, None, None, "a", "b", "c", 1), (None, None, "<p>x", None, None, None, None), (2, "http://a.example/0", "", "", "", "", 0), (3, "u", "<p>y", "", "", "", 0), (3, "u", "<p>y", "", "", "", 0)]
+    rows = html_text.op1(spark.createDataFrame(odd, schema)).collect()
+    assert sorted(r["text"] for r in rows) == ["", "", "x", "y", "y"]
+    assert html_text.op1(spark.createDataFrame([], schema)).collect() == []
 
 
 def test_pages(spark):

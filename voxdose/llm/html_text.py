@@ -1,14 +1,23 @@
 """Main text of web pages, by removal of site templates.
 
-Every page is parsed once for its containers (menus, boxes, lists, sections): each subtree's
-tag, class and text give a hash, and Spark counts on how many pages of a host it occurs. Subtrees
-that recur on at least ``SHARE`` of a host's pages, and on ``PAGES`` pages, are the site's template.
-The second parse deletes them, and elements whose tag, class or role says that they are no
-article text, and takes the text blocks of the page's article. A subtree with most of the page's
-text is never deleted as a template: copies of one article on a host are not its template.
-
-Null and empty pages give an empty text. Repeated rows are extracted alike and count as pages of
-their own. Pages without a URL share one host. An empty table gives an empty result.
+First step, counted: every page is parsed once, and each element subtree with text gets a hash of its tag,
+class, text and children. Spark counts on how many pages of a host a subtree occurs; pages with the same
+content (the article, else the element with most of the text) count once, so copies of an article are not their
+site's template. What occurs with ``PAGES`` contents or more is the template, whatever the host's size, and is
+deleted when the page is parsed again. Two exceptions protect text that recurs without being furniture:
+
+* inside ``article`` and ``main`` near copies and shared passages recur too; there only what stands on ``SHARE`` of
+  all contents of the host goes;
+* elsewhere a recurring paragraph between two siblings that do not recur stays.
+
+Numbers count as equal outside the content, not within it. A subtree with most of the page's text stays.
+
+Second step, by marks: elements whose tag, class or role says that they are no article text go, for hosts with too few
+pages to count on. The text blocks of the page's article (``article``, ``main``, an element whose class says so, else the body) are what is left.
+
+Null and empty pages give an empty text. Repeated rows are extracted alike and count once in the templates.
+Pages without a URL share one host. Very long pages are parsed whole. Other columns of the table are not read.
+An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -25,9 +34,10 @@ from pyspark.sql import functions as F
 
 from .common import stored, text_of
 
-SHARE, PAGES = 0.1, 5
-#: Most (host, subtree) pairs that are broadcast.
-BROADCAST = 200_000
+#: Least contents of a host that a template occurs with; share of all contents that it must occur with inside an article.
+PAGES, SHARE = 5, 0.8
+#: Parts that a host's rows are dealt into where they meet its templates.
+SALTS = 16
 
 TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([A-Za-z][^\s/>]*)((?:[^>"']|"[^"]*"|'[^']*')*+)>|<(/?)([A-Za-z][^\s/>]*)([^>]*)(?:>|\Z)""", re.S)
 ATTRIBUTE = re.compile(r"""([^\s=/"'>]+)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+))""")
@@ -35,6 +45,7 @@ EMPTY = frozenset("area base br col embed hr img input link meta param source tr
 RAW = frozenset("script style textarea title iframe xmp noembed noframes".split())
 CONTAINERS = frozenset("aside dialog div dl fieldset footer form header menu nav ol section table ul".split())
 BLOCKS = CONTAINERS | frozenset("address article blockquote body caption center dd details dt figcaption figure h1 h2 h3 h4 h5 h6 hr html legend li main p pre summary tbody td tfoot th thead tr".split())
+WRAPPERS = frozenset("html body div section center form table tbody tr td".split())
 CLOSES_P = BLOCKS - frozenset("body caption html tbody td tfoot th thead tr li dd dt".split())
 #: An element that begins ends an open one of these, unless one of the second set is nearer.
 ENDS = {"li": ({"li"}, {"ul", "ol", "menu"}), "dd": ({"dd", "dt"}, {"dl"}), "dt": ({"dd", "dt"}, {"dl"}), "option": ({"option"}, {"select"})}
@@ -138,28 +149,85 @@ class Page:
         while self._open:
             self._end()
 
-    def subtrees(self) -> list[int]:
-        """Hash of each element's tag, class, own text and children; numbers count as equal."""
+    def _content(self) -> tuple[int, bool]:
+        """The element with the page's content, -1 for the whole page, and whether its tag says so."""
+        named = [i for i, t in enumerate(self.tags) if t in ("article", "main")]
+        size = self._sizes()
+        text = lambda i: size[self.last[i]] - size[self.first[i]]
+        if named:
+            return max(named, key=text), True
+        at, children = -1, self._children()
+        whole = size[-1]
+        while inner := [i for i in children[at] if self.tags[i] in WRAPPERS and 2 * text(i) > whole]:
+            at = inner[0]
+            whole = text(at)
+        return at, False
+
+    def _sizes(self) -> list[int]:
+        size = [0]
+        for r in self.runs:
+            size.append(size[-1] + len(r or ""))
+        return size
+
+    def _children(self) -> list[list[int]]:
+        """The elements in each element; the last item holds those in none."""
+        out: list[list[int]] = [[] for _ in range(len(self.tags) + 1)]
+        for i, p in enumerate(self.parent):
+            out[p].append(i)
+        return out
+
+    def subtrees(self) -> tuple[list[int], list[bool], list[bool], int]:
+        """Of each element: hash of its tag, class, own text and children, whether it can be template, whether it is in an article; and the content's hash.
+
+        An element can be template if it holds text and stands in none that has text of its own.
+        """
         own: list[list[str]] = [[] for _ in self.tags]
         for text, i in zip(self.runs, self.owner, strict=True):
             if text and i >= 0:
                 own[i].append(text)
-        out = [0] * len(self.tags)
+        line = [" ".join("".join(x).split()) for x in own]
+        at, named = self._content()
+        until = self.until[at] if at >= 0 else len(self.tags)
+        article = [False] * len(self.tags)
+        for i, t in enumerate(self.tags):
+            p = self.parent[i]
+            article[i] = p >= 0 and (article[p] or self.tags[p] in ("article", "main"))
+        out, full = [0] * len(self.tags), [False] * len(self.tags)
         inner: list[list[int]] = [[] for _ in self.tags]
         for i in range(len(self.tags) - 1, -1, -1):
             kind = self._marks(i).get("class", "") if "=" in self.marks[i] else ""
-            text = re.sub(r"[0-9]+", "0", " ".join("".join(own[i]).split()))
-            out[i] = int.from_bytes(hashlib.blake2b(f"{self.tags[i]}|{kind}|{text}|{inner[i]}".encode(), digest_size=8).digest(), "little", signed=True)
-            if self.parent[i] >= 0:
-                inner[self.parent[i]].append(out[i])
-        return out
+            within = article[i] or at < i < until
+            text = line[i] if within else re.sub(r"[0-9]+", "0", line[i])
+            out[i] = int.from_bytes(hashlib.blake2b(f"{self.tags[i]}|{kind}|{article[i]}|{text}|{inner[i]}".encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little", signed=True)
+            full[i] = full[i] or bool(line[i])
+            p = self.parent[i]
+            if p >= 0:
+                inner[p].append(out[i])
+                full[p] = full[p] or full[i]
+        free = [full[i] and (self.parent[i] < 0 or not line[self.parent[i]]) for i in range(len(self.tags))]
+        whole = "\0".join(r or "" for r in (self.runs[self.first[at] : self.last[at]] if at >= 0 else self.runs))
+        content = int.from_bytes(hashlib.blake2b(whole.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little", signed=True)
+        return out, free, article, content
+
+    def _template(self, template: frozenset[int]) -> Iterator[int]:
+        """Elements that the template deletes."""
+        hashes, free, article, _ = self.subtrees()
+        at, named = self._content()
+        children, size = self._children(), self._sizes()
+        body = next((i for i, t in enumerate(self.tags) if t == "body"), None)
+        whole = size[self.last[body]] - size[self.first[body]] if body is not None else size[-1]
+        hit = [free[i] and h in template for i, h in enumerate(hashes)]
+        text = lambda i: size[self.last[i]] > size[self.first[i]]
+        for siblings in children:
+            unique = [k for k, i in enumerate(siblings) if text(i) and not hit[i]]
+            for k, i in enumerate(siblings):
+                between = unique and unique[0] < k < unique[-1] and self.tags[i] not in CONTAINERS and not article[i]
+                if hit[i] and not between and 2 * (size[self.last[i]] - size[self.first[i]]) <= whole:
+                    yield i
 
     def _marks(self, i: int) -> dict[str, str]:
         return {k.lower(): x or y or z for k, x, y, z in ATTRIBUTE.findall(self.marks[i])}
 
-    def containers(self) -> Iterator[int]:
-        return (i for i, t in enumerate(self.tags) if t in CONTAINERS)
-
     def _words(self, i: int) -> tuple[frozenset[str], dict[str, str]]:
         marks = self._marks(i) if "=" in self.marks[i] else {}
         return frozenset(re.split(r"[\s_-]+", f"{marks.get('class', '')} {marks.get('id', '')}".lower())), marks
@@ -184,22 +252,14 @@ class Page:
         articles = [0] * (n + 1)  # so many article or main elements before each element
         for i, t in enumerate(self.tags):
             articles[i + 1] = articles[i] + (t in ("article", "main"))
-        size = [0] * (len(self.runs) + 1)
-        for i, r in enumerate(self.runs):
-            size[i + 1] = size[i] + len(r or "")
         gone: list[tuple[int, int]] = []
         mains: list[tuple[int, int, int]] = []
         article_until, i = 0, 0
-        hashes = self.subtrees() if template else []
-        text = lambda a, b: size[b] - size[a]
+        counted = frozenset(self._template(template)) if template else frozenset()
         body = next((i for i, t in enumerate(self.tags) if t == "body"), None)
-        whole = text(self.first[body], self.last[body]) if body is not None else size[-1]
         while i < n:
             holds = articles[self.until[i]] > articles[i + 1]
-            drop = self._not_text(i, i < article_until, holds)
-            if not drop and template and self.tags[i] in CONTAINERS and not holds and 2 * text(self.first[i], self.last[i]) <= whole:
-                drop = hashes[i] in template
-            if drop:
+            if i in counted and not holds or self._not_text(i, i < article_until, holds):
                 gone.append((self.first[i], self.last[i]))
                 i = self.until[i]
                 continue
@@ -213,13 +273,10 @@ class Page:
             i += 1
         best = max((m[0] for m in mains), default=0)
         chosen = [(a, b) for r, a, b in mains if r == best] or [(self.first[body], self.last[body]) if body is not None else (0, len(self.runs))]
-        longest = max(text(a, b) for a, b in chosen)
         blocks, line, upto = [], [], 0
         skip = iter([*gone, (len(self.runs), len(self.runs))])
         off, on = next(skip)
         for a, b in chosen:
-            if 5 * text(a, b) < longest:
-                continue  # a teaser
             k = max(a, upto)
             while k < b:
                 while on <= k and off < len(self.runs):
@@ -245,38 +302,44 @@ def host(url: Column) -> Column:
     return F.lower(F.regexp_extract(text_of(url), r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)", 1))
 
 
-def templates(pages: DataFrame) -> DataFrame:
-    """(host, subtree) of what recurs across a host's pages, from (host, html)."""
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            found = []
-            for source in b["html"]:
-                page = Page(source)
-                hashes = page.subtrees()
-                found.append(sorted({hashes[i] for i in page.containers()}))
-            yield pd.DataFrame({"host": b["host"], "subtrees": found})
-
-    seen = stored(pages.mapInPandas(run, "host string, subtrees array<bigint>"))
-    sizes = seen.groupBy("host").agg(F.count("*").alias("pages"))
-    counts = seen.select("host", F.explode("subtrees").alias("subtree")).groupBy("host", "subtree").agg(F.count("*").alias("n")).where(F.col("n") >= PAGES)
-    return counts.join(sizes, "host").where(F.col("n") >= SHARE * F.col("pages")).select("host", "subtree")
+def templates(seen: DataFrame) -> DataFrame:
+    """(host, subtree) of what recurs across a host's contents, from (host, content, subtrees, within)."""
+    each = seen.select("host", "content", F.explode("subtrees").alias("subtree"), F.lit(False).alias("inside"))
+    each = each.unionByName(seen.select("host", "content", F.explode("within").alias("subtree"), F.lit(True).alias("inside")))
+    counts = stored(each.distinct().groupBy("host", "subtree", "inside").agg(F.count("*").alias("n")).where(F.col("n") >= PAGES))
+    sizes = seen.select("host", "content").distinct().groupBy("host").agg(F.count("*").alias("contents"))
+    common = counts.where("inside").join(sizes, "host").where(F.col("n") >= SHARE * F.col("contents"))
+    return counts.where("not inside").select("host", "subtree").unionByName(common.select("host", "subtree"))
 
 
 def extracted(pages: DataFrame) -> DataFrame:
     """page_id, url, text of every page (page_id, url, html)."""
 
+    def parsed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            contents, subtrees, within = [], [], []
+            for source in b["html"]:
+                hashes, free, article, content = Page(source).subtrees()
+                contents.append(content)
+                subtrees.append(sorted({h for h, f, a in zip(hashes, free, article, strict=True) if f and not a}))
+                within.append(sorted({h for h, f, a in zip(hashes, free, article, strict=True) if f and a}))
+            yield b[["k1", "k2", "host"]].assign(content=contents, subtrees=subtrees, within=within)
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             text = [Page(source).main_text(frozenset(t) if t is not None else frozenset()) for source, t in zip(b["html"], b["template"], strict=True)]
             yield pd.DataFrame({"page_id": b["page_id"].array, "url": b["url"], "text": text})
 
     rows = pages.select("page_id", "url", text_of("html").alias("html"), host(F.col("url")).alias("host"))
-    found = stored(templates(rows.select("host", "html")))
-    per_host = found.groupBy("host").agg(F.collect_set("subtree").alias("template"))  # at most containers per page / SHARE
-    per_host = F.broadcast(per_host) if found.count() <= BROADCAST else per_host
+    rows = rows.withColumn("k1", F.xxhash64("page_id", "url", "html")).withColumn("k2", F.xxhash64("html", "url", "page_id"))
+    seen = rows.select("k1", "k2", "host", "html").mapInPandas(parsed, "k1 bigint, k2 bigint, host string, content bigint, subtrees array<bigint>, within array<bigint>")
+    seen = stored(seen)
+    # a subtree may stand on a third of all pages: its pages are dealt into parts, each with a copy of the template
+    found = templates(seen).withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    each = seen.select("k1", "k2", "host", F.pmod("k1", F.lit(SALTS)).cast("int").alias("salt"), F.explode(F.concat("subtrees", "within")).alias("subtree"))
+    hits = each.join(found, ["host", "subtree", "salt"], "left_semi").groupBy("k1", "k2").agg(F.collect_set("subtree").alias("template"))  # at most a page's elements
     kinds = dict(pages.dtypes)
-    return rows.join(per_host, "host", "left").select("page_id", "url", "html", "template").mapInPandas(run, f"page_id {kinds['page_id']}, url {kinds['url']}, text string")
+    return rows.drop("host").join(stored(hits), ["k1", "k2"], "left").select("page_id", "url", "html", "template").mapInPandas(run, f"page_id {kinds['page_id']}, url {kinds['url']}, text string")
 
 
 def op1(pages: DataFrame) -> DataFrame:
