@@ -164,11 +164,34 @@ def test_vectors(spark, tile):
     assert got == {i: (links[i], union.root(i), union.root(i) == i) for i, _ in rows if i is not None}
 
 
-def test_quantisation_bound():
-    x = embeddings.unit(np.random.default_rng(4).normal(size=(300, 64)))
+@pytest.mark.parametrize("dim", [64, 1024, 1500])
+def test_quantisation_bound(dim):
+    """No pair at the threshold is lost, and hardly any far below it is recomputed."""
+    rng = np.random.default_rng(4)
+    base = rng.normal(size=(40, dim))
+    x = embeddings.unit(np.concatenate([base + rng.normal(0, w, size=(40, dim)) for w in (0.3, 0.33, 0.36, 1.0)]))
     q, scale, error = embeddings.quantised(x)
     small = q * scale[:, None]
-    assert (np.abs(x @ x.T - small @ small.T) <= error[:, None] + (1 + error[:, None]) * error[None, :] + 1e-12).all()
+    exact = x @ x.T
+    assert (np.abs(exact - small @ small.T) <= error[:, None] + (1 + error[:, None]) * error[None, :] + 1e-12).all()
+    assert (embeddings.int_product(q, q) == q.astype(np.int64) @ q.astype(np.int64).T).all()
+    packed = (q, scale.astype(np.float32), embeddings._upward(error))
+    for threshold in (0.9, float(np.sort(exact, axis=None)[-700])):
+        maybe = embeddings.may_link(packed, packed, threshold)
+        assert maybe[exact >= threshold].all() and not maybe[exact < threshold - 2.2 * error.max()].any()
+        assert (embeddings.links(x, x, maybe, threshold) == (exact >= threshold)).mean() > 0.9999
+
+
+def test_vectors_of_many_dimensions(spark):
+    rng = np.random.default_rng(6)
+    base = rng.normal(size=(60, 1024))
+    x = np.concatenate((base, base + rng.normal(0, 0.4, base.shape), base + rng.normal(0, 0.5, base.shape)))
+    rows = [(i, [float(v) for v in e], "same", i) for i, e in enumerate(x)]
+    u = embeddings.unit(x)
+    linked = u @ u.T >= 0.9
+    np.fill_diagonal(linked, False)
+    got = {r["vec_id"]: r["n_links"] for r in embeddings.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<double>, cid string, tile int"), tile=32).collect()}
+    assert got == dict(enumerate(linked.sum(axis=1).tolist())) and sum(got.values())
 
 
 @pytest.mark.parametrize("op", [repeats.op2, minhash.op6, repeats.without_repeats, minhash.keep_one])

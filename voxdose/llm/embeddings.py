@@ -1,15 +1,17 @@
 """Near-duplicate vectors by products of int8 tiles with rigorous error bounds.
 
-Equal vectors form one class. Classes are dealt into tiles, and every pair of tiles meets once.
-A vector, scaled to length 1, is x = scale * q + e with int8 entries q; so for two
-vectors |x . y - scale scale' q . q'| <= |e| + (1 + |e|) |e'|. Pairs whose quantised cosine
-plus that bound, and a slack for the product's own rounding, stays below the threshold
-cannot be links; all others are recomputed in double precision. A task returns link
-counts and a spanning forest of the links, never the pairs.
+Equal vectors form one class. Classes are dealt into tiles of about ``TILE``, and tiles side by side form strips. A
+task gets two strips, so a tile is copied once for each strip and not for each tile, and it holds int8
+entries alone. A vector, scaled to length 1, is x = scale * q + e with int8 entries q; so for two vectors
+|x . y - scale scale' q . q'| <= |e| + (1 + |e|) |e'|, with each vector's own error. The
+products of int8 entries are summed exactly. Pairs whose quantised cosine plus that bound, and a slack for the rounding
+of the scaling (``slack``), stays below the threshold cannot be links. Only rows with a pair that may be one are sent in
+full, and such pairs are recomputed in double precision. A task returns link counts and a spanning
+forest of the links, never the pairs.
 
 Vectors that are null, empty, zero, or hold null or non-finite components link with nothing. Rows
 without vec_id have no component and are kept, and link with nothing. Vectors of different lengths are not compared.
-Repeated rows count as vectors of their own. An empty table gives an empty result.
+Repeated rows count as vectors of their own. Other columns of the table are not read. An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -25,7 +27,11 @@ from .common import stored
 from .components import roots
 from .minhash import forest
 
-TILE, SLACK = 4096, 1e-5
+TILE = 1024
+#: Tiles side by side, at most, and entries of a strip, about.
+STRIP, ENTRIES = 8, 1 << 23
+#: Columns whose int8 products are summed in one float32: 127 * 127 * 1024 < 2 ** 24, so the sum is exact.
+EXACT = 1024
 
 
 def quantised(x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -41,78 +47,129 @@ def unit(x: np.ndarray) -> np.ndarray:
     return x / np.linalg.norm(x, axis=1, keepdims=True)
 
 
-class Tile:
-    def __init__(self, row) -> None:
-        self.ids = np.frombuffer(row["ids"], dtype=np.int64)
-        self.counts = np.frombuffer(row["counts"], dtype=np.int64)
-        self.full = np.frombuffer(row["full"], dtype=np.float64 if row["wide"] else np.float32).reshape(len(self.ids), -1)
-        self.error = np.frombuffer(row["error"], dtype=np.float64)
-        scale = np.frombuffer(row["scale"], dtype=np.float64)
-        self.small = np.frombuffer(row["q"], dtype=np.int8).reshape(self.full.shape) * scale[:, None].astype(np.float32)
-
-
-def links(a: Tile, b: Tile, threshold: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Rows of a and of b that take part in links, and the matrix of the links between them."""
-    ea, eb = a.error.max(), b.error.max()
-    maybe = (a.small @ b.small.T) >= np.float32(threshold - ea - (1 + ea) * eb - SLACK)
-    if a is b:
-        np.fill_diagonal(maybe, False)
-    rows = np.flatnonzero(maybe.any(axis=1))
-    maybe = maybe[rows]
-    cols = np.flatnonzero(maybe.any(axis=0))
-    maybe = maybe[:, cols]
+def slack(dim: int) -> float:
+    """More than rounding can lose: some six steps in single precision on values up to 1.1, some 2 * dim in double precision on values up to 1."""
+    return 12 * 2.0**-24 + 8 * dim * 2.0**-53
+
+
+def int_product(q: np.ndarray, r: np.ndarray) -> np.ndarray:
+    """Exact products of int8 rows; float64 if there are more than ``EXACT`` columns."""
+    parts = (q[:, k : k + EXACT].astype(np.float32) @ r[:, k : k + EXACT].astype(np.float32).T for k in range(0, q.shape[1], EXACT))
+    if q.shape[1] <= EXACT:
+        return next(parts)
+    out = np.zeros((len(q), len(r)))
+    for part in parts:
+        out += part
+    return out
+
+
+def may_link(a: tuple, b: tuple, threshold: float) -> np.ndarray:
+    """Which pairs of rows of two tiles (q, scale, error) can reach the threshold, each by its own bound."""
+    (q, s, e), (r, t, f) = ([np.asarray(x[0]), *(np.asarray(y, dtype=np.float32) for y in x[1:])] for x in (a, b))
+    upper = int_product(q, r)
+    upper *= s[:, None]
+    upper *= t[None, :]
+    upper += np.outer(1 + e, f)
+    upper += e[:, None]
+    return upper >= threshold - slack(q.shape[1])
+
+
+def links(x: np.ndarray, y: np.ndarray, maybe: np.ndarray, threshold: float) -> np.ndarray:
+    """The matrix of links between rows of two matrices, among those that may be one, in double precision."""
     sure = np.zeros_like(maybe)
+    rows, cols = np.flatnonzero(maybe.any(axis=1)), np.flatnonzero(maybe.any(axis=0))
     if len(rows):
-        x, y = unit(a.full[rows]), unit(b.full[cols])
-        if maybe.mean() > 0.05:
-            sure = maybe & (x @ y.T >= threshold)
+        u, v, some = unit(x[rows]), unit(y[cols]), maybe[np.ix_(rows, cols)]
+        if some.mean() > 0.05:  # one product of what is left costs less than so many single ones
+            sure[np.ix_(rows, cols)] = some & (u @ v.T >= threshold)
         else:
-            i, j = np.nonzero(maybe)
-            sure[i, j] = np.einsum("ij,ij->i", x[i], y[j]) >= threshold
-    return rows, cols, sure
+            i, j = np.nonzero(some)
+            sure[rows[i], cols[j]] = np.einsum("ij,ij->i", u[i], v[j]) >= threshold
+    return sure
 
 
-def _tiles(classes: DataFrame, tiles: int, wide: bool) -> DataFrame:
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def _pairs(tiles: list[int], p: int, q: int, strip: int) -> Iterator[tuple[int, int]]:
+    """Pairs of tiles of strips p and q that a task compares."""
+    return ((a, b) for a in tiles for b in tiles if a // strip == p and b // strip == q and (p != q or a <= b))
+
+
+def _dealt(rows: DataFrame, strips: int) -> DataFrame:
+    """Each row once for every strip that its own meets: columns p and q."""
+    own = F.floor(F.col("tile") / F.col("strip")).cast("int")
+    met = rows.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.floor(F.lit(strips - 1) / F.col("strip")).cast("int"))))
+    return met.withColumn("p", F.least("own", "other")).withColumn("q", F.greatest("own", "other")).drop("own", "other")
+
+
+def _survivors(classes: DataFrame, tiles: int, threshold: float, wide: bool) -> DataFrame:
+    """(dim, strip, p, q, cid) of each class with a pair in strips p and q that may be a link."""
+
+    def packed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             out = []
-            for dim, tile, members in zip(b["dim"], b["tile"], b["members"], strict=True):
-                full = np.array([m["embedding"] for m in members], dtype=np.float64 if wide else np.float32)
-                q, scale, error = quantised(unit(full))
-                pack = lambda k: np.array([m[k] for m in members], dtype=np.int64).tobytes()  # noqa: B023, E731
-                out.append((dim, tile, wide, pack("cid"), pack("n"), full.tobytes(), q.tobytes(), scale.tobytes(), error.tobytes()))
-            yield pd.DataFrame(out, columns=["dim", "tile", "wide", "ids", "counts", "full", "q", "scale", "error"])
-
-    dealt = classes.withColumn("tile", F.pmod(F.xxhash64("cid"), F.lit(tiles)).cast("int"))
-    return dealt.groupBy(F.size("embedding").alias("dim"), "tile").agg(F.collect_list(F.struct("cid", "n", "embedding")).alias("members")).mapInPandas(
-        run, "dim int, tile int, wide boolean, ids binary, counts binary, full binary, q binary, scale binary, error binary"
-    )
-
+            for dim, tile, strip, members in zip(b["dim"], b["tile"], b["strip"], b["members"], strict=True):
+                q, scale, error = quantised(unit(np.array([m["embedding"] for m in members], dtype=np.float64 if wide else np.float32)))
+                out.append((dim, tile, strip, np.array([m["cid"] for m in members], dtype=np.int64).tobytes(), q.tobytes(), scale.astype(np.float32).tobytes(), _upward(error).tobytes()))
+            yield pd.DataFrame(out, columns=["dim", "tile", "strip", "ids", "small", "scale", "error"])
 
-def _compared(tiles: DataFrame, n: int, threshold: float) -> DataFrame:
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            for dim, strip, p, q, members in zip(b["dim"], b["strip"], b["p"], b["q"], b["members"], strict=True):
+                ids = {m["tile"]: np.frombuffer(m["ids"], dtype=np.int64) for m in members}
+                small = {m["tile"]: (np.frombuffer(m["small"], dtype=np.int8).reshape(-1, dim), *(np.frombuffer(m[k], dtype=np.float32) for k in ("scale", "error"))) for m in members}
+                met = {t: np.zeros(len(x), dtype=bool) for t, x in ids.items()}
+                for t, u in _pairs(sorted(ids), p, q, strip):
+                    maybe = may_link(small[t], small[u], threshold)
+                    if t == u:
+                        np.fill_diagonal(maybe, False)
+                    met[t] |= maybe.any(axis=1)
+                    met[u] |= maybe.any(axis=0)
+                found = np.concatenate([ids[t][m] for t, m in met.items()])
+                yield pd.DataFrame({"dim": dim, "strip": strip, "p": p, "q": q, "cid": found}, columns=["dim", "strip", "p", "q", "cid"])
+
+    each = classes.groupBy("dim", "tile", "strip").agg(F.collect_list(F.struct("cid", "embedding")).alias("members"))
+    small = each.mapInPandas(packed, "dim int, tile int, strip int, ids binary, small binary, scale binary, error binary")
+    met = _dealt(small, tiles).groupBy("dim", "strip", "p", "q").agg(F.collect_list(F.struct("tile", "ids", "small", "scale", "error")).alias("members"))
+    return met.mapInPandas(run, "dim int, strip int, p int, q int, cid bigint")
+
+
+def _upward(x: np.ndarray) -> np.ndarray:
+    """Single-precision values, none below its double one."""
+    return np.nextafter(x.astype(np.float32), np.float32(np.inf))
+
+
+def _compared(classes: DataFrame, tiles: int, threshold: float, wide: bool) -> DataFrame:
     """a, b: an edge; or b null: ``links`` more vectors for class a."""
+    kind = np.float64 if wide else np.float32
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            for pair in b["pair"]:
-                two = [Tile(x) for x in sorted(pair, key=lambda x: x["tile"])]
-                left, right = two[0], two[-1]
-                rows, cols, sure = links(left, right, threshold)
-                out = [(int(left.ids[i]), None, int(k)) for i, k in zip(rows, sure @ right.counts[cols], strict=True) if k]
-                if left is not right:
-                    out += [(int(right.ids[j]), None, int(k)) for j, k in zip(cols, left.counts[rows] @ sure, strict=True) if k]
-                some, none = sure.any(axis=1), sure.any(axis=0)
-                rows, cols, sure = rows[some], cols[none], sure[some][:, none]
-                both = np.zeros((len(rows) + len(cols),) * 2, dtype=bool)
-                both[: len(rows), len(rows) :] = sure
-                both |= both.T
-                out += [(x, y, 0) for x, y in forest(np.concatenate((left.ids[rows], right.ids[cols])), both)]
-                yield pd.DataFrame({"a": pd.array([x[0] for x in out], dtype="Int64"), "b": pd.array([x[1] for x in out], dtype="Int64"), "links": pd.array([x[2] for x in out], dtype="Int64")})
-
-    own = F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
-    pairs = tiles.withColumn("other", own).withColumn("p", F.least("tile", "other")).withColumn("q_", F.greatest("tile", "other"))
-    met = pairs.groupBy("dim", "p", "q_").agg(F.collect_list(F.struct("tile", "wide", "ids", "counts", "full", "q", "scale", "error")).alias("pair"))
-    return met.where((F.size("pair") == 2) | (F.col("p") == F.col("q_"))).select("pair").mapInPandas(run, "a bigint, b bigint, links bigint")
+            for strip, p, q, members in zip(b["strip"], b["p"], b["q"], b["members"], strict=True):
+                tile = np.array([m["tile"] for m in members])
+                of = {int(t): np.flatnonzero(tile == t) for t in np.unique(tile)}
+                ids, n = (np.array([m[k] for m in members], dtype=np.int64) for k in ("cid", "n"))
+                full = np.array([m["embedding"] for m in members], dtype=kind)
+                small = {t: (lambda x: (x[0], x[1].astype(np.float32), _upward(x[2])))(quantised(unit(full[x]))) for t, x in of.items()}
+                count, edges = np.zeros(len(ids), dtype=np.int64), []
+                for t, u in _pairs(sorted(of), p, q, strip):
+                    maybe = may_link(small[t], small[u], threshold)
+                    if t == u:
+                        np.fill_diagonal(maybe, False)
+                    sure = links(full[of[t]], full[of[u]], maybe, threshold)
+                    count[of[t]] += sure @ n[of[u]]
+                    if t != u:
+                        count[of[u]] += n[of[t]] @ sure
+                    i, j = np.flatnonzero(sure.any(axis=1)), np.flatnonzero(sure.any(axis=0))
+                    both = np.zeros((len(i) + len(j),) * 2, dtype=bool)
+                    both[: len(i), len(i) :] = sure[np.ix_(i, j)]
+                    both |= both.T
+                    edges += forest(np.concatenate((ids[of[t]][i], ids[of[u]][j])), both)
+                have = np.flatnonzero(count)
+                a = [*ids[have].tolist(), *(e[0] for e in edges)]
+                yield pd.DataFrame({"a": pd.array(a, dtype="Int64"), "b": pd.array([*[None] * len(have), *(e[1] for e in edges)], dtype="Int64"), "links": pd.array([*count[have].tolist(), *[0] * len(edges)], dtype="Int64")})
+
+    some = stored(_survivors(classes, tiles, threshold, wide))
+    full = some.select("strip", "p", "q", "cid", "dim").join(classes.drop("strip", "dim"), "cid")
+    return full.groupBy("dim", "strip", "p", "q").agg(F.collect_list(F.struct("cid", "n", "tile", "embedding")).alias("members")).mapInPandas(run, "a bigint, b bigint, links bigint")
 
 
 def near_duplicates(vectors: DataFrame, threshold: float = 0.9, tile: int = TILE) -> DataFrame:
@@ -123,7 +180,9 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.9, tile: int = TILE
     ok = F.coalesce(fine, F.lit(False)) & F.col("vec_id").isNotNull()
     classes = stored(rows.where(ok).groupBy("embedding").agg(F.min("vec_id").alias("cid"), F.count("*").alias("n")))
     tiles = max(1, -(-classes.count() // tile))
-    met = stored(_compared(_tiles(classes, tiles, wide), tiles, threshold))
+    strip = F.greatest(F.least(F.lit(STRIP), F.floor(F.lit(ENTRIES) / (tile * F.col("dim"))).cast("int")), F.lit(1))
+    dealt = classes.withColumn("dim", F.size("embedding")).withColumn("tile", F.pmod(F.xxhash64("cid"), F.lit(tiles)).cast("int")).withColumn("strip", strip)
+    met = stored(_compared(dealt, tiles, threshold, wide))
     counts = met.where("b is null").groupBy("a").agg(F.sum("links").alias("links"))
     found = roots(met.where("b is not null").select("a", "b"))
     label = (
