@@ -8,6 +8,7 @@ from collections import Counter, defaultdict
 import numpy as np
 import pytest
 from compare import DATA, connect, same
+from pyspark.sql import functions as F
 
 from voxdose.llm import components, embeddings, entries, minhash, repeats
 
@@ -122,17 +123,71 @@ def test_near_duplicates(spark, width, percent):
     assert {r["doc_id"]: (r["n_shingles"], r["component_id"], r["kept"]) for r in rows} == want
 
 
-def test_a_large_group_of_near_copies(spark):
-    """More members than a node or a block holds, in one component."""
-    rng = random.Random(1)
-    base = ["v%d" % i for i in range(120)]
-    docs = []
-    for k in range(500):
+def variants(n, changes, seed, tag=""):
+    rng = random.Random(seed)
+    base = [f"{tag}v{i}" for i in range(120)]
+    out = []
+    for k in range(n):
         t = list(base)
-        t[rng.randrange(120)] = f"u{k}"
-        docs.append((k, " ".join(t)))
-    rows = minhash.near_duplicates(spark.createDataFrame(docs, "doc_id long, text string"), 3, 85).collect()
-    assert {r["component_id"] for r in rows} == {0} and sum(r["kept"] for r in rows) == 1
+        for at in rng.sample(range(120), changes):
+            t[at] = f"{tag}u{k}_{at}"
+        out.append(" ".join(t))
+    return out
+
+
+def test_large_groups_of_near_copies(spark, monkeypatch):
+    """More members than a node or a block holds: rows grow with the members, and components equal those of all pairs."""
+    made = []
+    plain = minhash.settled
+
+    def counted(*args):
+        edges = minhash.stored(plain(*args))
+        made.append(edges.count())
+        return edges
+
+    monkeypatch.setattr(minhash, "settled", counted)
+    for n in (500, 1500):
+        close, apart, loose = variants(n, 1, 1), variants(n, 5, 2, "a"), variants(300, 9, 3, "b")  # all linked; some pairs linked; hardly any
+        texts = close + apart + loose
+        rows = minhash.near_duplicates(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), 3, 85).collect()
+        sets = [np.unique(minhash.shingled([t.encode()], 3)[0]) for t in texts]
+        union, size = Union(), np.array([len(x) for x in sets])
+        for lo, hi in ((0, n), (n, 2 * n), (2 * n, len(texts))):
+            both = np.concatenate([minhash.overlaps(sets[lo:hi][i : i + 200], sets[lo:hi]) for i in range(0, hi - lo, 200)])
+            linked = 100 * both >= 85 * (size[lo:hi, None] + size[None, lo:hi] - both)
+            for i, j in zip(*np.nonzero(linked), strict=True):
+                if i != j:
+                    union.add(lo + int(i), lo + int(j))
+        assert {r["doc_id"]: r["component_id"] for r in rows} == {i: union.root(i) for i in range(len(texts))}
+    assert made[2] <= 4 * made[0] and made[3] <= 4 * made[1]
+
+
+def test_settled_groups(spark):
+    """Every mix of links: chains, stars, lone members, by turns of pivots and by what stands outside."""
+    rng = random.Random(8)
+    values = {g: [rng.randrange(0, 40 * (g + 1)) for _ in range(n)] for g, n in enumerate((1, 5, 40, 200, 700))}
+    rows = [(g, len(v), 1000 * g + i, [x]) for g, v in values.items() for i, x in enumerate(v)]
+    alike = lambda a, b: np.abs(np.array(a).reshape(-1, 1) - np.array(b).reshape(1, -1)) == 3
+    edges = minhash.settled(spark.createDataFrame(rows, "g long, n long, rep long, x array<int>"), "g", 16, "x", lambda v: 4 * F.size(v), alike)
+    got, want = Union(), Union()
+    for e in edges.collect():
+        got.add(e["a"], e["b"])
+    for g, v in values.items():
+        for i, x in enumerate(v):
+            for j, y in enumerate(v):
+                if abs(x - y) == 3:
+                    want.add(1000 * g + i, 1000 * g + j)
+    assert all(got.root(r[2]) == want.root(r[2]) for r in rows)
+
+
+@pytest.mark.parametrize("broadcast", [0, 1 << 26])
+def test_settled_beside(spark, monkeypatch, broadcast):
+    monkeypatch.setattr(minhash, "BROADCAST_BYTES", broadcast)
+    test_settled_groups(spark)
+
+
+def test_more_trees_for_lower_similarity():
+    assert minhash.trees_for(85) < minhash.trees_for(80) < minhash.trees_for(75) and minhash.trees_for(100) == 1
 
 
 def test_rows_without_id_and_repeated_rows(spark):

@@ -7,10 +7,11 @@ Nodes of up to ``SMALL`` classes are compared exhaustively on their signatures,
 again, down to ``DEPTH``. What looks alike is gathered into candidate clusters, whose full sets are compared.
 
 Nodes and clusters that are large hold near copies. They are settled (``settled``): members are compared
-in blocks, then with the pivots, one block of the largest component found; only what still stands
+in blocks, then all blocks with the pivots, one block's members of the largest component found; only what still stands
 outside the largest component is compared with all others. Pairs within one component need no comparison, so
 work and rows grow with the members, and with the square only of those that stay apart. A task emits
-at most one edge for each component that it joins to another.
+at most one edge for each component that it joins to another. A node that keeps most of its parent's members is
+settled at once, since branching does not part its members.
 
 ``trees_for`` takes the number of trees from the target recall: a pair at the threshold meets in a tree with
 a chance of at least ``s * (1 - TWO) + (1 - (1 - s) ** 2) * TWO`` a level, for ``DEPTH`` levels, nearly; most pairs
@@ -34,7 +35,7 @@ from pyspark.sql import functions as F
 from .common import stored, text_of
 from .components import roots
 
-SIGNATURE, DEPTH, SMALL = 64, 4, 192
+SIGNATURE, DEPTH, SMALL = 64, 3, 192
 #: Share of nodes that choose two places; least chance that a pair at the threshold meets in some tree, even at the deepest level.
 TWO, RECALL = 0.18, 0.9999
 #: A candidate pair agrees in at least so many signature places as a pair at the threshold has, less so many standard deviations.
@@ -43,6 +44,10 @@ DEVIATIONS = 5.5
 BLOCK, COLUMNS = 64, 4096
 #: Most turns of pivots; they end earlier where a turn no longer halves what stands outside.
 TURNS = 12
+#: Blocks outside the largest component up to which no further turn is taken.
+FEW_BLOCKS = 16
+#: Most bytes of pivots, or of members outside, that are broadcast; parts of a group beyond that.
+BROADCAST_BYTES, SALTS = 1 << 26, 32
 #: Most candidate documents whose ids are broadcast.
 BROADCAST = 1_000_000
 SALT = np.uint64(0x9E3779B97F4A7C15)
@@ -208,83 +213,104 @@ def _small_groups(rows: DataFrame, group: str, column: str, alike: Callable) ->
     return rows.groupBy(group).agg(F.collect_list(F.struct("rep", column)).alias("members")).mapInPandas(run, "a bigint, b bigint")
 
 
-def _in_blocks(rows: DataFrame, size: int, column: str, alike: Callable) -> DataFrame:
-    """Rows (grp, n, rep, column) with their block in the group and ``label``, the least rep that links within the block reach."""
-    kind = dict(rows.dtypes)[column]
+MEMBERS = "members array<struct<rep:bigint,label:bigint,value:{}>>"
+
+
+def _in_blocks(rows: DataFrame, size: int, kind: str, alike: Callable) -> DataFrame:
+    """Rows (grp, n, rep, value) in blocks (grp, n, block, members), labelled by the least rep that links within the block reach."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            for grp, n, block, members in zip(b["grp"], b["n"], b["block"], b["members"], strict=True):
-                reps, own = np.array([m["rep"] for m in members], dtype=np.int64), [m[column] for m in members]
-                low = dict(forest(reps, alike(own, own)))
-                yield pd.DataFrame({"grp": grp, "n": n, "block": block, "rep": reps, "label": [low.get(r, r) for r in reps.tolist()], column: own})
+            out = []
+            for members in b["members"]:
+                own = [m["value"] for m in members]
+                low = dict(forest(np.array([m["rep"] for m in members], dtype=np.int64), alike(own, own)))
+                out.append([{"rep": m["rep"], "label": low.get(m["rep"], m["rep"]), "value": m["value"]} for m in members])
+            yield b.assign(members=out)
 
     block = F.pmod(F.xxhash64("rep", "grp"), F.ceil(F.col("n") / size)).cast("int").alias("block")
-    dealt = rows.groupBy("grp", "n", block).agg(F.collect_list(F.struct("rep", column)).alias("members"))
-    return dealt.mapInPandas(run, f"grp bigint, n bigint, block int, rep bigint, label bigint, {column} {kind}")
+    dealt = rows.groupBy("grp", "n", block).agg(F.collect_list(F.struct("rep", "value")).alias("members"))
+    return dealt.mapInPandas(run, f"grp bigint, n bigint, block int, {MEMBERS.format(kind)}")
+
+
+def _beside(blocks: DataFrame, some: DataFrame, size_of: Callable[[Column], Column]) -> DataFrame:
+    """Blocks with each list ``some`` of their group: broadcast if it is small, else a group's blocks are dealt into parts."""
+    total = some.agg(F.sum(F.aggregate("some", F.lit(0).cast("bigint"), lambda acc, m: acc + 32 + size_of(m["value"])))).first()[0] or 0
+    if total <= BROADCAST_BYTES:
+        return blocks.join(F.broadcast(some), "grp")
+    salted = some.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    return blocks.withColumn("salt", F.pmod("block", F.lit(SALTS))).join(salted, ["grp", "salt"]).drop("salt")
+
+
+def _drawn(pairs: DataFrame, kind: str, alike: Callable) -> DataFrame:
+    """Blocks whose members bear the pivots' label (top) where their own label has a link with a pivot (some)."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            out = []
+            for top, members, some in zip(b.pop("top"), b["members"], b.pop("some"), strict=True):
+                rest = [m for m in members if m["label"] != top]
+                linked = alike([m["value"] for m in rest], [m["value"] for m in some]).any(axis=1) if rest else ()
+                hit = {m["label"] for m, yes in zip(rest, linked, strict=True) if yes}
+                out.append([m | {"label": top} if m["label"] in hit else m for m in map(dict, members)])
+            yield b.assign(members=out)
+
+    return pairs.select("grp", "n", "block", "members", "top", "some").mapInPandas(run, f"grp bigint, n bigint, block int, {MEMBERS.format(kind)}")
 
 
-def _against(few: DataFrame, every: DataFrame, size: int, column: str, alike: Callable) -> DataFrame:
-    """Edges (grp, a, b) between labels by the links of some of a group's rows (``f`` of them) with all its rows."""
+def _between(pairs: DataFrame, alike: Callable) -> DataFrame:
+    """Edges (a, b) between labels by the links of some members with all of a block."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             out = []
-            for grp, members in zip(b["grp"], b["members"], strict=True):
-                here, there = [m for m in members if m["few"]], [m for m in members if not m["few"]]
-                if here and there:
-                    label = lambda x: np.array([m["label"] for m in x], dtype=np.int64)
-                    out += [(grp, *e) for e in _joins(label(here), label(there), alike([m[column] for m in here], [m[column] for m in there]))]
-            yield pd.DataFrame(out, columns=["grp", "a", "b"], dtype="int64")
-
-    # a few rows meet many blocks: they are copied in two steps, so that no task makes all copies of a row
-    strip = F.ceil(F.sqrt(F.ceil(F.col("n") / size))).cast("int")
-    copies = few.withColumn("strip", F.explode(F.sequence(F.lit(0), strip - 1))).repartition("grp", "rep", "strip")
-    last = F.least((F.col("strip") + 1) * strip, F.ceil(F.col("n") / size)).cast("int") - 1
-    copies = copies.withColumn("block", F.explode(F.when(F.col("strip") * strip <= last, F.sequence(F.col("strip") * strip, last)))).drop("strip")
-    copies = copies.withColumn("pile", F.pmod(F.xxhash64("rep", "grp"), F.ceil(F.col("f") / size)).cast("int"))
-    sizes = few.select("grp", "f").distinct()
-    met = every.join(sizes, "grp").withColumn("pile", F.explode(F.sequence(F.lit(0), F.ceil(F.col("f") / size).cast("int") - 1)))
-    part = lambda rows, flag: rows.select("grp", "block", "pile", F.struct(F.lit(flag).alias("few"), "label", column).alias("m"))
-    together = part(copies, True).unionByName(part(met, False)).groupBy("grp", "block", "pile").agg(F.collect_list("m").alias("members"))
-    return together.select("grp", "members").mapInPandas(run, "grp bigint, a bigint, b bigint")
-
-
-def settled(rows: DataFrame, group: str, size: int, column: str, alike: Callable) -> DataFrame:
+            for members, some in zip(b["members"], b["some"], strict=True):
+                label = lambda x: np.array([m["label"] for m in x], dtype=np.int64)
+                out += _joins(label(some), label(members), alike([m["value"] for m in some], [m["value"] for m in members]))
+            yield pd.DataFrame(out, columns=["a", "b"], dtype="int64")
+
+    return pairs.select("members", "some").mapInPandas(run, "a bigint, b bigint")
+
+
+def _largest(blocks: DataFrame, size: int, turn: int) -> DataFrame:
+    """Of each group: its largest component (top), a block that holds many of it, another one each turn, and how many stand outside."""
+    sizes = blocks.select("grp", "block", F.explode("members.label").alias("label")).groupBy("grp", "label", "block").count()
+    filled = F.struct(F.least(F.col("count"), F.lit(size // 2)), F.xxhash64("block", F.lit(turn)))
+    each = sizes.groupBy("grp", "label").agg(F.sum("count").alias("m"), F.max_by("block", filled).alias("block"))
+    best = each.groupBy("grp").agg(F.max(F.struct("m", "label", "block")).alias("best"), F.sum("m").alias("all"))
+    return best.select("grp", F.col("best.label").alias("top"), F.col("best.block").alias("block"), (F.col("all") - F.col("best.m")).alias("outside"))
+
+
+def settled(rows: DataFrame, group: str, size: int, column: str, size_of: Callable[[Column], Column], alike: Callable) -> DataFrame:
     """Edges (a, b) that connect what links within each group of rows (group, n, rep, column) connect.
 
-    ``alike`` gives the matrix of links between two lists of values.
+    ``alike`` gives the matrix of links between two lists of values, ``size_of`` the bytes of a value.
     """
-    rows = stored(rows.select(F.col(group).alias("grp"), "n", "rep", column))
-    edges = _small_groups(rows.where(F.col("n") <= size), "grp", column, alike)
+    kind = dict(rows.dtypes)[column]
+    rows = stored(rows.select(F.col(group).alias("grp"), "n", "rep", F.col(column).alias("value")))
+    edges = _small_groups(rows.where(F.col("n") <= size), "grp", "value", alike)
     large = rows.where(F.col("n") > size)
     if large.isEmpty():
         return edges
-    now = first = stored(_in_blocks(large, size, column, alike))
-    edges = edges.unionByName(first.where("rep <> label").select(F.col("rep").alias("a"), F.col("label").alias("b")))
-    before = None
-    for turn in range(TURNS):
-        sizes = now.groupBy("grp", "label", "block").count()
-        top = sizes.groupBy("grp", "label").agg(F.sum("count").alias("m")).groupBy("grp").agg(F.max(F.struct("m", "label")).alias("top"), F.sum("m").alias("all"))
-        top = stored(top.select("grp", F.col("top.label").alias("top"), (F.col("all") - F.col("top.m")).alias("f")).where("f > 0"))
-        left = top.agg(F.sum("f")).first()[0] or 0
-        if not left or before is not None and 2 * left > before:
+    blocks = stored(_in_blocks(large, size, kind, alike))
+    before, turn = None, 0
+    while True:
+        top = stored(_largest(blocks, size, turn))
+        outside, most = top.agg(F.sum("outside"), F.max("outside")).first()
+        if not outside or turn == TURNS or before is not None and (2 * outside > before or most <= FEW_BLOCKS * size):
             break
-        before = left
-        # pivots: one block's members of the largest component, another block in each turn
-        well_filled = F.struct(F.least(F.col("count"), F.lit(size // 2)), F.xxhash64("block", F.lit(turn)))
-        pivot = sizes.join(top, "grp").where("label = top").groupBy("grp", "label").agg(F.max_by(F.struct("block", F.col("count").alias("f")), well_filled).alias("p")).select("grp", "label", "p.*")
-        rest = now.join(top.drop("f"), "grp").where("label <> top").drop("top")
-        met = stored(_against(now.join(stored(pivot), ["grp", "label", "block"]), rest, size, column, alike).distinct())
-        edges = edges.unionByName(met.select("a", "b"))
-        # what is linked with a pivot bears the pivots' label
-        ends = met.select("grp", F.explode(F.array("a", "b")).alias("label")).distinct().withColumn("linked", F.lit(True))
-        named = now.join(ends, ["grp", "label"], "left").join(top.drop("f"), "grp", "left")
-        now = stored(named.withColumn("label", F.when(F.col("linked"), F.col("top")).otherwise(F.col("label"))).drop("linked", "top"))
-    if not left:
-        return edges
-    rest = now.join(top, "grp").where("label <> top").drop("top")
-    return edges.unionByName(_against(rest, now, size, column, alike).select("a", "b"))
+        pivots = blocks.join(F.broadcast(top) if top.count() <= BROADCAST else top, ["grp", "block"]).select("grp", "top", F.filter("members", lambda m: m["label"] == F.col("top")).alias("some"))
+        blocks = stored(_drawn(_beside(blocks, stored(pivots), size_of), kind, alike))
+        before, turn = outside, turn + 1
+    own = blocks.select(F.explode("members").alias("m")).select(F.col("m.rep").alias("a"), F.col("m.label").alias("b")).where("a <> b")
+    if not outside:
+        return edges.unionByName(own)
+    top = top.where("outside > 0")
+    few = F.broadcast(top) if top.count() <= BROADCAST else top
+    rest = blocks.join(few.drop("block"), "grp").select("grp", "outside", F.explode(F.filter("members", lambda m: m["label"] != F.col("top"))).alias("m"))
+    pile = F.pmod(F.xxhash64("m.rep", "grp", F.lit("pile")), F.ceil(F.col("outside") / size)).cast("int").alias("pile")
+    piles = stored(rest.groupBy("grp", pile).agg(F.collect_list("m").alias("some")))
+    return edges.unionByName(own).unionByName(_between(_beside(blocks, piles, size_of), alike))
 
 
 def _look_alike(sigs: list, others: list, agree: int) -> np.ndarray:
@@ -326,20 +352,22 @@ def candidates(classes: DataFrame, percent: int, trees: int | None = None) -> Da
     agree = int(SIGNATURE * s - DEVIATIONS * (SIGNATURE * s * (1 - s)) ** 0.5)
     own = SIGNATURE // trees  # places of one tree
     roots_ = F.array(*[F.struct(F.xxhash64(F.lit("tree"), F.lit(t)).alias("node"), F.array(*map(F.lit, range(t * own, (t + 1) * own))).alias("left")) for t in range(trees)])
-    rows = classes.select("rep", F.explode(F.flatten(F.transform(roots_, lambda r: _children(r["node"], r["left"], F.col("sig"))))).alias("c")).select("rep", "c.node", "c.left")
+    rows = classes.select("rep", F.lit(None).cast("bigint").alias("up"), F.explode(F.flatten(F.transform(roots_, lambda r: _children(r["node"], r["left"], F.col("sig"))))).alias("c"))
     ready = None
     for level in range(1, DEPTH + 1):
+        rows = rows.select("rep", "up", "c.node", "c.left")  # up: members of the parent
         counts = rows.groupBy("node").agg(F.count("*").alias("n")).where("n > 1")
         inner = stored(rows.join(counts, "node"))
-        done = inner if level == DEPTH else inner.where(F.col("n") <= SMALL)
+        branch = F.coalesce((F.col("n") > SMALL) & (2 * F.col("n") <= F.col("up")), F.col("n") > SMALL) if level < DEPTH else F.lit(False)
+        done = inner.where(~branch).select("rep", "node", "n")
         ready = done if ready is None else ready.unionByName(done)
         if level < DEPTH:
-            wide = inner.where(F.col("n") > SMALL).join(classes, "rep")
-            rows = wide.select("rep", F.explode(_children(F.col("node"), F.col("left"), F.col("sig"))).alias("c")).select("rep", "c.node", "c.left")
+            wide = inner.where(branch).join(classes, "rep")
+            rows = wide.select("rep", F.col("n").alias("up"), F.explode(_children(F.col("node"), F.col("left"), F.col("sig"))).alias("c"))
     # nodes of the same members need one comparison only
     same = ready.groupBy("node").agg(F.sum(F.xxhash64("rep").cast("decimal(38,0)")).alias("who"), F.first("n").alias("n"))
     one = same.groupBy("who", "n").agg(F.min("node").alias("node")).select("node")
-    return settled(ready.join(one, "node").join(classes, "rep"), "node", SMALL, "sig", lambda x, y: _look_alike(x, y, agree))
+    return settled(ready.join(one, "node").join(classes, "rep"), "node", SMALL, "sig", lambda v: 4 * F.size(v), lambda x, y: _look_alike(x, y, agree))
 
 
 def confirmed(docs: DataFrame, clusters: DataFrame, width: int, percent: int, column: str = "text") -> DataFrame:
@@ -365,7 +393,7 @@ def confirmed(docs: DataFrame, clusters: DataFrame, width: int, percent: int, co
     some = clusters if clusters.count() > BROADCAST else F.broadcast(clusters)
     text = docs.select(F.col("doc_id").cast("bigint").alias("rep"), text_of(F.col(column)).cast("binary").alias("bytes")).join(some, "rep")
     sets = text.mapInPandas(run, "rep bigint, cluster bigint, n bigint, hashes binary").where(F.octet_length("hashes") > 0)
-    return settled(sets, "cluster", BLOCK, "hashes", linked)
+    return settled(sets, "cluster", BLOCK, "hashes", F.octet_length, linked)
 
 
 def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, column: str = "text", trees: int | None = None) -> DataFrame:
