@@ -4,6 +4,7 @@ import hashlib
 import re
 from collections import Counter
 
+import numpy as np
 import pytest
 from compare import DATA
 from pyspark.sql import functions as F
@@ -197,24 +198,62 @@ def words_and_repeats(t):
 
 
 def test_quality(docs, spark):
+    """The contract's columns by brute force; the verdict against labels, with all of them, half of them, and none."""
     want = Counter()
     for i, t in texts(docs):
         n = words_and_repeats(t)
         want[(i, *n, n[0] < 20 or 100 * n[4] > 30 * n[0])] += 1
-    rows = quality.op9(docs).collect()
-    assert Counter(tuple(r)[:7] for r in rows) == want
-    assert not any(r["kept"] and r["base_failed"] for r in rows)
-    label = {r["doc_id"]: r["quality"] for r in spark.read.parquet(f"{DATA}/labels.parquet").collect()}
-    got = [(label[r["doc_id"]], r["kept"] or r["base_failed"] and label[r["doc_id"]]) for r in rows if r["doc_id"] in label]
-    assert sum(bool(a) == bool(b) for a, b in got) >= 0.98 * len(got)
-    assert {r["doc_id"] for r in quality.keep_good(docs).collect()} == {r["doc_id"] for r in rows if r["kept"]}
-
-
-def test_estimates_find_the_better_rule():
-    k = len(quality.RULES)
-    good, bad = [1] * k, [0, 0] + [1] * (k - 2)
-    prior, right = quality.estimate([(good, 900), (bad, 100)])
-    assert 0.85 < prior < 0.95 and right[0][1] > right[5][1]
+    labels = spark.read.parquet(f"{DATA}/labels.parquet")
+    label = {r["doc_id"]: r["quality"] for r in labels.collect()}
+    for some in (labels, labels.where("doc_id % 2 = 0"), None):
+        rows = quality.op9(docs, some).collect()
+        assert Counter(tuple(r)[:7] for r in rows) == want
+        assert not any(r["kept"] and r["base_failed"] for r in rows)
+        got = [(label[r["doc_id"]], r["kept"]) for r in rows if r["doc_id"] in label and not r["base_failed"] and (some is not None or r["doc_id"] % 2)]
+        assert sum(bool(a) == b for a, b in got) >= 0.98 * len(got)
+        assert Counter(r["doc_id"] for r in quality.keep_good(docs, labels=some).collect()) == Counter(r["doc_id"] for r in rows if r["kept"])
+
+
+def patterns(noise):
+    """Vote vectors of good documents, on which the fourth rule fires wrongly, and of bad ones of three kinds; with labels for a twentieth."""
+    k, out = len(quality.RULES), Counter()
+    fires = lambda *at: tuple(0 if j in at else 1 for j in range(k))
+    out[fires(), 1] = round(8000 * (1 - noise))
+    out[fires(3), 1] = round(8000 * noise)
+    out[fires(2), 0], out[fires(5, 6), 0], out[fires(3, 7), 0] = 600, 500, 400
+    seen = {}
+    for (v, good), n in out.items():
+        x = seen.setdefault(v, [0, 0, 0])
+        x[0] += n
+        x[2 - good] += n // 20
+    return [(list(v), *x) for v, x in seen.items() if x[0]]
+
+
+def test_a_rule_that_fires_on_good_documents():
+    at = lambda votes, model: quality._likelihood(np.array([votes], dtype=np.int8), *model)[0, 0]
+    lone = lambda j: [0 if i == j else 1 for i in range(len(quality.RULES))]
+    for noise in (0.02, 0.2):
+        prior, bad = model = quality.estimate(patterns(noise))
+        assert abs(bad[0, 3] - noise) < 0.02 and bad[0, 2] < 0.01 and abs(prior[0] - 8000 / 9500) < 0.02
+        assert at(lone(3), model) > 0.9 and at(lone(2), model) < 0.1 and at([1] * len(quality.RULES), model) > 0.99
+        both = lone(3)
+        both[7] = 0
+        assert at(both, model) < 0.1
+    unlabelled = quality.estimate([(v, n, 0, 0) for v, n, *_ in patterns(0)])
+    assert at(lone(2), unlabelled) < 0.5 and unlabelled[1][0].max() < 0.02
+
+
+def test_quality_of_odd_tables(spark):
+    """Columns that bear names of results or helpers, labels of no use, repeated rows."""
+    text = "word another thing " * 3 + " ".join(f"w{i}" for i in range(60))
+    schema = "doc_id long, text string, kept string, posterior int, _q int, _code int, _doc string, _v string, quality int"
+    docs = spark.createDataFrame([(1, text, "a", 7, 1, 2, "d", "v", 0), (1, text, "a", 7, 1, 2, "d", "v", 0), (None, None, None, None, None, None, None, None, None), (3, "", "b", 0, 0, 0, "", "", 1)], schema)
+    labels = spark.createDataFrame([(1, 1, 0), (1, 1, 0), (3, None, 0), (3, 0, 0), (3, 1, 0), (None, 0, 0), (9, 0, 1), (1, 7, 0)], "doc_id long, quality int, toxic int")
+    rows = quality.judged(docs, labels=labels).collect()
+    assert set(rows[0].asDict()) == {"doc_id", "_code", "_doc", "_v", "quality", "_q", "posterior", "base_failed", "kept"}
+    assert sorted((r["doc_id"] or 0, r["kept"], r["_doc"]) for r in rows) == [(0, False, None), (1, True, "d"), (1, True, "d"), (3, False, "")]
+    kept = quality.keep_good(docs, labels=labels)
+    assert kept.columns == docs.columns and [tuple(r) for r in kept.collect()] == [(1, text, "a", 7, 1, 2, "d", "v", 0)] * 2
 
 
 def test_variety_of_long_text(spark):

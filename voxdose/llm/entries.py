@@ -25,7 +25,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op6_minhash_near_dedup": _over("documents", minhash.op6),
         "op7_secret_scan": _over("documents", secrets.op7),
         "op8_license_scan": _over("documents", licenses.op8),
-        "op9_quality_rules": _over("documents", quality.op9),
+        "op9_quality_rules": lambda spark, sf_dir: quality.op9(*(spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("documents", "labels"))),
         "op10_best_fit_packing": _over("documents", packing.op10),
         "pipeline": corpus_pipeline.run,
     }

@@ -2,17 +2,23 @@
 
 Each rule votes good (1), bad (0) or abstains (-1). Expectation-maximisation over
 the counts of the vote patterns (at most 3 ** rules of them, whatever the corpus)
-estimates how often each rule is right on good and on bad documents; a document
+estimates how often each rule calls a good document bad, and how often it finds bad ones; a document
 stays when its posterior probability of being good reaches ``threshold``.
 
+Bad documents are of several kinds, each caught by few rules, so bad is a mixture: one kind for each rule,
+which starts as what that rule finds, and takes its own rates from the counts. No estimate is held within bounds.
+By counts alone a kind that one rule finds cannot be told from that rule's false alarms; there the
+starting values decide, which trust the rule. ``labels`` settle it where there are any: at most ``LABELLED`` labelled documents,
+which count as much as all others together, so that a rule that fires on clean text is learned to be inaccurate.
+
 Null and empty texts have no words and fail the base rules. Repeated rows are
-judged alike; an empty table gives an empty result; other columns pass through.
+judged alike; an empty table gives an empty result; other columns pass through, but for those that bear the name
+of a result, which it replaces. Labels that are null, neither 0 nor 1, contradictory or without a document are not used.
 """
 
 from __future__ import annotations
 
-import math
-
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -21,8 +27,10 @@ from .common import SPACE, let, stored, text_of, total
 WINDOW = 8
 #: Words of a window over which distinct words are counted.
 SPREAD = 256
-#: Bounds of the estimates: how often a rule may call a good document bad, and how often it must call a bad one bad.
-FALSE_ALARM, FINDS = (0.0001, 0.002), (0.05, 0.9)
+#: Most labelled documents that the estimates use, the first by a hash.
+LABELLED = 20_000
+#: Starting values: share of good documents; how often a rule calls good documents bad, bad ones of its own kind, of another kind.
+GOOD, FALSE_ALARM, FINDS, FINDS_OTHERS = 0.8, 0.005, 0.9, 0.05
 RULES = ("length", "word_length", "symbols", "repeats", "lines", "capitals", "variety", "marks", "echoes")
 
 
@@ -84,10 +92,6 @@ def features(text: Column) -> Column:
     )
 
 
-def with_features(docs: DataFrame, column: str = "text", into: str = "_q") -> DataFrame:
-    return docs.withColumn(into, features(text_of(F.col(column))))
-
-
 def _vote(good: Column, bad: Column) -> Column:
     return F.when(bad, 0).when(good, 1).otherwise(-1)
 
@@ -113,79 +117,100 @@ def base_failed(q: Column) -> Column:
     return (n < 20) | (100 * q["w"]["n_repeat_words"] > 30 * n)
 
 
-def estimate(patterns: list[tuple[list[int], int]], rounds: int = 50) -> tuple[float, list[tuple[float, float]]]:
-    """Prior and, per rule, P(votes good | good) and P(votes bad | bad), by expectation-maximisation.
+def _likelihood(votes: np.ndarray, prior: np.ndarray, bad: np.ndarray) -> np.ndarray:
+    """Posterior of each class (good, then the kinds of bad) of each vote vector; ``bad`` holds P(votes bad | class) of each rule."""
+    x = np.tile(np.log(prior), (len(votes), 1))
+    for j in range(votes.shape[1]):
+        x[votes[:, j] == 0] += np.log(bad[:, j])
+        x[votes[:, j] == 1] += np.log1p(-bad[:, j])
+    x = np.exp(x - x.max(axis=1, keepdims=True))
+    return x / x.sum(axis=1, keepdims=True)
+
 
-    Starting values and pseudo-counts say that a rule which votes is more often right than
-    wrong; they also fix which class is called good. Bad documents are of many kinds, each
-    caught by few rules, so the largest kind alone must not become the bad class: a rule's
-    estimates stay within ``FALSE_ALARM`` and ``FINDS``. ``patterns`` are vote vectors and counts.
+def estimate(patterns: list[tuple[list[int], int, int, int]], rounds: int = 60) -> tuple[np.ndarray, np.ndarray]:
+    """Shares of the classes and P(votes bad | class) of each rule, by expectation-maximisation.
+
+    ``patterns`` are vote vectors with the number of documents, and of those labelled good and bad. Pseudo-counts of
+    at most a hundred documents keep rare rules near their starting values.
     """
+    votes = np.array([v for v, *_ in patterns], dtype=np.int8).reshape(-1, len(RULES))
+    n, n_good, n_bad = np.array([x for _, *x in patterns], dtype=np.float64).reshape(-1, 3).T
+    labelled = (n_good + n_bad).sum()
+    weight = max(1.0, (n.sum() - labelled) / labelled) if labelled else 0.0
     k = len(RULES)
-    prior, right = 0.8, [(1 - FALSE_ALARM[1], 0.4)] * k
-    kept_in = lambda x, low, high: min(max(x, low), high)
+    prior = np.array([GOOD, *[(1 - GOOD) / k] * k])
+    bad = np.full((k + 1, k), FINDS_OTHERS)
+    bad[0] = FALSE_ALARM
+    bad[np.arange(1, k + 1), np.arange(k)] = FINDS
+    trust = np.array([100.0, *[10.0] * k])[:, None]
+    fired, seen = trust * bad, np.repeat(trust, k, axis=1)
     for _ in range(rounds):
-        weights = [(v, n, _posterior(v, prior, right)) for v, n in patterns]
-        good = sum(n * p for _, n, p in weights)
-        bad = sum(n * (1 - p) for _, n, p in weights)
-        prior = (good + 8) / (good + bad + 10)
-        right = [
-            (
-                1 - kept_in((1 + sum(n * p for v, n, p in weights if v[j] == 0)) / (500 + sum(n * p for v, n, p in weights if v[j] >= 0)), *FALSE_ALARM),
-                kept_in((4 + sum(n * (1 - p) for v, n, p in weights if v[j] == 0)) / (10 + sum(n * (1 - p) for v, n, p in weights if v[j] >= 0)), *FINDS),
-            )
-            for j in range(k)
-        ]
-    return prior, right
-
-
-def _log_odds(prior: float, right: list[tuple[float, float]]) -> tuple[float, list[tuple[float, float]]]:
-    """Log odds of good: the prior's, and each rule's for a bad and for a good vote."""
-    return math.log(prior / (1 - prior)), [(math.log((1 - a) / b), math.log(a / (1 - b))) for a, b in right]
-
-
-def _posterior(vote: list[int], prior: float, right: list[tuple[float, float]]) -> float:
-    start, each = _log_odds(prior, right)
-    x = start + sum(each[j][v] for j, v in enumerate(vote) if v >= 0)
-    return 1 / (1 + math.exp(-max(-700.0, min(700.0, x))))
-
-
-def fit(with_votes: DataFrame, column: str = "_votes") -> tuple[float, list[tuple[float, float]]]:
-    """Count the vote patterns in Spark and estimate the rules' accuracies from the counts."""
-    counts = with_votes.groupBy(column).count().collect()
-    return estimate(sorted((list(r[0]), r[1]) for r in counts))
-
-
-def posterior(vote: Column, model: tuple[float, list[tuple[float, float]]]) -> Column:
-    start, each = _log_odds(*model)
-    x = F.lit(start)
-    for j, (bad, good) in enumerate(each):
-        x = x + F.when(vote[j] == 1, good).when(vote[j] == 0, bad).otherwise(0.0)
-    return 1 / (1 + F.exp(-x))
-
-
-def judged(docs: DataFrame, column: str = "text", threshold: float = 0.5) -> DataFrame:
+        share = _likelihood(votes, prior, bad)
+        of_bad = share[:, 1:] / share[:, 1:].sum(axis=1, keepdims=True).clip(1e-300)
+        mass = share * (n - n_good - n_bad)[:, None]
+        mass[:, 0] += weight * n_good
+        mass[:, 1:] += of_bad * (weight * n_bad)[:, None]
+        prior = (mass.sum(axis=0) + np.array([8.0, *[1.0] * k])) / (mass.sum() + 8 + k)
+        for j in range(k):
+            bad[:, j] = (fired[:, j] + mass[votes[:, j] == 0].sum(axis=0)) / (seen[:, j] + mass[votes[:, j] >= 0].sum(axis=0))
+    return prior, bad
+
+
+def code(vote: Column) -> Column:
+    """A vote vector as one number."""
+    return F.aggregate(vote, F.lit(0), lambda acc, v: acc * 3 + v + 1)
+
+
+def _decoded(number: int) -> list[int]:
+    out = []
+    for _ in RULES:
+        number, v = divmod(number, 3)
+        out.append(v - 1)
+    return out[::-1]
+
+
+def fit(votes_of: DataFrame, labels: DataFrame | None = None) -> DataFrame:
+    """From (_code) of each document, and its doc_id where there are labels, to (_code, posterior): a row for each vote pattern."""
+    if labels is None:
+        counts = votes_of.groupBy("_code").agg(F.count("*").alias("n"), F.lit(0).alias("good"), F.lit(0).alias("bad"))
+    else:
+        sure = labels.where(F.col("quality").isin(0, 1) & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.min("quality").alias("low"), F.max("quality").alias("high"))
+        some = sure.where("low = high").select("doc_id", F.col("low").cast("int").alias("quality")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(LABELLED)
+        of = lambda q: F.count(F.when(F.col("quality") == q, 1))
+        counts = votes_of.join(F.broadcast(some), "doc_id", "left").groupBy("_code").agg(F.count("*").alias("n"), of(1).alias("good"), of(0).alias("bad"))
+    rows = sorted(tuple(r) for r in counts.collect())  # at most 3 ** rules
+    patterns = [(_decoded(c), *n) for c, *n in rows]
+    out = []
+    if patterns:
+        prior, bad = estimate(patterns)
+        good = _likelihood(np.array([v for v, *_ in patterns], dtype=np.int8), prior, bad)[:, 0]
+        out = [(c, float(p)) for (c, *_), p in zip(rows, good, strict=True)]
+    return F.broadcast(votes_of.sparkSession.createDataFrame(out, "_code int, posterior double"))
+
+
+def judged(docs: DataFrame, column: str = "text", threshold: float = 0.5, labels: DataFrame | None = None) -> DataFrame:
     """One row per document, without its text: the other columns, ``_q``, ``posterior``, ``base_failed``, ``kept``."""
-    rows = stored(with_features(docs, column).drop(column).withColumn("_votes", votes(F.col("_q"))))
-    model = fit(rows)
-    return (
-        rows.withColumn("posterior", posterior(F.col("_votes"), model))
-        .withColumn("base_failed", base_failed(F.col("_q")))
-        .withColumn("kept", ~F.col("base_failed") & (F.col("posterior") >= threshold))
-    )
+    results = ("_q", "posterior", "base_failed", "kept")
+    own = [c for c in docs.columns if c not in (column, *results)]
+    inner = docs.select(F.struct(F.lit(0).alias("_"), *[F.col(f"`{c}`") for c in own]).alias("_doc"), *(["doc_id"] if labels is not None else []), features(text_of(F.col(f"`{column}`"))).alias("_q"))
+    rows = stored(inner.withColumn("_code", code(votes(F.col("_q")))))
+    out = rows.join(fit(rows, labels), "_code").withColumn("base_failed", base_failed(F.col("_q"))).withColumn("kept", ~F.col("base_failed") & (F.col("posterior") >= threshold))
+    return out.select(*[F.col("_doc").getField(c).alias(c) for c in own], *results)
 
 
-def keep_good(docs: DataFrame, column: str = "text", threshold: float = 0.5) -> DataFrame:
-    """The documents that pass, with the columns they came with."""
-    text = text_of(F.col(column))
-    model = fit(docs.select(let(features(text), votes).alias("_votes")))
-    good = lambda q: ~base_failed(q) & let(votes(q), lambda v: posterior(v, model) >= threshold)
-    return docs.where(let(features(text), good))
+def keep_good(docs: DataFrame, column: str = "text", threshold: float = 0.5, labels: DataFrame | None = None) -> DataFrame:
+    """The documents that pass, with the columns they came with. Rows are stored with their votes, so that texts are scanned once."""
+    own = docs.columns
+    votes_and_base = let(features(text_of(F.col(f"`{column}`"))), lambda q: F.struct(code(votes(q)).alias("code"), base_failed(q).alias("failed")))
+    inner = docs.select(F.struct(*[F.col(f"`{c}`") for c in own]).alias("_doc"), *(["doc_id"] if labels is not None else []), votes_and_base.alias("_v"))
+    rows = stored(inner.withColumn("_code", F.col("_v.code")))
+    passed = rows.where("not _v.failed").join(fit(rows.drop("_doc", "_v"), labels), "_code").where(F.col("posterior") >= threshold)
+    return passed.select(*[F.col("_doc").getField(c).alias(c) for c in own])
 
 
-def op9(docs: DataFrame) -> DataFrame:
+def op9(docs: DataFrame, labels: DataFrame | None = None) -> DataFrame:
     q = F.col("_q")
-    return judged(docs.select("doc_id", "text")).select(
+    return judged(docs.select("doc_id", "text"), labels=labels).select(
         "doc_id",
         q["w"]["n_words"].alias("n_words"),
         q["w"]["word_chars"].alias("word_chars"),
