@@ -7,8 +7,11 @@ round the pattern-instance graph: a pattern's score is its instances' mean score
 few instances, and a candidate's score is the noisy-or of its patterns, raised by the score
 of its shape where its patterns speak for it. Each round asks anew which patterns have
 enough instances that are seeds or have a high score, so found instances support new
-patterns. Candidates that end with a high score are reported as kind ``context``; such
-spans may overlap. Identifiers without a digit are not candidates.
+patterns: instances of a second generation need ``ROUNDS`` of two or three, of a third one more. Candidates that end with a high score are reported as kind ``context``; such
+spans may overlap. Identifiers without a digit are not candidates. The words beside an instance are looked for in
+the ``CONTEXT`` code points on each side, as far as they belong to no other match of its kind; where
+they are longer or missing, that side gives no pattern. A pattern's instances may be a third of all: its row is
+broadcast, or copied to ``SALTS`` parts of them.
 
 Null and empty texts have no spans. Repeated rows are scanned alike (a repeated pair
 of doc_id and text counts once in the graph); an empty table gives an empty result.
@@ -33,10 +36,12 @@ RUN = r"(?<![0-9().,/+\p{L}-])\+?[(]*+[0-9][0-9().,/-]*+(?:\x20{1,3}+[0-9(][0-9(
 KINDS = ("email", "ip", "card", "phone", "context")
 CONTEXT = 40
 #: Rounds over the graph; least score of a reported candidate; least number of distinct seeds or found instances behind a pattern.
-ROUNDS, LEAST, SEEDS = 3, 0.8, 3
+ROUNDS, LEAST, SEEDS = 4, 0.8, 3
 #: A shape's weight beside the patterns, where these alone give at least ``LIKELY``.
 SHAPE, LIKELY = 0.5, 0.5
 SHRINK = 2.0
+#: Most patterns that are broadcast, and parts of a pattern's instances beyond that.
+BROADCAST, SALTS = 500_000, 32
 
 
 def _digits(h: Column) -> Column:
@@ -127,6 +132,13 @@ def graph(rows: DataFrame) -> DataFrame:
     return edges.groupBy("pattern", "instance").agg(F.max((F.col("kind") != "context").cast("double")).alias("seed"))
 
 
+def _under(edges: DataFrame, pattern: DataFrame) -> DataFrame:
+    if pattern.count() <= BROADCAST:
+        return edges.join(F.broadcast(pattern), "pattern")
+    copies = pattern.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    return edges.withColumn("salt", F.pmod(F.xxhash64("instance"), F.lit(SALTS)).cast("int")).join(copies, ["pattern", "salt"])
+
+
 def found(edges: DataFrame) -> DataFrame:
     """Instances beside the seeds whose score is high, by the rounds described above."""
     edges = stored(edges)
@@ -134,9 +146,9 @@ def found(edges: DataFrame) -> DataFrame:
     for _ in range(ROUNDS):
         support = F.sum((F.col("score") >= LEAST).cast("int"))
         trust = F.sum("score") / (F.count("*") + SHRINK)
-        pattern = edges.select("pattern", "instance").join(score, "instance").groupBy("pattern").agg(trust.alias("trust"), support.alias("support")).where(F.col("support") >= SEEDS)
+        pattern = stored(edges.select("pattern", "instance").join(score, "instance").groupBy("pattern").agg(trust.alias("trust"), support.alias("support")).where(F.col("support") >= SEEDS))
         shape = score.groupBy(_shape(F.col("instance")).alias("shape")).agg(trust.alias("of_shape"))
-        scored = edges.join(pattern, "pattern").groupBy("instance").agg(F.max("seed").alias("_seed"), F.sum(F.log1p(-F.least(F.col("trust"), F.lit(0.999)))).alias("miss"))
+        scored = _under(edges, pattern).groupBy("instance").agg(F.max("seed").alias("_seed"), F.sum(F.log1p(-F.least(F.col("trust"), F.lit(0.999)))).alias("miss"))
         by_words = 1 - F.exp(F.coalesce("miss", F.lit(0.0)))
         raised = F.when(by_words >= LIKELY, 1 - (1 - by_words) * (1 - SHAPE * F.col("of_shape"))).otherwise(by_words)
         old = score.select("instance", "seed", _shape(F.col("instance")).alias("shape"))
