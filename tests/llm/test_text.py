@@ -117,6 +117,32 @@ def test_encoding(docs):
     assert Counter(map(tuple, byte_bpe.op5(docs).collect())) == want
 
 
+def scripts(n, seed):
+    """Long texts of several scripts, with the marks and spaces that each uses."""
+    rng = random.Random(seed)
+    word = lambda lo, hi: "".join(chr(rng.randint(lo, hi)) for _ in range(rng.randint(1, 9)))
+    join = lambda lo, hi, seps: "".join(word(lo, hi) + rng.choice(seps) for _ in range(n))
+    yield join(0x4E00, 0x9FA5, "，。、！？《》") + "中" * 50
+    yield join(0x0410, 0x044F, [" ", " ", " ", ", ", ". ", "\n", "\n\n  "])
+    yield join(0x3041, 0x3094, ["。", "、", "\n", "「", "123"])
+    yield join(0xAC00, 0xD7A3, [" ", " ", ". ", "\n"])
+    yield join(0x0621, 0x063A, [" ", "، ", "؟ "])
+
+
+def test_pieces_of_other_scripts(spark):
+    """Long texts without ASCII letters are cut into pieces, and encoded like whole ones."""
+    path, pattern = public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN
+    coder = byte_bpe.encoding(path, pattern)
+    texts = [*scripts(12000, 3), "中" * 70000, "\u3000\xa0 \x85" * 30000]
+    rows = [(i, t, "old", "kept") for i, t in enumerate(texts)]
+    got = {r["doc_id"]: r for r in byte_bpe.decode(byte_bpe.encode(spark.createDataFrame(rows, "doc_id int, text string, ids string, decoded string"), path, pattern), path, pattern).collect()}
+    for i, t in enumerate(texts):
+        assert np.frombuffer(got[i]["ids"], dtype="<u4").tolist() == coder.encode_ordinary(t) and bytes(got[i]["decoded"]) == t.encode()
+    chunks = [(i, k, t[k * byte_bpe.CHUNK : (k + 1) * byte_bpe.CHUNK + byte_bpe.OVERLAP]) for i, t in enumerate(texts) for k in range(-(-len(t) // byte_bpe.CHUNK))]
+    pieces = Counter(r["_row"] for r in byte_bpe._pieces(spark.createDataFrame(chunks, "_row long, no int, part string"), pattern).collect())
+    assert all(pieces[i] == -(-len(t) // byte_bpe.CHUNK) for i, t in enumerate(texts[:5])) and pieces[5] == 1
+
+
 def test_packing(docs):
     tokenizer = packing._tokenizer(public_tokenizers.path("word_bpe_49k.json"))[0]
     want = Counter()
