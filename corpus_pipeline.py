@@ -15,8 +15,8 @@ from voxdose.llm.common import stored
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the rules reject go."""
-    return quality.keep_good(docs)
+    """Documents that the rules reject go; a bounded sample of the labels anchors the rules' estimates."""
+    return quality.keep_good(docs, labels=spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
 def minhash_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
