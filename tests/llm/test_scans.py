@@ -1,6 +1,7 @@
 """Rows of the scanning operators (3, 7, 8, 9) against plain Python, with odd rows added."""
 
 import hashlib
+import random
 import re
 from collections import Counter
 
@@ -131,6 +132,19 @@ def test_random_strings(more_docs):
     assert more == {-5: [f"markov:{at}:{at + 21}"]}
 
 
+def test_random_strings_of_letters(spark):
+    """Keys without a digit, and words of the same length; columns with clashing names pass."""
+    many = spark.read.parquet("/root/testdata/sf0.1/documents.parquet")
+    rng, letters = random.Random(4), "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ"
+    keys = ["".join(rng.choice(letters) for _ in range(n)) for n in (20, 24, 28, 32, 40) * 12]
+    rows = [(-100 - i, f"use {k} there", "x", 1) for i, k in enumerate(keys)] + [(-200, "there 12345678901234567890 thereandthere thereandforthere", "x", 1)]
+    odd = spark.createDataFrame(rows, "doc_id long, text string, _base string, _spans int")
+    out = {r["doc_id"]: r for r in secrets.redact(many.unionByName(odd, allowMissingColumns=True)).where("doc_id <= -100").collect()}
+    caught = [out[-100 - i]["text"] == "use [SECRET] there" for i in range(len(keys))]
+    assert sum(caught) >= 0.85 * len(caught)
+    assert out[-200]["text"] == rows[-1][1] and out[-200]["_base"] == "x" and out[-200]["_spans"] == 1
+
+
 def test_redact(more_docs):
     out = {r["doc_id"]: r for r in secrets.redact(more_docs).where("doc_id < 0").collect()}
     assert out[-2]["text"] is None and out[-3]["text"] == ""

@@ -1,12 +1,15 @@
 """Secret scan: fixed patterns, and character Markov models for random strings.
 
 Two first-order character models are trained from labelled samples of the
-corpus itself: strings inside spans of the fixed patterns are random, candidate
-tokens made of letters alone are ordinary identifiers. A candidate token whose
-log-likelihood ratio reaches ``THRESHOLD`` is reported as kind ``markov``.
+corpus itself: strings inside spans of the fixed patterns are random; candidate tokens
+found at least ``OFTEN`` times are ordinary identifiers, since a random string hardly is. Every other
+candidate token with a letter is scored (digits alone are a number); those whose log-likelihood ratio reaches
+``THRESHOLD``, and ``PER_CHAR`` for each character, are reported as kind ``markov``. Such a ratio needs
+some twelve characters.
 
 Null and empty texts have no spans. Repeated rows are scanned alike; an empty
 table gives an empty result; without samples of both kinds no span is added.
+Columns that bear names of helpers here are carried along untouched.
 """
 
 from __future__ import annotations
@@ -22,12 +25,14 @@ ASSIGN = r"""(?i:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?(
 ACCESS = r"AKIA[A-Z0-9]++"
 HEX = r"(?<![0-9a-f])[0-9a-f]{24,}+"
 #: Candidate tokens of the Markov models.
-TOKEN = r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{16,}+"
+TOKEN = r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{12,}+"
 KINDS = ("assign", "access", "hex", "markov")
 #: Distinct strings of each label, at most, that the models are trained on.
 SAMPLE = 4000
 #: Least log-likelihood ratio, in nats, of a reported token, and least of it for each character.
-THRESHOLD, PER_CHAR = 20.0, 1.2
+THRESHOLD, PER_CHAR = 14.0, 0.8
+#: Least number of places where an ordinary token is found.
+OFTEN = 5
 #: Weight of single characters in a pair's estimate; bounds of one pair's log-likelihood ratio.
 BACKED, LEAST, MOST = 5.0, -4.0, 3.0
 SYMBOLS = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789+/_=-"
@@ -65,8 +70,9 @@ def scanned(docs: DataFrame, column: str = "text") -> DataFrame:
     return rows.withColumn("_more", F.when(F.size("_base") == 0, F.col("_all")).otherwise(F.filter("_all", apart))).drop("_all")
 
 
-def _sample(rows: DataFrame, strings: Column, label: int) -> DataFrame:
-    each = rows.select(F.explode(strings).alias("s")).where(F.length("s") >= 8).distinct()
+def _sample(rows: DataFrame, strings: Column, label: int, times: int) -> DataFrame:
+    """Distinct strings found so many times, the first by a hash."""
+    each = rows.select(F.explode(strings).alias("s")).where(F.length("s") >= 8).groupBy("s").agg(F.count("*").alias("n")).where(F.col("n") >= times).select("s")
     return each.orderBy(F.xxhash64("s"), "s").limit(SAMPLE).withColumn("label", F.lit(label))
 
 
@@ -77,8 +83,8 @@ def _states(s: Column) -> Column:
 
 def fit(rows: DataFrame) -> str | None:
     """Log-likelihood ratios of all character pairs, comma-joined by state pair; None without samples of both labels."""
-    secret = _sample(rows, F.transform("_base", lambda b: F.regexp_replace(b["hit"], r"^(?i:password|passwd|secret|token|api_?key)[^A-Za-z0-9]*", "")), 1)
-    plain = _sample(rows, F.transform(F.filter("_more", lambda m: ~m["hit"].rlike("[0-9]")), lambda m: m["hit"]), 0)
+    secret = _sample(rows, F.transform("_base", lambda b: F.regexp_replace(b["hit"], r"^(?i:password|passwd|secret|token|api_?key)[^A-Za-z0-9]*", "")), 1, 1)
+    plain = _sample(rows, F.transform("_more", lambda m: m["hit"]), 0, OFTEN).join(secret.select("s"), "s", "left_anti")
     pairs = secret.unionByName(plain).select(
         "label",
         F.explode(let(_states("s"), lambda a: F.transform(F.sequence(F.lit(0), F.size(a) - 2), lambda i: F.get(a, i) * STATES + F.get(a, i + 1)))).alias("pair"),
@@ -118,16 +124,16 @@ def with_spans(rows: DataFrame, model: str | None) -> DataFrame:
     """``_spans``: the fixed spans and the candidates that the models call random."""
     if model is None:
         return rows.withColumn("_spans", F.col("_base"))
-    mixed = lambda m: m["hit"].rlike("[0-9]") & m["hit"].rlike("[A-Za-z]")
-    random = lambda m: F.when(mixed(m), let(ratio(m["hit"], model), lambda x: (x >= THRESHOLD) & (x >= PER_CHAR * F.length(m["hit"])))).otherwise(F.lit(False))
+    random = lambda m: m["hit"].rlike("[A-Za-z]") & let(ratio(m["hit"], model), lambda x: (x >= THRESHOLD) & (x >= PER_CHAR * F.length(m["hit"])))
     return rows.withColumn("_spans", F.when(F.size("_more") == 0, F.col("_base")).otherwise(in_order(F.concat("_base", F.filter("_more", random)))))
 
 
 def redact(docs: DataFrame, column: str = "text", mark: str = "[SECRET]") -> DataFrame:
     """The same rows with each secret replaced by ``mark`` in the text, and ``n_chars`` brought up to date."""
     own = docs.columns
-    inner = docs.select(F.struct(*[F.col(f"`{c}`") for c in own]).alias("_doc"), F.col(column).alias("_text"))
-    found = with_spans(scanned(inner, "_text"), fit(scanned(inner.select("_text"), "_text").drop("_text")))
+    inner = docs.select(F.struct(*[F.col(f"`{c}`") for c in own]).alias("_doc"), F.col(f"`{column}`").alias("_text"))
+    rows = stored(scanned(inner, "_text"))
+    found = with_spans(rows, fit(rows))
 
     def cut(span: Column) -> Column:  # overlapping spans count as one
         merged = F.aggregate(
