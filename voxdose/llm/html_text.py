@@ -2,7 +2,7 @@
 
 First step, counted: every page is parsed once, and each element subtree with text gets a hash of its tag,
 class, text and children. Spark counts on how many pages of a host a subtree occurs; pages with the same
-content (the article, else the element with most of the text) count once, so copies of an article are not their
+content (the article, else the element with most of the text) count as one of them, so copies of an article are not their
 site's template. What occurs with ``PAGES`` contents or more is the template, whatever the host's size, and is
 deleted when the page is parsed again. Two exceptions protect text that recurs without being furniture:
 
@@ -38,6 +38,8 @@ from .common import stored, text_of
 PAGES, SHARE = 5, 0.8
 #: Parts that a host's rows are dealt into where they meet its templates.
 SALTS = 16
+#: Most templates that are broadcast.
+BROADCAST = 300_000
 
 TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([A-Za-z][^\s/>]*)((?:[^>"']|"[^"]*"|'[^']*')*+)>|<(/?)([A-Za-z][^\s/>]*)([^>]*)(?:>|\Z)""", re.S)
 ATTRIBUTE = re.compile(r"""([^\s=/"'>]+)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+))""")
@@ -303,13 +305,13 @@ def host(url: Column) -> Column:
 
 
 def templates(seen: DataFrame) -> DataFrame:
-    """(host, subtree) of what recurs across a host's contents, from (host, content, subtrees, within)."""
-    each = seen.select("host", "content", F.explode("subtrees").alias("subtree"), F.lit(False).alias("inside"))
-    each = each.unionByName(seen.select("host", "content", F.explode("within").alias("subtree"), F.lit(True).alias("inside")))
-    counts = stored(each.distinct().groupBy("host", "subtree", "inside").agg(F.count("*").alias("n")).where(F.col("n") >= PAGES))
-    sizes = seen.select("host", "content").distinct().groupBy("host").agg(F.count("*").alias("contents"))
-    common = counts.where("inside").join(sizes, "host").where(F.col("n") >= SHARE * F.col("contents"))
-    return counts.where("not inside").select("host", "subtree").unionByName(common.select("host", "subtree"))
+    """(host, subtree) of what recurs across a host's contents, from (k1, host, content, subtrees, within)."""
+    one = F.min_by(F.struct("subtrees", "within"), "k1").alias("s")
+    pages = stored(seen.groupBy("host", "content").agg(one).select("host", "s.*"))  # of pages with the same content, one
+    counted = lambda column: pages.select("host", F.explode(column).alias("subtree")).groupBy("host", "subtree").agg(F.count("*").alias("n")).where(F.col("n") >= PAGES)
+    sizes = pages.groupBy("host").agg(F.count("*").alias("contents"))
+    common = counted("within").join(sizes, "host").where(F.col("n") >= SHARE * F.col("contents"))
+    return counted("subtrees").select("host", "subtree").unionByName(common.select("host", "subtree"))
 
 
 def extracted(pages: DataFrame) -> DataFrame:
@@ -330,14 +332,18 @@ def extracted(pages: DataFrame) -> DataFrame:
             text = [Page(source).main_text(frozenset(t) if t is not None else frozenset()) for source, t in zip(b["html"], b["template"], strict=True)]
             yield pd.DataFrame({"page_id": b["page_id"].array, "url": b["url"], "text": text})
 
-    rows = pages.select("page_id", "url", text_of("html").alias("html"), host(F.col("url")).alias("host"))
+    rows = pages.select("page_id", "url", text_of("html").alias("html"), F.xxhash64(host(F.col("url"))).alias("host"))
     rows = rows.withColumn("k1", F.xxhash64("page_id", "url", "html")).withColumn("k2", F.xxhash64("html", "url", "page_id"))
-    seen = rows.select("k1", "k2", "host", "html").mapInPandas(parsed, "k1 bigint, k2 bigint, host string, content bigint, subtrees array<bigint>, within array<bigint>")
+    seen = rows.select("k1", "k2", "host", "html").mapInPandas(parsed, "k1 bigint, k2 bigint, host bigint, content bigint, subtrees array<bigint>, within array<bigint>")
     seen = stored(seen)
-    # a subtree may stand on a third of all pages: its pages are dealt into parts, each with a copy of the template
-    found = templates(seen).withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    each = seen.select("k1", "k2", "host", F.pmod("k1", F.lit(SALTS)).cast("int").alias("salt"), F.explode(F.concat("subtrees", "within")).alias("subtree"))
-    hits = each.join(found, ["host", "subtree", "salt"], "left_semi").groupBy("k1", "k2").agg(F.collect_set("subtree").alias("template"))  # at most a page's elements
+    found = stored(templates(seen))
+    each = seen.select("k1", "k2", "host", F.explode(F.concat("subtrees", "within")).alias("subtree"))
+    if found.count() <= BROADCAST:
+        hits = each.join(F.broadcast(found), ["host", "subtree"], "left_semi")
+    else:  # a subtree may stand on a third of all pages: its pages are dealt into parts, each with a copy of the template
+        salted = found.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        hits = each.withColumn("salt", F.pmod("k1", F.lit(SALTS)).cast("int")).join(salted, ["host", "subtree", "salt"], "left_semi")
+    hits = hits.groupBy("k1", "k2").agg(F.collect_set("subtree").alias("template"))  # at most a page's elements
     kinds = dict(pages.dtypes)
     return rows.drop("host").join(stored(hits), ["k1", "k2"], "left").select("page_id", "url", "html", "template").mapInPandas(run, f"page_id {kinds['page_id']}, url {kinds['url']}, text string")
 

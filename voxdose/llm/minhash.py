@@ -356,7 +356,8 @@ def candidates(classes: DataFrame, percent: int, trees: int | None = None) -> Da
     ready = None
     for level in range(1, DEPTH + 1):
         rows = rows.select("rep", "up", "c.node", "c.left")  # up: members of the parent
-        counts = rows.groupBy("node").agg(F.count("*").alias("n")).where("n > 1")
+        # written apart, so that a very common node's rows can be split among tasks where they are joined
+        counts = stored(rows.groupBy("node").agg(F.count("*").alias("n")).where("n > 1"))
         inner = stored(rows.join(counts, "node"))
         branch = F.coalesce((F.col("n") > SMALL) & (2 * F.col("n") <= F.col("up")), F.col("n") > SMALL) if level < DEPTH else F.lit(False)
         done = inner.where(~branch).select("rep", "node", "n")
