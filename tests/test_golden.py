@@ -1,5 +1,6 @@
 """A small study worked out by hand, and properties that hold for any study."""
 
+import bz2
 import gzip
 
 import numpy as np
@@ -114,8 +115,10 @@ def test_absolute(study, spark, tmp_path):
 def test_crop_twice_is_crop(study):
     rois = study["volumes"].select("study_id", F.array(*map(F.lit, (14.0, 0.0, 0.0))).alias("center"), F.array(*map(F.lit, (12.0, 8.0, 8.0))).alias("size"))
     once = masks.crop_roi(study["voxels"], study["volumes"], rois)
-    assert sorted(r["i"] for r in once.collect()) == [2, 3, 4, 5]
-    assert sorted(map(tuple, masks.crop_roi(once, study["volumes"], rois).collect())) == sorted(map(tuple, once.collect()))
+    new = masks.crop_volume(study["volumes"], rois)
+    assert sorted((r["i"], r["value"]) for r in once.collect()) == [(0, 30.0), (1, 40.0), (2, 5.0), (3, 5.0)]  # voxels 2 to 5, renumbered
+    assert new.first()["dims"] == [4, 1, 1] and new.first()["ijk_to_ras"][3] == 8.0
+    assert sorted(map(tuple, masks.crop_roi(once, new, rois).collect())) == sorted(map(tuple, once.collect()))
 
 
 def test_transform_and_inverse(spark, study):
@@ -172,3 +175,102 @@ def test_bspline_of_constant_grid(spark, study):
     points = study["voxels"].select(*masks.AT, *[(F.col(a) * 4.0).alias(n) for a, n in zip("ijk", "xyz", strict=True)])
     for r in registration.apply_bspline(points, grid, control).collect():
         assert (r["dx"], r["dy"], r["dz"]) == pytest.approx((3.0, 0.0, -1.0))
+
+
+def test_deriving_twice(spark):
+    v = spark.createDataFrame([(1, "nm", {"a": "b"}), (2, "nm", {"DicomRtImport.DoseVolume": "0"}), (3, "nm", None)], "study_id long, volume_id string, attributes map<string,string>")
+    twice = masks.derive_volume(masks.derive_volume(v, "dose"), "again")
+    assert {r["study_id"]: r["attributes"] for r in twice.collect()} == {1: {"a": "b", "DicomRtImport.DoseVolume": "1"}, 2: {"DicomRtImport.DoseVolume": "1"}, 3: {"DicomRtImport.DoseVolume": "1"}}
+
+
+def test_report_rounds_like_python(spark):
+    table = spark.createDataFrame([(1, 1, "a", 0.125, 2.675, None), (1, 2, "b", None, 1.005, 0.5)], "study_id long, ord int, name string, dose_gy double, volume_ml double, activity_mbq double")
+    heads = spark.createDataFrame([(1, "t", "now", ["p"])], "study_id long, title string, stamp string, parameters array<string>")
+    text = tables.report(table, heads, compat=True).first()["report"]
+    assert "Segment: a, Dose = 0.12 Gy, Volume = 2.67 mL\\line\\n Segment: b, Volume = 1.00 mL, Activity = 0.50 MBq\\line\\n " in text
+    assert "Dose = 0.13 Gy, Volume = 2.68 mL\\line\n" in tables.report(table, heads).first()["report"]
+
+
+MATRIX = [0.0, -2.0, 0.0, 5.0, 3.0, 0.0, 0.0, -1.0, 0.0, 0.0, 4.0, 7.0, 0.0, 0.0, 0.0, 1.0]
+
+
+def test_images(spark):
+    """Spaces, line ends, type names, encodings, detached data, layers on any axis, and files that cannot be read."""
+    grid = np.arange(24, dtype="<i2").reshape(4, 3, 2)  # k, j, i
+    head = lambda *more: "\r\n".join(["NRRD0005", "# note", "dimension: 3", "sizes: 2 3 4", "type: signed short int", *more, "", ""]).encode()
+    directions = "space directions: (0,3,0) (-2,0,0) (0,0,4)"
+    files = [
+        ("d/ras.nrrd", head("space: right-anterior-superior", directions, "space origin: (5,-1,7)", "endian: little", "encoding: raw") + grid.tobytes()),
+        ("d/lps.nrrd", head("space: LPS", "space directions: (0,-3,0) (2,0,0) (0,0,4)", "space origin: (-5,1,7)", "encoding: ascii") + " ".join(map(str, grid.ravel())).encode()),
+        ("d/plain.nrrd", head("spacings: 2 3 4", "endian: big", "encoding: bzip2") + bz2.compress(grid.astype(">i2").tobytes())),
+        ("d/apart.nhdr", head("encoding: raw", "data file: ./apart.raw")[:-4]),
+        ("d/apart.raw", grid.tobytes()),
+        ("d/layers.nrrd", b"NRRD0004\ndimension: 4\nsizes: 2 3 4 2\ntype: uint8\nencoding: raw\nspace directions: (1,0,0) (0,1,0) (0,0,1) none\nSegment0_ID:=S1\nSegment0_LabelValue:=2\nSegment0_Layer:=1\nSegment1_ID:=S2\nSegment1_Name:=two\n\n" + bytes([1] + [0] * 23 + [2, 0, 2] + [0] * 21)),
+        ("d/empty.nrrd", b""),
+        ("d/short.nrrd", head("encoding: raw") + b"12"),
+        ("d/odd.nrrd", b"NRRD0004\nsizes: 2 2\ntype: block\nencoding: raw\n\n1234"),
+    ]
+    whole = nrrd.attached(spark.createDataFrame(files, "path string, content binary"))
+    volumes = {r["path"]: r for r in nrrd.volumes(whole).collect()}
+    assert "d/apart.raw" not in volumes and volumes["d/empty.nrrd"]["status"].startswith("error") and volumes["d/odd.nrrd"]["status"].startswith("error")
+    for name in ("d/ras.nrrd", "d/lps.nrrd"):
+        assert volumes[name]["ijk_to_ras"] == MATRIX and volumes[name]["dims"] == [2, 3, 4] and volumes[name]["spacing"] == [3.0, 2.0, 4.0]
+    assert volumes["d/plain.nrrd"]["spacing"] == [2.0, 3.0, 4.0] and volumes["d/layers.nrrd"]["layers"] == 2
+    voxels = nrrd.ingest(whole).collect()
+    want = {(i, j, k, float(grid[k, j, i])) for i in range(2) for j in range(3) for k in range(4) if grid[k, j, i]}
+    for name in ("d/ras.nrrd", "d/lps.nrrd", "d/plain.nrrd", "d/apart.nhdr"):
+        assert {(r["i"], r["j"], r["k"], r["value"]) for r in voxels if r["path"] == name} == want
+    assert {r["status"] for r in voxels if r["path"] == "d/short.nrrd"} == {"error: ValueError"}
+    segments = {r["segment_id"]: (r["name"], r["ord"], r["label_value"], r["layer"]) for r in nrrd.segments(whole).where("segment_id is not null").collect()}
+    assert segments == {"S1": ("S1", 1, 2, 1), "S2": ("two", 2, 1, 0)}
+    inside = {(r["segment_id"], r["i"], r["j"], r["k"]) for r in nrrd.segment_voxels(whole).where("segment_id is not null").collect()}
+    assert inside == {("S1", 0, 0, 0), ("S1", 0, 1, 0), ("S2", 0, 0, 0)}
+
+
+def test_crop_of_turned_and_missed_boxes(spark):
+    volumes = spark.createDataFrame([(1, [10, 10, 10], MATRIX), (2, [10, 10, 10], MATRIX)], "study_id long, dims array<int>, ijk_to_ras array<double>")
+    rois = spark.createDataFrame([(1, [-1.0, 8.0, 15.0], [8.0, 12.0, 8.0]), (2, [900.0, 0.0, 0.0], [1.0, 1.0, 1.0])], "study_id long, center array<double>, size array<double>")
+    voxels = spark.createDataFrame([(s, i, j, k, float(100 * i + 10 * j + k + 1)) for s in (1, 2) for i in range(10) for j in range(10) for k in range(10)], "study_id long, i int, j int, k int, value double")
+    want = {}
+    for i in range(10):
+        for j in range(10):
+            for k in range(10):
+                x, y, z = -2.0 * j + 5, 3.0 * i - 1, 4.0 * k + 7
+                if abs(x + 1) <= 4 and abs(y - 8) <= 6 and abs(z - 15) <= 4:
+                    want[x, y, z] = float(100 * i + 10 * j + k + 1)
+    new = {r["study_id"]: r for r in masks.crop_volume(volumes, rois).collect()}
+    m = new[1]["ijk_to_ras"]
+    got = {}
+    for r in masks.crop_roi(voxels, volumes, rois).collect():
+        assert r["study_id"] == 1 and all(0 <= r[c] < n for c, n in zip("ijk", new[1]["dims"], strict=True))
+        got[tuple(m[4 * a] * r["i"] + m[4 * a + 1] * r["j"] + m[4 * a + 2] * r["k"] + m[4 * a + 3] for a in range(3))] = r["value"]
+    assert got == want and 0 in new[2]["dims"]
+
+
+def test_registration_finds_a_shift_and_a_scale(spark):
+    rng = np.random.default_rng(0)
+    blob = {(i, j, k): float(rng.integers(1, 200)) for i in range(12) for j in range(12) for k in range(6)}
+    identity = [4.0, 0.0, 0.0, 0.0, 0.0, 4.0, 0.0, 0.0, 0.0, 0.0, 4.0, 0.0, 0.0, 0.0, 0.0, 1.0]
+    volumes = spark.createDataFrame([(1, "v", [12, 12, 6], identity)], "study_id long, volume_id string, dims array<int>, ijk_to_ras array<double>")
+    frame = lambda d: spark.createDataFrame([(1, *at, v) for at, v in d.items()], "study_id long, i int, j int, k int, value double")
+    moved = {(i + 1, j, k - 1): v for (i, j, k), v in blob.items()}
+    best = registration.register(frame(blob), volumes, frame(moved), volumes, 25.0, 8, share=1.0).first()
+    assert (round(best["tx"]), best["ty"], round(best["tz"])) == (4, 0.0, -4) and best["mi"] > 1
+    stretched = [x * 1.1 if n % 5 == 0 and n < 15 else x for n, x in enumerate(identity)]
+    center = [5.5 * 4, 5.5 * 4, 2.5 * 4]
+    for a in range(3):
+        stretched[4 * a + 3] = -0.1 * center[a]
+    scaled = volumes.withColumn("ijk_to_ras", F.array(*map(F.lit, stretched)))
+    best = registration.register(frame(blob), volumes, frame(blob), scaled, 25.0, 8, share=1.0).first()
+    assert abs(best["g"] - 0.1) < 1e-9 and best["tx"] == 0.0
+
+
+def test_hardening_shifts_by_a_constant_field(spark):
+    """All control points alike: the sum of weights is 1, so every voxel moves by the same displacement."""
+    identity = [1.0, 0.0, 0.0, 0.0, 0.0, 1.0, 0.0, 0.0, 0.0, 0.0, 1.0, 0.0, 0.0, 0.0, 0.0, 1.0]
+    volumes = spark.createDataFrame([(1, [6, 6, 6], identity)], "study_id long, dims array<int>, ijk_to_ras array<double>")
+    grid = spark.createDataFrame([(1, [-4.0] * 3, [4.0] * 3)], "study_id long, origin array<double>, spacing array<double>")
+    control = spark.createDataFrame([(1, a, b, c, 1.0, 0.0, -2.0) for a in range(6) for b in range(6) for c in range(6)], "study_id long, ci int, cj int, ck int, dx double, dy double, dz double")
+    voxels = spark.createDataFrame([(1, i, 2, 1, float(i + 1)) for i in range(6)], "study_id long, i int, j int, k int, value double")
+    out = {(r["i"], r["j"], r["k"]): r["value"] for r in registration.harden_bspline(voxels, volumes, grid, control).collect()}
+    assert out == {(i - 1, 2, 3): float(i + 1) for i in range(1, 6)}

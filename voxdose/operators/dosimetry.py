@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import scalar as S
-from .masks import AT, mask_volume, segment_of, segment_sums, small
+from .masks import AT, mask_volume, masked_sums, segment_of, small
 
 
 def isotope_factor(studies: DataFrame) -> DataFrame:
@@ -37,7 +37,7 @@ def dose_map_relative(voxels: DataFrame, segment_voxels: DataFrame, volumes: Dat
     """Dose of each voxel in the liver; all others are 0 and left out."""
     masked = mask_volume(voxels, segment_of(segment_voxels, params, "liver"))
     factors = relative_factors(volumes, params, masked.groupBy("study_id").agg(F.sum("value").alias("liver_sum")))
-    return masked.join(small(factors.select("study_id", "factor")), "study_id").select(*AT, (F.col("value") * F.col("factor")).alias("dose"))
+    return masked.join(small(factors.select("study_id", "factor"), params), "study_id").select(*AT, (F.col("value") * F.col("factor")).alias("dose"))
 
 
 def _statistics(sums: DataFrame, factor: Column, v: Column) -> list[Column]:
@@ -48,8 +48,7 @@ def _statistics(sums: DataFrame, factor: Column, v: Column) -> list[Column]:
 
 def segment_stats_relative(segments: DataFrame, segment_voxels: DataFrame, voxels: DataFrame, volumes: DataFrame, params: DataFrame) -> DataFrame:
     """Mean dose, volume, activity per segment. Outside the liver is 0 Gy; an empty segment has NULL dose."""
-    masked = mask_volume(voxels, segment_of(segment_voxels, params, "liver"))
-    sums = segment_sums(segments, segment_voxels, masked)
+    sums = masked_sums(segments, segment_voxels, voxels, params)
     liver = sums.join(params.select("study_id", F.col("liver_segment_id").alias("segment_id")), ["study_id", "segment_id"]).select("study_id", F.col("total").alias("liver_sum"))
     factors = relative_factors(volumes, params, liver)
     x = sums.join(factors.select("study_id", "factor", "v_ml", "conv_factor", "density_g_ml", "status"), "study_id")
@@ -62,7 +61,7 @@ def absolute_factors(params: DataFrame) -> DataFrame:
 
 def dose_map_absolute(voxels: DataFrame, params: DataFrame) -> DataFrame:
     """Dose of each calibrated voxel (Bq/mL): a projection, no mask, no shunt; it works on streams too."""
-    return voxels.join(small(absolute_factors(params).select("study_id", "factor")), "study_id").withColumn("dose", F.col("value") * F.col("factor")).drop("factor")
+    return voxels.join(small(absolute_factors(params).select("study_id", "factor"), params), "study_id").withColumn("dose", F.col("value") * F.col("factor")).drop("factor")
 
 
 def total_activity(sums: DataFrame, params: DataFrame) -> DataFrame:

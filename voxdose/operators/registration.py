@@ -1,12 +1,20 @@
-"""Transforms, and registration scored by mutual information over candidates."""
+"""Transforms, and registration scored by mutual information over candidates.
+
+An absent voxel is 0, and so is what a transform brings in from outside the image.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.scalar import product
-from .masks import AT, lattice_lookup, small, volume_center
+from ..functions.scalar import inverse, nearest, placed, product
+from .masks import AT, lattice_lookup, sampled, small, volume_center
+
+#: Parameters of a candidate: shifts in mm, tangents of half the turns about the three axes, and growth.
+PARAMETERS = ("tx", "ty", "tz", "rx", "ry", "rz", "g")
+#: Their steps in the first round; each round halves them.
+STEPS = (4.0, 4.0, 4.0, 0.08, 0.08, 0.08, 0.1)
 
 
 def apply_linear_transform(volumes: DataFrame, transforms: DataFrame) -> DataFrame:
@@ -29,8 +37,8 @@ def resample_to_grid(voxels: DataFrame, source: DataFrame, target: DataFrame) ->
 def apply_bspline(points: DataFrame, grid: DataFrame, control: DataFrame) -> DataFrame:
     """Displacement (dx, dy, dz) of each point (study_id, i, j, k, x, y, z) under a cubic B-spline grid.
 
-    Each point meets the 4 x 4 x 4 control points around it in one join; points of the
-    grid that are not listed, and those beyond its border, count as 0.
+    Control points are gathered per cell, at most 64 in a row, so that each point takes part in one join
+    and its sum is made within the row. Control points that are not listed, and those beyond the border, count as 0.
     """
     x = points.join(small(grid.select("study_id", "origin", "spacing")), "study_id")
     for a, c in enumerate("xyz"):
@@ -40,20 +48,55 @@ def apply_bspline(points: DataFrame, grid: DataFrame, control: DataFrame) -> Dat
     def weights(u):
         return F.array((1 - u) * (1 - u) * (1 - u) / 6, (3 * u * u * u - 6 * u * u + 4) / 6, (-3 * u * u * u + 3 * u * u + 3 * u + 1) / 6, u * u * u / 6)
 
-    steps = F.sequence(F.lit(0), F.lit(63))
-    near = x.select(*AT, *[F.col(f"n{c}") for c in "xyz"], *[weights(F.col(f"u{c}")).alias(f"w{c}") for c in "xyz"], F.explode(steps).alias("s"))
     a, b, c = F.col("s") % 4, F.floor(F.col("s") / 4).cast("int") % 4, F.floor(F.col("s") / 16).cast("int")
-    terms = near.select(*AT, (F.col("nx") + a - 1).alias("ci"), (F.col("ny") + b - 1).alias("cj"), (F.col("nz") + c - 1).alias("ck"), (F.get("wx", a) * F.get("wy", b) * F.get("wz", c)).alias("w"))
-    moved = terms.join(control, ["study_id", "ci", "cj", "ck"], "left")
-    return moved.groupBy(*AT).agg(*[F.sum(F.coalesce(F.col("w") * F.col(d), F.lit(0.0))).alias(d) for d in ("dx", "dy", "dz")])
+    each = control.withColumn("s", F.explode(F.sequence(F.lit(0), F.lit(63))))
+    cell = [(F.col(f"c{n}") - t + 1).cast("int").alias(f"n{m}") for n, m, t in zip("ijk", "xyz", (a, b, c), strict=True)]
+    part = F.struct(a.alias("a"), b.alias("b"), c.alias("c"), "dx", "dy", "dz")
+    cells = each.select("study_id", *cell, part.alias("p")).groupBy("study_id", "nx", "ny", "nz").agg(F.array_sort(F.collect_list("p")).alias("near"))
+    met = x.select(*AT, "nx", "ny", "nz", *[weights(F.col(f"u{m}")).alias(f"w{m}") for m in "xyz"]).join(cells, ["study_id", "nx", "ny", "nz"], "left")
+    weight = lambda p: F.get("wx", p["a"]) * F.get("wy", p["b"]) * F.get("wz", p["c"])
+    moved = lambda d: F.coalesce(F.aggregate("near", F.lit(0.0), lambda acc, p: acc + F.coalesce(weight(p) * p[d], F.lit(0.0))), F.lit(0.0))
+    return met.select(*AT, *[moved(d).alias(d) for d in ("dx", "dy", "dz")])
+
+
+def lattice_points(volumes: DataFrame) -> DataFrame:
+    """Every voxel of each volume's grid with its centre (x, y, z) in patient space."""
+    g = volumes.select("study_id", "dims", "ijk_to_ras")
+    for c, a in zip("ijk", range(3), strict=True):
+        g = g.withColumn(c, F.explode(F.when(F.col("dims")[a] > 0, F.sequence(F.lit(0), F.col("dims")[a] - 1))))
+    return g.select(*AT, *[p.alias(n) for p, n in zip(placed(F.col("ijk_to_ras"), F.col("i"), F.col("j"), F.col("k")), "xyz", strict=True)])
+
+
+def looked_up(points: DataFrame, volumes: DataFrame, voxels: DataFrame, *keep: str) -> DataFrame:
+    """``value`` of the voxel nearest to each point (study_id, x, y, z); 0 where there is none."""
+    back = volumes.select("study_id", inverse(F.col("ijk_to_ras")).alias("_m"))
+    at = points.join(small(back, volumes), "study_id")
+    at = at.select("study_id", *keep, *[nearest(p).alias(f"_{c}") for p, c in zip(placed(F.col("_m"), F.col("x"), F.col("y"), F.col("z")), "ijk", strict=True)])
+    source = voxels.select("study_id", *[F.col(c).alias(f"_{c}") for c in "ijk"], "value")
+    return at.join(source, ["study_id", "_i", "_j", "_k"], "left").select("study_id", *keep, F.coalesce("value", F.lit(0.0)).alias("value"))
+
+
+def harden_bspline(voxels: DataFrame, volumes: DataFrame, grid: DataFrame, control: DataFrame) -> DataFrame:
+    """The voxels moved by a B-spline grid: each voxel takes the value at its centre plus the displacement there. Voxels of 0 are left out."""
+    points = lattice_points(volumes)
+    moved = points.join(apply_bspline(points, grid, control), AT).select(*AT, *[(F.col(c) + F.col(f"d{c}")).alias(c) for c in "xyz"])
+    return looked_up(moved, volumes, voxels, "i", "j", "k").where("value <> 0").select(*AT, "value")
+
+
+def apply_methods(volumes: DataFrame, voxels: DataFrame, transforms: DataFrame, grid: DataFrame, control: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Each study by its method (study_id, method, matrix): Rigid and Affine move the geometry, BSpline the voxels, others nothing."""
+    linear = transforms.where(F.col("method").isin("Rigid", "Affine"))
+    bent = transforms.where(F.col("method") == "BSpline").select("study_id")
+    moved = harden_bspline(voxels.join(small(bent, transforms), "study_id", "left_semi"), volumes.join(small(bent, transforms), "study_id", "left_semi"), grid, control)
+    rest = voxels.join(small(bent, transforms), "study_id", "left_anti").select(*AT, "value")
+    return apply_linear_transform(volumes, linear), rest.unionByName(moved)
 
 
 def mutual_information(pairs: DataFrame) -> DataFrame:
     """mi per (study_id, cand) from rows (study_id, cand, fbin, mbin), through the joint histogram."""
     joint = pairs.groupBy("study_id", "cand", "fbin", "mbin").agg(F.count("*").cast("double").alias("n"))
-    side = lambda c, name: joint.groupBy("study_id", "cand", c).agg(F.sum("n").alias(name))
-    all_ = joint.groupBy("study_id", "cand").agg(F.sum("n").alias("t"))
-    x = joint.join(side("fbin", "nf"), ["study_id", "cand", "fbin"]).join(side("mbin", "nm"), ["study_id", "cand", "mbin"]).join(all_, ["study_id", "cand"])
+    over = lambda *c: F.sum("n").over(Window.partitionBy("study_id", "cand", *c))
+    x = joint.select("study_id", "cand", "n", over("fbin").alias("nf"), over("mbin").alias("nm"), over().alias("t"))
     term = F.col("n") / F.col("t") * F.ln(F.col("n") * F.col("t") / (F.col("nf") * F.col("nm")))
     return x.groupBy("study_id", "cand").agg(F.sum(term).alias("mi"))
 
@@ -67,10 +110,58 @@ def score_candidates(fixed: DataFrame, moving: DataFrame, shifts: list[tuple[int
     each = F.array(*[F.struct(F.lit(n).alias("cand"), *[F.lit(s).alias(f"s{c}") for s, c in zip(shift, "ijk", strict=True)]) for n, shift in enumerate(shifts)])
     f = fixed.select(*AT, binned(F.col("value"), width, bins).alias("fbin"), F.explode(each).alias("c"))
     at = f.select("study_id", F.col("c.cand").alias("cand"), "fbin", *[(F.col(x) + F.col(f"c.s{x}")).alias(x) for x in "ijk"])
-    return mutual_information(at.join(moving.select(*AT, binned(F.col("value"), width, bins).alias("mbin")), AT))
+    met = at.join(moving.select(*AT, "value"), AT, "left")
+    return mutual_information(met.select("study_id", "cand", "fbin", binned(F.coalesce("value", F.lit(0.0)), width, bins).alias("mbin")))
 
 
 def best_candidate(scores: DataFrame, digits: int = 6) -> DataFrame:
     """The candidate of the highest score; ties, after rounding, go to the smallest."""
     x = scores.withColumn("mi", F.round("mi", digits))
     return x.groupBy("study_id").agg(F.max_by("cand", F.struct("mi", -F.col("cand"))).alias("cand"), F.max("mi").alias("mi"))
+
+
+def moved_point(p: dict[str, Column], c: list[Column], x: list[Column]) -> list[Column]:
+    """A point turned about the three axes and grown, all about a centre, then shifted."""
+    x, y, z = (a - b for a, b in zip(x, c, strict=True))
+
+    def turn(t: Column, u: Column, v: Column) -> tuple[Column, Column]:
+        d = 1.0 + t * t
+        cos, sin = (1.0 - t * t) / d, 2.0 * t / d
+        return cos * u - sin * v, sin * u + cos * v
+
+    y, z = turn(p["rx"], y, z)
+    z, x = turn(p["ry"], z, x)
+    x, y = turn(p["rz"], x, y)
+    return [a * (1.0 + p["g"]) + b + p[t] for a, b, t in zip((x, y, z), c, ("tx", "ty", "tz"), strict=True)]
+
+
+def candidate_steps(turn: int) -> list[tuple[float, ...]]:
+    """The steps of a round's candidates: none, then every mix of shifts along the axes, then each turn and the growth up and down."""
+    signs = (0.0, 1.0, -1.0)
+    out = [(a * STEPS[0], b * STEPS[1], c * STEPS[2], 0.0, 0.0, 0.0, 0.0) for a in signs for b in signs for c in signs]
+    for n in range(3, len(PARAMETERS)):
+        out += [tuple(sign * STEPS[n] if m == n else 0.0 for m in range(len(PARAMETERS))) for sign in signs[1:]]
+    return [tuple(x / 2**turn for x in step) for step in out]
+
+
+def register(fixed: DataFrame, fixed_volumes: DataFrame, moving: DataFrame, moving_volumes: DataFrame, width: float, bins: int, share: float = 0.002, rounds: int = 3) -> DataFrame:
+    """``PARAMETERS`` and mi of the best transform from the fixed to the moving image of each study, from coarse to fine.
+
+    Sampled fixed voxels are looked up in the moving image through every candidate; each round starts at the best
+    candidate of the one before, with half the steps. Ties go to the first candidate. Studies without a
+    sampled voxel have no row.
+    """
+    m = fixed_volumes.select("study_id", F.col("ijk_to_ras").alias("_to")).join(volume_center(fixed_volumes).select("study_id", F.col("center").alias("_c")), "study_id")
+    points = sampled(fixed, share).join(small(m, fixed_volumes), "study_id")
+    points = points.select("study_id", "_c", binned(F.col("value"), width, bins).alias("fbin"), *[p.alias(c) for p, c in zip(placed(F.col("_to"), F.col("i"), F.col("j"), F.col("k")), "xyz", strict=True)])
+    best = fixed_volumes.select("study_id", *[F.lit(0.0).alias(p) for p in PARAMETERS])
+    for turn in range(rounds):
+        each = F.array(*[F.struct(F.lit(n).alias("cand"), *[F.lit(v).alias(f"d{p}") for p, v in zip(PARAMETERS, step, strict=True)]) for n, step in enumerate(candidate_steps(turn))])
+        tried = best.select("study_id", *PARAMETERS, F.explode(each).alias("c")).select("study_id", "c.cand", *[(F.col(p) + F.col(f"c.d{p}")).alias(p) for p in PARAMETERS])
+        at = points.join(small(tried, fixed_volumes), "study_id")
+        q = moved_point({p: F.col(p) for p in PARAMETERS}, [F.col("_c")[a] for a in range(3)], [F.col(c) for c in "xyz"])
+        seen = looked_up(at.select("study_id", "cand", "fbin", *[v.alias(c) for v, c in zip(q, "xyz", strict=True)]), moving_volumes, moving, "cand", "fbin")
+        scores = mutual_information(seen.select("study_id", "cand", "fbin", binned(F.col("value"), width, bins).alias("mbin")))
+        best = tried.join(best_candidate(scores), ["study_id", "cand"]).drop("cand")
+        best = best.select("study_id", *PARAMETERS, *(["mi"] if turn == rounds - 1 else []))
+    return best

@@ -37,10 +37,11 @@ def dose_table(stats: DataFrame, lung: DataFrame | None = None, label: str = "Es
 def report(table: DataFrame, heads: DataFrame, compat: bool = False) -> DataFrame:
     """One document per study: ``heads`` (study_id, title, stamp, parameters: array of lines) and the table's rows.
 
-    ``compat`` ends lines of the table with a backslash and an n instead of a line feed.
+    ``compat`` ends lines of the table with a backslash and an n instead of a line feed, and rounds as Python does.
     """
+    # The wording and the codes of the document.
     feed = "\\line\\n " if compat else "\\line\n"
-    part = lambda c, label, unit: F.when(F.col(c).isNotNull(), F.concat(F.lit(label), F.format_string("%.2f", F.col(c)), F.lit(unit)))
+    part = lambda c, label, unit: F.concat(F.lit(label), two_decimals(F.col(c), unit, compat))
     line = F.concat(F.lit("Segment: "), F.col("name"), F.lit(", "), F.concat_ws(", ", part("dose_gy", "Dose = ", " Gy"), part("volume_ml", "Volume = ", " mL"), part("activity_mbq", "Activity = ", " MBq")), F.lit(feed))
     lines = table.groupBy("study_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("ord", line.alias("line")))), lambda x: x["line"]), "").alias("lines"))
     br = F.lit("\\line\n")

@@ -11,6 +11,24 @@ from ..functions.scalar import RANGES, grid_size, voxel_volume_ml
 LABELS = {"has_volume": "Input SPECT/PET Volume", "has_segmentation": "Segmentation", "has_liver": "Whole Liver Segment", "has_output": "Output Volume"}
 
 
+# Labels of the absolute mode, and the one message of the other modes with the inputs that each needs.
+LABELS_ABSOLUTE = {"has_volume": "Input PET Volume", "has_segmentation": "Segmentation", "has_output": "Output Volume"}
+MESSAGES = {
+    "shunt": (("has_volume", "has_segmentation"), "Please select valid input nodes."),
+    "target": (("has_volume", "has_segmentation", "has_liver", "has_output"), "Please select valid input and output nodes, and ensure the liver segment is specified."),
+    "registration": (("has_volume", "has_reference"), "Please select both SPECT CT and Reference CT volumes before registration."),
+}
+
+
+def mode_message(presence: DataFrame, mode: str) -> DataFrame:
+    """The one message of a mode where any of its inputs is missing; else empty text."""
+    needs, message = MESSAGES[mode]
+    have = F.lit(True)
+    for c in needs:
+        have = have & F.coalesce(F.col(c), F.lit(False))
+    return presence.select("study_id", F.lit(mode).alias("mode"), F.when(have, "").otherwise(message).alias("message"))
+
+
 def missing_inputs(presence: DataFrame, labels: dict[str, str] | None = None, separator: str = ", ") -> DataFrame:
     """What each study lacks, from boolean columns; empty text where nothing is missing."""
     labels = labels or LABELS

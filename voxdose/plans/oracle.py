@@ -38,9 +38,41 @@ def _mi(pairs: str) -> str:
         sum(n) OVER (PARTITION BY study_id, cand, mbin) AS nm FROM joint) GROUP BY study_id, cand)"""
 
 
-_SELF = "SELECT f.study_id, c.cand, f.bin AS fbin, m.bin AS mbin FROM bins f, (VALUES (0, 0), (1, -1), (2, 1)) c(cand, si) JOIN bins m ON m.study_id = f.study_id AND m.i = f.i + c.si AND m.j = f.j AND m.k = f.k"
+_SELF = "SELECT f.study_id, f.cand, f.bin AS fbin, coalesce(m.bin, 0) AS mbin FROM (SELECT * FROM bins, (VALUES (0, 0), (1, -1), (2, 1)) c(cand, si)) f LEFT JOIN bins m ON m.study_id = f.study_id AND m.i = f.i + f.si AND m.j = f.j AND m.k = f.k"
 _SEARCH = ", ".join(f"({3 * x + y}, {a}, {b})" for x, a in enumerate((0, -1, 1)) for y, b in enumerate((0, -1, 1)))
-_MOVED = f"SELECT f.study_id, c.cand, f.bin AS fbin, m.bin AS mbin FROM bins f, (VALUES {_SEARCH}) c(cand, si, sj) JOIN bins m ON m.study_id = f.study_id AND m.i + m.study_id % 3 - 1 = f.i + c.si AND m.j = f.j + c.sj AND m.k = f.k"
+_MOVED = f"SELECT f.study_id, f.cand, f.bin AS fbin, coalesce(m.bin, 0) AS mbin FROM (SELECT * FROM bins, (VALUES {_SEARCH}) c(cand, si, sj)) f LEFT JOIN bins m ON m.study_id = f.study_id AND m.i + m.study_id % 3 - 1 = f.i + f.si AND m.j = f.j + f.sj AND m.k = f.k"
+
+
+def _search(rounds: int = 3) -> str:
+    """The coarse-to-fine search: each round's candidates, their pairs, their scores, and the best of them."""
+    names, steps = ("tx", "ty", "tz", "rx", "ry", "rz", "g"), (4.0, 4.0, 4.0, 0.08, 0.08, 0.08, 0.1)
+    turn = lambda t, u, v: (f"((1.0::DOUBLE - {t} * {t}) / (1.0::DOUBLE + {t} * {t}) * {u} - 2.0::DOUBLE * {t} / (1.0::DOUBLE + {t} * {t}) * {v})", f"(2.0::DOUBLE * {t} / (1.0::DOUBLE + {t} * {t}) * {u} + (1.0::DOUBLE - {t} * {t}) / (1.0::DOUBLE + {t} * {t}) * {v})")
+    out = [
+        "pts AS (SELECT v.study_id, least(floor(value / 25.0), 7)::INTEGER AS fbin, sx, ox, v.i * sx + ox - (7.5 * sx + ox) AS x0, v.j * 4.0::DOUBLE + 2.0::DOUBLE - 32.0::DOUBLE AS y0, v.k * 4.0::DOUBLE - 3.0::DOUBLE - 9.0::DOUBLE AS z0 FROM vox v JOIN vol USING (study_id) WHERE (v.i::BIGINT * 73856093 + v.j::BIGINT * 19349663 + v.k::BIGINT * 83492791 + v.study_id * 2654435761) % 1000000 < 100000)",
+        "best_0 AS (SELECT study_id, " + ", ".join(f"0.0::DOUBLE AS {p}" for p in names) + " FROM vol)",
+    ]
+    for r in range(rounds):
+        signs = (0.0, 1.0, -1.0)
+        rows = [[a * steps[0], b * steps[1], c * steps[2], 0.0, 0.0, 0.0, 0.0] for a in signs for b in signs for c in signs]
+        rows += [[sign * steps[n] if m == n else 0.0 for m in range(7)] for n in range(3, 7) for sign in signs[1:]]
+        rows = [[x / 2**r for x in row] for row in rows]
+        values = ", ".join("(" + ", ".join([str(n), *(f"{v!r}::DOUBLE" for v in row)]) + ")" for n, row in enumerate(rows))
+        y, z = turn("rx", "y0", "z0")
+        out.append(f"tried_{r} AS (SELECT study_id, cand, {', '.join(f'b.{p} + c.{p} AS {p}' for p in names)} FROM best_{r} b, (VALUES {values}) c(cand, {', '.join(names)}))")
+        out.append(f"a_{r} AS (SELECT *, {y} AS y1, {z} AS z1 FROM pts JOIN tried_{r} USING (study_id))")
+        z, x = turn("ry", "z1", "x0")
+        out.append(f"b_{r} AS (SELECT *, {z} AS z2, {x} AS x1 FROM a_{r})")
+        x, y = turn("rz", "x1", "y1")
+        grown = lambda v, c, t: f"({v} * (1.0::DOUBLE + g) + {c} + {t})"
+        at = [f"floor((1.0::DOUBLE / sx) * {grown(x, '(7.5 * sx + ox)', 'tx')} + -((1.0::DOUBLE / sx) * ox) + 0.5::DOUBLE)", f"floor(0.25::DOUBLE * {grown(y, '32.0::DOUBLE', 'ty')} + -0.5::DOUBLE + 0.5::DOUBLE)", f"floor(0.25::DOUBLE * {grown('z2', '9.0::DOUBLE', 'tz')} + 0.75::DOUBLE + 0.5::DOUBLE)"]
+        out.append(f"c_{r} AS (SELECT study_id, cand, fbin, {', '.join(f'{e}::INTEGER AS m{c}' for e, c in zip(at, 'ijk', strict=True))} FROM b_{r})")
+        out.append(f"p_{r} AS (SELECT c.study_id, cand, fbin, coalesce(b.bin, 0) AS mbin FROM c_{r} c LEFT JOIN bins b ON b.study_id = c.study_id AND b.i + b.study_id % 3 - 1 = mi AND b.j = mj AND b.k = mk)")
+        out.append(_mi(f"SELECT * FROM p_{r}").replace("joint", f"joint_{r}").replace("scored", f"scored_{r}"))
+        out.append(f"win_{r} AS (SELECT study_id, arg_max(cand, mi * 1000000 * 100 - cand) AS cand, max(mi) AS mi FROM scored_{r} GROUP BY study_id)")
+        out.append(f"best_{r + 1} AS (SELECT study_id, {', '.join(names)}, mi FROM tried_{r} JOIN win_{r} USING (study_id, cand))")
+    return "+" + ", ".join(out) + f" SELECT study_id, {', '.join(f'round({p}, 6) AS {p}' for p in names)}, mi FROM best_{rounds}"
+
+
 _TABLE = "SELECT study_id, ord, name, round(dose, 6) AS dose_gy, round(vol_ml, 6) AS volume_ml, round(act, 6) AS activity_mbq FROM"
 _CENTER = "CASE WHEN moved THEN {a} ELSE {b} END"
 _XYZ = {
@@ -53,11 +85,12 @@ _AXES = ", ".join(f"CAST(floor(({a} * 4.0::DOUBLE + 8.0) / 16.0) AS INTEGER) AS
 _CODE = r"chr(92) || 'line' || chr(10)"
 
 
-def _report(title: str, rows: str, heads: str, lines: str) -> str:
+def _report(title: str, rows: str, heads: str, lines: str, compat: bool = False) -> str:
+    feed = "chr(92) || 'line' || chr(92) || 'n '" if compat else _CODE
     part = lambda c, label, unit: f"CASE WHEN {c} IS NULL THEN NULL ELSE '{label} = ' || printf('%.2f', {c}) || ' {unit}' END"
-    line = f"'Segment: ' || name || ', ' || concat_ws(', ', {part('dose', 'Dose', 'Gy')}, {part('vol_ml', 'Volume', 'mL')}, {part('act', 'Activity', 'MBq')}) || {_CODE}"
+    line = f"'Segment: ' || name || ', ' || concat_ws(', ', {part('dose', 'Dose', 'Gy')}, {part('vol_ml', 'Volume', 'mL')}, {part('act', 'Activity', 'MBq')}) || {feed}"
     return f"""SELECT h.study_id, '{{' || chr(92) || 'rtf1' || chr(92) || 'ansi' || chr(92) || 'deff0' || chr(10) || '{{' || chr(92) || 'b {title}}}' || {_CODE} || 'Generated: 2024-01-01 00:00:00' || {_CODE} || {_CODE} || '{{' || chr(92) || 'b Parameters}}' || {_CODE} || {lines} || {_CODE}
-        || '{{' || chr(92) || 'b Segment Doses}}' || {_CODE} || coalesce(l.lines, '') || {_CODE} || 'End of Report}}' AS report FROM {heads} h LEFT JOIN (SELECT study_id, string_agg({line}, '' ORDER BY ord) AS lines FROM {rows} GROUP BY study_id) l USING (study_id)"""
+        || '{{' || chr(92) || 'b Segment Doses}}' || {_CODE} || coalesce(l.lines, '') || {feed} || 'End of Report}}' AS report FROM {heads} h LEFT JOIN (SELECT study_id, string_agg({line}, '' ORDER BY ord) AS lines FROM {rows} GROUP BY study_id) l USING (study_id)"""
 
 
 def _with(body: str) -> str:
@@ -82,18 +115,33 @@ def _with(body: str) -> str:
 
 _L = lambda label, x, unit: f"'{label}: ' || printf('%.2f', {x}) || '{unit}' || {_CODE}"
 
+_LINES_REL = " || ".join([_L("Activity", "1000.0", " MBq"), _L("Lung Shunt", "10.0", "%"), _L("Conversion Factor", "49.67", " Gy/MBq/g"), _L("Lung Mass", "1000.0", " g"), _L("Liver Density", "1.05", " g/mL")])
+#: Voxels of the whole grid with the place that a B-spline's displacement sends them to.
+_BENT = f"""SELECT q.study_id, q.i, q.j, q.k, floor((q.i * sx + ox + sum(coalesce(w * c.value / 64, 0)) - ox) / sx + 0.5)::INTEGER AS mi, floor((q.j * 4 + 2 + sum(coalesce(w * c.value / 128, 0)) - 2) / 4 + 0.5)::INTEGER AS mj, floor((q.k * 4 - 3 + sum(coalesce(-w * c.value / 64, 0)) + 3) / 4 + 0.5)::INTEGER AS mk FROM (
+        SELECT p.study_id, p.i, p.j, p.k, sx, ox, ni + s % 4 - 1 AS ci, nj + s // 4 % 4 - 1 AS cj, nk + s // 16 - 1 AS ck, ({_WEIGHT.format(s="s % 4", u="ui")}) * ({_WEIGHT.format(s="s // 4 % 4", u="uj")}) * ({_WEIGHT.format(s="s // 16", u="uk")}) AS w
+        FROM (SELECT *, floor(x)::INTEGER AS ni, x - floor(x) AS ui, floor(y)::INTEGER AS nj, y - floor(y) AS uj, floor(z)::INTEGER AS nk, z - floor(z) AS uk FROM (SELECT grid.*, sx, ox, (i * sx + ox + 8.0) / 16.0 AS x, (j * 4.0::DOUBLE + 2.0 + 8.0) / 16.0 AS y, (k * 4.0::DOUBLE - 3.0 + 8.0) / 16.0 AS z FROM grid JOIN vol USING (study_id))) p, range(64) r(s)) q
+        LEFT JOIN (SELECT study_id AS cs, i AS pi, j AS pj, k AS pk, value FROM vox WHERE i < 6 AND j < 7) c ON cs = study_id AND pi = ci AND pj = cj AND pk = ck GROUP BY q.study_id, q.i, q.j, q.k, sx, ox"""
+_HARD = f"SELECT b.study_id, b.i, b.j, b.k, v.value FROM ({_BENT}) b JOIN vox v ON v.study_id = b.study_id AND v.i = mi AND v.j = mj AND v.k = mk WHERE v.value <> 0"
+_FIRST = "CAST(greatest(ceil(7.5 - 10.0::DOUBLE / sx - 1e-9), 0) AS INTEGER)"
+_LAST = "CAST(least(floor(7.5 + 10.0::DOUBLE / sx + 1e-9), 15) AS INTEGER)"
+_ABSENT = "study_id % 2 <> 0", "study_id % 3 = 0", "study_id % 3 = 0", "study_id % 5 = 0", "study_id % 7 = 0"
+
 _SQL = {
     "voxels_from_bricks": "SELECT label::BIGINT AS study_id, CAST(vec_id * 4 + (p - 1) % 4 AS INTEGER) AS i, CAST((p - 1) // 4 % 4 AS INTEGER) AS j, CAST((p - 1) // 16 AS INTEGER) AS k, round(e::DOUBLE, 6) AS value FROM (SELECT label, vec_id, unnest(embedding) AS e, generate_subscripts(embedding, 1) AS p FROM embeddings)",
     "bricks_from_voxels": """SELECT study_id, bi, bj, bk, string_agg(CAST(CAST(coalesce(value, 0) AS INTEGER) AS VARCHAR), ',' ORDER BY p) AS "values" FROM (SELECT b.*, r.p, x.value FROM (SELECT DISTINCT study_id, i // 4 AS bi, j // 4 AS bj, k // 4 AS bk FROM vox) b, range(64) r(p)
         LEFT JOIN vox x ON x.study_id = b.study_id AND x.i = bi * 4 + p % 4 AND x.j = bj * 4 + p // 4 % 4 AND x.k = bk * 4 + p // 16) GROUP BY study_id, bi, bj, bk""",
     "verify_manifest": "SELECT printf('study_%06d.nrrd', study_id) AS file_name, CASE study_id % 3 WHEN 0 THEN 'ok' WHEN 1 THEN 'checksum differs' ELSE 'missing' END AS status FROM (SELECT DISTINCT study_id FROM vox)",
     "ingest_nrrd": "SELECT study_id, i, j, k, value, 'ok' AS status FROM vox WHERE value <> 0",
+    "ingest_volumes": "SELECT study_id, 16::INTEGER AS ni, 16::INTEGER AS nj, 7::INTEGER AS nk, sx AS si, 4.0::DOUBLE AS sj, 4.0::DOUBLE AS sk, ox AS ox, 2.0::DOUBLE AS oy, -3.0::DOUBLE AS oz, 1::INTEGER AS layers, 'ok' AS status FROM vol WHERE study_id IN (SELECT study_id FROM vox)",
+    "ingest_segments": "SELECT study_id, segment_id, segment_id AS name, CAST(ord AS INTEGER) AS ord, CAST(ord AS INTEGER) AS label_value, CASE segment_id WHEN 'tumor' THEN 1 WHEN 'edge' THEN 2 ELSE 0 END AS layer, 'ok' AS status FROM segs",
+    "ingest_segment_voxels": "SELECT study_id, segment_id, count(*) AS n, sum(i)::BIGINT AS si, sum(j)::BIGINT AS sj, sum(k)::BIGINT AS sk FROM sv GROUP BY study_id, segment_id",
     "derive_volume": "SELECT study_id, 'dose' AS volume_id, 'Dose Map (Gy)' AS name, sx, '1' AS dose_volume FROM vol",
     "voxel_volume": "SELECT study_id, round(v, 6) AS v_ml FROM stats",
     "total_volume": "SELECT study_id, round(total_ml, 6) AS total_ml FROM stats",
     "volume_center": "SELECT study_id, round(7.5 * sx + ox, 6) AS x, 32.0::DOUBLE AS y, 9.0::DOUBLE AS z FROM vol",
     "default_roi": "SELECT study_id, round(7.5 * sx + ox, 6) AS x, 32.0::DOUBLE AS y, 9.0::DOUBLE AS z, 400.0::DOUBLE AS sx, 300.0::DOUBLE AS sy, 250.0::DOUBLE AS sz FROM vol",
-    "crop_roi": "SELECT x.* FROM vox x JOIN vol USING (study_id) WHERE abs(i * sx + ox - (7.5 * sx + ox)) <= 10 AND abs(j * 4 + 2 - 32) <= 15 AND abs(k * 4 - 3 - 9) <= 8",
+    "crop_roi": f"SELECT x.study_id, x.i - {_FIRST} AS i, x.j - 4 AS j, x.k - 1 AS k, value FROM vox x JOIN vol USING (study_id) WHERE abs(i * sx + ox - (7.5 * sx + ox)) <= 10 AND abs(j * 4 + 2 - 32) <= 15 AND abs(k * 4 - 3 - 9) <= 8",
+    "crop_volume": f"SELECT study_id, {_LAST} - {_FIRST} + 1 AS ni, 8::INTEGER AS nj, 5::INTEGER AS nk, round(sx * {_FIRST} + ox, 6) AS x, 18.0::DOUBLE AS y, 1.0::DOUBLE AS z FROM vol",
     "segment_list": "SELECT study_id, ord, segment_id, segment_id AS name FROM segs",
     "mask_volume": "SELECT * FROM masked",
     "rasterize_segment": "SELECT study_id, segment_id, count(*) AS n, sum(ti)::BIGINT AS si, sum(tj)::BIGINT AS sj, sum(tk)::BIGINT AS sk FROM target JOIN sv USING (study_id, i, j, k) GROUP BY study_id, segment_id",
@@ -119,10 +167,15 @@ _SQL = {
     "dose_table_relative": f"{_TABLE} trel",
     "dose_table_absolute": f"{_TABLE} eabs",
     "format_counts": "SELECT study_id, printf('%.2f', a.total) AS liver, printf('%.2f', b.total) AS lung, printf('%.2f', b.total / nullif(b.total + a.total, 0) * 100) || '%' AS lsf FROM sums a JOIN sums b USING (study_id) WHERE a.segment_id = 'liver' AND b.segment_id = 'lungs'",
-    "report_relative": _report("Patient Relative Quantification", "trel", "vol", " || ".join([_L("Activity", "1000.0", " MBq"), _L("Lung Shunt", "10.0", "%"), _L("Conversion Factor", "49.67", " Gy/MBq/g"), _L("Lung Mass", "1000.0", " g"), _L("Liver Density", "1.05", " g/mL")])),
+    "report_relative": _report("Patient Relative Quantification", "trel", "vol", _LINES_REL),
+    "report_relative_compat": _report("Patient Relative Quantification", "trel", "vol", _LINES_REL, compat=True),
     "report_absolute": _report("Absolute Quantification", "eabs", "et", " || ".join([_L("Activity During Imaging", "h.total_mbq", " MBq"), _L("Decay Corrected Activity", "h.decayed", " MBq"), _L("Conversion Factor", "49.67", " Gy/MBq/g"), _L("Liver Density", "1.05", " g/mL")])),
     "report_path": "SELECT study_id, name || CASE WHEN study_id % 2 = 0 THEN '.RTF' ELSE '.rtf' END AS path FROM vol",
     "missing_inputs": "SELECT s_suppkey AS study_id, concat_ws(', ', CASE WHEN s_suppkey % 2 <> 0 THEN 'Input SPECT/PET Volume' END, CASE WHEN s_suppkey % 3 = 0 THEN 'Segmentation' END, CASE WHEN s_suppkey % 3 = 0 OR s_suppkey % 7 = 0 THEN 'Whole Liver Segment' END, CASE WHEN s_suppkey % 5 = 0 THEN 'Output Volume' END) AS missing FROM supplier",
+    "missing_inputs_absolute": f"SELECT study_id, concat_ws(chr(10), CASE WHEN {_ABSENT[0]} THEN 'Input PET Volume' END, CASE WHEN {_ABSENT[1]} THEN 'Segmentation' END, CASE WHEN {_ABSENT[3]} THEN 'Output Volume' END) AS missing FROM vol",
+    "mode_messages": f"""SELECT study_id, 'shunt' AS mode, CASE WHEN {_ABSENT[0]} OR {_ABSENT[1]} THEN 'Please select valid input nodes.' ELSE '' END AS message FROM vol
+        UNION ALL SELECT study_id, 'target', CASE WHEN {' OR '.join(_ABSENT[:4])} THEN 'Please select valid input and output nodes, and ensure the liver segment is specified.' ELSE '' END FROM vol
+        UNION ALL SELECT study_id, 'registration', CASE WHEN {_ABSENT[0]} OR {_ABSENT[4]} THEN 'Please select both SPECT CT and Reference CT volumes before registration.' ELSE '' END FROM vol""",
     "study_status": "SELECT study_id, CASE study_id % 4 WHEN 0 THEN 'no_volume' WHEN 1 THEN 'zero_volume' WHEN 2 THEN 'no_voxels' ELSE CASE WHEN study_id IN (SELECT study_id FROM vox) THEN 'ok' ELSE 'no_voxels' END END AS status FROM vol",
     "param_violations": "SELECT study_id, concat_ws(',', CASE WHEN act > 10000 THEN 'activity_mbq' END, CASE WHEN lsf > 100 THEN 'lsf_percent' END, CASE WHEN study_id % 9 * 50 > 200 THEN 'hours' END) AS violations FROM varied",
     "apply_linear_transform": """SELECT study_id, CASE WHEN moved THEN printf('0.000 -4.000 0.000 %.3f %.3f 0.000 0.000 %.3f 0.000 0.000 4.000 4.000 0.000 0.000 0.000 1.000', 3.0::DOUBLE, 1.5 * sx, 1.5 * ox - 2.0)
@@ -134,6 +187,10 @@ _SQL = {
     "mi_score": f"+{_mi(_SELF)} SELECT study_id, cand, mi FROM scored",
     "register_candidates": f"+{_mi(_MOVED)} SELECT study_id, arg_max(cand, mi * 1000000 * 100 - cand) AS cand, max(mi) AS mi FROM scored GROUP BY study_id",
     "register_methods": f"SELECT study_id, method, round({_XYZ['x']}, 6) AS x, round({_XYZ['y']}, 6) AS y, round({_XYZ['z']}, 6) AS z FROM (SELECT study_id, sx, ox, study_id % 4 < 2 AS moved, ['Rigid', 'Affine', 'BSpline', 'none'][study_id % 4 + 1] AS method FROM vol)",
+    "harden_bspline": _HARD,
+    "register_affine": _search(),
+    "register_methods_voxels": f"""SELECT study_id, ['Rigid', 'Affine', 'BSpline', 'none'][study_id % 4 + 1] AS method, count(*) AS n, sum(value) AS total, sum(value * i) AS si, sum(value * j) AS sj, sum(value * k) AS sk
+        FROM (SELECT * FROM ({_HARD}) WHERE study_id % 4 = 2 UNION ALL SELECT vox.* FROM vox JOIN vol USING (study_id) WHERE study_id % 4 <> 2) GROUP BY study_id""",
     "resample_to_grid": "SELECT study_id, ti AS i, tj AS j, tk AS k, value FROM target JOIN vox USING (study_id, i, j, k)",
     "sample_voxels": "SELECT * FROM vox WHERE (i::BIGINT * 73856093 + j::BIGINT * 19349663 + k::BIGINT * 83492791 + study_id * 2654435761) % 1000000 < 2000",
 }

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -58,9 +59,13 @@ def _default_roi(t: _Lattice) -> DataFrame:
     return r.select("study_id", *[F.round(F.col("center")[a], 6).alias(n) for a, n in enumerate("xyz")], *[F.col("size")[a].alias(f"s{n}") for a, n in enumerate("xyz")])
 
 
-def _crop(t: _Lattice) -> DataFrame:
-    rois = masks.default_roi(t.volumes, (20.0, 30.0, 16.0))
-    return masks.crop_roi(t.voxels, t.volumes, rois)
+def _roi(t: _Lattice) -> DataFrame:
+    return masks.default_roi(t.volumes, (20.0, 30.0, 16.0))
+
+
+def _crop_volume(t: _Lattice) -> DataFrame:
+    v = masks.crop_volume(t.volumes, _roi(t))
+    return v.select("study_id", *[F.col("dims")[a].alias(f"n{c}") for a, c in enumerate("ijk")], *[F.round(F.col("ijk_to_ras")[4 * a + 3], 6).alias(c) for a, c in enumerate("xyz")])
 
 
 def _target_grid(t: _Lattice) -> DataFrame:
@@ -73,9 +78,8 @@ def _rasterize(t: _Lattice) -> DataFrame:
     return x.groupBy("study_id", "segment_id").agg(F.count("*").alias("n"), F.sum("i").alias("si"), F.sum("j").alias("sj"), F.sum("k").alias("sk"))
 
 
-def _sums(t: _Lattice, masked: bool = False) -> DataFrame:
-    v = masks.mask_volume(t.voxels, masks.segment_of(t.segment_voxels, t.params, "liver")) if masked else t.voxels
-    return masks.segment_sums(t.segments, t.segment_voxels, v)
+def _sums(t: _Lattice) -> DataFrame:
+    return masks.segment_sums(t.segments, t.segment_voxels, t.voxels)
 
 
 def _rel(t: _Lattice) -> DataFrame:
@@ -140,7 +144,7 @@ def _lung(t: _Lattice) -> DataFrame:
 
 def _target(t: _Lattice) -> DataFrame:
     p = t.params.withColumn("target_dose_gy", (F.col("study_id") % 4 * 5000).cast("double"))
-    x = dosimetry.activity_for_target(t.volumes, p, _sums(t, masked=True))
+    x = dosimetry.activity_for_target(t.volumes, p, masks.masked_sums(t.segments, t.segment_voxels, t.voxels, t.params))
     return x.select("study_id", _r("dose_at_1000_gy"), _r("activity_mbq"), _r("activity_reported_mbq"), "status")
 
 
@@ -152,11 +156,11 @@ def _table_rel(t: _Lattice) -> DataFrame:
     return tables.dose_table(_renamed(t), _lung(t))
 
 
-def _report_rel(t: _Lattice) -> DataFrame:
-    two = lambda c, label, unit: F.concat(F.lit(f"{label}: "), tables.two_decimals(F.col(c), unit))
+def _report_rel(t: _Lattice, compat: bool = False) -> DataFrame:
+    two = lambda c, label, unit: F.concat(F.lit(f"{label}: "), tables.two_decimals(F.col(c), unit, compat))
     lines = F.array(two("activity_mbq", "Activity", " MBq"), two("lsf_percent", "Lung Shunt", "%"), two("conv_factor", "Conversion Factor", " Gy/MBq/g"), two("lung_mass_g", "Lung Mass", " g"), two("density_g_ml", "Liver Density", " g/mL"))
     heads = t.params.select("study_id", F.lit("Patient Relative Quantification").alias("title"), F.lit(STAMP).alias("stamp"), lines.alias("parameters"))
-    return tables.report(_table_rel(t), heads)
+    return tables.report(_table_rel(t), heads, compat)
 
 
 def _report_abs(t: _Lattice) -> DataFrame:
@@ -179,6 +183,17 @@ def _some_missing(t: _Lattice) -> DataFrame:
     return validate.missing_inputs(x.withColumn("has_output", s % 5 > 0))
 
 
+def _presence(t: _Lattice) -> DataFrame:
+    s = F.col("study_id")
+    x = validate.presence(t.volumes.select("study_id"), t.volumes.where(s % 2 == 0), t.segments.where(s % 3 > 0), t.params)
+    return x.withColumn("has_output", s % 5 > 0).withColumn("has_reference", s % 7 > 0)
+
+
+def _mode_messages(t: _Lattice) -> DataFrame:
+    x = _presence(t)
+    return reduce(DataFrame.unionByName, [validate.mode_message(x, mode) for mode in validate.MESSAGES])
+
+
 def _status(t: _Lattice) -> DataFrame:
     s = F.col("study_id")
     flat = t.volumes.where(s % 4 > 0).withColumn("dims", F.when(s % 4 == 1, F.array(F.lit(16), F.lit(0), F.lit(7))).otherwise(F.col("dims")))
@@ -198,11 +213,15 @@ def _linear(t: _Lattice) -> DataFrame:
     return _turned(t).select("study_id", F.array_join(F.transform("ijk_to_ras", lambda x: F.format_string("%.3f", x)), " ").alias("matrix"))
 
 
-def _bspline(t: _Lattice) -> DataFrame:
+def _splines(t: _Lattice) -> tuple[DataFrame, DataFrame]:
     g = t.volumes.select("study_id", F.array(*map(F.lit, (-8.0, -8.0, -8.0))).alias("origin"), F.array(*map(F.lit, (16.0, 16.0, 16.0))).alias("spacing"))
     c = t.voxels.where((F.col("i") < 6) & (F.col("j") < 7)).select("study_id", F.col("i").alias("ci"), F.col("j").alias("cj"), F.col("k").alias("ck"), (F.col("value") / 64).alias("dx"), (F.col("value") / 128).alias("dy"), (-F.col("value") / 64).alias("dz"))
+    return g, c
+
+
+def _bspline(t: _Lattice) -> DataFrame:
     p = t.voxels.select(*masks.AT, *[(F.col(a) * 4.0).alias(n) for a, n in zip("ijk", "xyz", strict=True)])
-    return registration.apply_bspline(p, g, c).select(*masks.AT, *[_r(d) for d in ("dx", "dy", "dz")])
+    return registration.apply_bspline(p, *_splines(t)).select(*masks.AT, *[_r(d) for d in ("dx", "dy", "dz")])
 
 
 def _mi(t: _Lattice) -> DataFrame:
@@ -216,26 +235,68 @@ def _candidates(t: _Lattice) -> DataFrame:
     return registration.best_candidate(registration.score_candidates(v, moved, SEARCH, WIDTH, BINS))
 
 
+def _applied(t: _Lattice) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Methods, and the volumes and voxels after each study's method: Rigid and Affine move the geometry, BSpline the voxels, none nothing."""
+    method = F.element_at(F.array(*map(F.lit, ("Rigid", "Affine", "BSpline", "none"))), (F.col("study_id") % 4 + 1).cast("int"))
+    x = t.volumes.select("study_id", method.alias("method"), F.array(*map(F.lit, TURN)).alias("matrix"))
+    return x.select("study_id", "method"), *registration.apply_methods(t.volumes, t.voxels, x, *_splines(t))
+
+
 def _methods(t: _Lattice) -> DataFrame:
-    """Each study by its method: Rigid and Affine move the geometry, others leave it."""
-    s = F.col("study_id")
-    method = F.element_at(F.array(*map(F.lit, ("Rigid", "Affine", "BSpline", "none"))), (s % 4 + 1).cast("int"))
-    x = t.volumes.select("study_id", method.alias("method"))
-    linear = x.where(F.col("method").isin("Rigid", "Affine")).select("study_id", F.array(*map(F.lit, TURN)).alias("matrix"))
-    moved = masks.volume_center(registration.apply_linear_transform(t.volumes, linear))
-    return x.join(moved, "study_id").select("study_id", "method", *[F.round(F.col("center")[a], 6).alias(n) for a, n in enumerate("xyz")])
+    x, volumes, _ = _applied(t)
+    return x.join(masks.volume_center(volumes), "study_id").select("study_id", "method", *[F.round(F.col("center")[a], 6).alias(n) for a, n in enumerate("xyz")])
+
+
+def _methods_voxels(t: _Lattice) -> DataFrame:
+    x, _, voxels = _applied(t)
+    sums = voxels.groupBy("study_id").agg(F.count("*").alias("n"), F.sum("value").alias("total"), *[F.sum(F.col("value") * F.col(c)).alias(f"s{c}") for c in "ijk"])
+    return x.join(sums, "study_id")
+
+
+def _register(t: _Lattice) -> DataFrame:
+    v = t.voxels
+    moved = v.withColumn("i", F.col("i") + F.col("study_id").cast("int") % 3 - 1)
+    x = registration.register(v, t.volumes, moved, t.volumes, WIDTH, BINS, share=0.1)
+    return x.select("study_id", *[_r(p) for p in registration.PARAMETERS], _r("mi"))
 
 
 def _files(t: _Lattice) -> DataFrame:
     place = (F.col("i") + 16 * F.col("j") + 256 * F.col("k")).cast("int")
     per = t.voxels.groupBy("study_id").agg(F.array_sort(F.collect_list(F.struct(place.alias("p"), "value"))).alias("cells"))  # a grid of 1792 places
-    x = per.select(F.format_string("study_%06d.nrrd", "study_id").alias("path"), F.array(*map(F.lit, lattice.DIMS)).alias("dims"), F.transform("cells", lambda c: c["p"]).alias("places"), F.transform("cells", lambda c: c["value"]).alias("values"))
-    return nrrd.export(x)
+    x = per.select(F.format_string("study_%06d.nrrd", "study_id").alias("path"), F.array(*map(F.lit, lattice.DIMS)).alias("dims"), F.transform("cells", lambda c: c["p"]).alias("places"), F.transform("cells", lambda c: c["value"]).alias("values"), "study_id")
+    return nrrd.export(x.join(t.volumes.select("study_id", "ijk_to_ras"), "study_id", "left"))
+
+
+def _study(column: str = "path"):
+    return F.regexp_extract(column, "([0-9]+)", 1).cast("bigint").alias("study_id")
+
+
+def _volumes_read(t: _Lattice) -> DataFrame:
+    x = nrrd.volumes(_files(t))
+    numbers = {"n": "dims", "s": "spacing"}
+    x = x.select(_study(), *[F.col(c)[a].alias(f"{k}{d}") for k, c in numbers.items() for a, d in enumerate("ijk")], *[F.col("ijk_to_ras")[4 * a + 3].alias(f"o{d}") for a, d in enumerate("xyz")], "layers", "status")
+    return x.join(t.volumes.select("study_id"), "study_id", "left_semi")
+
+
+def _segmentations(t: _Lattice) -> DataFrame:
+    """Files of segments that overlap: liver and lungs in one layer, tumor and edge in one each."""
+    place = (F.col("i") + 16 * F.col("j") + 256 * F.col("k")).cast("int")
+    layer = F.when(F.col("segment_id") == "tumor", 1).when(F.col("segment_id") == "edge", 2).otherwise(0)
+    voxels = t.segment_voxels.groupBy("study_id", "segment_id").agg(F.collect_list(place).alias("places"))  # of a grid of 1792 places
+    each = t.segments.join(voxels, ["study_id", "segment_id"], "left")
+    member = F.struct("ord", "segment_id", "name", F.col("ord").alias("label_value"), layer.alias("layer"), F.coalesce("places", F.array().cast("array<int>")).alias("places"))
+    x = each.groupBy("study_id").agg(F.array_sort(F.collect_list(member)).alias("members")).join(t.volumes.select("study_id", "dims", "ijk_to_ras"), "study_id")
+    return nrrd.export_segmentation(x.withColumn("path", F.format_string("study_%06d.seg.nrrd", "study_id")))
+
+
+def _segment_voxels_read(t: _Lattice) -> DataFrame:
+    x = nrrd.segment_voxels(_segmentations(t)).where("status = 'ok'")
+    return x.groupBy(_study(), "segment_id").agg(F.count("*").alias("n"), *[F.sum(c).alias(f"s{c}") for c in "ijk"])
 
 
 def _ingest(t: _Lattice) -> DataFrame:
     x = nrrd.ingest(_files(t))
-    return x.select(F.regexp_extract("path", "([0-9]+)", 1).cast("bigint").alias("study_id"), "i", "j", "k", "value", "status")
+    return x.select(_study(), "i", "j", "k", "value", "status")
 
 
 def _manifest(t: _Lattice) -> DataFrame:
@@ -249,12 +310,16 @@ QUERIES: dict[str, Callable[[_Lattice], DataFrame]] = {
     "bricks_from_voxels": _bricks_from_voxels,
     "verify_manifest": _manifest,
     "ingest_nrrd": _ingest,
+    "ingest_volumes": _volumes_read,
+    "ingest_segments": lambda t: nrrd.segments(_segmentations(t)).select(_study(), "segment_id", "name", "ord", "label_value", "layer", "status"),
+    "ingest_segment_voxels": _segment_voxels_read,
     "derive_volume": _derive_volume,
     "voxel_volume": _grid("v_ml"),
     "total_volume": _grid("total_ml"),
     "volume_center": lambda t: _xyz(masks.volume_center(t.volumes), "center"),
     "default_roi": _default_roi,
-    "crop_roi": _crop,
+    "crop_roi": lambda t: masks.crop_roi(t.voxels, t.volumes, _roi(t)),
+    "crop_volume": _crop_volume,
     "segment_list": lambda t: masks.segment_list(t.segments),
     "mask_volume": lambda t: masks.mask_volume(t.voxels, masks.segment_of(t.segment_voxels, t.params, "liver")).select(*masks.AT, "value"),
     "rasterize_segment": _rasterize,
@@ -280,9 +345,12 @@ QUERIES: dict[str, Callable[[_Lattice], DataFrame]] = {
     "dose_table_absolute": lambda t: _stats(tables.dose_table(_stats_abs(t))),
     "format_counts": _format,
     "report_relative": _report_rel,
+    "report_relative_compat": lambda t: _report_rel(t, compat=True),
     "report_absolute": _report_abs,
     "report_path": lambda t: t.volumes.select("study_id", tables.report_path(F.when(F.col("study_id") % 2 == 0, F.concat("name", F.lit(".RTF"))).otherwise(F.col("name"))).alias("path")),
     "missing_inputs": _some_missing,
+    "missing_inputs_absolute": lambda t: validate.missing_inputs(_presence(t), validate.LABELS_ABSOLUTE, "\n"),
+    "mode_messages": _mode_messages,
     "study_status": _status,
     "param_violations": lambda t: validate.param_violations(_varied(t).withColumn("hours", (F.col("study_id") % 9 * 50).cast("double"))),
     "apply_linear_transform": _linear,
@@ -290,7 +358,10 @@ QUERIES: dict[str, Callable[[_Lattice], DataFrame]] = {
     "geometry_align": lambda t: _xyz(registration.geometry_align(_turned(t), t.volumes), "shift"),
     "mi_score": _mi,
     "register_candidates": _candidates,
+    "harden_bspline": lambda t: registration.harden_bspline(t.voxels, t.volumes, *_splines(t)),
+    "register_affine": _register,
     "register_methods": _methods,
+    "register_methods_voxels": _methods_voxels,
     "resample_to_grid": lambda t: registration.resample_to_grid(t.voxels, t.volumes, _target_grid(t)),
     "sample_voxels": lambda t: masks.sampled(t.voxels).select(*masks.AT, "value"),
 }

@@ -1,8 +1,14 @@
-"""Image files of the NRRD format: header and raw or gzip payload, one file a row."""
+"""Image files of the NRRD format, one file a row: geometry, voxels, and the segments of segmentation files.
+
+A fourth axis holds layers: segments that overlap lie in different ones. Patient space is right, anterior, superior;
+files in another space are turned. A file that cannot be read gives one row with its error as status.
+"""
 
 from __future__ import annotations
 
+import bz2
 import gzip
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -10,31 +16,91 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-# The format's type names.
-TYPES = {"uint8": "u1", "unsigned char": "u1", "short": "i2", "int16": "i2", "unsigned short": "u2", "uint16": "u2", "int": "i4", "int32": "i4", "uint32": "u4", "float": "f4", "double": "f8"}
-
-
-def decode(content: bytes) -> tuple[list[int], np.ndarray]:
-    """Sizes, fastest axis first, and all values in file order."""
-    head, _, payload = content.partition(b"\n\n")
-    lines = head.decode("utf-8", "replace").splitlines()
-    if not lines or not lines[0].startswith("NRRD"):
-        raise ValueError("no NRRD header")
-    fields = dict(x.split(":", 1) for x in lines[1:] if ":" in x and not x.startswith("#") and ":=" not in x)
-    fields = {k.strip().lower(): v.strip() for k, v in fields.items()}
-    sizes = [int(x) for x in fields["sizes"].split()]
-    if fields["encoding"] in ("gzip", "gz"):
-        payload = gzip.decompress(payload)
-    elif fields["encoding"] != "raw":
-        raise ValueError(f"encoding {fields['encoding']}")
-    order = ">" if fields.get("endian", "little") == "big" else "<"
-    return sizes, np.frombuffer(payload, dtype=np.dtype(order + TYPES[fields["type"]]), count=int(np.prod(sizes)))
-
-
-def encode(values: np.ndarray, sizes: list[int], compress: bool) -> bytes:
-    head = f"NRRD0004\ntype: double\ndimension: {len(sizes)}\nsizes: {' '.join(map(str, sizes))}\nencoding: {'gzip' if compress else 'raw'}\nendian: little\n\n"
-    data = np.ascontiguousarray(values, dtype="<f8").tobytes()
-    return head.encode() + (gzip.compress(data, mtime=0) if compress else data)
+# The format's names of each type, of its encodings, and of the axes' other ends.
+NAMES = {
+    "i1": "signed char|int8|int8_t",
+    "u1": "uchar|unsigned char|uint8|uint8_t",
+    "i2": "short|short int|signed short|signed short int|int16|int16_t",
+    "u2": "ushort|unsigned short|unsigned short int|uint16|uint16_t",
+    "i4": "int|signed int|int32|int32_t",
+    "u4": "uint|unsigned int|uint32|uint32_t",
+    "i8": "longlong|long long|long long int|signed long long|signed long long int|int64|int64_t",
+    "u8": "ulonglong|unsigned long long|unsigned long long int|uint64|uint64_t",
+    "f4": "float",
+    "f8": "double",
+}
+TYPES = {name: code for code, names in NAMES.items() for name in names.split("|")}
+UNPACK = {"raw": bytes, "gzip": gzip.decompress, "gz": gzip.decompress, "bzip2": bz2.decompress, "bz2": bz2.decompress}
+TEXTS = ("ascii", "text", "txt")
+TURNED = ("left", "posterior", "inferior")
+ERRORS = (ValueError, KeyError, OSError, EOFError, IndexError, TypeError)
+
+
+class Image:
+    """A file's header: ``dims`` of the grid, ``layers``, ``matrix`` from voxels to patient space, and key-value marks."""
+
+    def __init__(self, content: bytes):
+        blank = re.search(rb"\r?\n\r?\n", content)
+        head, self.payload = (content[: blank.start()], content[blank.end() :]) if blank else (content, b"")
+        lines = head.decode("utf-8", "replace").splitlines()
+        if not lines or not lines[0].startswith("NRRD"):
+            raise ValueError("no NRRD header")
+        lines = [x for x in lines[1:] if not x.startswith("#")]
+        self.marks = dict(x.split(":=", 1) for x in lines if ":=" in x)
+        pairs = (x.split(":", 1) for x in lines if ":=" not in x and ":" in x)
+        self.fields = {k.strip().lower().replace(" ", ""): v.strip() for k, v in pairs}
+        self.sizes = [int(x) for x in self.fields["sizes"].split()]
+        vectors = [None if "none" in v else [float(x) for x in v.strip("()").split(",")] for v in re.findall(r"none|\([^)]*\)", self.fields.get("spacedirections", ""))]
+        if not vectors:
+            spacings = [float(x) for x in self.fields.get("spacings", "").split()] or [1.0] * len(self.sizes)
+            spacings = [1.0 if x != x else x for x in spacings]
+            last = len(self.sizes) - 3
+            vectors = [None if n < last else [spacings[n] if r == n - last else 0.0 for r in range(3)] for n in range(len(self.sizes))]
+        self.axes = [n for n, v in enumerate(vectors) if v is not None]
+        if len(vectors) != len(self.sizes) or len(self.axes) != 3 or len(self.sizes) > 4:
+            raise ValueError("not a grid of three axes, with layers at most")
+        self.dims = [self.sizes[n] for n in self.axes]
+        self.layers = int(np.prod(self.sizes)) // max(1, int(np.prod(self.dims))) if all(self.dims) else 1
+        origin = [float(x) for x in self.fields.get("spaceorigin", "(0,0,0)").strip("()").split(",")]
+        space = self.fields.get("space", "").lower()
+        space = space.split("-") if "-" in space else ["left" if "l" in space[:1] else "", "posterior" if "p" in space[1:2] else "", ""]
+        sign = [-1.0 if space[r : r + 1] == [TURNED[r]] else 1.0 for r in range(3)]
+        self.matrix = [sign[r] * x + 0.0 for r in range(3) for x in (*(vectors[n][r] for n in self.axes), origin[r])] + [0.0, 0.0, 0.0, 1.0]
+        self.spacing = [float(np.linalg.norm(vectors[n])) for n in self.axes]
+
+    def values(self) -> np.ndarray:
+        """All values as (layer, k, j, i)."""
+        code, encoding = TYPES[self.fields["type"]], self.fields["encoding"].lower()
+        if encoding in TEXTS:
+            flat = np.array(self.payload.split(), dtype=code)
+        else:
+            order = ">" if self.fields.get("endian", "little") == "big" else "<"
+            flat = np.frombuffer(UNPACK[encoding](self.payload), dtype=np.dtype(order + code), count=int(np.prod(self.sizes)))
+        whole = flat.reshape(self.sizes[::-1])
+        other = [n for n in range(len(self.sizes)) if n not in self.axes]
+        place = lambda n: len(self.sizes) - 1 - n
+        return whole.transpose([place(n) for n in (*other, *self.axes[::-1])]).reshape(self.layers, *self.dims[::-1])
+
+    def segments(self) -> list[tuple[str, str, int, int, int]]:
+        """Id, name, order, label and layer of each segment of a segmentation file."""
+        out = []
+        while f"Segment{len(out)}_ID" in self.marks:
+            n = len(out)
+            of = lambda key, other="": self.marks.get(f"Segment{n}_{key}", other).strip()  # noqa: B023, E731
+            out.append((of("ID"), of("Name", of("ID")), n + 1, int(of("LabelValue", "1")), int(of("Layer", "0"))))
+        return out
+
+
+def encode(values: np.ndarray, sizes: list[int], compress: bool, matrix: list[float] | None = None, marks: dict[str, object] | None = None, feed: str = "\n") -> bytes:
+    """A file of doubles (of bytes where there are marks); with a matrix, its header says left, posterior, superior. A fourth size comes first and holds layers."""
+    head = ["NRRD0004", f"type: {'uint8' if marks else 'double'}", f"dimension: {len(sizes)}"]
+    if matrix:
+        row = lambda c: "(" + ",".join(repr(float(s * matrix[4 * r + c] + 0.0)) for r, s in enumerate((-1, -1, 1))) + ")"
+        none = "none " * (len(sizes) - 3)
+        head += ["space: left-posterior-superior", f"space directions: {none}{row(0)} {row(1)} {row(2)}", f"space origin: {row(3)}"]
+    head += [f"sizes: {' '.join(map(str, sizes))}", f"encoding: {'gzip' if compress else 'raw'}", "endian: little", *(f"{k}:={v}" for k, v in (marks or {}).items())]
+    data = np.ascontiguousarray(values, dtype="<u1" if marks else "<f8").tobytes()
+    return (feed.join(head) + 2 * feed).encode() + (gzip.compress(data, mtime=0) if compress else data)
 
 
 def read_files(spark, path: str) -> DataFrame:
@@ -42,36 +108,117 @@ def read_files(spark, path: str) -> DataFrame:
     return spark.read.format("binaryFile").load(path).select("path", "content")
 
 
-def ingest(files: DataFrame) -> DataFrame:
-    """path, i, j, k, value of the non-zero voxels, and ``status``; a file that cannot be decoded gives one row with NULL voxels."""
+def attached(files: DataFrame) -> DataFrame:
+    """Files with the data of detached headers (``data file: name``) behind them; data files themselves are left out.
+
+    Header and data are matched by folder and name.
+    """
+    folder = F.regexp_extract("path", "^(.*/)?", 0)
+    head = F.decode(F.substring("content", 1, 65536), "ISO-8859-1")
+    name = F.when(head.startswith("NRRD"), F.regexp_extract(head, r"(?im)^data ?file: *(?:\./)?([^\r\n]+?) *\r?$", 1))
+    x = files.withColumn("_data", F.when(name != "", F.concat(folder, name)))
+    data = files.select(F.col("path").alias("_data"), F.col("content").alias("_rest"))
+    rest = F.concat(F.col("content"), F.lit(b"\n\n"), F.col("_rest"))
+    whole = x.join(data, "_data", "left").withColumn("content", F.when(F.col("_rest").isNotNull(), rest).otherwise(F.col("content")))
+    return whole.join(x.select(F.col("_data").alias("path")), "path", "left_anti").select("path", "content")
+
+
+def _rows(files: DataFrame, schema: str, of) -> DataFrame:
+    """``of`` (path, Image) yields frames; an unreadable file gives a row of nulls with its error as status."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        names = [x.split()[0] for x in schema.split(", ")]
         for b in batches:
             for path, content in zip(b["path"], b["content"], strict=True):
                 try:
-                    sizes, values = decode(content)
-                    at = np.flatnonzero(values)
-                    a, rest = at % sizes[0], at // sizes[0]
-                    yield pd.DataFrame({"path": path, "i": a, "j": rest % sizes[1], "k": rest // sizes[1], "value": values[at].astype("f8"), "status": "ok"})
-                except (ValueError, KeyError, OSError, EOFError) as why:
-                    yield pd.DataFrame({"path": [path], "i": pd.array([None], "Int32"), "j": pd.array([None], "Int32"), "k": pd.array([None], "Int32"), "value": pd.array([None], "Float64"), "status": [f"error: {type(why).__name__}"]})
+                    yield from (x.assign(path=path, status="ok")[[*names, "status"]] for x in of(Image(content)))
+                except ERRORS as why:
+                    yield pd.DataFrame([{**dict.fromkeys(names), "path": path, "status": f"error: {type(why).__name__}"}]).astype(object)
+
+    return files.select("path", "content").mapInPandas(run, f"{schema}, status string")
+
+
+def _voxel_frames(grid: np.ndarray, at: np.ndarray, most: int = 1 << 20) -> Iterator[pd.DataFrame]:
+    """i, j, k, value of the listed places of one layer, in frames of bounded size."""
+    flat, (nj, ni) = grid.reshape(-1), grid.shape[1:]
+    for lo in range(0, len(at), most):
+        some = at[lo : lo + most]
+        a, rest = some % ni, some // ni
+        yield pd.DataFrame({"i": a, "j": rest % nj, "k": rest // nj, "value": flat[some].astype("f8")})
+
+
+def volumes(files: DataFrame) -> DataFrame:
+    """path, dims, spacing, ijk_to_ras, layers, status."""
+
+    def of(image: Image) -> Iterator[pd.DataFrame]:
+        yield pd.DataFrame([{"dims": image.dims, "spacing": image.spacing, "ijk_to_ras": image.matrix, "layers": image.layers}])
+
+    return _rows(files, "path string, dims array<int>, spacing array<double>, ijk_to_ras array<double>, layers int", of)
+
+
+def ingest(files: DataFrame) -> DataFrame:
+    """path, layer, i, j, k, value of the non-zero voxels, and ``status``."""
+
+    def of(image: Image) -> Iterator[pd.DataFrame]:
+        for layer, grid in enumerate(image.values()):
+            yield from (x.assign(layer=layer) for x in _voxel_frames(grid, np.flatnonzero(grid)))
+
+    return _rows(files, "path string, layer int, i int, j int, k int, value double", of)
+
+
+def segments(files: DataFrame) -> DataFrame:
+    """path, segment_id, name, ord, label_value, layer of the segments of segmentation files, and ``status``."""
+
+    def of(image: Image) -> Iterator[pd.DataFrame]:
+        yield pd.DataFrame(image.segments(), columns=["segment_id", "name", "ord", "label_value", "layer"])
+
+    return _rows(files, "path string, segment_id string, name string, ord int, label_value int, layer int", of)
+
+
+def segment_voxels(files: DataFrame) -> DataFrame:
+    """path, segment_id, i, j, k of every voxel of every segment, and ``status``."""
 
-    return files.select("path", "content").mapInPandas(run, "path string, i int, j int, k int, value double, status string")
+    def of(image: Image) -> Iterator[pd.DataFrame]:
+        layers = image.values()
+        for segment, _, _, label, layer in image.segments():
+            yield from (x.assign(segment_id=segment) for x in _voxel_frames(layers[layer], np.flatnonzero(layers[layer] == label)))
+
+    return _rows(files, "path string, segment_id string, i int, j int, k int", of)
 
 
 def export(volumes: DataFrame) -> DataFrame:
-    """path, content of each volume (path, dims, places, values): places are voxel numbers, i fastest."""
+    """path, content of each volume (path, dims, places, values, and ijk_to_ras if known): places are voxel numbers, i fastest."""
+    known = "ijk_to_ras" in volumes.columns
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             out = []
-            for path, dims, places, values in zip(b["path"], b["dims"], b["places"], b["values"], strict=True):
+            for dims, places, values, matrix in zip(b["dims"], b["places"], b["values"], b["ijk_to_ras"] if known else [None] * len(b), strict=True):
                 grid = np.zeros(int(np.prod(dims)))
                 grid[np.asarray(places, dtype=np.int64)] = values
-                out.append(encode(grid, list(dims), len(out) % 2 == 0))
+                out.append(encode(grid, list(dims), len(out) % 2 == 0, None if matrix is None else list(matrix), feed="\n" if len(out) % 3 else "\r\n"))
+            yield pd.DataFrame({"path": b["path"], "content": out})
+
+    return volumes.select("path", "dims", "places", "values", *(["ijk_to_ras"] if known else [])).mapInPandas(run, "path string, content binary")
+
+
+def export_segmentation(studies: DataFrame) -> DataFrame:
+    """path, content of each segmentation (path, dims, ijk_to_ras, members: array of segment_id, name, label_value, layer, places)."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            out = []
+            for dims, matrix, members in zip(b["dims"], b["ijk_to_ras"], b["members"], strict=True):
+                layers = 1 + max(m["layer"] for m in members)
+                grid = np.zeros((int(np.prod(dims)), layers), dtype=np.uint8)
+                marks: dict[str, object] = {}
+                for n, m in enumerate(members):
+                    grid[np.asarray(m["places"], dtype=np.int64), m["layer"]] = m["label_value"]
+                    marks |= {f"Segment{n}_ID": m["segment_id"], f"Segment{n}_Name": m["name"], f"Segment{n}_LabelValue": m["label_value"], f"Segment{n}_Layer": m["layer"]}
+                out.append(encode(grid, [layers, *dims], True, list(matrix), marks))
             yield pd.DataFrame({"path": b["path"], "content": out})
 
-    return volumes.select("path", "dims", "places", "values").mapInPandas(run, "path string, content binary")
+    return studies.select("path", "dims", "ijk_to_ras", "members").mapInPandas(run, "path string, content binary")
 
 
 def verify_manifest(files: DataFrame, manifest: DataFrame) -> DataFrame:
