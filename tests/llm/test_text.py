@@ -11,7 +11,7 @@ import pytest
 from compare import DATA
 
 import corpus_pipeline
-from voxdose.llm import byte_bpe, html_text, packing
+from voxdose.llm import byte_bpe, common, html_text, packing
 
 
 def main(source, template=()):
@@ -205,7 +205,7 @@ def test_pipeline(spark):
     columns, before = docs.columns, docs.count()
     assert [n for n, _ in corpus_pipeline.STAGES] == ["quality_rules", "minhash_near_dedup", "suffix_array_dedup", "secret_scan", "best_fit_packing"]
     for name, stage in corpus_pipeline.STAGES[:-1]:
-        docs = corpus_pipeline.stored(stage(spark, docs, DATA))
+        docs = common.stored(stage(spark, docs, DATA))
         assert docs.columns == columns and 0 < docs.count() <= before, name
         before = docs.count()
     last = corpus_pipeline.STAGES[-1][1](spark, docs, DATA)
@@ -213,8 +213,19 @@ def test_pipeline(spark):
     assert docs.where("text rlike 'AKIA[A-Z0-9]{16}'").count() == 0
 
 
+def test_run_keeps_only_results(spark):
+    """run() gives what its stages give, and leaves one table for each stage; an empty table gives an empty result."""
+    made = len(common._tables)
+    rows = corpus_pipeline.run(spark, DATA)
+    assert rows.count() > 0 and len(common._tables) == made
+    docs = spark.read.parquet(f"{DATA}/documents.parquet").limit(0)
+    for _, stage in corpus_pipeline.STAGES:
+        docs = common.stored_alone(spark, lambda stage=stage, docs=docs: stage(spark, docs, DATA))
+    assert docs.count() == 0 and len(common._tables) == made
+
+
 def test_pipeline_of_odd_rows(spark):
     docs = spark.createDataFrame([(None, None, None), (1, None, None), (1, "", 0), (2, "short", 5), (None, "word " * 40, 200)], "doc_id long, text string, n_chars long")
     for _, stage in corpus_pipeline.STAGES:
-        docs = corpus_pipeline.stored(stage(spark, docs, DATA))
+        docs = common.stored(stage(spark, docs, DATA))
     assert docs.count() == 0

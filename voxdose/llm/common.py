@@ -97,18 +97,33 @@ def text_of(column: str | Column = "text") -> Column:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a local one only where none is named, as in tests."""
+    """The folder that driver and executors share. Only where all run on one machine, as in tests, one of its own is made if none is named."""
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.sparkContext.getCheckpointDir()
     if not named:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         named = _own.setdefault(spark.sparkContext.applicationId, tempfile.mkdtemp(prefix="spark-shared-"))
     return named
 
 
 _own: dict[str, str] = {}
+_tables: list[str] = []
 
 
 def stored(df: DataFrame) -> DataFrame:
     """Cut the lineage: write the rows to the shared folder and read them again."""
     path = f"{shared_dir(df.sparkSession)}/table-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
+    _tables.append(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def stored_alone(spark: SparkSession, make: Callable[[], DataFrame]) -> DataFrame:
+    """What ``make`` returns, stored; the tables that it stored on the way are deleted, since nothing else reads them."""
+    first = len(_tables)
+    out = stored(make())
+    for path in _tables[first:-1]:
+        at = spark._jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+    del _tables[first:]
+    return out

@@ -2,8 +2,9 @@
 
 Every edge points from the larger to the smaller node. In each round a node's edges are
 hung on its smallest neighbour, and every edge jumps to its target's own smallest neighbour,
-until all nodes point at a root. Edges are aggregated before they are shuffled, and a
-joined side has one row per node, so hubs never gather in one task.
+until all nodes point at a root. Edges are aggregated before they are shuffled. The smallest neighbours, one row
+per node, are written apart before they are joined: where they are few they are broadcast, else Spark can split the
+edges of a hub among tasks, since both sides of the join are then plain shuffles.
 """
 
 from __future__ import annotations
@@ -22,7 +23,7 @@ def roots(edges: DataFrame) -> DataFrame:
     """
     edges = stored(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
     while True:
-        low = edges.groupBy("a").agg(F.min("b").alias("low"), F.count("*").alias("n"))
+        low = stored(edges.groupBy("a").agg(F.min("b").alias("low")))
         target = low.select(F.col("a").alias("b"), F.col("low").alias("lower"))
         hung = edges.join(low, "a")
         both = hung.select(F.explode(F.array(F.struct("a", F.col("low").alias("b")), F.struct(F.col("b").alias("a"), F.col("low").alias("b")))).alias("e")).select("e.a", "e.b").where("a <> b").distinct()
