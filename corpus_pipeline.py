@@ -11,7 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from voxdose.llm import minhash, packing, quality, repeats, secrets
-from voxdose.llm.common import stored
+from voxdose.llm.common import stored_alone
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -52,8 +52,8 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over the documents of a folder; what each returns is written and read again."""
+    """All stages over the documents of a folder; what each returns is written and read again, and what it wrote on the way is deleted."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for _, stage in STAGES:
-        docs = stored(stage(spark, docs, sf_dir))
+        docs = stored_alone(spark, lambda stage=stage, docs=docs: stage(spark, docs, sf_dir))
     return docs
