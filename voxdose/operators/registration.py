@@ -51,7 +51,7 @@ def apply_bspline(points: DataFrame, grid: DataFrame, control: DataFrame) -> Dat
     a, b, c = F.col("s") % 4, F.floor(F.col("s") / 4).cast("int") % 4, F.floor(F.col("s") / 16).cast("int")
     each = control.withColumn("s", F.explode(F.sequence(F.lit(0), F.lit(63))))
     cell = [(F.col(f"c{n}") - t + 1).cast("int").alias(f"n{m}") for n, m, t in zip("ijk", "xyz", (a, b, c), strict=True)]
-    part = F.struct(a.alias("a"), b.alias("b"), c.alias("c"), "dx", "dy", "dz")
+    part = F.struct("s", a.alias("a"), b.alias("b"), c.alias("c"), "dx", "dy", "dz")
     cells = each.select("study_id", *cell, part.alias("p")).groupBy("study_id", "nx", "ny", "nz").agg(F.array_sort(F.collect_list("p")).alias("near"))
     met = x.select(*AT, "nx", "ny", "nz", *[weights(F.col(f"u{m}")).alias(f"w{m}") for m in "xyz"]).join(cells, ["study_id", "nx", "ny", "nz"], "left")
     weight = lambda p: F.get("wx", p["a"]) * F.get("wy", p["b"]) * F.get("wz", p["c"])
