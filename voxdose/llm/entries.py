@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 import corpus_pipeline
 
-from . import byte_bpe, embeddings, html_text, licenses, minhash, oracle, packing, private, quality, repeats, secrets
+from . import byte_bpe, embeddings, html_text, licenses, minhash, oracle, packing, private, quality, repeats, secrets, trie
 
 
 def _over(table: str, f: Callable[[DataFrame], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
@@ -27,6 +27,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_license_scan": _over("documents", licenses.op8),
         "op9_quality_rules": lambda spark, sf_dir: quality.op9(*(spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("documents", "labels"))),
         "op10_best_fit_packing": _over("documents", packing.op10),
+        "op11_conversation_trie": _over("conversations", trie.op11),
         "pipeline": corpus_pipeline.run,
     }
 

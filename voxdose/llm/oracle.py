@@ -1,7 +1,8 @@
-"""SQL for DuckDB, for the queries of this subpackage that SQL can express: 2, 4 and 6.
+"""SQL for DuckDB, for the queries of this subpackage that SQL can express: 2, 4, 6 and 11.
 
 The others have none: text out of HTML (1), bootstrapping and trained models over places in code points (3, 7),
-tokenizers' merges (5, 10), merged diagonals (8) and expectation-maximisation (9).
+tokenizers' merges (5, 10, 13), merged diagonals (8), expectation-maximisation (9) and a
+trained network (12).
 """
 
 from __future__ import annotations
@@ -44,5 +45,34 @@ SELECT doc_id, len(s)::BIGINT AS n_shingles, component_id, doc_id = component_id
 """
 
 
+TRIE = r"""
+WITH own AS (
+  SELECT conv_id AS c, coalesce(role, '') AS role, coalesce(text, '') AS text,
+    row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, ''), sha256(length(coalesce(role, '')) || ':' || coalesce(role, '') || coalesce(text, ''))) AS r
+  FROM conversations WHERE conv_id IS NOT NULL),
+each AS (
+  SELECT c, xor(list_reduce(list_prepend(4294967295::BIGINT, flatten([[ascii(x)::BIGINT, 0, 0, 0, 0, 0, 0, 0] for x in string_split(c::VARCHAR, '')])), lambda s, x: xor(xor(s, x) >> 1, (xor(s, x) & 1) * 3988292384::BIGINT)), 4294967295::BIGINT) % 4 AS h
+  FROM (SELECT DISTINCT c FROM own)),
+built AS (
+  SELECT e.c, 0 AS part, r, role, text FROM each e JOIN own o ON o.c = e.c - e.c % 20 AND r <= h
+  UNION ALL SELECT e.c, 1, r, role, text FROM each e JOIN own o ON o.c = e.c AND r > h),
+placed AS (SELECT c, role, text, row_number() OVER (PARTITION BY c ORDER BY part, r) AS d FROM built),
+members AS (
+  SELECT c, d, list({'role': role, 'text': text}) OVER (PARTITION BY c ORDER BY d) AS k, len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')) AS w FROM placed
+  UNION ALL SELECT c, 0, [], 0 FROM each),
+nodes AS (SELECT d, k, min(c) AS id, count(*) AS n, min(w) AS w FROM members GROUP BY d, k),
+family AS (SELECT u.id, u.d, p.id AS up FROM nodes u LEFT JOIN nodes p ON p.d = u.d - 1 AND p.k = u.k[:u.d - 1] AND u.d > 0),
+born AS (SELECT up AS id, d - 1 AS d, count(*) AS n_children FROM family WHERE d > 0 GROUP BY ALL),
+full_nodes AS (SELECT nodes.*, up, coalesce(n_children, 0) AS n_children FROM nodes JOIN family USING (id, d) LEFT JOIN born USING (id, d)),
+sums AS (
+  SELECT a.id, a.d, sum(CASE WHEN u.n_children = 0 THEN 1 ELSE 0 END) AS leaves, sum((u.n - 1) * u.w) AS saved
+  FROM full_nodes u JOIN members m ON m.c = u.id AND m.d <= u.d JOIN nodes a ON a.d = m.d AND a.k = m.k GROUP BY ALL),
+last AS (SELECT c, max(d) AS d FROM members GROUP BY c),
+ended AS (SELECT n.id, n.d, string_agg(c::VARCHAR, ',' ORDER BY c) AS ids FROM last JOIN members m USING (c, d) JOIN nodes n ON n.d = m.d AND n.k = m.k GROUP BY ALL)
+SELECT id AS conv_id, d::BIGINT AS depth, up AS parent_conv_id, n::BIGINT AS n_convs, n_children::BIGINT AS n_children, leaves::BIGINT AS n_leaves, saved::BIGINT AS saved_tokens, sha256(coalesce(ids, '')) AS ends_sha256
+FROM full_nodes JOIN sums USING (id, d) LEFT JOIN ended USING (id, d)
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op2_suffix_array_dedup": REPEATS, "op4_embedding_near_dedup": VECTORS, "op6_minhash_near_dedup": SHINGLES}
+    return {"op2_suffix_array_dedup": REPEATS, "op4_embedding_near_dedup": VECTORS, "op6_minhash_near_dedup": SHINGLES, "op11_conversation_trie": TRIE}
