@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 import corpus_pipeline
 
-from . import alignment, byte_bpe, embeddings, html_text, licenses, minhash, oracle, packing, private, quality, repeats, secrets, trie
+from . import alignment, byte_bpe, classifier, embeddings, html_text, licenses, minhash, oracle, packing, private, quality, repeats, secrets, trie
 
 
 def _over(table: str, f: Callable[[DataFrame], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
@@ -28,6 +28,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op9_quality_rules": lambda spark, sf_dir: quality.op9(*(spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("documents", "labels"))),
         "op10_best_fit_packing": _over("documents", packing.op10),
         "op11_conversation_trie": _over("conversations", trie.op11),
+        "op12_quality_classifier": lambda spark, sf_dir: classifier.op12(*(spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("documents", "labels"))),
         "op13_tokenizer_alignment": _over("documents", alignment.op13),
         "pipeline": corpus_pipeline.run,
     }
