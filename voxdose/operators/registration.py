@@ -9,7 +9,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalar import inverse, nearest, placed, product
-from .masks import AT, lattice_lookup, sampled, small, volume_center
+from ..sources.store import settled, stored
+from .masks import AT, BROADCAST, lattice_lookup, sampled, small, volume_center
 
 #: Parameters of a candidate: shifts in mm, tangents of half the turns about the three axes, and growth.
 PARAMETERS = ("tx", "ty", "tz", "rx", "ry", "rz", "g")
@@ -149,19 +150,24 @@ def register(fixed: DataFrame, fixed_volumes: DataFrame, moving: DataFrame, movi
 
     Sampled fixed voxels are looked up in the moving image through every candidate; each round starts at the best
     candidate of the one before, with half the steps. Ties go to the first candidate. Studies without a
-    sampled voxel have no row.
+    sampled voxel have no row. Each round's result, one row a study, is stored.
     """
+    return settled(fixed.sparkSession, lambda: _registered(fixed, fixed_volumes, moving, moving_volumes, width, bins, share, rounds))
+
+
+def _registered(fixed: DataFrame, fixed_volumes: DataFrame, moving: DataFrame, moving_volumes: DataFrame, width: float, bins: int, share: float, rounds: int) -> DataFrame:
     m = fixed_volumes.select("study_id", F.col("ijk_to_ras").alias("_to")).join(volume_center(fixed_volumes).select("study_id", F.col("center").alias("_c")), "study_id")
     points = sampled(fixed, share).join(small(m, fixed_volumes), "study_id")
     points = points.select("study_id", "_c", binned(F.col("value"), width, bins).alias("fbin"), *[p.alias(c) for p, c in zip(placed(F.col("_to"), F.col("i"), F.col("j"), F.col("k")), "xyz", strict=True)])
+    points, studies = stored(points), fixed_volumes.count()
     best = fixed_volumes.select("study_id", *[F.lit(0.0).alias(p) for p in PARAMETERS])
     for turn in range(rounds):
         each = F.array(*[F.struct(F.lit(n).alias("cand"), *[F.lit(v).alias(f"d{p}") for p, v in zip(PARAMETERS, step, strict=True)]) for n, step in enumerate(candidate_steps(turn))])
         tried = best.select("study_id", *PARAMETERS, F.explode(each).alias("c")).select("study_id", "c.cand", *[(F.col(p) + F.col(f"c.d{p}")).alias(p) for p in PARAMETERS])
-        at = points.join(small(tried, fixed_volumes), "study_id")
+        at = points.join(F.broadcast(tried) if studies * len(candidate_steps(turn)) <= BROADCAST else tried, "study_id")
         q = moved_point({p: F.col(p) for p in PARAMETERS}, [F.col("_c")[a] for a in range(3)], [F.col(c) for c in "xyz"])
         seen = looked_up(at.select("study_id", "cand", "fbin", *[v.alias(c) for v, c in zip(q, "xyz", strict=True)]), moving_volumes, moving, "cand", "fbin")
         scores = mutual_information(seen.select("study_id", "cand", "fbin", binned(F.col("value"), width, bins).alias("mbin")))
         best = tried.join(best_candidate(scores), ["study_id", "cand"]).drop("cand")
-        best = best.select("study_id", *PARAMETERS, *(["mi"] if turn == rounds - 1 else []))
+        best = stored(best.select("study_id", *PARAMETERS, *(["mi"] if turn == rounds - 1 else [])))
     return best

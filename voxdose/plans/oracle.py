@@ -70,6 +70,7 @@ def _search(rounds: int = 3) -> str:
         out.append(_mi(f"SELECT * FROM p_{r}").replace("joint", f"joint_{r}").replace("scored", f"scored_{r}"))
         out.append(f"win_{r} AS (SELECT study_id, arg_max(cand, mi * 1000000 * 100 - cand) AS cand, max(mi) AS mi FROM scored_{r} GROUP BY study_id)")
         out.append(f"best_{r + 1} AS (SELECT study_id, {', '.join(names)}, mi FROM tried_{r} JOIN win_{r} USING (study_id, cand))")
+    out = [x.replace(" AS (", " AS MATERIALIZED (", 1) for x in out]
     return "+" + ", ".join(out) + f" SELECT study_id, {', '.join(f'round({p}, 6) AS {p}' for p in names)}, mi FROM best_{rounds}"
 
 
