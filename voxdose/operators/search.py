@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 
 from ..functions.scalar import bound, inverse, nearest, product
 from ..sources.store import settled, stored
-from .masks import AT, bounds, lattice_sample, sampled_values, volume_center
+from .masks import AT, bounds, sampled_values, small, volume_center
 from .registration import binned, mutual_information
 
 NAMES = ("tx", "ty", "tz", "rx", "ry", "rz", "sx", "sy", "sz", "hxy", "hxz", "hyz")
@@ -72,23 +72,24 @@ def _turns(c1: Column, c2: Column, c3: Column, s1: Column, s2: Column, s3: Colum
 
 
 def pyramid(voxels: DataFrame, volumes: DataFrame, factor: int) -> tuple[DataFrame, DataFrame]:
-    """Voxels and volumes of a coarser level: means of blocks of factor ** 3 places (fewer at the far ends of the grid), absent voxels being 0."""
+    """Voxels and volumes of a coarser level: means of blocks of factor ** 3 places (fewer at the far ends of the grid), absent voxels being 0; voxels beyond the grid are left out."""
+    inside = voxels.select(*AT, "value").join(small(volumes.select("study_id", "dims"), volumes), "study_id").where(" AND ".join(f"{c} BETWEEN 0 AND dims[{a}] - 1" for a, c in enumerate("ijk")))
     if factor == 1:
-        return voxels.select(*AT, "value"), volumes
+        return inside.select(*AT, "value"), volumes
     at = [F.floor(F.col(c) / factor).cast("int").alias(c) for c in "ijk"]
-    sums = voxels.select("study_id", *at, "value").groupBy(*AT).agg(F.sum("value").alias("value"))
-    held = lambda c, a: F.least(F.lit(factor), F.col("dims")[a] - F.col(c) * factor)
-    x = sums.join(volumes.select("study_id", "dims"), "study_id").withColumn("n", held("i", 0) * held("j", 1) * held("k", 2))
+    held = lambda c, a: F.least(F.lit(factor), F.col("dims")[a] - F.floor(F.col(c) / factor).cast("int") * factor)
+    sums = inside.select("study_id", *at, "value", (held("i", 0) * held("j", 1) * held("k", 2)).alias("n")).groupBy(*AT).agg(F.sum("value").alias("value"), F.first("n").alias("n"))
     m, back = F.col("ijk_to_ras"), (factor - 1) / 2
     cell = lambda n: m[n] * float(factor) if n % 4 < 3 and n < 12 else m[n] + (m[n - 3] + m[n - 2] + m[n - 1]) * back if n < 12 else m[n]
     coarse = volumes.withColumn("dims", F.transform("dims", lambda d: F.ceil(d / factor).cast("int"))).withColumn("ijk_to_ras", F.array(*[cell(n) for n in range(16)]))
-    return x.where("n > 0").select(*AT, (F.col("value") / F.col("n")).alias("value")), coarse
+    return sums.select(*AT, (F.col("value") / F.col("n")).alias("value")), coarse
 
 
 def bricks(voxels: DataFrame, size: int = BRICK) -> DataFrame:
     """study_id, bi, bj, bk, values: boxes of the grid as arrays, i fastest; at most size ** 3 values in a group."""
     box = [F.floor(F.col(c) / size).cast("int").alias(f"b{c}") for c in "ijk"]
-    place = (F.col("i") % size + size * (F.col("j") % size) + size * size * (F.col("k") % size)).cast("int")
+    inside = lambda c: F.pmod(c, F.lit(size))
+    place = (inside("i") + size * inside("j") + size * size * inside("k")).cast("int")
     held = voxels.select("study_id", *box, F.struct(place.alias("p"), "value").alias("v")).groupBy("study_id", "bi", "bj", "bk").agg(F.map_from_entries(F.collect_list("v")).alias("m"))
     values = F.transform(F.sequence(F.lit(0), F.lit(size**3 - 1)), lambda p: F.coalesce(F.col("m")[p], F.lit(0.0)))
     return held.select("study_id", "bi", "bj", "bk", values.alias("values"))
@@ -119,10 +120,10 @@ def dithered() -> list[Column]:
     return [(F.col(c) + even(m, 1009) / 1009.0 + even(m + 90, 997) / 997.0).alias(c) for c, m in zip("ijk", (1, 331, 659), strict=True)]
 
 
-def through(volumes_fixed: DataFrame, volumes_moving: DataFrame) -> DataFrame:
-    """study_id, center, reach (half the mean side of the box), to (places of the fixed grid to space), back (space to places of the moving grid)."""
-    box = bounds(volumes_fixed).select("study_id", F.col("ijk_to_ras").alias("to"), F.zip_with("lo", "hi", lambda a, b: (a + b) / 2).alias("center"), ((F.col("hi")[0] - F.col("lo")[0] + F.col("hi")[1] - F.col("lo")[1] + F.col("hi")[2] - F.col("lo")[2]) / 6).alias("reach"))
-    return box.join(volumes_moving.select("study_id", inverse(F.col("ijk_to_ras")).alias("back")), "study_id")
+def through(whole: DataFrame, level_fixed: DataFrame, level_moving: DataFrame) -> DataFrame:
+    """study_id, center and reach (half the mean side) of the whole fixed box, to (places of a level's fixed grid to space), back (space to places of its moving grid)."""
+    box = bounds(whole).select("study_id", F.zip_with("lo", "hi", lambda a, b: (a + b) / 2).alias("center"), ((F.col("hi")[0] - F.col("lo")[0] + F.col("hi")[1] - F.col("lo")[1] + F.col("hi")[2] - F.col("lo")[2]) / 6).alias("reach"))
+    return box.join(level_fixed.select("study_id", F.col("ijk_to_ras").alias("to")), "study_id").join(level_moving.select("study_id", inverse(F.col("ijk_to_ras")).alias("back")), "study_id")
 
 
 def _in_grids(p: Column) -> Column:
@@ -176,7 +177,7 @@ def _level(fixed: DataFrame, fixed_volumes: DataFrame, moving: DataFrame, moving
     f, fv = pyramid(fixed, fixed_volumes, factor)
     m, mv = pyramid(moving, moving_volumes, factor)
     points = sampled_values(fv, f, min(1.0, plan.share * factor**3)).select("study_id", *dithered(), binned(F.col("value"), plan.width, plan.bins).alias("fbin"))
-    return stored(points), stored(bricks(m)), stored(through(fv, mv))
+    return stored(points), stored(bricks(m)), stored(through(fixed_volumes, fv, mv))
 
 
 def _tried(state: DataFrame, maps: DataFrame, n: int) -> DataFrame:

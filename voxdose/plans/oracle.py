@@ -74,6 +74,96 @@ def _search(rounds: int = 3) -> str:
     return "+" + ", ".join(out) + f" SELECT study_id, {', '.join(f'round({p}, 6) AS {p}' for p in names)}, mi FROM best_{rounds}"
 
 
+def _sampled(f: int, share: float) -> str:
+    """Sampled places of the level with blocks of f ** 3 places, with values."""
+    ni, nj, nk = -(-16 // f), -(-16 // f), -(-7 // f)
+    n = ni * nj * nk
+    m = min(n, -int(-n * min(1.0, share * f**3) // 1))
+    lo, hi = f"floor(s * {n}::DOUBLE / {m})::BIGINT", f"floor((s + 1) * {n}::DOUBLE / {m})::BIGINT"
+    return f"""SELECT a.study_id, a.i, a.j, a.k, coalesce(value, 0.0::DOUBLE) AS value FROM (
+        SELECT study_id, (place % {ni})::INTEGER AS i, (place // {ni} % {nj})::INTEGER AS j, (place // {ni * nj})::INTEGER AS k FROM (
+        SELECT study_id, {lo} + ((s % 1000003) * 48271 + (study_id % 1000003) * 69621) % 2147483647 % ({hi} - {lo}) AS place FROM vol, range({m}) r(s))) a LEFT JOIN ({_blocks(f)}) b USING (study_id, i, j, k)"""
+
+
+def _blocks(f: int) -> str:
+    held = " * ".join(f"least({f}, {d} - {c} // {f} * {f})" for c, d in zip("ijk", (16, 16, 7), strict=True))
+    return f"SELECT study_id, (i // {f})::INTEGER AS i, (j // {f})::INTEGER AS j, (k // {f})::INTEGER AS k, sum(value) / any_value({held}) AS value FROM vox SEMI JOIN vol USING (study_id) GROUP BY study_id, i // {f}, j // {f}, k // {f}"
+
+
+def _rigid(levels: tuple[int, ...] = (2, 1), share: float = 0.1, first: float = 8.0, least: float = 2.0, rounds: int = 3) -> str:
+    """The search of ``register_rigid``: 21 starts on the first level, then each level's rounds, one row a study between them."""
+    P = range(6)
+    ps, us = [f"p{n}" for n in P], [f"u{n}" for n in P]
+    cols = ", ".join(ps)
+    off = "CASE WHEN study_id % 2 = 0 THEN 60.0::DOUBLE ELSE 0.0::DOUBLE END"
+    mass = lambda o, w: f"sx * (({w} * 1.0::DOUBLE) / n) + ({o})"
+    out = [
+        f"geo AS (SELECT study_id, sx, ox, ox + ({off}) AS mx, 7.5 * sx + ox AS c0, 32.0::DOUBLE AS c1, 9.0::DOUBLE AS c2, ((sx * 15.5 + ox) - (sx * -0.5 + ox) + 64.0::DOUBLE + 28.0::DOUBLE) / 6 AS reach FROM vol)",
+        "mass AS (SELECT study_id, sum(value) AS n, sum(value * i) AS si, sum(value * (i + study_id % 3 - 1)) AS mi, sum(value * j) AS sj, sum(value * k) AS sk FROM vox GROUP BY study_id HAVING sum(value) > 0)",
+        f"shifts AS (SELECT study_id, 0 AS placement, 0.0::DOUBLE AS x, 0.0::DOUBLE AS y, 0.0::DOUBLE AS z FROM geo UNION ALL SELECT study_id, 1, 7.5 * sx + mx - c0, 0.0, 0.0 FROM geo UNION ALL SELECT study_id, 2, CASE WHEN n IS NULL THEN 7.5 * sx + mx - c0 ELSE ({mass('mx', 'mi')}) - ({mass('ox', 'si')}) END, 0.0, 0.0 FROM geo LEFT JOIN mass USING (study_id))",
+        "begun AS (SELECT study_id, placement * 7 + t.n AS start, 0 AS cand, x AS p0, y AS p1, z AS p2, t.a AS p3, t.b AS p4, t.c AS p5 FROM shifts, (VALUES (0, 0.0::DOUBLE, 0.0::DOUBLE, 0.0::DOUBLE), (1, 0.1, 0.0, 0.0), (2, -0.1, 0.0, 0.0), (3, 0.0, 0.1, 0.0), (4, 0.0, -0.1, 0.0), (5, 0.0, 0.0, 0.1), (6, 0.0, 0.0, -0.1)) t(n, a, b, c))",
+    ]
+
+    def scored(name: str, tried: str, f: int) -> None:
+        """Scores of (study_id, start, cand, p0 to p5) on one level."""
+        one = "1.0::DOUBLE"
+        sincos = ", ".join(f"({one} - p{n + 3} * p{n + 3}) / ({one} + p{n + 3} * p{n + 3}) AS k{n + 1}, 2.0::DOUBLE * p{n + 3} / ({one} + p{n + 3} * p{n + 3}) AS s{n + 1}" for n in range(3))
+        r = ["k3 * k2", "k3 * s2 * s1 - s3 * k1", "k3 * s2 * k1 + s3 * s1", "s3 * k2", "s3 * s2 * s1 + k3 * k1", "s3 * s2 * k1 - k3 * s1", "-s2", "k2 * s1", "k2 * k1"]
+        out.append(f"{name}_r AS (SELECT t.*, sx, ox, mx, c0, c1, c2, {sincos} FROM {tried} t JOIN geo USING (study_id))")
+        out.append(f"{name}_a AS (SELECT *, {', '.join(f'{x} AS a{n}' for n, x in enumerate(r))} FROM {name}_r)")
+        out.append(f"{name}_b AS (SELECT *, {', '.join(f'c{n} + p{n} - (a{3 * n} * c0 + a{3 * n + 1} * c1 + a{3 * n + 2} * c2) AS b{n}' for n in range(3))} FROM {name}_a)")
+        # places of the moving level's grid from space, then of the fixed level's grid into space
+        back = [(f"(1.0::DOUBLE / (sx * {f}))", f"(mx + sx * {(f - 1) / 2}::DOUBLE)"), (f"{1 / (4 * f)!r}::DOUBLE", f"{2.0 + 2.0 * (f - 1)!r}::DOUBLE"), (f"{1 / (4 * f)!r}::DOUBLE", f"{-3.0 + 2.0 * (f - 1)!r}::DOUBLE")]
+        rows = []
+        for n, (g, o) in enumerate(back):
+            x = [f"({g} * a{3 * n + c})" for c in range(3)] + [f"({g} * b{n} + -({g} * {o}))"]
+            rows += [f"{x[0]} * (sx * {f})", f"{x[1]} * {4.0 * f!r}::DOUBLE", f"{x[2]} * {4.0 * f!r}::DOUBLE", f"{x[0]} * (ox + sx * {(f - 1) / 2}::DOUBLE) + {x[1]} * {2.0 + 2.0 * (f - 1)!r}::DOUBLE + {x[2]} * {-3.0 + 2.0 * (f - 1)!r}::DOUBLE + {x[3]}"]
+        out.append(f"{name}_m AS (SELECT study_id, start, cand, {', '.join(f'{x} AS m{n}' for n, x in enumerate(rows))} FROM {name}_b)")
+        at = [f"floor(m{4 * n} * i + m{4 * n + 1} * j + m{4 * n + 2} * k + m{4 * n + 3} + 0.5)::INTEGER AS {c}" for n, c in enumerate("ijk")]
+        out.append(f"{name}_at AS (SELECT study_id, start * 100 + cand AS cand, fbin, {', '.join(at)} FROM points_{f} JOIN {name}_m USING (study_id))")
+        out.append(_mi(f"SELECT a.study_id, a.cand, a.fbin, least(floor(coalesce(value, 0.0) / 25.0), 7)::INTEGER AS mbin FROM {name}_at a LEFT JOIN moving_{f} v USING (study_id, i, j, k)").replace("joint", f"{name}_joint").replace("scored", f"{name}_scored"))
+
+    state = ""
+    for f in levels:
+        mixed = "(i::BIGINT * 7919 + j::BIGINT * 104729 + k::BIGINT * 1299709 + study_id % 1000003 * 15485863)"
+        moved = ", ".join(f"{c} + ({mixed} * {m} % 1009 - 504) / 1009.0::DOUBLE + ({mixed} * {m + 90} % 997 - 498) / 997.0::DOUBLE AS {c}" for c, m in zip("ijk", (1, 331, 659), strict=True))
+        out.append(f"points_{f} AS (SELECT study_id, {moved}, least(floor(value / 25.0), 7)::INTEGER AS fbin FROM ({_sampled(f, share)}))")
+        out.append(f"moving_{f} AS (" + _blocks(f).replace("FROM vox", "FROM (SELECT study_id, (i + study_id % 3 - 1)::INTEGER AS i, j, k, value FROM vox WHERE i + study_id % 3 - 1 BETWEEN 0 AND 15) vox").replace("i // ", "floor(i / ").replace(f"floor(i / {f}", f"floor(i / {f}.0)") + ")")
+        if not state:
+            scored("s", "begun", f)
+            out.append("ranked AS (SELECT study_id, cand // 100 AS start, mi, row_number() OVER (PARTITION BY study_id ORDER BY mi DESC, cand) AS n FROM s_scored)")
+            unit = ", ".join([f"1.0::DOUBLE AS u{n}" for n in range(3)] + [f"0.5 / reach AS u{n}" for n in range(3, 6)])
+            out.append(f"state_0 AS (SELECT study_id, start, {cols}, {first}::DOUBLE AS step, {', '.join(f'0.0::DOUBLE AS w{n}' for n in P)}, {unit}, mi FROM begun JOIN ranked USING (study_id, start) JOIN geo USING (study_id) WHERE n = 1)")
+            state = "state_0"
+        else:
+            out.append(f"state_{f}_again AS (SELECT * REPLACE (step * 2 AS step, {', '.join(f'0.0::DOUBLE AS w{n}' for n in P)}) FROM {state})")
+            state = f"state_{f}_again"
+        for r in range(rounds):
+            name = f"l{f}r{r}"
+            rows = [[0] * 6] + [[sign * (m == k) for m in P] for k in P for sign in (1, -1)]
+            moves = ", ".join("(" + ", ".join([str(n), *(f"{float(v)!r}::DOUBLE" for v in row)]) + ")" for n, row in enumerate(rows))
+            live = f"(SELECT * FROM {state} WHERE step >= {least * f!r})"
+            d = ", ".join(f"d{n}" for n in P)
+            out.append(f"{name}_d AS (SELECT s.*, cand, {d} FROM {live} s, (VALUES {moves}) v(cand, {d}) UNION ALL SELECT s.*, 13, {', '.join(f'w{n}' for n in P)} FROM {live} s)")
+            out.append(f"{name}_tried AS (SELECT study_id, start, cand, {', '.join(f'p{n} + d{n} * u{n} * step AS p{n}' for n in P)} FROM {name}_d)")
+            scored(name, f"{name}_tried", f)
+            out.append(f"{name}_of AS (SELECT study_id, list(mi ORDER BY cand) AS of, arg_max(cand % 100, mi * 1000000 * 100 - cand % 100) AS best, max(mi) AS top FROM {name}_scored GROUP BY study_id)")
+            pull = ", ".join(f"CASE WHEN of[{2 * n + 2}] > of[1] AND of[{2 * n + 2}] >= of[{2 * n + 3}] THEN 1.0::DOUBLE WHEN of[{2 * n + 3}] > of[1] THEN -1.0 ELSE 0.0 END AS w{n}" for n in P)
+            went = ", ".join(f"t.p{n}" for n in P)
+            out.append(f"{name}_next AS (SELECT s.study_id, s.start, {went}, CASE WHEN best = 0 THEN step / 2 ELSE step END AS step, {pull}, {', '.join(us)}, top AS mi FROM {state} s JOIN {name}_of o USING (study_id) JOIN {name}_tried t ON t.study_id = s.study_id AND t.cand = o.best UNION ALL SELECT study_id, start, {cols}, step, {', '.join(f'w{n}' for n in P)}, {', '.join(us)}, mi FROM {state} WHERE step < {least * f!r})")
+            state = f"{name}_next"
+    out.append(f"ent AS (SELECT study_id, sum(-q * ln(q)) AS h FROM (SELECT study_id, count(*) / sum(count(*)) OVER (PARTITION BY study_id) AS q FROM points_{levels[-1]} GROUP BY study_id, fbin) GROUP BY study_id)")
+    out.append(f"done AS (SELECT study_id, {cols}, mi, coalesce(mi / nullif(h, 0), 0.0) AS fit FROM {state} JOIN ent USING (study_id))")
+    return "+" + ", ".join(x.replace(" AS (", " AS MATERIALIZED (", 1) for x in out)
+
+
+_RIGID = _rigid()
+_HARDENED = f"""{_RIGID},
+    back AS (SELECT study_id, fit, c0, c1, c2, 7.5 * sx + mx AS m0, 7.5 * sx + mx - (c0 + p0) AS x, 32.0 - (c1 + p1) AS y, 9.0 - (c2 + p2) AS z, {', '.join(f'(1 - p{n + 3} * p{n + 3}) / (1 + p{n + 3} * p{n + 3}) AS k{n + 1}, 2 * p{n + 3} / (1 + p{n + 3} * p{n + 3}) AS s{n + 1}' for n in range(3))} FROM done JOIN geo USING (study_id)),
+    hard AS (SELECT *, k3 * k2 * x + s3 * k2 * y - s2 * z + c0 AS hx, (k3 * s2 * s1 - s3 * k1) * x + (s3 * s2 * s1 + k3 * k1) * y + k2 * s1 * z + c1 AS hy, (k3 * s2 * k1 + s3 * s1) * x + (s3 * s2 * k1 - k3 * s1) * y + k2 * k1 * z + c2 AS hz FROM back)
+    SELECT geo.study_id, v AS volume_id, round(CASE WHEN fit >= 0.3 THEN hx ELSE 7.5 * geo.sx + geo.mx END, 6) AS x, round(CASE WHEN fit >= 0.3 THEN hy ELSE 32.0 END, 6) AS y, round(CASE WHEN fit >= 0.3 THEN hz ELSE 9.0 END, 6) AS z FROM geo LEFT JOIN hard USING (study_id), (VALUES ('ct'), ('nm')) t(v)"""
+
+
 _TABLE = "SELECT study_id, ord, name, round(dose, 6) AS dose_gy, round(vol_ml, 6) AS volume_ml, round(act, 6) AS activity_mbq FROM"
 _CENTER = "CASE WHEN moved THEN {a} ELSE {b} END"
 _XYZ = {
@@ -190,6 +280,11 @@ _SQL = {
     "register_methods": f"SELECT study_id, method, round({_XYZ['x']}, 6) AS x, round({_XYZ['y']}, 6) AS y, round({_XYZ['z']}, 6) AS z FROM (SELECT study_id, sx, ox, study_id % 4 < 2 AS moved, ['Rigid', 'Affine', 'BSpline', 'none'][study_id % 4 + 1] AS method FROM vol)",
     "harden_bspline": _HARD,
     "register_affine": _search(),
+    "register_rigid": f"{_RIGID} SELECT study_id, 'Rigid' AS method, {', '.join(f'round(p{n}, 6) AS {p}' for n, p in enumerate(('tx', 'ty', 'tz', 'rx', 'ry', 'rz')))}, mi, round(fit, 6) AS fit FROM done",
+    "register_and_harden": _HARDENED,
+    "image_pyramid": f"SELECT study_id, i, j, k, round(value, 6) AS value FROM ({_blocks(2)})",
+    "chain_transforms": "SELECT study_id, format('0.000 -1.000 0.000 {:.3f} 1.500 0.000 0.000 -2.000 0.000 0.000 1.000 7.000 0.000 0.000 0.000 1.000', 5.0 + study_id % 5) AS matrix FROM vol",
+    "sample_lattice": _sampled(1, 0.1),
     "register_methods_voxels": f"""SELECT study_id, ['Rigid', 'Affine', 'BSpline', 'none'][study_id % 4 + 1] AS method, count(*) AS n, sum(value) AS total, sum(value * i) AS si, sum(value * j) AS sj, sum(value * k) AS sk
         FROM (SELECT * FROM ({_HARD}) WHERE study_id % 4 = 2 UNION ALL SELECT vox.* FROM vox JOIN vol USING (study_id) WHERE study_id % 4 <> 2) GROUP BY study_id""",
     "resample_to_grid": "SELECT study_id, ti AS i, tj AS j, tk AS k, value FROM target JOIN vox USING (study_id, i, j, k)",

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import scalar as S
-from ..operators import dosimetry, masks, registration, tables, validate
+from ..operators import dosimetry, masks, registration, search, tables, validate
 from ..sources import bricks, lattice, nrrd
 
 STAMP = "2024-01-01 00:00:00"
@@ -260,6 +260,43 @@ def _register(t: _Lattice) -> DataFrame:
     return x.select("study_id", *[_r(p) for p in registration.PARAMETERS], _r("mi"))
 
 
+#: A short search: two levels, three rounds each.
+SEARCH_PLAN = search.Plan(WIDTH, BINS, share=0.1, levels=(2, 1), first=8.0, least=2.0, rounds=3, keep=1)
+
+
+def _moved_scanner(t: _Lattice) -> DataFrame:
+    """The volumes as from another scanner: the origin of every second study lies 60 mm away."""
+    m = F.col("ijk_to_ras")
+    return t.volumes.withColumn("ijk_to_ras", F.array(*[m[n] + F.when(F.col("study_id") % 2 == 0, 60.0).otherwise(0.0) if n == 3 else m[n] for n in range(16)]))
+
+
+def _rigid(t: _Lattice) -> DataFrame:
+    moved = t.voxels.withColumn("i", F.col("i") + F.col("study_id").cast("int") % 3 - 1)
+    return search.search(t.voxels, t.volumes, moved, _moved_scanner(t), SEARCH_PLAN)
+
+
+def _register_rigid(t: _Lattice) -> DataFrame:
+    return _rigid(t).select("study_id", "method", *[F.round(F.col("p")[n], 6).alias(p) for n, p in enumerate(search.NAMES[:6])], _r("mi"), _r("fit"))
+
+
+def _register_and_harden(t: _Lattice) -> DataFrame:
+    """Both volumes of the moving study, laid on the fixed one where the fit is good enough."""
+    both = _moved_scanner(t).withColumn("volume_id", F.explode(F.array(F.lit("ct"), F.lit("nm"))))
+    hardened = registration.apply_linear_transform(both, search.matrices(_rigid(t), t.volumes, least_fit=0.3))
+    return masks.volume_center(hardened).select("study_id", "volume_id", *[F.round(F.col("center")[a], 6).alias(n) for a, n in enumerate("xyz")])
+
+
+def _pyramid(t: _Lattice) -> DataFrame:
+    return search.pyramid(t.voxels, t.volumes, 2)[0].select(*masks.AT, _r("value"))
+
+
+def _chained(t: _Lattice) -> DataFrame:
+    """A quarter turn with a stretch and a shift, then a shift that differs between studies."""
+    second = F.array(*[(F.col("study_id") % 5).cast("double") if n == 3 else F.lit(float(n % 5 == 0)) for n in range(16)])
+    x = t.volumes.select("study_id", F.lit(2).alias("ord"), second.alias("matrix")).unionByName(t.volumes.select("study_id", F.lit(1).alias("ord"), F.array(*map(F.lit, TURN)).alias("matrix")))
+    return search.chained(x).select("study_id", F.array_join(F.transform("matrix", lambda v: F.format_string("%.3f", v)), " ").alias("matrix"))
+
+
 def _files(t: _Lattice) -> DataFrame:
     place = (F.col("i") + 16 * F.col("j") + 256 * F.col("k")).cast("int")
     per = t.voxels.groupBy("study_id").agg(F.array_sort(F.collect_list(F.struct(place.alias("p"), "value"))).alias("cells"))  # a grid of 1792 places
@@ -360,6 +397,11 @@ QUERIES: dict[str, Callable[[_Lattice], DataFrame]] = {
     "register_candidates": _candidates,
     "harden_bspline": lambda t: registration.harden_bspline(t.voxels, t.volumes, *_splines(t)),
     "register_affine": _register,
+    "register_rigid": _register_rigid,
+    "register_and_harden": _register_and_harden,
+    "image_pyramid": _pyramid,
+    "chain_transforms": _chained,
+    "sample_lattice": lambda t: masks.sampled_values(t.volumes, t.voxels, 0.1),
     "register_methods": _methods,
     "register_methods_voxels": _methods_voxels,
     "resample_to_grid": lambda t: registration.resample_to_grid(t.voxels, t.volumes, _target_grid(t)),
