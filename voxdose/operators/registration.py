@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions.scalar import inverse, nearest, placed, product
 from ..sources.store import settled, stored
-from .masks import AT, BROADCAST, lattice_lookup, sampled, small, volume_center
+from .masks import AT, BROADCAST, boxed, carried, sampled, small, volume_center
 
 #: Parameters of a candidate: shifts in mm, tangents of half the turns about the three axes, and growth.
 PARAMETERS = ("tx", "ty", "tz", "rx", "ry", "rz", "g")
@@ -32,7 +32,7 @@ def geometry_align(fixed: DataFrame, moving: DataFrame) -> DataFrame:
 
 def resample_to_grid(voxels: DataFrame, source: DataFrame, target: DataFrame) -> DataFrame:
     """Values on another grid, each from the nearest source voxel."""
-    return lattice_lookup(source, target).join(voxels, AT).select("study_id", F.col("ti").alias("i"), F.col("tj").alias("j"), F.col("tk").alias("k"), "value")
+    return carried(boxed(voxels, F.col("value")), source, target)
 
 
 def apply_bspline(points: DataFrame, grid: DataFrame, control: DataFrame) -> DataFrame:
