@@ -35,11 +35,11 @@ def resample_to_grid(voxels: DataFrame, source: DataFrame, target: DataFrame) ->
     return carried(boxed(voxels, F.col("value")), source, target)
 
 
-def apply_bspline(points: DataFrame, grid: DataFrame, control: DataFrame) -> DataFrame:
+def apply_bspline(points: DataFrame, grid: DataFrame, control: DataFrame, *keep: str) -> DataFrame:
     """Displacement (dx, dy, dz) of each point (study_id, i, j, k, x, y, z) under a cubic B-spline grid.
 
     Control points are gathered per cell, at most 64 in a row, so that each point takes part in one join
-    and its sum is made within the row. Control points that are not listed, and those beyond the border, count as 0.
+    and its sum is made within the row; weights are made after the join, and ``keep`` names columns of the points to carry along. Control points that are not listed, and those beyond the border, count as 0.
     """
     x = points.join(small(grid.select("study_id", "origin", "spacing")), "study_id")
     for a, c in enumerate("xyz"):
@@ -54,10 +54,11 @@ def apply_bspline(points: DataFrame, grid: DataFrame, control: DataFrame) -> Dat
     cell = [(F.col(f"c{n}") - t + 1).cast("int").alias(f"n{m}") for n, m, t in zip("ijk", "xyz", (a, b, c), strict=True)]
     part = F.struct("s", a.alias("a"), b.alias("b"), c.alias("c"), "dx", "dy", "dz")
     cells = each.select("study_id", *cell, part.alias("p")).groupBy("study_id", "nx", "ny", "nz").agg(F.array_sort(F.collect_list("p")).alias("near"))
-    met = x.select(*AT, "nx", "ny", "nz", *[weights(F.col(f"u{m}")).alias(f"w{m}") for m in "xyz"]).join(cells, ["study_id", "nx", "ny", "nz"], "left")
+    met = x.select(*AT, *keep, "nx", "ny", "nz", "ux", "uy", "uz").join(cells, ["study_id", "nx", "ny", "nz"], "left")
+    met = met.select(*AT, *keep, "near", *[weights(F.col(f"u{m}")).alias(f"w{m}") for m in "xyz"])
     weight = lambda p: F.get("wx", p["a"]) * F.get("wy", p["b"]) * F.get("wz", p["c"])
     moved = lambda d: F.coalesce(F.aggregate("near", F.lit(0.0), lambda acc, p: acc + F.coalesce(weight(p) * p[d], F.lit(0.0))), F.lit(0.0))
-    return met.select(*AT, *[moved(d).alias(d) for d in ("dx", "dy", "dz")])
+    return met.select(*AT, *keep, *[moved(d).alias(d) for d in ("dx", "dy", "dz")])
 
 
 def lattice_points(volumes: DataFrame) -> DataFrame:
@@ -79,8 +80,7 @@ def looked_up(points: DataFrame, volumes: DataFrame, voxels: DataFrame, *keep: s
 
 def harden_bspline(voxels: DataFrame, volumes: DataFrame, grid: DataFrame, control: DataFrame) -> DataFrame:
     """The voxels moved by a B-spline grid: each voxel takes the value at its centre plus the displacement there. Voxels of 0 are left out."""
-    points = lattice_points(volumes)
-    moved = points.join(apply_bspline(points, grid, control), AT).select(*AT, *[(F.col(c) + F.col(f"d{c}")).alias(c) for c in "xyz"])
+    moved = apply_bspline(lattice_points(volumes), grid, control, "x", "y", "z").select(*AT, *[(F.col(c) + F.col(f"d{c}")).alias(c) for c in "xyz"])
     return looked_up(moved, volumes, voxels, "i", "j", "k").where("value <> 0").select(*AT, "value")
 
 
