@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 from collections.abc import Callable
+from contextvars import ContextVar
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -107,23 +108,30 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 _own: dict[str, str] = {}
-_tables: list[str] = []
+#: The tables of the running call of ``stored_alone``, in this thread or task; others that run meanwhile have lists of their own.
+_tables: ContextVar[list[str] | None] = ContextVar("tables of the running call", default=None)
 
 
 def stored(df: DataFrame) -> DataFrame:
     """Cut the lineage: write the rows to the shared folder and read them again."""
     path = f"{shared_dir(df.sparkSession)}/table-{uuid.uuid4().hex}"
+    tables = _tables.get()
+    if tables is not None:
+        tables.append(path)
     df.write.option("compression", "zstd").parquet(path)
-    _tables.append(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def stored_alone(spark: SparkSession, make: Callable[[], DataFrame]) -> DataFrame:
-    """What ``make`` returns, stored; the tables that it stored on the way are deleted, since nothing else reads them."""
-    first = len(_tables)
-    out = stored(make())
-    for path in _tables[first:-1]:
-        at = spark._jvm.org.apache.hadoop.fs.Path(path)
-        at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
-    del _tables[first:]
-    return out
+    """What ``make`` returns, stored; the tables that it stored on the way are deleted, since nothing else reads them, also when it fails."""
+    tables: list[str] = []
+    token = _tables.set(tables)
+    try:
+        out = stored(make())
+        tables.pop()
+        return out
+    finally:
+        _tables.reset(token)
+        for path in tables:
+            at = spark._jvm.org.apache.hadoop.fs.Path(path)
+            at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
