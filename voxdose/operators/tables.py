@@ -6,6 +6,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.reports import write_named
+
 
 def two_decimals(x: Column, unit: str = "", compat: bool = False) -> Column:
     """Text with two decimals. ``compat`` rounds the binary value half to even, as Python does."""
@@ -53,5 +55,6 @@ def report_path(name: Column) -> Column:
     return F.when(F.lower(name).endswith(".rtf"), name).otherwise(F.concat(name, F.lit(".rtf")))
 
 
-def write_reports(reports: DataFrame, path: str) -> None:
-    reports.select("study_id", F.col("report").alias("value")).write.partitionBy("study_id").text(path)
+def write_reports(reports: DataFrame, folder: str) -> None:
+    """Each report (name, report) as a file of its own, named by ``report_path``: all of them, or none."""
+    write_named(reports.select(report_path(F.col("name")).alias("path"), "report"), folder)

@@ -261,6 +261,7 @@ _SQL = {
     "report_relative": _report("Patient Relative Quantification", "trel", "vol", _LINES_REL),
     "report_relative_compat": _report("Patient Relative Quantification", "trel", "vol", _LINES_REL, compat=True),
     "report_absolute": _report("Absolute Quantification", "eabs", "et", " || ".join([_L("Activity During Imaging", "h.total_mbq", " MBq"), _L("Decay Corrected Activity", "h.decayed", " MBq"), _L("Conversion Factor", "49.67", " Gy/MBq/g"), _L("Liver Density", "1.05", " g/mL")])),
+    "report_files": f"SELECT replace(vol.name, '#', '-') || '.rtf' AS path, sha256(report) AS sha256 FROM ({_report('Patient Relative Quantification', 'trel', 'vol', _LINES_REL)}) r JOIN vol USING (study_id)",
     "report_path": "SELECT study_id, name || CASE WHEN study_id % 2 = 0 THEN '.RTF' ELSE '.rtf' END AS path FROM vol",
     "missing_inputs": "SELECT s_suppkey AS study_id, concat_ws(', ', CASE WHEN s_suppkey % 2 <> 0 THEN 'Input SPECT/PET Volume' END, CASE WHEN s_suppkey % 3 = 0 THEN 'Segmentation' END, CASE WHEN s_suppkey % 3 = 0 OR s_suppkey % 7 = 0 THEN 'Whole Liver Segment' END, CASE WHEN s_suppkey % 5 = 0 THEN 'Output Volume' END) AS missing FROM supplier",
     "missing_inputs_absolute": f"SELECT study_id, concat_ws(chr(10), CASE WHEN {_ABSENT[0]} THEN 'Input PET Volume' END, CASE WHEN {_ABSENT[1]} THEN 'Segmentation' END, CASE WHEN {_ABSENT[3]} THEN 'Output Volume' END) AS missing FROM vol",

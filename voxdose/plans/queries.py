@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 from functools import reduce
 
@@ -11,6 +12,7 @@ from pyspark.sql import functions as F
 from ..functions import scalar as S
 from ..operators import dosimetry, masks, registration, search, tables, validate
 from ..sources import bricks, lattice, nrrd
+from ..sources.store import shared_dir
 
 STAMP = "2024-01-01 00:00:00"
 SHIFTS = [(s, 0, 0) for s in (0, -1, 1)]
@@ -163,6 +165,14 @@ def _report_rel(t: _Lattice, compat: bool = False) -> DataFrame:
     return tables.report(_table_rel(t), heads, compat)
 
 
+def _report_files(t: _Lattice) -> DataFrame:
+    """Reports written as named files, and what is found in their folder."""
+    folder = f"{shared_dir(t.spark)}/reports-{uuid.uuid4().hex}"
+    tables.write_reports(_report_rel(t).join(t.volumes.select("study_id", F.regexp_replace("name", "#", "-").alias("name")), "study_id"), folder)
+    files = t.spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(folder)
+    return files.select(F.regexp_extract("path", "([^/]+)$", 1).alias("path"), F.sha2("content", 256).alias("sha256"))
+
+
 def _report_abs(t: _Lattice) -> DataFrame:
     two = lambda c, label, unit: F.concat(F.lit(f"{label}: "), tables.two_decimals(F.col(c), unit))
     x = _activity_abs(t).join(t.event_params.select("study_id", "conv_factor", "density_g_ml"), "study_id")
@@ -384,6 +394,7 @@ QUERIES: dict[str, Callable[[_Lattice], DataFrame]] = {
     "report_relative": _report_rel,
     "report_relative_compat": lambda t: _report_rel(t, compat=True),
     "report_absolute": _report_abs,
+    "report_files": _report_files,
     "report_path": lambda t: t.volumes.select("study_id", tables.report_path(F.when(F.col("study_id") % 2 == 0, F.concat("name", F.lit(".RTF"))).otherwise(F.col("name"))).alias("path")),
     "missing_inputs": _some_missing,
     "missing_inputs_absolute": lambda t: validate.missing_inputs(_presence(t), validate.LABELS_ABSOLUTE, "\n"),
