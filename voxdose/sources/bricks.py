@@ -31,3 +31,18 @@ def bricks_from_voxels(voxels: DataFrame, size: int = 4) -> DataFrame:
 
 def write_voxels(voxels: DataFrame, path: str) -> None:
     voxels.write.partitionBy("study_id").parquet(path)
+
+
+#: What voxel and segment tables are joined on.
+PLACE = ("study_id", "i", "j", "k")
+
+
+def write_copartitioned(df: DataFrame, table: str, buckets: int, path: str | None = None) -> DataFrame:
+    """A voxel or segment table stored in buckets of places, sorted within them, and read again.
+
+    Tables of the same number of buckets are joined on places without a shuffle, so masks and segment sums of a stored cohort
+    move only what they sum up. Choose buckets so that one fits in a task's memory: their number is fixed until the table is rewritten.
+    """
+    writer = df.repartition(buckets, *PLACE).write.format("parquet").mode("overwrite").bucketBy(buckets, *PLACE).sortBy(*PLACE)
+    (writer.option("path", path) if path else writer).saveAsTable(table)
+    return df.sparkSession.table(table)
