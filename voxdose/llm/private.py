@@ -3,8 +3,8 @@
 Spans of the fixed patterns are seed entities. The words before and after an entity form
 lexical patterns (left, right, both); the corpus's other words with a digit, without the
 punctuation at their edges, and runs of several numbers are candidate instances. Scores go
-round the pattern-instance graph: a pattern's score is its instances' mean score, shrunk for
-few instances, and a candidate's score is the noisy-or of its patterns, raised by the score
+round the pattern-instance graph: a pattern's score is the sum of its instances' scores over all places where its words
+stand, beside instances or anything else (of two words the rarer one), shrunk for few places; so words that stand beside everything speak for nothing. A candidate's score is the noisy-or of its patterns, raised by the score
 of its shape where its patterns speak for it. Each round asks anew which patterns have
 enough instances that are seeds or have a high score, so found instances support new
 patterns: instances of a second generation need ``ROUNDS`` of two or three, of a third one more. Candidates that end with a high score are reported as kind ``context``; such
@@ -13,8 +13,7 @@ the ``CONTEXT`` code points on each side, as far as they belong to no other matc
 they are longer or missing, that side gives no pattern. A pattern's instances may be a third of all: its row is
 broadcast, or copied to ``SALTS`` parts of them.
 
-Null and empty texts have no spans. Repeated rows are scanned alike (a repeated pair
-of doc_id and text counts once in the graph); an empty table gives an empty result.
+Null and empty texts have no spans. Repeated rows are scanned alike (each counts in the graph); an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -126,10 +125,22 @@ def scanned(docs: DataFrame, column: str = "text") -> DataFrame:
 
 
 def graph(rows: DataFrame) -> DataFrame:
-    """Distinct (pattern, instance) edges; ``seed`` is 1 for instances of the fixed patterns."""
+    """Distinct (pattern, instance) edges with how often they occur; ``seed`` is 1 for instances of the fixed patterns."""
     each = rows.select(F.explode(F.concat("_base", "_more")).alias("s"))
     edges = each.select(F.explode(_patterns(F.col("s.left"), F.col("s.right"))).alias("pattern"), F.col("s.hit").alias("instance"), "s.kind")
-    return edges.groupBy("pattern", "instance").agg(F.max((F.col("kind") != "context").cast("double")).alias("seed"))
+    return edges.groupBy("pattern", "instance").agg(F.max((F.col("kind") != "context").cast("double")).alias("seed"), F.count("*").alias("times"))
+
+
+def fillers(docs: DataFrame, edges: DataFrame, column: str = "text") -> DataFrame:
+    """(pattern, n): how often the words of a pattern stand anywhere, beside whatever; of two words the rarer one.
+
+    A word that stands nowhere was cut from a longer one by the end of the context: its patterns have no row.
+    """
+    plain = F.regexp_replace(F.lower(text_of(F.col(column))), "[0-9]+", "9")
+    words = docs.select(F.explode(F.split(plain, r"[^\p{L}\p{N}]+")).alias("word")).groupBy("word").agg(F.count("*").alias("n"))
+    sides = edges.select("pattern").distinct().withColumn("words", F.array_remove(F.split("pattern", " "), "_"))
+    met = sides.select("pattern", F.size("words").alias("of"), F.explode("words").alias("word")).join(words, "word")
+    return met.groupBy("pattern", "of").agg(F.min("n").alias("n"), F.count("*").alias("known")).where("known = of").select("pattern", "n")
 
 
 def _under(edges: DataFrame, pattern: DataFrame) -> DataFrame:
@@ -139,15 +150,15 @@ def _under(edges: DataFrame, pattern: DataFrame) -> DataFrame:
     return edges.withColumn("salt", F.pmod(F.xxhash64("instance"), F.lit(SALTS)).cast("int")).join(copies, ["pattern", "salt"])
 
 
-def found(edges: DataFrame) -> DataFrame:
-    """Instances beside the seeds whose score is high, by the rounds described above."""
-    edges = stored(edges)
+def found(edges: DataFrame, n: DataFrame) -> DataFrame:
+    """Instances beside the seeds whose score is high, by the rounds described above; ``n`` as ``fillers`` gives it."""
+    n = stored(n)
     score = edges.groupBy("instance").agg(F.max("seed").alias("seed")).withColumn("score", F.col("seed"))
     for _ in range(ROUNDS):
         support = F.sum((F.col("score") >= LEAST).cast("int"))
-        trust = F.sum("score") / (F.count("*") + SHRINK)
-        pattern = stored(edges.select("pattern", "instance").join(score, "instance").groupBy("pattern").agg(trust.alias("trust"), support.alias("support")).where(F.col("support") >= SEEDS))
-        shape = score.groupBy(_shape(F.col("instance")).alias("shape")).agg(trust.alias("of_shape"))
+        held = edges.select("pattern", "instance", "times").join(score, "instance").groupBy("pattern").agg(F.sum(F.col("score") * F.col("times")).alias("held"), support.alias("support")).where(F.col("support") >= SEEDS)
+        pattern = stored(held.join(n, "pattern").select("pattern", "support", (F.col("held") / (F.col("n") + SHRINK)).alias("trust")))
+        shape = score.groupBy(_shape(F.col("instance")).alias("shape")).agg((F.sum("score") / (F.count("*") + SHRINK)).alias("of_shape"))
         scored = _under(edges, pattern).groupBy("instance").agg(F.max("seed").alias("_seed"), F.sum(F.log1p(-F.least(F.col("trust"), F.lit(0.999)))).alias("miss"))
         by_words = 1 - F.exp(F.coalesce("miss", F.lit(0.0)))
         raised = F.when(by_words >= LIKELY, 1 - (1 - by_words) * (1 - SHAPE * F.col("of_shape"))).otherwise(by_words)
@@ -160,8 +171,9 @@ def op3(docs: DataFrame) -> DataFrame:
     text = text_of()
     rows = stored(scanned(docs.select("doc_id", "text")).select("doc_id", F.xxhash64(text, F.length(text)).alias("_same"), "_base", "_more"))
     unseen = rows.where(F.size("_more") > 0).select("doc_id", "_same", F.explode("_more").alias("s"))
+    edges = stored(graph(rows))
     more = (
-        unseen.join(found(graph(rows)), unseen["s.hit"] == F.col("instance"), "left_semi")
+        unseen.join(found(edges, fillers(docs, edges)), unseen["s.hit"] == F.col("instance"), "left_semi")
         .groupBy("doc_id", "_same")
         .agg(F.array_sort(F.collect_set(F.struct("s.kind", "s.start", "s.end"))).alias("_new"))
         .withColumnsRenamed({"doc_id": "_id", "_same": "_text"})
