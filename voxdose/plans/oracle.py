@@ -223,6 +223,7 @@ _SQL = {
         LEFT JOIN vox x ON x.study_id = b.study_id AND x.i = bi * 4 + p % 4 AND x.j = bj * 4 + p // 4 % 4 AND x.k = bk * 4 + p // 16) GROUP BY study_id, bi, bj, bk""",
     "verify_manifest": "SELECT printf('study_%06d.nrrd', study_id) AS file_name, CASE study_id % 3 WHEN 0 THEN 'ok' WHEN 1 THEN 'checksum differs' ELSE 'missing' END AS status FROM (SELECT DISTINCT study_id FROM vox)",
     "ingest_nrrd": "SELECT study_id, i, j, k, value, 'ok' AS status FROM vox WHERE value <> 0",
+    "ingest_split": "SELECT study_id, i, j, k, value, 'ok' AS status FROM vox WHERE value <> 0",
     "ingest_volumes": "SELECT study_id, 16::INTEGER AS ni, 16::INTEGER AS nj, 7::INTEGER AS nk, sx AS si, 4.0::DOUBLE AS sj, 4.0::DOUBLE AS sk, ox AS ox, 2.0::DOUBLE AS oy, -3.0::DOUBLE AS oz, 1::INTEGER AS layers, 'ok' AS status FROM vol WHERE study_id IN (SELECT study_id FROM vox)",
     "ingest_segments": "SELECT study_id, segment_id, segment_id AS name, CAST(ord AS INTEGER) AS ord, CAST(ord AS INTEGER) AS label_value, CASE segment_id WHEN 'tumor' THEN 1 WHEN 'edge' THEN 2 ELSE 0 END AS layer, 'ok' AS status FROM segs",
     "ingest_segment_voxels": "SELECT study_id, segment_id, count(*) AS n, sum(i)::BIGINT AS si, sum(j)::BIGINT AS sj, sum(k)::BIGINT AS sk FROM sv GROUP BY study_id, segment_id",

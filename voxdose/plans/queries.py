@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions import scalar as S
 from ..operators import dosimetry, masks, registration, search, tables, validate
-from ..sources import bricks, lattice, nrrd
+from ..sources import bricks, lattice, nrrd, nrrd_split, reports
 from ..sources.store import shared_dir
 
 STAMP = "2024-01-01 00:00:00"
@@ -346,6 +346,14 @@ def _ingest(t: _Lattice) -> DataFrame:
     return x.select(_study(), "i", "j", "k", "value", "status")
 
 
+def _ingest_split(t: _Lattice) -> DataFrame:
+    """The files written to the shared folder and read by several tasks each, where they are raw."""
+    folder = f"{shared_dir(t.spark)}/images-{uuid.uuid4().hex}"
+    reports.write_files(_files(t), folder)
+    x = nrrd_split.read_voxels(t.spark, folder, split_bytes=4096, partition_bytes=1 << 16)
+    return x.withColumn("path", F.element_at(F.split("path", "/"), -1)).select(_study(), "i", "j", "k", "value", "status")
+
+
 def _manifest(t: _Lattice) -> DataFrame:
     files, s = _files(t), F.regexp_extract("path", "([0-9]+)", 1).cast("bigint")
     listed = files.select(F.col("path").alias("file_name"), F.when(s % 3 == 1, F.sha2(F.col("path"), 256)).otherwise(F.concat(F.lit("SHA256:"), F.sha2("content", 256))).alias("sha256"))
@@ -357,6 +365,7 @@ QUERIES: dict[str, Callable[[_Lattice], DataFrame]] = {
     "bricks_from_voxels": _bricks_from_voxels,
     "verify_manifest": _manifest,
     "ingest_nrrd": _ingest,
+    "ingest_split": _ingest_split,
     "ingest_volumes": _volumes_read,
     "ingest_segments": lambda t: nrrd.segments(_segmentations(t)).select(_study(), "segment_id", "name", "ord", "label_value", "layer", "status"),
     "ingest_segment_voxels": _segment_voxels_read,

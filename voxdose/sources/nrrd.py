@@ -111,14 +111,15 @@ def read_files(spark, path: str) -> DataFrame:
 def attached(files: DataFrame) -> DataFrame:
     """Files with the data of detached headers (``data file: name``) behind them; data files themselves are left out.
 
-    Header and data are matched by folder and name.
+    Header and data are matched by folder and name; contents pass through joins, which ``nrrd_split`` spares large files.
     """
     folder = F.regexp_extract("path", "^(.*/)?", 0)
     head = F.decode(F.substring("content", 1, 65536), "ISO-8859-1")
     name = F.when(head.startswith("NRRD"), F.regexp_extract(head, r"(?im)^data ?file: *(?:\./)?([^\r\n]+?) *\r?$", 1))
     x = files.withColumn("_data", F.when(name != "", F.concat(folder, name)))
     data = files.select(F.col("path").alias("_data"), F.col("content").alias("_rest"))
-    rest = F.concat(F.col("content"), F.lit(b"\n\n"), F.col("_rest"))
+    fields = F.encode(F.regexp_extract(F.decode("content", "ISO-8859-1"), r"(?s)^(.*?)(?:\r?\n\r?\n|$)", 1), "ISO-8859-1")  # a blank line may end them
+    rest = F.concat(fields, F.lit(b"\n\n"), F.col("_rest"))
     whole = x.join(data, "_data", "left").withColumn("content", F.when(F.col("_rest").isNotNull(), rest).otherwise(F.col("content")))
     return whole.join(x.select(F.col("_data").alias("path")), "path", "left_anti").select("path", "content")
 

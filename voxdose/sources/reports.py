@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql.datasource import DataSource, DataSourceWriter, WriterCommitMessage
 from pyspark.sql.types import StructType
 
-FORMAT = "dose_reports"
+FORMAT, FILES = "dose_reports", "named_files"
 
 
 def _files(folder: str):
@@ -51,7 +51,8 @@ class ReportWriter(DataSourceWriter):
             place = f"{aside}/{name}"
             files.create_dir(place.rpartition("/")[0], recursive=True)
             with files.open_output_stream(place) as out:
-                out.write((row["report"] or "").encode())
+                text = row[1] or b""
+                out.write(text.encode() if isinstance(text, str) else bytes(text))
             names.append(name)
         return Written(aside, names)
 
@@ -94,11 +95,29 @@ class ReportSink(DataSource):
         return ReportWriter(self.options["path"])
 
 
+class FileSink(ReportSink):
+    """The same for files of any content."""
+
+    @classmethod
+    def name(cls) -> str:
+        return FILES
+
+    def schema(self) -> str:
+        return "path string, content binary"
+
+
 def register(spark: SparkSession) -> None:
     spark.dataSource.register(ReportSink)
+    spark.dataSource.register(FileSink)
 
 
 def write_named(reports: DataFrame, folder: str) -> None:
     """Reports (path, report) as files of those names in a folder, all or none."""
     register(reports.sparkSession)
     reports.select("path", "report").write.format(FORMAT).mode("append").save(folder)
+
+
+def write_files(files: DataFrame, folder: str) -> None:
+    """Files (path, content) of those names in a folder, all or none."""
+    register(files.sparkSession)
+    files.select("path", "content").write.format(FILES).mode("append").save(folder)
