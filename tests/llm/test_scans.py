@@ -203,6 +203,24 @@ def test_every_license_line(docs, spark):
     assert {want[r["doc_id"]][0]: r["labels"] for r in rows} == dict(want.values())
 
 
+def test_license_passages_with_a_tenth_changed(spark):
+    """Every passage is found, by its own label alone, when each tenth word is another and one more is put in; half of it is not."""
+    rows, want = [], {}
+    for label, passages in licenses.PASSAGES.items():
+        for text in passages:
+            w, keys = licenses._parsed(text)
+            assert len(w) >= 20
+            kept = {t + j for t in keys for j in range(licenses.GRAM)}
+            new = ["other" if n % 10 == 5 and n not in kept else x for n, x in enumerate(w)]
+            new.insert(next(n for n in range(len(w) // 2, len(w)) if n not in kept), "indeed")
+            want[len(rows)] = label
+            rows.append((len(rows), f"We begin with words of our own. {' '.join(new)}. Then we go on.\n" * 2))
+            rows.append((len(rows), " ".join(w[: len(w) // 2])))
+    got = {r["doc_id"]: set(filter(None, r["labels"].split(","))) - set(licenses.PHRASES.values()) for r in licenses.op8(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    names = {"cc-by-4.0", "agpl-3.0", "lgpl"}  # whose names are templates of their own
+    assert {k: v for k, v in got.items() if v != ({want[k]} if k in want else set()) and not (k not in want and v <= names)} == {}
+
+
 def words_and_repeats(t):
     w = re.findall(SPACE, t)
     seen = Counter(tuple(w[k : k + 8]) for k in range(len(w) - 7))

@@ -4,8 +4,8 @@ All rolling hashes of ``GRAM`` words of a text are joined to their places in the
 templates. Each hit votes for a diagonal, its place less the template's place. Neighbouring
 diagonals are merged, so that a few inserted or lost words do not split a vote, and a
 merged span is verified by the share of the template's words that its hits cover, and by
-the template's key words. A label has several templates: short notices and passages of
-license texts. Mentions of fewer than ``GRAM`` words ("MIT licensed") have no hits.
+the template's key words. A label has several templates: names and short notices
+(``TEMPLATES``) and passages of license texts (``PASSAGES``). Mentions of fewer than ``GRAM`` words ("MIT licensed") have no hits.
 
 Null and empty texts have no words and no labels. Repeated rows are scanned alike; an
 empty table gives an empty result.
@@ -145,6 +145,49 @@ TEMPLATES = {
     "unlicense": ("This is free and unencumbered software released into the public domain", "{under the Unlicense}", "{License identifier Unlicense}"),
 }
 
+# Passages of the licenses' own texts, of at least 20 words each. Braces as above.
+PASSAGES = {
+    "agpl-3.0": (
+        "The GNU Affero General Public License is a free, copyleft license for software and other kinds of works, {specifically designed to} ensure cooperation with the community in the case of network server software",
+    ),
+    "apache-2.0": (
+        "each Contributor hereby grants to You a perpetual, worldwide, non-exclusive, no-charge, royalty-free, irrevocable copyright license to reproduce, prepare Derivative Works of, publicly display, publicly perform, sublicense, and distribute the Work and such Derivative Works in Source or Object form",
+        "You must retain, in the Source form of any Derivative Works that You distribute, all copyright, patent, trademark, and attribution notices from the Source form of the Work",
+    ),
+    "bsd": (
+        "THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS AS IS AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED",
+        "IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS",
+    ),
+    "cc-by-4.0": ("By exercising the Licensed Rights, You accept and agree to be bound by the terms and conditions of this Creative {Commons Attribution 4}.0 International Public License",),
+    "cc-by-nc-4.0": ("By exercising the Licensed Rights, You accept and agree to be bound by the terms and conditions of this Creative Commons {Attribution NonCommercial 4}.0 International Public License",),
+    "cc-by-nc-nd-4.0": ("By exercising the Licensed Rights, You accept and agree to be bound by the terms and conditions of this Creative Commons {Attribution NonCommercial NoDerivatives 4}.0 International Public License",),
+    "cc-by-nc-sa-4.0": ("By exercising the Licensed Rights, You accept and agree to be bound by the terms and conditions of this Creative Commons {Attribution NonCommercial ShareAlike 4}.0 International Public License",),
+    "cc-by-nd-4.0": ("By exercising the Licensed Rights, You accept and agree to be bound by the terms and conditions of this Creative Commons {Attribution NoDerivatives 4}.0 International Public License",),
+    "cc0-1.0": ("dedicated the work to the public domain by waiving all of his or her rights to the work worldwide under copyright law, including all related and neighboring rights, to the extent allowed by law",),
+    "gpl-2-notice": (
+        "The licenses for most software are designed to take away your freedom to share and change it. By contrast, the GNU General {Public License is intended} to guarantee your freedom to share and {change free software} to make sure the software is free for all its users",
+    ),
+    "gpl-3-notice": (
+        "The licenses for most software and other practical works are designed to take away your freedom to share and change the works. By contrast, the GNU General {Public License is intended} to guarantee your freedom to share and change {all versions of} a program",
+    ),
+    "isc": (
+        "THE SOFTWARE IS PROVIDED AS IS AND {THE AUTHOR DISCLAIMS} ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS. IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR ANY SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES",
+    ),
+    "lgpl": (
+        "This license, the {Lesser General Public} License, applies to some specially designated software packages, typically libraries, of the Free Software Foundation and other authors who decide to use it",
+        "This version of the GNU {Lesser General Public} License incorporates the terms and conditions of version 3 of the GNU General Public License, supplemented by the additional permissions listed below",
+    ),
+    "mit": (
+        "The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software",
+        "THE SOFTWARE IS PROVIDED AS IS, WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT",
+        "IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE",
+    ),
+    "mpl-2.0": (
+        "Each Contributor hereby grants You a world-wide, royalty-free, non-exclusive license under intellectual property rights (other than patent or trademark) Licensable by such Contributor to use, reproduce, make available, modify, display, perform, distribute, and otherwise exploit its Contributions",
+    ),
+    "unlicense": ("Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means",),
+}
+
 
 def words(text: Column) -> Column:
     return F.array_remove(F.split(F.translate(text, UPPER, LOWER), BREAK, -1), "")
@@ -205,7 +248,7 @@ def _parsed(template: str) -> tuple[list[str], list[int]]:
 
 def templates(docs: DataFrame) -> DataFrame:
     """Word k-grams of the templates: some hundred rows, whatever the corpus. ``keys`` are the places that must be hit."""
-    split = [(k, n, *_parsed(v)) for k, all_of in TEMPLATES.items() for n, v in enumerate(all_of)]
+    split = [(k, n, *_parsed(v)) for k, short in TEMPLATES.items() for n, v in enumerate((*short, *PASSAGES.get(k, ())))]
     rows = docs.sparkSession.createDataFrame([(k, n, " ".join(w), len(w), keys) for k, n, w, keys in split], "template string, variant int, words string, size int, keys array<int>")
     return rows.select("template", "variant", "size", "keys", F.posexplode(_grams(F.split("words", " "))).alias("t", "gram"))
 
