@@ -5,8 +5,12 @@ the counts of the vote patterns (at most 3 ** rules of them, whatever the corpus
 estimates how often each rule calls a good document bad, and how often it finds bad ones; a document
 stays when its posterior probability of being good reaches ``threshold``.
 
-Bad documents are of several kinds, each caught by few rules, so bad is a mixture: one kind for each rule,
-which starts as what that rule finds, and takes its own rates from the counts. No estimate is held within bounds.
+Rules are strong or weak. A strong rule's bad vote is about defects that good documents hardly have; a weak one
+(``WEAK``) marks what is unusual: few short words, few or many marks between words, lines without an end (not of text that has no marks at all), words without letters.
+A lone weak vote is outvoted by the others; of texts below fifty words, whose shares say little, weak rules abstain.
+
+Bad documents are of several kinds, each caught by few rules, so bad is a mixture: one kind for each strong rule,
+which starts as what that rule finds, and one that the weak rules find together; each takes its own rates from the counts. No estimate is held within bounds.
 By counts alone a kind that one rule finds cannot be told from that rule's false alarms; there the
 starting values decide, which trust the rule. ``labels`` settle it where there are any: at most ``LABELLED`` labelled documents,
 which count as much as all others together, so that a rule that fires on clean text is learned to be inaccurate.
@@ -31,7 +35,11 @@ SPREAD = 256
 LABELLED = 20_000
 #: Starting values: share of good documents; how often a rule calls good documents bad, bad ones of its own kind, of another kind.
 GOOD, FALSE_ALARM, FINDS, FINDS_OTHERS = 0.8, 0.005, 0.9, 0.05
-RULES = ("length", "word_length", "symbols", "repeats", "lines", "capitals", "variety", "marks", "echoes")
+#: The same of weak rules: how often they call good documents bad, and bad ones of the kind that they find together.
+WEAK_FALSE_ALARM, WEAK_FINDS = 0.05, 0.5
+STRONG = ("length", "word_length", "symbols", "repeats", "lines", "capitals", "variety", "marks", "echoes")
+WEAK = ("short_words", "pauses", "line_ends", "letters")
+RULES = STRONG + WEAK
 
 
 def _repeated(words: Column) -> Column:
@@ -77,9 +85,17 @@ def features(text: Column) -> Column:
             _spread(w).alias("n_distinct"),
             F.when(F.size(w) <= SPREAD, F.size(w)).otherwise(F.ceil(F.size(w) / SPREAD) * SPREAD).cast("bigint").alias("n_spread"),
             F.size(F.filter(w, lambda x, i: F.coalesce(F.get(w, i - 1) == x, F.lit(False)))).cast("bigint").alias("n_echoes"),
+            F.size(F.filter(w, lambda x: F.length(x) <= 3)).cast("bigint").alias("n_short"),
+        ),
+    )
+    by_lines = let(
+        lines,
+        lambda x: F.struct(
+            F.size(x).cast("bigint").alias("n_lines"),
+            (F.size(x) - F.size(F.array_distinct(x))).cast("bigint").alias("n_dup_lines"),
+            F.size(F.filter(x, lambda y: y.rlike(r"\p{Po}[\p{Pe}\p{Pf}\x22\x27]?[\x20\x09-\x0D]*\z"))).cast("bigint").alias("n_ended"),
         ),
     )
-    by_lines = let(lines, lambda x: F.struct(F.size(x).cast("bigint").alias("n_lines"), (F.size(x) - F.size(F.array_distinct(x))).cast("bigint").alias("n_dup_lines")))
     return let(
         text,
         lambda t: F.struct(
@@ -88,6 +104,8 @@ def features(text: Column) -> Column:
             _count(t, "[#*$%&|<>]").alias("n_symbols"),
             _count(t, "[A-Z]").alias("n_capitals"),
             _count(t, "(?<=[!?.,;])[!?.,;]").alias("n_marks"),
+            _count(t, r"[\p{Po}&&[^#*%&]](?=[\x20\x09-\x0D]|\z)").alias("n_pauses"),
+            _count(t, r"[^\p{L}\p{M}\x20\x09-\x0D]").alias("n_other"),
         ),
     )
 
@@ -109,6 +127,10 @@ def votes(q: Column) -> Column:
         _vote(5 * q["w"]["n_distinct"] >= 2 * q["w"]["n_spread"], 5 * q["w"]["n_distinct"] < q["w"]["n_spread"]),
         _vote(20 * q["n_marks"] <= n, 5 * q["n_marks"] > n),
         _vote(50 * q["w"]["n_echoes"] <= n, 5 * q["w"]["n_echoes"] > n),
+        F.when(n >= 50, _vote(4 * q["w"]["n_short"] >= n, 5 * q["w"]["n_short"] < n)).otherwise(-1),
+        F.when(n >= 50, _vote((20 * q["n_pauses"] >= n) & (5 * q["n_pauses"] <= n), (50 * q["n_pauses"] < n) | (4 * q["n_pauses"] > n))).otherwise(-1),
+        F.when(n >= 50, _vote(10 * q["l"]["n_ended"] >= 9 * lines, (4 * q["l"]["n_ended"] < 3 * lines) & (50 * q["n_pauses"] >= n))).otherwise(-1),
+        F.when(n >= 50, _vote(10 * q["n_other"] <= chars, 6 * q["n_other"] > chars)).otherwise(-1),
     )
 
 
@@ -137,12 +159,15 @@ def estimate(patterns: list[tuple[list[int], int, int, int]], rounds: int = 60)
     n, n_good, n_bad = np.array([x for _, *x in patterns], dtype=np.float64).reshape(-1, 3).T
     labelled = (n_good + n_bad).sum()
     weight = max(1.0, (n.sum() - labelled) / labelled) if labelled else 0.0
-    k = len(RULES)
-    prior = np.array([GOOD, *[(1 - GOOD) / k] * k])
-    bad = np.full((k + 1, k), FINDS_OTHERS)
-    bad[0] = FALSE_ALARM
-    bad[np.arange(1, k + 1), np.arange(k)] = FINDS
-    trust = np.array([100.0, *[10.0] * k])[:, None]
+    strong, k = len(STRONG), len(RULES)
+    kinds = strong + 1
+    prior = np.array([GOOD, *[(1 - GOOD) / kinds] * kinds])  # pseudo-counts, below: a kind that no strong rule finds is taken to be rare
+    start = np.array([8.0, *[1.0] * strong, 0.2])
+    bad = np.full((kinds + 1, k), FINDS_OTHERS)
+    bad[0, :strong], bad[0, strong:] = FALSE_ALARM, WEAK_FALSE_ALARM
+    bad[np.arange(1, kinds), np.arange(strong)] = FINDS
+    bad[kinds, strong:] = WEAK_FINDS
+    trust = np.array([100.0, *[10.0] * kinds])[:, None]
     fired, seen = trust * bad, np.repeat(trust, k, axis=1)
     for _ in range(rounds):
         share = _likelihood(votes, prior, bad)
@@ -150,7 +175,7 @@ def estimate(patterns: list[tuple[list[int], int, int, int]], rounds: int = 60)
         mass = share * (n - n_good - n_bad)[:, None]
         mass[:, 0] += weight * n_good
         mass[:, 1:] += of_bad * (weight * n_bad)[:, None]
-        prior = (mass.sum(axis=0) + np.array([8.0, *[1.0] * k])) / (mass.sum() + 8 + k)
+        prior = (mass.sum(axis=0) + start) / (mass.sum() + start.sum())
         for j in range(k):
             bad[:, j] = (fired[:, j] + mass[votes[:, j] == 0].sum(axis=0)) / (seen[:, j] + mass[votes[:, j] >= 0].sum(axis=0))
     return prior, bad
