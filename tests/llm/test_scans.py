@@ -145,6 +145,23 @@ def test_random_strings_of_letters(spark):
     assert out[-200]["text"] == rows[-1][1] and out[-200]["_base"] == "x" and out[-200]["_spans"] == 1
 
 
+def test_random_strings_by_length_and_alphabet(spark):
+    """Recall of planted keys, and no false alarm among the tables' own tokens."""
+    many = spark.read.parquet("/root/testdata/sf0.1/documents.parquet")
+    rng, low, up, dig = random.Random(8), "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789"
+    alphabets = {"mixed": low + up + dig, "letters": low + up, "lower and digits": low + dig}
+    keys = [(name, n, "".join(rng.choice(a) for _ in range(n))) for name, a in alphabets.items() for n in (8, 10, 12, 16, 24, 32, 40) for _ in range(40)]
+    planted = spark.createDataFrame([(-100 - i, f"there {k} that") for i, (*_, k) in enumerate(keys)], "doc_id long, text string")
+    rows = secrets.op7(many.select("doc_id", "text").unionByName(planted)).where("spans like '%markov%'").select("doc_id", "spans").collect()
+    found = {r["doc_id"] for r in rows if f"markov:6:{6 + keys[-100 - r['doc_id']][1]}" == r["spans"]} if all(r["doc_id"] < 0 for r in rows) else None
+    assert found is not None, "a token of the tables is reported"
+    recall = Counter()
+    for i, (name, n, _) in enumerate(keys):
+        recall[name, n] += (-100 - i in found) / 40
+    of = lambda name, *sizes: sum(recall[name, n] for n in sizes) / len(sizes)
+    assert of("mixed", 8) >= 0.75 and of("mixed", 8, 10, 12, 16, 24, 32, 40) >= 0.9 and of("letters", 12, 16, 24, 32, 40) >= 0.9 and of("lower and digits", 16, 24, 32, 40) >= 0.85, dict(recall)
+
+
 def test_redact(more_docs):
     out = {r["doc_id"]: r for r in secrets.redact(more_docs).where("doc_id < 0").collect()}
     assert out[-2]["text"] is None and out[-3]["text"] == ""
@@ -275,6 +292,34 @@ def test_a_rule_that_fires_on_good_documents():
     assert at(lone(2), unlabelled) < 0.5 and unlabelled[1][0].max() < 0.02
 
 
+def test_a_bad_vote_is_outvoted(spark):
+    """Of labelled documents the method keeps more good ones than a filter that all rules must pass, and no more bad ones."""
+    docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet")
+    labels = spark.read.parquet("/root/testdata/sf0.1/labels.parquet")
+    rows = quality.judged(docs, labels=labels).where("not base_failed").withColumn("bad", F.size(F.filter(quality.votes(F.col("_q")), lambda v: v == 0)))
+    rows = rows.join(labels, "doc_id").select("quality", "kept", "bad").collect()
+    good, poor = ([r for r in rows if r["quality"] == q] for q in (1, 0))
+    one = [r for r in good if r["bad"] == 1]
+    assert len(one) >= 10 and sum(r["kept"] for r in one) >= 0.9 * len(one)
+    assert sum(r["kept"] for r in good) > sum(r["bad"] == 0 for r in good)
+    assert sum(r["kept"] for r in poor) <= sum(r["bad"] == 0 for r in poor)
+
+
+def test_weak_rules(spark):
+    """A lone weak vote is outvoted, with a strong one it is not; short texts get no weak vote."""
+    k, weak = len(quality.RULES), len(quality.STRONG)
+    fires = lambda *at: [0 if j in at else 1 for j in range(k)]
+    table = [(fires(), 9000, 450, 0), (fires(weak), 90, 5, 0), (fires(weak + 1), 90, 4, 0), (fires(2), 300, 0, 15), (fires(2, weak), 300, 0, 15), (fires(weak, weak + 1, weak + 3), 200, 0, 10)]
+    for some in (table, [(v, n, 0, 0) for v, n, *_ in table]):
+        model = quality.estimate(some)
+        at = lambda *j, model=model: quality._likelihood(np.array([fires(*j)], dtype=np.int8), *model)[0, 0]
+        assert at(weak) > 0.5 and at(weak + 1) > 0.5 and at(2, weak) < 0.1 and at(weak, weak + 1, weak + 3) < 0.1
+    texts = [(1, "incomprehensibilities " * 30), (2, "incomprehensibilities " * 60), (3, "it is so that we all say, and then they go. " * 20), (4, "| 1 2 3 |\n" * 30), (5, ""), (6, None)]
+    votes = {r["doc_id"]: r["v"][weak:] for r in spark.createDataFrame(texts, "doc_id long, text string").select("doc_id", quality.votes(quality.features(F.coalesce("text", F.lit("")))).alias("v")).collect()}
+    assert votes[1] == votes[5] == votes[6] == [-1] * 4
+    assert votes[2] == [0, 0, -1, 1] and votes[3] == [1, 1, 1, 1] and votes[4][2:] == [-1, 0]
+
+
 def test_quality_of_odd_tables(spark):
     """Columns that bear names of results or helpers, labels of no use, repeated rows."""
     text = "word another thing " * 3 + " ".join(f"w{i}" for i in range(60))

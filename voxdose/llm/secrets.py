@@ -3,9 +3,9 @@
 Two first-order character models are trained from labelled samples of the
 corpus itself: strings inside spans of the fixed patterns are random; candidate tokens
 found at least ``OFTEN`` times are ordinary identifiers, since a random string hardly is. Every other
-candidate token with a letter is scored (digits alone are a number); those whose log-likelihood ratio reaches
-``THRESHOLD``, and ``PER_CHAR`` for each character, are reported as kind ``markov``. Such a ratio needs
-some twelve characters.
+candidate token of at least ``SHORTEST`` characters with a letter is scored (digits alone are a number); those whose log-likelihood ratio reaches
+``THRESHOLD``, and ``PER_CHAR`` for each character, are reported as kind ``markov``: few random strings of eight characters
+fall short of it, if they hold letters of both cases and digits, but half of those of lower-case letters alone at sixteen.
 
 Null and empty texts have no spans. Repeated rows are scanned alike; an empty
 table gives an empty result; without samples of both kinds no span is added.
@@ -25,12 +25,14 @@ ASSIGN = r"""(?i:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?(
 ACCESS = r"AKIA[A-Z0-9]++"
 HEX = r"(?<![0-9a-f])[0-9a-f]{24,}+"
 #: Candidate tokens of the Markov models.
-TOKEN = r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{12,}+"
+TOKEN = r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{6,}+(?:={1,2}(?![A-Za-z0-9+/_=-]))?+"
 KINDS = ("assign", "access", "hex", "markov")
 #: Distinct strings of each label, at most, that the models are trained on.
 SAMPLE = 4000
 #: Least log-likelihood ratio, in nats, of a reported token, and least of it for each character.
-THRESHOLD, PER_CHAR = 14.0, 0.8
+THRESHOLD, PER_CHAR = 8.0, 0.5
+#: Least number of characters of a scored token; shorter ones only train.
+SHORTEST = 8
 #: Least number of places where an ordinary token is found.
 OFTEN = 5
 #: Weight of single characters in a pair's estimate; bounds of one pair's log-likelihood ratio.
@@ -72,7 +74,7 @@ def scanned(docs: DataFrame, column: str = "text") -> DataFrame:
 
 def _sample(rows: DataFrame, strings: Column, label: int, times: int) -> DataFrame:
     """Distinct strings found so many times, the first by a hash."""
-    each = rows.select(F.explode(strings).alias("s")).where(F.length("s") >= 8).groupBy("s").agg(F.count("*").alias("n")).where(F.col("n") >= times).select("s")
+    each = rows.select(F.explode(strings).alias("s")).where(F.length("s") >= 6).groupBy("s").agg(F.count("*").alias("n")).where(F.col("n") >= times).select("s")
     return each.orderBy(F.xxhash64("s"), "s").limit(SAMPLE).withColumn("label", F.lit(label))
 
 
@@ -124,7 +126,7 @@ def with_spans(rows: DataFrame, model: str | None) -> DataFrame:
     """``_spans``: the fixed spans and the candidates that the models call random."""
     if model is None:
         return rows.withColumn("_spans", F.col("_base"))
-    random = lambda m: m["hit"].rlike("[A-Za-z]") & let(ratio(m["hit"], model), lambda x: (x >= THRESHOLD) & (x >= PER_CHAR * F.length(m["hit"])))
+    random = lambda m: (F.length(m["hit"]) >= SHORTEST) & m["hit"].rlike("[A-Za-z]") & let(ratio(m["hit"], model), lambda x: (x >= THRESHOLD) & (x >= PER_CHAR * F.length(m["hit"])))
     return rows.withColumn("_spans", F.when(F.size("_more") == 0, F.col("_base")).otherwise(in_order(F.concat("_base", F.filter("_more", random)))))
 
 
