@@ -6,7 +6,7 @@ masked voxels serves all of them.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import scalar as S
@@ -49,9 +49,9 @@ def _statistics(sums: DataFrame, factor: Column, v: Column) -> list[Column]:
 def segment_stats_relative(segments: DataFrame, segment_voxels: DataFrame, voxels: DataFrame, volumes: DataFrame, params: DataFrame) -> DataFrame:
     """Mean dose, volume, activity per segment. Outside the liver is 0 Gy; an empty segment has NULL dose."""
     sums = masked_sums(segments, segment_voxels, voxels, params)
-    liver = sums.join(params.select("study_id", F.col("liver_segment_id").alias("segment_id")), ["study_id", "segment_id"]).select("study_id", F.col("total").alias("liver_sum"))
-    factors = relative_factors(volumes, params, liver)
-    x = sums.join(factors.select("study_id", "factor", "v_ml", "conv_factor", "density_g_ml", "status"), "study_id")
+    ids = sums.join(params.select("study_id", F.col("liver_segment_id").alias("_liver")), "study_id")
+    liver = F.max(F.when(F.col("segment_id") == F.col("_liver"), F.col("total"))).over(Window.partitionBy("study_id"))  # the sums are made once
+    x = relative_factors(volumes, params, ids.withColumn("liver_sum", liver)).where("segment_id IS NOT NULL")
     return x.select("study_id", "ord", "segment_id", "name", *_statistics(x, F.col("factor"), F.col("v_ml")), "status")
 
 
