@@ -2,21 +2,29 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..sources.reports import write_named
 
 
-def two_decimals(x: Column, unit: str = "", compat: bool = False) -> Column:
-    """Text with two decimals. ``compat`` rounds the binary value half to even, as Python does."""
-    text = F.pandas_udf(_python_format, "string")(x) if compat else F.format_string("%.2f", x)
+def two_decimals(x: Column, unit: str = "", compat: bool = False, binary: bool | None = None) -> Column:
+    """Text with two decimals. ``binary`` rounds the binary value half to even, as C and SQL's printf do, else the shortest decimal goes half up.
+
+    ``compat`` is binary too, and writes what is no finite number as Python does.
+    """
+    text = _binary_text(x) if (compat if binary is None else binary) else F.format_string("%.2f", x)
+    if compat:
+        text = F.when(F.isnan(x), "nan").when(x == float("inf"), "inf").when(x == float("-inf"), "-inf").otherwise(text)
     return F.when(x.isNotNull(), F.concat(text, F.lit(unit)))
 
 
-def _python_format(x: pd.Series) -> pd.Series:
-    return pd.Series([f"{v:.2f}" for v in x], dtype="str")
+def _binary_text(x: Column) -> Column:
+    """Beyond 2 ** 40 by the part behind the point, which the shortest decimal cuts there; from 2 ** 63 on, digits after the seventeenth are 0."""
+    size = F.abs(x)
+    whole, part = F.floor(size), F.rint((size - F.floor(size)) * 100).cast("int")
+    large = F.concat(F.when(x < 0, "-").otherwise(""), F.when(part < 100, whole).otherwise(whole + 1).cast("string"), F.lit("."), F.lpad((part % 100).cast("string"), 2, "0"))
+    return F.when(size < 2.0**40, F.call_function("format_number", x, F.lit("0.00"))).when(size < 2.0**53, large).when(size < 2.0**63, F.concat(x.cast("bigint").cast("string"), F.lit(".00"))).otherwise(F.format_string("%.2f", x))
 
 
 def last_of_name(stats: DataFrame) -> DataFrame:
@@ -36,14 +44,14 @@ def dose_table(stats: DataFrame, lung: DataFrame | None = None, label: str = "Es
     return lung.select("study_id", F.lit(0).alias("ord"), F.lit(label).alias("name"), F.col("lung_dose_gy").alias("dose_gy"), none.alias("volume_ml"), none.alias("activity_mbq")).unionByName(rows)
 
 
-def report(table: DataFrame, heads: DataFrame, compat: bool = False) -> DataFrame:
+def report(table: DataFrame, heads: DataFrame, compat: bool = False, binary: bool | None = None) -> DataFrame:
     """One document per study: ``heads`` (study_id, title, stamp, parameters: array of lines) and the table's rows.
 
-    ``compat`` ends lines of the table with a backslash and an n instead of a line feed, and rounds as Python does.
+    ``compat`` ends lines of the table with a backslash and an n instead of a line feed, and writes numbers as Python does. ``binary`` is that of ``two_decimals``.
     """
     # The wording and the codes of the document.
     feed = "\\line\\n " if compat else "\\line\n"
-    part = lambda c, label, unit: F.concat(F.lit(label), two_decimals(F.col(c), unit, compat))
+    part = lambda c, label, unit: F.concat(F.lit(label), two_decimals(F.col(c), unit, compat, binary))
     line = F.concat(F.lit("Segment: "), F.col("name"), F.lit(", "), F.concat_ws(", ", part("dose_gy", "Dose = ", " Gy"), part("volume_ml", "Volume = ", " mL"), part("activity_mbq", "Activity = ", " MBq")), F.lit(feed))
     lines = table.groupBy("study_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("ord", line.alias("line")))), lambda x: x["line"]), "").alias("lines"))
     br = F.lit("\\line\n")
