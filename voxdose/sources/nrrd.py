@@ -187,12 +187,22 @@ def segment_voxels(files: DataFrame) -> DataFrame:
     return _rows(files, "path string, segment_id string, i int, j int, k int", of)
 
 
+#: Files made at a time.
+FEW = 96
+
+
+def _few(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Batches cut short, as the files made of one are held together until they are handed on."""
+    for b in batches:
+        yield from (b.iloc[lo : lo + FEW] for lo in range(0, len(b), FEW))
+
+
 def export(volumes: DataFrame) -> DataFrame:
     """path, content of each volume (path, dims, places, values, and ijk_to_ras if known): places are voxel numbers, i fastest."""
     known = "ijk_to_ras" in volumes.columns
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
+        for b in _few(batches):
             out = []
             for dims, places, values, matrix in zip(b["dims"], b["places"], b["values"], b["ijk_to_ras"] if known else [None] * len(b), strict=True):
                 grid = np.zeros(int(np.prod(dims)))
@@ -207,7 +217,7 @@ def export_segmentation(studies: DataFrame) -> DataFrame:
     """path, content of each segmentation (path, dims, ijk_to_ras, members: array of segment_id, name, label_value, layer, places)."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
+        for b in _few(batches):
             out = []
             for dims, matrix, members in zip(b["dims"], b["ijk_to_ras"], b["members"], strict=True):
                 layers = 1 + max(m["layer"] for m in members)
