@@ -1,12 +1,13 @@
 """Work on few studies with many voxels is dealt over tasks."""
 
+import pandas as pd
 import pytest
 from compare import DATA
 from pyspark.sql import functions as F
 
-from voxdose.operators import masks
+from voxdose.operators import masks, registration
 from voxdose.plans import queries
-from voxdose.sources import lattice, store
+from voxdose.sources import lattice, nrrd, store
 
 
 def _plan(df) -> str:
@@ -49,3 +50,18 @@ def test_a_place_listed_twice_counts_twice(spark):
     rows = lambda df: {r["segment_id"]: (r["n"], r["total"]) for r in df.collect()}
     assert rows(masks.segment_sums(segments, places, voxels)) == {"a": (2, 3.0), "b": (3, 13.0), "c": (0, 0.0)}
     assert rows(masks.masked_sums(segments, places, voxels, params)) == {"a": (2, 3.0), "b": (3, 6.0), "c": (0, 0.0)}
+
+
+def test_points_are_dealt(spark):
+    volumes = lattice.volumes(spark, "/root/testdata/sf0.1")
+    assert registration.lattice_points(volumes).rdd.getNumPartitions() >= 7
+    assert masks.lattice_sample(volumes, 1.0).rdd.getNumPartitions() >= 7
+
+
+def test_control_points_of_bent_studies_alone(spark):
+    """Voxels, volumes and control points are cut to the studies that a spline moves, before each control point goes to 64 cells."""
+    assert len([line for line in _joins(_plan(queries.queries()["register_methods_voxels"](spark, DATA)), "LeftSemi") if "Join" in line]) == 4  # volumes are read twice
+
+
+def test_few_files_at_a_time():
+    assert [len(x) for x in nrrd._few(iter([pd.DataFrame({"n": range(200)})]))] == [96, 96, 8]
