@@ -5,7 +5,7 @@ from compare import DATA
 
 from voxdose.operators import masks
 from voxdose.plans import queries
-from voxdose.sources import lattice
+from voxdose.sources import lattice, nrrd
 
 
 def _plan(df) -> str:
@@ -37,3 +37,22 @@ def test_places_beyond_the_first_box_and_below_zero(spark):
     got = lambda df: {(r["study_id"], r["segment_id"]): (r["n"], r["total"]) for r in df.collect()}
     assert got(masks.segment_sums(segments, places, voxels)) == {(1, "a"): (7, 216.0), (1, "b"): (1, 10.0), (2, "a"): (0, 0.0)}
     assert got(masks.masked_sums(segments, places, voxels, params)) == {(1, "a"): (7, 10.0), (1, "b"): (1, 10.0), (2, "a"): (0, 0.0)}
+
+
+def test_files_are_dealt_over_tasks(spark):
+    """1,000 studies, whose masks Spark would bring together in a task."""
+    files = queries._segmentations(queries._Lattice(spark, "/root/testdata/sf0.1"))
+    assert "REPARTITION_BY_NUM" in _plan(files) and "partial_bit_or" in _plan(files)
+
+
+def test_unreadable_files_beside_others(spark):
+    """Rows of many files share frames; an unreadable file keeps its row of nulls, and a file without segments has none."""
+    member = "members array<struct<segment_id:string,name:string,label_value:int,layer:int,places:array<int>>>"
+    eye = [float(n % 5 == 0) for n in range(16)]
+    made = spark.createDataFrame([(f"{n}.nrrd", [4, 4, 4], eye, [("a", "A", 1, 0, [0, 5]), ("b", "B", 2, 1, [5]), ("c", "C", 3, 1, [])]) for n in range(3)], f"path string, dims array<int>, ijk_to_ras array<double>, {member}")
+    files = nrrd.export_segmentation(made).unionByName(spark.createDataFrame([("bad", bytearray(b"none"))], "path string, content binary")).coalesce(1)
+    got = sorted(map(tuple, nrrd.segment_voxels(files).collect()), key=str)
+    each = [("a", 0, 0, 0), ("a", 1, 1, 0), ("b", 1, 1, 0)]
+    assert [r for r in got if r[5] == "ok"] == sorted([(f"{n}.nrrd", *r, "ok") for n in range(3) for r in each], key=str)
+    assert [r[:5] for r in got if r[5] != "ok"] == [("bad", None, None, None, None)]
+    assert {(r["segment_id"], r["name"], r["ord"], r["label_value"], r["layer"]) for r in nrrd.segments(files).where("status = 'ok'").collect()} == {("a", "A", 1, 1, 0), ("b", "B", 2, 2, 1), ("c", "C", 3, 3, 1)}

@@ -124,35 +124,57 @@ def attached(files: DataFrame) -> DataFrame:
     return whole.join(x.select(F.col("_data").alias("path")), "path", "left_anti").select("path", "content")
 
 
+#: Rows of a frame, gathered over files.
+ROWS = 1 << 17
+
+
+def _frame(parts: list[dict]) -> pd.DataFrame:
+    whole = lambda cells: np.concatenate(cells) if isinstance(cells[0], np.ndarray) else [x for some in cells for x in some]
+    return pd.DataFrame({c: whole([p[c] for p in parts]) for c in parts[0]})
+
+
 def _rows(files: DataFrame, schema: str, of) -> DataFrame:
-    """``of`` (path, Image) yields frames; an unreadable file gives a row of nulls with its error as status."""
+    """``of`` (Image) yields columns of some rows; an unreadable file gives a row of nulls with its error as status. Rows of many files share a frame."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         names = [x.split()[0] for x in schema.split(", ")]
+        parts: list[dict] = []
+        held = 0
         for b in batches:
             for path, content in zip(b["path"], b["content"], strict=True):
                 try:
-                    yield from (x.assign(path=path, status="ok")[[*names, "status"]] for x in of(Image(content)))
+                    for x in of(Image(content)):
+                        n = len(x[names[-1]])
+                        if not n:
+                            continue
+                        parts.append({**{c: x[c] if c in x else np.full(n, path, object) for c in names}, "status": np.full(n, "ok", object)})
+                        held += n
+                        if held >= ROWS:
+                            yield _frame(parts)
+                            parts, held = [], 0
                 except ERRORS as why:
                     yield pd.DataFrame([{**dict.fromkeys(names), "path": path, "status": f"error: {type(why).__name__}"}]).astype(object)
+            if parts:
+                yield _frame(parts)
+                parts, held = [], 0
 
     return files.select("path", "content").mapInPandas(run, f"{schema}, status string")
 
 
-def _voxel_frames(grid: np.ndarray, at: np.ndarray, most: int = 1 << 20) -> Iterator[pd.DataFrame]:
-    """i, j, k, value of the listed places of one layer, in frames of bounded size."""
+def _voxel_columns(grid: np.ndarray, at: np.ndarray, most: int = 1 << 20) -> Iterator[dict]:
+    """i, j, k, value of the listed places of one layer, in parts of bounded size."""
     flat, (nj, ni) = grid.reshape(-1), grid.shape[1:]
     for lo in range(0, len(at), most):
         some = at[lo : lo + most]
         a, rest = some % ni, some // ni
-        yield pd.DataFrame({"i": a, "j": rest % nj, "k": rest // nj, "value": flat[some].astype("f8")})
+        yield {"i": a, "j": rest % nj, "k": rest // nj, "value": flat[some].astype("f8")}
 
 
 def volumes(files: DataFrame) -> DataFrame:
     """path, dims, spacing, ijk_to_ras, layers, status."""
 
-    def of(image: Image) -> Iterator[pd.DataFrame]:
-        yield pd.DataFrame([{"dims": image.dims, "spacing": image.spacing, "ijk_to_ras": image.matrix, "layers": image.layers}])
+    def of(image: Image) -> Iterator[dict]:
+        yield {"dims": [image.dims], "spacing": [image.spacing], "ijk_to_ras": [image.matrix], "layers": [image.layers]}
 
     return _rows(files, "path string, dims array<int>, spacing array<double>, ijk_to_ras array<double>, layers int", of)
 
@@ -160,9 +182,9 @@ def volumes(files: DataFrame) -> DataFrame:
 def ingest(files: DataFrame) -> DataFrame:
     """path, layer, i, j, k, value of the non-zero voxels, and ``status``."""
 
-    def of(image: Image) -> Iterator[pd.DataFrame]:
+    def of(image: Image) -> Iterator[dict]:
         for layer, grid in enumerate(image.values()):
-            yield from (x.assign(layer=layer) for x in _voxel_frames(grid, np.flatnonzero(grid)))
+            yield from ({**x, "layer": np.full(len(x["i"]), layer)} for x in _voxel_columns(grid, np.flatnonzero(grid)))
 
     return _rows(files, "path string, layer int, i int, j int, k int, value double", of)
 
@@ -170,8 +192,9 @@ def ingest(files: DataFrame) -> DataFrame:
 def segments(files: DataFrame) -> DataFrame:
     """path, segment_id, name, ord, label_value, layer of the segments of segmentation files, and ``status``."""
 
-    def of(image: Image) -> Iterator[pd.DataFrame]:
-        yield pd.DataFrame(image.segments(), columns=["segment_id", "name", "ord", "label_value", "layer"])
+    def of(image: Image) -> Iterator[dict]:
+        rows = image.segments()
+        yield {c: [r[n] for r in rows] for n, c in enumerate(("segment_id", "name", "ord", "label_value", "layer"))}
 
     return _rows(files, "path string, segment_id string, name string, ord int, label_value int, layer int", of)
 
@@ -179,10 +202,10 @@ def segments(files: DataFrame) -> DataFrame:
 def segment_voxels(files: DataFrame) -> DataFrame:
     """path, segment_id, i, j, k of every voxel of every segment, and ``status``."""
 
-    def of(image: Image) -> Iterator[pd.DataFrame]:
+    def of(image: Image) -> Iterator[dict]:
         layers = image.values()
         for segment, _, _, label, layer in image.segments():
-            yield from (x.assign(segment_id=segment) for x in _voxel_frames(layers[layer], np.flatnonzero(layers[layer] == label)))
+            yield from ({**x, "segment_id": np.full(len(x["i"]), segment, object)} for x in _voxel_columns(layers[layer], np.flatnonzero(layers[layer] == label)))
 
     return _rows(files, "path string, segment_id string, i int, j int, k int", of)
 
@@ -214,22 +237,30 @@ def export(volumes: DataFrame) -> DataFrame:
 
 
 def export_segmentation(studies: DataFrame) -> DataFrame:
-    """path, content of each segmentation (path, dims, ijk_to_ras, members: array of segment_id, name, label_value, layer, places)."""
+    """path, content of each segmentation (path, dims, ijk_to_ras, members: array of segment_id, name, label_value, layer, places).
+
+    Members reach the workers as flat arrays, places as one array a study: nested ones become Python objects, place by place.
+    """
+    fields = {"ids": "segment_id", "names": "name", "labels": "label_value", "at": "layer"}
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in _few(batches):
             out = []
-            for dims, matrix, members in zip(b["dims"], b["ijk_to_ras"], b["members"], strict=True):
-                layers = 1 + max(m["layer"] for m in members)
+            for dims, matrix, ids, names, labels, at, sizes, places in zip(*[b[c] for c in ("dims", "ijk_to_ras", *fields, "sizes", "places")], strict=True):
+                layers = 1 + int(max(at))
                 grid = np.zeros((int(np.prod(dims)), layers), dtype=np.uint8)
                 marks: dict[str, object] = {}
-                for n, m in enumerate(members):
-                    grid[np.asarray(m["places"], dtype=np.int64), m["layer"]] = m["label_value"]
-                    marks |= {f"Segment{n}_ID": m["segment_id"], f"Segment{n}_Name": m["name"], f"Segment{n}_LabelValue": m["label_value"], f"Segment{n}_Layer": m["layer"]}
+                ends = np.cumsum(sizes)
+                for n in range(len(ids)):
+                    grid[np.asarray(places[ends[n] - sizes[n] : ends[n]], dtype=np.int64), at[n]] = labels[n]
+                    marks |= {f"Segment{n}_ID": ids[n], f"Segment{n}_Name": names[n], f"Segment{n}_LabelValue": labels[n], f"Segment{n}_Layer": at[n]}
                 out.append(encode(grid, [layers, *dims], True, list(matrix), marks))
             yield pd.DataFrame({"path": b["path"], "content": out})
 
-    return studies.select("path", "dims", "ijk_to_ras", "members").mapInPandas(run, "path string, content binary")
+    flat = [F.col(f"members.{c}").alias(n) for n, c in fields.items()]
+    sizes = F.transform("members", lambda m: F.size(m["places"])).alias("sizes")
+    places = F.flatten("members.places").alias("places")
+    return studies.select("path", "dims", "ijk_to_ras", *flat, sizes, places).mapInPandas(run, "path string, content binary")
 
 
 def verify_manifest(files: DataFrame, manifest: DataFrame) -> DataFrame:
