@@ -3,7 +3,7 @@
 import pytest
 from compare import DATA
 
-from voxdose.operators import masks
+from voxdose.operators import masks, registration
 from voxdose.plans import queries
 from voxdose.sources import lattice, nrrd
 
@@ -56,3 +56,9 @@ def test_unreadable_files_beside_others(spark):
     assert [r for r in got if r[5] == "ok"] == sorted([(f"{n}.nrrd", *r, "ok") for n in range(3) for r in each], key=str)
     assert [r[:5] for r in got if r[5] != "ok"] == [("bad", None, None, None, None)]
     assert {(r["segment_id"], r["name"], r["ord"], r["label_value"], r["layer"]) for r in nrrd.segments(files).where("status = 'ok'").collect()} == {("a", "A", 1, 1, 0), ("b", "B", 2, 2, 1), ("c", "C", 3, 3, 1)}
+
+
+def test_joint_histograms_are_shuffled_once_more(spark):
+    """One exchange counts the pairs, one more serves all windows over them."""
+    pairs = spark.range(64).selectExpr("id % 2 AS study_id", "id % 3 AS cand", "id % 5 AS fbin", "id % 7 AS mbin")
+    assert _plan(registration.mutual_information(pairs)).count("Exchange hashpartitioning") == 2

@@ -32,6 +32,8 @@ METHODS = {"Rigid": 6, "Affine": 12}
 #: Rows of candidates up to which they are broadcast.
 BROADCAST = 200_000
 BRICK = 8
+#: More than a start has candidates.
+MOST = 100
 
 
 class Plan(NamedTuple):
@@ -100,14 +102,13 @@ def scores(points: DataFrame, tried: DataFrame, n_tried: int, moving: DataFrame,
     at = points.join(F.broadcast(tried) if n_tried <= BROADCAST else tried, "study_id")
     m = F.col("m")
     place = [nearest(m[4 * r] * F.col("i") + m[4 * r + 1] * F.col("j") + m[4 * r + 2] * F.col("k") + m[4 * r + 3]) for r in range(3)]
-    key = F.concat_ws(":", "start", "cand")
+    key = F.col("start") * MOST + F.col("cand")
     at = at.select("study_id", key.alias("cand"), "fbin", *[p.alias(f"m{c}") for p, c in zip(place, "ijk", strict=True)])
     box = [F.floor(F.col(f"m{c}") / BRICK).cast("int").alias(f"b{c}") for c in "ijk"]
     inside = (F.pmod("mi", F.lit(BRICK)) + BRICK * F.pmod("mj", F.lit(BRICK)) + BRICK * BRICK * F.pmod("mk", F.lit(BRICK))).cast("int")
     met = at.select("study_id", "cand", "fbin", *box, inside.alias("p")).join(moving, ["study_id", "bi", "bj", "bk"], "left")
     found = mutual_information(met.select("study_id", "cand", "fbin", binned(F.coalesce(F.get("values", F.col("p")), F.lit(0.0)), plan.width, plan.bins).alias("mbin")))
-    part = F.split("cand", ":")
-    return found.select("study_id", part[0].cast("int").alias("start"), part[1].cast("int").alias("cand"), F.round("mi", digits).alias("mi"))
+    return found.select("study_id", F.floor(F.col("cand") / MOST).cast("int").alias("start"), (F.col("cand") % MOST).alias("cand"), F.round("mi", digits).alias("mi"))
 
 
 def dithered() -> list[Column]:
