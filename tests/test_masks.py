@@ -1,5 +1,8 @@
 """Segments pass the shuffle as bits of boxes, not place by place."""
 
+import math
+from collections import Counter
+
 import pytest
 from compare import DATA
 
@@ -62,3 +65,23 @@ def test_joint_histograms_are_shuffled_once_more(spark):
     """One exchange counts the pairs, one more serves all windows over them."""
     pairs = spark.range(64).selectExpr("id % 2 AS study_id", "id % 3 AS cand", "id % 5 AS fbin", "id % 7 AS mbin")
     assert _plan(registration.mutual_information(pairs)).count("Exchange hashpartitioning") == 2
+
+
+def test_lines_meet_not_voxels(spark):
+    """Candidates along all axes, out of order and one of them twice, against plain Python."""
+    shifts = [(0, 0, 0), (1, 0, 0), (-1, 1, 0), (1, 0, -1), (0, 1, 0), (1, 0, 0)]
+    value = lambda n, i, j, k: float((n * 7 + i * 5 + j * 3 + k * 11 + i * j) % 40)
+    images = [{(n, i, j, k): value(m + n, i, j, k) for n in range(2) for i in range(5) for j in range(4) for k in range(3) if (i + j + k + m) % 4} for m in range(2)]
+    frames = [spark.createDataFrame([(*at, v) for at, v in x.items()], "study_id long, i int, j int, k int, value double") for x in images]
+    scores = registration.score_candidates(*frames, shifts, 10.0, 3)
+    assert not [line for line in _plan(scores).splitlines() if "SortMergeJoin" in line and " i#" in line]
+    found = {(r["study_id"], r["cand"]): r["mi"] for r in scores.collect()}
+    for n in range(2):
+        for c, s in enumerate(shifts):
+            pairs = Counter((min(v // 10, 2), min(images[1].get((n, *(a + b for a, b in zip(at[1:], s, strict=True))), 0.0) // 10, 2)) for at, v in images[0].items() if at[0] == n)
+            f, m, t = Counter(), Counter(), sum(pairs.values())
+            for (a, b), q in pairs.items():
+                f[a] += q
+                m[b] += q
+            assert found[n, c] == pytest.approx(sum(q / t * math.log(q * t / (f[a] * m[b])) for (a, b), q in pairs.items()))
+    assert len(found) == 12
