@@ -85,3 +85,12 @@ def test_lines_meet_not_voxels(spark):
                 m[b] += q
             assert found[n, c] == pytest.approx(sum(q / t * math.log(q * t / (f[a] * m[b])) for (a, b), q in pairs.items()))
     assert len(found) == 12
+
+
+def test_a_moving_place_listed_twice_pairs_twice(spark):
+    schema = "study_id long, i int, j int, k int, value double"
+    fixed = spark.createDataFrame([(1, 0, 0, 0, 1.0), (1, 1, 0, 0, 11.0)], schema)
+    moving = spark.createDataFrame([(1, 0, 0, 0, 1.0), (1, 0, 0, 0, 11.0), (1, 1, 0, 0, 11.0)], schema)
+    found = registration.score_candidates(fixed, moving, [(0, 0, 0)], 10.0, 3).collect()
+    third = 1 / 3
+    assert found[0]["mi"] == pytest.approx(third * math.log(3 / 2) + third * math.log(3 / 4) + third * math.log(3 / 2))
