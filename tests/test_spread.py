@@ -1,5 +1,8 @@
 """Work on few studies with many voxels is dealt over tasks."""
 
+import itertools
+import math
+
 import pandas as pd
 import pytest
 from compare import DATA
@@ -63,5 +66,36 @@ def test_control_points_of_bent_studies_alone(spark):
     assert len([line for line in _joins(_plan(queries.queries()["register_methods_voxels"](spark, DATA)), "LeftSemi") if "Join" in line]) == 4  # volumes are read twice
 
 
+def test_control_points_go_to_boxes(spark):
+    """A control point is sent to the boxes of cells that it moves, not to 64 cells; few control points of one box are sent once."""
+    plan = _plan(queries.queries()["apply_bspline"](spark, DATA))
+    assert "LeftOuter" not in plan and len(_joins(plan, "MapInArrow")) == 1
+
+
+def test_spline_over_many_boxes(spark):
+    """Places on both sides of the first cell, in many boxes and batches, with one control point listed twice, one without a number, and a place without one."""
+    control = [(s, a, b, c, float(a * b - c), float(s), None if a == 5 else float(b)) for s in (1, 2) for a in range(-12, 22, s) for b in range(-3, 12) for c in range(0, 3)] + [(1, 0, 0, 0, 4.0, 0.5, 0.25)]
+    points = [(s, n, 0, 0, (n % 331) / 4.0 - 40.0, (n % 47) - 10.0, n % 11 - 2.0) for s in (1, 2) for n in range(6000)] + [(1, -1, 0, 0, None, 1.0, 1.0), (3, 0, 0, 0, 1.0, 1.0, 1.0)]
+    grid = spark.createDataFrame([(1, [-1.0, 0.0, 0.0], [2.0, 2.0, 4.0]), (2, [0.0, 0.0, -3.0], [2.5, 3.0, 1.0])], "study_id long, origin array<double>, spacing array<double>")
+    axes = {1: ((-1.0, 2.0), (0.0, 2.0), (0.0, 4.0)), 2: ((0.0, 2.5), (0.0, 3.0), (-3.0, 1.0))}
+    near = {}
+    for s, a, b, c, *d in control:
+        near.setdefault((s, a, b, c), []).append([x or 0.0 for x in d])
+    out = registration.apply_bspline(
+        spark.createDataFrame(points, "study_id long, i int, j int, k int, x double, y double, z double"), grid, spark.createDataFrame(control, "study_id long, ci int, cj int, ck int, dx double, dy double, dz double"), "x"
+    )
+    got = {(r["study_id"], r["i"]): r for r in out.collect()}
+    assert len(got) == len(points) - 1 and [got[1, -1][d] for d in ("x", "dx", "dy", "dz")] == [None, 0.0, 0.0, 0.0]
+    weights = lambda u: ((1 - u) ** 3 / 6, (3 * u**3 - 6 * u * u + 4) / 6, (-3 * u**3 + 3 * u * u + 3 * u + 1) / 6, u**3 / 6)
+    for s, i, _, _, *at in points[0 : len(points) - 2 : 7]:
+        u = [(v - o) / w for v, (o, w) in zip(at, axes[s], strict=True)]
+        n, w = [math.floor(v) for v in u], [weights(v - math.floor(v)) for v in u]
+        want = [0.0, 0.0, 0.0]
+        for t in itertools.product(range(4), repeat=3):
+            for d in near.get((s, *[m + x - 1 for m, x in zip(n, t, strict=True)]), []):
+                want = [a + w[0][t[0]] * w[1][t[1]] * w[2][t[2]] * b for a, b in zip(want, d, strict=True)]
+        assert [got[s, i][d] for d in ("dx", "dy", "dz")] == pytest.approx(want, abs=1e-9)
+
+
 def test_few_files_at_a_time():
     assert [len(x) for x in nrrd._few(iter([pd.DataFrame({"n": range(200)})]))] == [96, 96, 8]
