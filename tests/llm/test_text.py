@@ -195,6 +195,15 @@ def test_plans():
         assert n <= len(rooms)
 
 
+def test_pages_pass_the_shuffle_zipped(spark):
+    """Hits meet their pages by a shuffle whatever their number; below it pages are no strings any more."""
+    pages = spark.read.parquet("/root/testdata/sf0.01/pages.parquet")
+    plan = html_text.op1(pages)._jdf.queryExecution().executedPlan().toString().splitlines()
+    at = next(n for n, line in enumerate(plan) if "SortMergeJoin" in line and "LeftOuter" in line)
+    exchange = next(n for n, line in enumerate(plan) if n > at and "Exchange hashpartitioning(k1" in line)
+    assert "MapInArrow" in "".join(plan[exchange:]) and not any("BroadcastHashJoin" in line for line in plan[:exchange])
+
+
 @pytest.mark.parametrize("op", [byte_bpe.op5, packing.op10])
 def test_empty_table(docs, op):
     assert op(docs.limit(0)).count() == 0

@@ -25,10 +25,12 @@ from __future__ import annotations
 import hashlib
 import html
 import re
+import zlib
 from collections import Counter
 from collections.abc import Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -327,9 +329,14 @@ def extracted(pages: DataFrame) -> DataFrame:
                 within.append(sorted({h for h, f, a in zip(hashes, free, article, strict=True) if f and a}))
             yield b[["k1", "k2", "host"]].assign(content=contents, subtrees=subtrees, within=within)
 
+    def zipped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            pages = [zlib.compress(source, 1) for source in b.column("html").cast(pa.binary()).to_pylist()]
+            yield b.set_column(b.schema.get_field_index("html"), "html", pa.array(pages, pa.binary()))
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            text = [Page(source).main_text(frozenset(t) if t is not None else frozenset()) for source, t in zip(b["html"], b["template"], strict=True)]
+            text = [Page(zlib.decompress(page).decode()).main_text(frozenset(t) if t is not None else frozenset()) for page, t in zip(b["html"], b["template"], strict=True)]
             yield pd.DataFrame({"page_id": b["page_id"].array, "url": b["url"], "text": text})
 
     rows = pages.select("page_id", "url", text_of("html").alias("html"), F.xxhash64(host(F.col("url"))).alias("host"))
@@ -345,7 +352,9 @@ def extracted(pages: DataFrame) -> DataFrame:
         hits = each.withColumn("salt", F.pmod("k1", F.lit(SALTS)).cast("int")).join(salted, ["host", "subtree", "salt"], "left_semi")
     hits = hits.groupBy("k1", "k2").agg(F.collect_set("subtree").alias("template"))  # at most a page's elements
     kinds = dict(pages.dtypes)
-    return rows.drop("host").join(stored(hits), ["k1", "k2"], "left").select("page_id", "url", "html", "template").mapInPandas(run, f"page_id {kinds['page_id']}, url {kinds['url']}, text string")
+    # pages are the bulk of the input: they pass the shuffle zipped; the hint gives small and large tables the same plan
+    sent = rows.select("page_id", "url", "k1", "k2", "html").mapInArrow(zipped, f"page_id {kinds['page_id']}, url {kinds['url']}, k1 bigint, k2 bigint, html binary")
+    return sent.join(stored(hits).hint("merge"), ["k1", "k2"], "left").select("page_id", "url", "html", "template").mapInPandas(run, f"page_id {kinds['page_id']}, url {kinds['url']}, text string")
 
 
 def op1(pages: DataFrame) -> DataFrame:
