@@ -2,7 +2,10 @@
 
 import itertools
 import math
+import random
+from collections import Counter
 
+import numpy as np
 import pandas as pd
 import pytest
 from compare import DATA
@@ -97,5 +100,62 @@ def test_spline_over_many_boxes(spark):
         assert [got[s, i][d] for d in ("dx", "dy", "dz")] == pytest.approx(want, abs=1e-9)
 
 
+def _sent(spark, run) -> int:
+    """Rows that the jobs of ``run`` send through shuffles."""
+    of = lambda: spark.sparkContext._jsc.sc().statusStore().stageList(None, False, False, spark.sparkContext._gateway.new_array(spark.sparkContext._jvm.double, 0), None)
+    listed = lambda x: {x.apply(n).stageId(): x.apply(n).shuffleWriteRecords() for n in range(x.size())}
+    known = listed(of())
+    run()
+    return sum(n for stage, n in listed(of()).items() if stage not in known)
+
+
+IDENTITY = [4.0, 0.0, 0.0, 0.0, 0.0, 4.0, 0.0, 0.0, 0.0, 0.0, 4.0, 0.0, 0.0, 0.0, 0.0, 1.0]
+
+
+def test_candidates_share_the_bricks_they_are_looked_up_in(spark):
+    """A point is sent once for each brick that a round's 35 candidates take it to, and not once for each candidate."""
+    volumes = spark.createDataFrame([(1, "v", [16, 16, 8], IDENTITY)], "study_id long, volume_id string, dims array<int>, ijk_to_ras array<double>")
+    voxels = spark.createDataFrame([(1, i, j, k, float(i * j * k % 97)) for i in range(16) for j in range(16) for k in range(8)], "study_id long, i int, j int, k int, value double")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    try:
+        assert 2048 < _sent(spark, lambda: registration.register(voxels, volumes, voxels, volumes, 25.0, 8, share=1.0, rounds=1).collect()) < 16 * 2048
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+@pytest.mark.parametrize("most", [registration.WHOLE, 0])
+def test_candidates_score_as_pairs_one_by_one(spark, most):
+    """Negative places and values, places listed twice and three times, a study without moving voxels and one whose matrix has no inverse, by both ways of counting."""
+    rng = random.Random(3)
+    fixed = [(s, i, j, k, rng.uniform(-60.0, 250.0)) for s in (1, 2, 3) for i in range(-3, 9) for j in range(6) for k in range(3) if s == 1 or j < 2]
+    moving = [(s, i + 1, j, k, v if rng.random() < 0.9 else None) for s, i, j, k, v in fixed if s != 2 and rng.random() < 0.8]
+    moving += moving[::9] + moving[::27]
+    turned = [0.0, -4.0, 0.0, 10.0, 4.0, 0.0, 0.0, -2.0, *IDENTITY[8:]]
+    matrix = {1: (IDENTITY, turned), 2: (IDENTITY, IDENTITY), 3: (IDENTITY, [0.0] * 16)}
+    frame = lambda rows: spark.createDataFrame(rows, "study_id long, i int, j int, k int, value double")
+    volumes = lambda n: spark.createDataFrame([(s, "v", [9, 6, 3], m[n]) for s, m in matrix.items()], "study_id long, volume_id string, dims array<int>, ijk_to_ras array<double>")
+    got = {r["study_id"]: r for r in registration.register(frame(fixed), volumes(0), frame(moving), volumes(1), 25.0, 8, share=1.0, rounds=1, most=most).collect()}
+    assert set(got) == {1, 2, 3}
+    binned = lambda v: min(math.floor((v or 0.0) / 25.0), 7)
+    at = {}
+    for s, *place, v in moving:
+        at.setdefault((s, *place), []).append(binned(v))
+    for s, (to, back) in matrix.items():
+        center, best = [16.0, 10.0, 4.0], None
+        m = np.linalg.inv(np.array(back).reshape(4, 4)).reshape(-1).tolist() if s < 3 else None
+        for cand, step in enumerate(registration.candidate_steps(0)):
+            pairs = []
+            for _, *place, v in (f for f in fixed if f[0] == s):
+                x = registration.moved_point(dict(zip(registration.PARAMETERS, step, strict=True)), center, registration.placed(to, *place))
+                to_place = [math.floor(x + 0.5) for x in registration.placed(m, *x)] if m else [None]
+                pairs += [(binned(v), b) for b in at.get((s, *to_place), [0])]
+            n, t = Counter(pairs), len(pairs)
+            f, g = Counter(a for a, _ in pairs), Counter(b for _, b in pairs)
+            mi = sum(c / t * math.log(c * t / (f[a] * g[b])) for (a, b), c in n.items())
+            best = max(best or (-1.0, 0, 0.0), (round(mi, 6), -cand, mi))
+        step = registration.candidate_steps(0)[-best[1]]
+        assert [got[s][p] for p in registration.PARAMETERS] == list(step) and got[s]["mi"] == pytest.approx(best[2], abs=1e-6)
+
+
 def test_few_files_at_a_time():
     assert [len(x) for x in nrrd._few(iter([pd.DataFrame({"n": range(200)})]))] == [96, 96, 8]
