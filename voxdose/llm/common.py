@@ -109,15 +109,18 @@ def shared_dir(spark: SparkSession) -> str:
 
 _own: dict[str, str] = {}
 #: The tables of the running call of ``stored_alone``, in this thread or task; others that run meanwhile have lists of their own.
-_tables: ContextVar[list[str] | None] = ContextVar("tables of the running call", default=None)
+_running: ContextVar[list[str] | None] = ContextVar("tables of the running call", default=None)
+#: Tables of all running calls that are still to be deleted.
+_tables: set[str] = set()
 
 
 def stored(df: DataFrame) -> DataFrame:
     """Cut the lineage: write the rows to the shared folder and read them again."""
     path = f"{shared_dir(df.sparkSession)}/table-{uuid.uuid4().hex}"
-    tables = _tables.get()
+    tables = _running.get()
     if tables is not None:
         tables.append(path)
+        _tables.add(path)
     df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
@@ -125,13 +128,14 @@ def stored(df: DataFrame) -> DataFrame:
 def stored_alone(spark: SparkSession, make: Callable[[], DataFrame]) -> DataFrame:
     """What ``make`` returns, stored; the tables that it stored on the way are deleted, since nothing else reads them, also when it fails."""
     tables: list[str] = []
-    token = _tables.set(tables)
+    token = _running.set(tables)
     try:
         out = stored(make())
-        tables.pop()
+        _tables.discard(tables.pop())
         return out
     finally:
-        _tables.reset(token)
+        _running.reset(token)
         for path in tables:
+            _tables.discard(path)
             at = spark._jvm.org.apache.hadoop.fs.Path(path)
             at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
