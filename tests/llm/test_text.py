@@ -165,6 +165,30 @@ def test_packing(docs):
     assert len(filled) <= 1.02 * sum(r["length"] for r in rows) / 2048 + 1
 
 
+def test_words_of_packing(monkeypatch):
+    """Letters are encoded once whatever marks and blanks follow, apart from other words; ids are the tokenizer's, of odd words too."""
+    path = public_tokenizers.path("word_bpe_49k.json")
+    tokenizer, seen = packing._tokenizer(path)[0], defaultdict(list)
+    for name in ("_of_letters", "_of_any"):
+
+        def spy(words, path, name=name, inner=getattr(packing, name)):
+            seen[name] += [str(w) for w in words]
+            return inner(words, path)
+
+        monkeypatch.setattr(packing, name, spy)
+
+    def same(texts):
+        for t, got in zip(texts, packing.encode(texts, path), strict=True):
+            assert got == np.asarray(tokenizer.encode(t, add_special_tokens=False).ids, dtype="<u4").tobytes(), t
+
+    same([f"Zqvwxan{a}{b}zqvwxan" for a in ("", ".", ",***", "'", "%%%", "!)") for b in " \n\x85\xa0"] * 2)
+    assert seen["_of_letters"] == ["zqvwxan"] and not any(c.isalpha() for w in seen["_of_any"] for c in w)
+    same([f"{a}{chr(c)}{b}" for c in range(0x260) for a in ("", "a", "'") for b in ("", "b", "'s", "'", ".,")])
+    same(["", " ", "\xa0", "it's 'S, dogs' ''s I'VE!", "4.0. (4)", "<|endoftext|> a", "x\x1cy", "\u65e5\u672c e\u0301", "\u0130\u0130. L'\u00c9T\u00c9,"])
+    same(["<|"])
+    same([])
+
+
 def place(plan, capacity):
     used, taken = Counter(), Counter()
     for length, first, each, sequences, sequence, offset in plan.runs:

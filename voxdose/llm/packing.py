@@ -1,11 +1,11 @@
 """Packing token pieces into sequences: dominance reduction, then best fit.
 
-Texts are tokenised where they lie; a document longer than ``capacity`` is cut. Only the
-histogram of piece lengths (at most ``capacity`` rows) reaches the driver. There, by the
-dominance rules of Martello and Toth, sets that provably belong to some best packing are
-fixed: a piece that no other fits beside, two that fill a sequence exactly, and a piece with
-the largest one beside it where no third could fit. What is left is packed by best fit,
-longest first. All of this works on counts, and yields runs: so many equal sequences, so
+Texts are tokenised where they lie, each distinct word of a slice of them once; a document
+longer than ``capacity`` is cut. Only the histogram of piece lengths (at most ``capacity``
+rows) reaches the driver. There, by the dominance rules of Martello and Toth, sets that
+provably belong to some best packing are fixed: a piece that no other fits beside, two that
+fill a sequence exactly, and a piece with the largest one beside it where no third could fit.
+What is left is packed by best fit, longest first. All of this works on counts, and yields runs: so many equal sequences, so
 many pieces of one length in each. Every piece finds its place from its length and its rank
 among pieces of that length; ranks are counted in salted groups, so that a very common length
 is spread over many tasks.
@@ -18,10 +18,10 @@ from __future__ import annotations
 
 import bisect
 import os
+import string
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
-from itertools import chain
 
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -31,9 +31,12 @@ from pyspark.sql import functions as F
 from .common import stored, text_of
 
 CAPACITY, CLOSE = 2048, 0
-#: Words whose ids a worker remembers, in each of two generations; words of the older one that are met again move to the newer.
-REMEMBERED = 300_000
-MARKS = ".,;:!?"
+#: Bytes of text whose distinct words are looked for together, and bytes of words in one call of the tokenizer, about.
+SLICE, CALL = 1 << 24, 1 << 16
+#: Characters that a word of letters may end with: ASCII punctuation, no letter and no number. Blanks beyond ASCII below U+0250.
+MARKS = string.punctuation
+BLANKS = str.maketrans("\x85\xa0", "  ")
+IDS = pa.large_binary()
 #: Rows in a salted group, about, and most runs that are broadcast.
 GROUP, BROADCAST = 20_000, 200_000
 
@@ -43,12 +46,15 @@ def _tokenizer(path: str):
     import numpy as np
 
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
-    from tokenizers import Tokenizer
+    from tokenizers import Tokenizer, pre_tokenizers
 
     tokenizer = Tokenizer.from_file(path)
+    # the same model for words of lower-case letters alone, which nothing changes and only white space parts
+    letters = Tokenizer(tokenizer.model)
+    letters.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
     closing = np.zeros(tokenizer.get_vocab_size(), dtype=bool)
     closing[[i for token, i in tokenizer.get_vocab().items() if token.endswith(tokenizer.model.end_of_word_suffix or "</w>")]] = True
-    return tokenizer, closing, [{}, {}]
+    return tokenizer, closing, letters
 
 
 def _low(text: str) -> bool:
@@ -65,85 +71,89 @@ def _plain(text: str) -> bool:
     return "<|" not in text and _low(text) and not any(c in text for c in "\x1c\x1d\x1e\x1f")
 
 
-def _of_letters(words: list[str], path: str) -> dict[str, bytes]:
+def _slices(rows, sizes: pa.Array, most: int) -> Iterator:
+    """Adjacent rows with about ``most`` bytes at a time."""
+    ends = pc.cumulative_sum(sizes.cast(pa.int64())).to_numpy()
+    lo = 0
+    while lo < len(ends):
+        hi = max(lo + 1, bisect.bisect_right(ends, (ends[lo - 1] if lo else 0) + most))
+        yield rows.slice(lo, hi - lo)
+        lo = hi
+
+
+def _of_letters(words: pa.LargeStringArray, path: str) -> pa.LargeBinaryArray:
     """Ids of words of letters alone: each ends with its only token that closes a word."""
     import numpy as np
 
-    tokenizer, closing, _ = _tokenizer(path)
-    out: dict[str, bytes] = {}
-    for i in range(0, len(words), 4096):
-        some = words[i : i + 4096]
-        ids = np.asarray(tokenizer.encode_batch_fast([" ".join(some)], add_special_tokens=False)[0].ids, dtype="<u4")
-        stops = (4 * (np.flatnonzero(closing[ids]) + 1)).tolist()
-        if len(stops) != len(some):
-            out |= _of_any(some, path)
-            continue
-        data, start = ids.tobytes(), 0
-        for w, stop in zip(some, stops, strict=True):
-            out[w] = data[start:stop]
-            start = stop
-    return out
+    _, closing, tokenizer = _tokenizer(path)
+    out = [pa.array([], IDS)]
+    for some in _slices(words, pc.binary_length(words), CALL):
+        ids = np.asarray(tokenizer.encode_batch_fast([" ".join(some.to_pylist())], add_special_tokens=False)[0].ids, dtype="<u4")
+        stops = 4 * (np.flatnonzero(closing[ids]) + 1)
+        out.append(_cut(ids, stops) if len(stops) == len(some) else _of_any(some, path))
+    return pa.concat_arrays(out)
 
 
-def _of_any(words: list[str], path: str) -> dict[str, bytes]:
+def _of_any(words: pa.LargeStringArray, path: str) -> pa.LargeBinaryArray:
     """Ids of any words, told apart by the places of their tokens."""
     import numpy as np
 
-    out: dict[str, bytes] = {}
-    for i in range(0, len(words), 4096):
-        some = words[i : i + 4096]
+    out = [pa.array([], IDS)]
+    for some in map(pa.Array.to_pylist, _slices(words, pc.binary_length(words), CALL)):
         coded = _tokenizer(path)[0].encode(" ".join(some), add_special_tokens=False)
         stop_at = np.cumsum([len(w) + 1 for w in some])
         at = np.searchsorted(stop_at, np.fromiter((o[0] for o in coded.offsets), dtype=np.int64, count=len(coded.offsets)), side="right")
-        data, start = np.asarray(coded.ids, dtype="<u4").tobytes(), 0
-        for w, stop in zip(some, (4 * np.searchsorted(at, np.arange(len(some)), side="right")).tolist(), strict=True):
-            out[w] = data[start:stop]
-            start = stop
-    return out
+        out.append(_cut(np.asarray(coded.ids, dtype="<u4"), 4 * np.searchsorted(at, np.arange(len(some)), side="right")))
+    return pa.concat_arrays(out)
+
+
+def _cut(data, stops, kind: pa.DataType = IDS) -> pa.Array:
+    """Adjacent pieces of a buffer that end at the given bytes."""
+    import numpy as np
+
+    return pa.Array.from_buffers(kind, len(stops), [None, pa.py_buffer(np.concatenate([[0], stops]).astype("<i8")), pa.py_buffer(data)])
+
+
+def _of_words(words: pa.StringArray, path: str) -> pa.LargeBinaryArray:
+    """Ids of distinct words in lower case. Letters and the marks after them are encoded apart, as the tokenizer does too; each distinct part once."""
+    import numpy as np
+
+    core = pc.utf8_rtrim(words, characters=MARKS)
+    size = pc.binary_length(words).to_numpy().astype("<i8")
+    ends = np.cumsum(size)
+    marks = np.where(pc.utf8_is_alpha(core).to_numpy(zero_copy_only=False), size - pc.binary_length(core).to_numpy(), 0)
+    halves = _cut(words.buffers()[2] or b"", np.column_stack([ends - marks, ends]).ravel(), pa.large_string()).dictionary_encode()
+    parts = halves.dictionary
+    letters = pc.utf8_is_alpha(parts)
+    ids = pa.concat_arrays([_of_letters(parts.filter(letters), path), _of_any(parts.filter(pc.invert(letters)), path)])
+    is_letters = letters.to_numpy(zero_copy_only=False)
+    place = np.where(is_letters, np.cumsum(is_letters), is_letters.sum() + np.cumsum(~is_letters)) - 1
+    ids = ids.take(pa.array(place).take(halves.indices))
+    return _cut(ids.buffers()[2] or b"", np.frombuffer(ids.buffers()[1], dtype="<i8")[2 : len(ids) + 1 : 2])
 
 
 def encode(texts: list[str], path: str) -> list[bytes]:
     """Ids of each text as little-endian unsigned 32-bit integers, by a tokenizer that drops white space.
 
-    Each distinct word of the texts is looked up once; those not met for a while are encoded together.
+    Each distinct word of the texts is encoded once; no word is kept for the next call.
     """
     import numpy as np
 
-    tokenizer, _, generations = _tokenizer(path)
-    if len(generations[0]) > REMEMBERED:
-        generations[:] = [{}, generations[0]]
-    known, older = generations
-    split = [t.lower().split() if _plain(t) else None for t in texts]
-    here = dict.fromkeys(chain.from_iterable(x for x in split if x is not None))
-    here.update(zip(here, list(map(known.get, here))))
-    new = {w for w, ids in here.items() if ids is None}
-    again = {w: older[w] for w in new if w in older}
-    known.update(again)
-    new -= again.keys()
-    # letters and the marks after them are encoded apart by the tokenizer too
-    ends = {w: core for w in new if (core := w.rstrip(MARKS)) != w and core.isalpha()}
-    parts = new - ends.keys()
-    parts |= {x for w, core in ends.items() for x in (core, w[len(core) :]) if x not in known}
-    letters = {w for w in parts if w.isalpha()}
-    known.update(_of_letters(list(letters), path))
-    known.update(_of_any(list(parts - letters), path))
-    for w, core in ends.items():
-        known[w] = known[core] + known[w[len(core) :]]
-    here.update((w, known[w]) for w in chain(new, again))
-    whole = [t for t, x in zip(texts, split, strict=True) if x is None]
-    direct = iter(tokenizer.encode_batch(whole, add_special_tokens=False) if whole else ())
-    find = here.__getitem__
-    return [b"".join(map(find, x)) if x is not None else np.asarray(next(direct).ids, dtype="<u4").tobytes() for x in split]
-
-
-def _slices(batch: pa.RecordBatch, most: int = 1 << 21) -> Iterator[pa.RecordBatch]:
-    """Rows with about ``most`` bytes of text at a time."""
-    ends = pc.cumulative_sum(pc.binary_length(batch.column(1))).to_numpy()
-    lo = 0
-    while lo < batch.num_rows:
-        hi = max(lo + 1, bisect.bisect_right(ends, (ends[lo - 1] if lo else 0) + most))
-        yield batch.slice(lo, hi - lo)
-        lo = hi
+    plain = [_plain(t) for t in texts]
+    split = pc.ascii_split_whitespace(pa.array([t.lower().translate(BLANKS) if "\x85" in t or "\xa0" in t else t.lower() for t, p in zip(texts, plain, strict=True) if p], pa.string()))
+    bounds, words = split.offsets.to_numpy(), split.values.dictionary_encode()
+    del split  # its words are as large as the texts
+    ids = _of_words(words.dictionary, path).take(words.indices)  # of all words, in order
+    data = memoryview(ids.buffers()[2] or b"")
+    stops = iter(np.frombuffer(ids.buffers()[1], dtype="<i8")[bounds].tolist())
+    at, out = next(stops, 0), []
+    for t, p in zip(texts, plain, strict=True):
+        if p:
+            start, at = at, next(stops)
+            out.append(data[start:at].tobytes())
+        else:
+            out.append(np.asarray(_tokenizer(path)[0].encode_batch_fast([t], add_special_tokens=False)[0].ids, dtype="<u4").tobytes())
+    return out
 
 
 def pieces(docs: DataFrame, path: str, capacity: int = CAPACITY, column: str = "text") -> DataFrame:
@@ -152,7 +162,7 @@ def pieces(docs: DataFrame, path: str, capacity: int = CAPACITY, column: str = "
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         close = CLOSE.to_bytes(4, "little")
         for b in batches:
-            for part in _slices(b):
+            for part in _slices(b, pc.binary_length(b.column(1)), SLICE):
                 out: tuple[list, ...] = ([], [], [], [], [])
                 for doc, ids in zip(part.column(0).to_pylist(), encode(part.column(1).to_pylist(), path), strict=True):
                     ids += close
