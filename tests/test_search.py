@@ -1,10 +1,14 @@
 """Registration end to end: the pyramid, the search, matrices, and hardening."""
 
+import math
+
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
+from test_spread import _sent
 
-from voxdose.operators import masks, registration, search
+from voxdose.operators import gathered, masks, registration, search
 
 VOLUME = "study_id long, volume_id string, dims array<int>, ijk_to_ras array<double>"
 VOXEL = "study_id long, i int, j int, k int, value double"
@@ -142,3 +146,85 @@ def test_affine_finds_shear(spark):
     assert search.matrices(rigid, volumes, limit).count() == 0
     m = np.array(search.matrices(affine, volumes, limit).first()["matrix"]).reshape(4, 4)
     assert abs(m[0, 1] - 0.3) < 0.08 and abs(m[0, 0] - 1.15) < 0.08
+
+
+def _body_studies(spark):
+    """Four studies of a small body: two plain ones on grids of different size, one whose moving matrix has a null, one with two moving volumes."""
+    small, there = (9, 8, 5), [float(x) for x in (8, 0, 0, -28, 0, 8, 0, -30, 0, 0, 8, -20, 0, 0, 0, 1)]
+    away = [x + 11 if n == 3 else x for n, x in enumerate(there)]
+    fixed, moving, fv, mv = [], [], [], []
+    for s in (1, 2, 3, 4):
+        dims = (11, 8, 6) if s == 2 else small
+        fixed += image(s, dims, there)
+        moving += image(s, dims, away, turned(4.0 * s, (3.0 * s, -2.0, 1.0)))
+        fv.append((s, "ct", list(dims), there))
+        mv.append((s, "ct2", list(dims), [None if s == 3 and n == 5 else x for n, x in enumerate(away)]))
+    mv.append((4, "ct3", list(small), there))
+    fv.append((None, "ct", list(small), there))
+    moving += [(5, 0, 0, 0, 9.0)]
+    frame = lambda rows: spark.createDataFrame(rows, VOXEL)
+    return frame(fixed), spark.createDataFrame(fv, VOLUME), frame(moving), spark.createDataFrame(mv, VOLUME)
+
+
+SHORT = search.Plan(width=25.0, bins=8, share=0.3, levels=(2, 1), first=8.0, least=2.0, rounds=2, keep=2)
+
+
+@pytest.mark.parametrize(("method", "levels", "others"), [("Rigid", (2, 1), (9 * 8 * 5,)), ("Affine", (1,), (0,))])
+def test_whole_studies_are_searched_as_through_tables(spark, method, levels, others):
+    fixed, fixed_volumes, moving, moving_volumes = _body_studies(spark)
+    few = lambda df: df.where("study_id < 3")
+    assert {r[0] for r in gathered.held_by_one(fixed_volumes, moving_volumes).collect()} == {1, 2}
+    assert {r[0] for r in gathered.held_by_one(fixed_volumes, moving_volumes, 9 * 8 * 5).collect()} == {1}
+    by = [search.search(few(fixed), few(fixed_volumes), few(moving), few(moving_volumes), SHORT._replace(levels=levels), method, most).collect() for most in (gathered.WHOLE, *others)]
+    one, *rest = ({r["study_id"]: r for r in rows} for rows in by)
+    assert set(one) == {1, 2}
+    for other in rest:
+        assert set(other) == {1, 2}
+        for s in (1, 2):
+            assert one[s]["p"] == other[s]["p"] and one[s]["mi"] == other[s]["mi"] and one[s]["fit"] == pytest.approx(other[s]["fit"], abs=1e-12)
+
+
+def test_rounds_send_no_row_for_each_candidate(spark):
+    """Points and moving voxels pass few shuffles; through tables, each start and candidate sends every point."""
+    fixed, fixed_volumes, moving, moving_volumes = (df.where("study_id < 3") for df in _body_studies(spark))
+    run = lambda most: _sent(spark, lambda: search.search(fixed, fixed_volumes, moving, moving_volumes, SHORT._replace(levels=(1,), rounds=0), most=most).collect())
+    points = sum(math.ceil(0.3 * math.prod(r["dims"])) for r in fixed_volumes.collect())
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    try:
+        assert run(gathered.WHOLE) < 21 * points < run(0)
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+def test_tables_of_studies_pass_no_driver(spark):
+    """Parameters and matrices of all studies look small to Spark, which does not count arrays; they are not broadcast."""
+    fixed, fixed_volumes, moving, moving_volumes = _body_studies(spark)
+    maps = search.through(fixed_volumes, fixed_volumes, moving_volumes)
+    found = spark.createDataFrame([(1, "Rigid", [0.0] * 12, 1.0, 1.0)], "study_id long, method string, p array<double>, mi double, fit double")
+    transforms = search.matrices(found, fixed_volumes)
+    state = spark.createDataFrame([(1, 0, [0.0] * 12, 8.0, [0.0] * 12, [1.0] * 12, 0.5)], "study_id long, start int, p array<double>, step double, pull array<double>, unit array<double>, mi double")
+    found = spark.createDataFrame([(1, 0, 0, 0.5)], "study_id long, start int, cand int, mi double")
+    tables = [search.starts(fixed, fixed_volumes, moving, moving_volumes, 0.1), maps, transforms, search._tried(state, maps, 6), search.next_state(state, found, 6)]
+    assert not [t for t in tables if "BroadcastExchange" in t._jdf.queryExecution().executedPlan().toString()]
+    points = fixed.select("study_id", "i", "j", "k", F.lit(1).alias("fbin"))
+    tried = spark.createDataFrame([(1, 0, 0, GRID)], "study_id long, start int, cand int, m array<double>")
+    plan = lambda n: search.scores(points, tried, n, search.bricks(moving), SHORT)._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastExchange" in plan(1) and "BroadcastExchange" not in plan(10**6)
+
+
+def test_a_moving_voxel_listed_twice_is_refused(spark):
+    fixed, fixed_volumes, moving, moving_volumes = (df.where("study_id < 3") for df in _body_studies(spark))
+    with pytest.raises(Exception, match="listed twice"):
+        search.search(fixed, fixed_volumes, moving.unionByName(moving), moving_volumes, SHORT._replace(levels=(1,)))
+
+
+def test_studies_come_whole():
+    """Batches cut anywhere, studies of one row and of more rows than a table is to have."""
+    ids = [1] * 3 + [2] + [4] * 25 + [5] * 2 + [9] * 7
+    t = pa.table({"study_id": ids, "n": list(range(len(ids)))})
+    for size in (1, 2, 5, 7, 100):
+        for rows in (1, 4, 10, 1000):
+            tables = list(gathered.whole_studies(iter(t.to_batches(max_chunksize=size)), rows))
+            assert pa.concat_tables(tables).to_pydict() == t.to_pydict()
+            of = [set(x["study_id"].to_pylist()) for x in tables]
+            assert sum(map(len, of)) == 5 and all(x.num_rows <= rows + 25 for x in tables)
