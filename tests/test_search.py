@@ -204,7 +204,7 @@ def test_tables_of_studies_pass_no_driver(spark):
     transforms = search.matrices(found, fixed_volumes)
     state = spark.createDataFrame([(1, 0, [0.0] * 12, 8.0, [0.0] * 12, [1.0] * 12, 0.5)], "study_id long, start int, p array<double>, step double, pull array<double>, unit array<double>, mi double")
     found = spark.createDataFrame([(1, 0, 0, 0.5)], "study_id long, start int, cand int, mi double")
-    tables = [search.starts(fixed, fixed_volumes, moving, moving_volumes, 0.1), maps, transforms, search._tried(state, maps, 6), search.next_state(state, found, 6)]
+    tables = [search.starts(fixed, fixed_volumes, moving, moving_volumes, 0.1), maps, transforms, registration.apply_linear_transform(moving_volumes, transforms), search._tried(state, maps, 6), search.next_state(state, found, 6)]
     assert not [t for t in tables if "BroadcastExchange" in t._jdf.queryExecution().executedPlan().toString()]
     points = fixed.select("study_id", "i", "j", "k", F.lit(1).alias("fbin"))
     tried = spark.createDataFrame([(1, 0, 0, GRID)], "study_id long, start int, cand int, m array<double>")
