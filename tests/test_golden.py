@@ -274,3 +274,18 @@ def test_hardening_shifts_by_a_constant_field(spark):
     voxels = spark.createDataFrame([(1, i, 2, 1, float(i + 1)) for i in range(6)], "study_id long, i int, j int, k int, value double")
     out = {(r["i"], r["j"], r["k"]): r["value"] for r in registration.harden_bspline(voxels, volumes, grid, control).collect()}
     assert out == {(i - 1, 2, 3): float(i + 1) for i in range(1, 6)}
+
+
+def test_rounds_begin_at_a_start(spark):
+    """A shift beyond the reach of the rounds is found from a start near it; a study that the start leaves out begins at 0."""
+    rng = np.random.default_rng(0)
+    blob = {(i, j, k): float(rng.integers(1, 200)) for i in range(12) for j in range(12) for k in range(6)}
+    identity = [4.0, 0.0, 0.0, 0.0, 0.0, 4.0, 0.0, 0.0, 0.0, 0.0, 4.0, 0.0, 0.0, 0.0, 0.0, 1.0]
+    volumes = spark.createDataFrame([(n, "v", [12, 12, 6], identity) for n in (1, 2)], "study_id long, volume_id string, dims array<int>, ijk_to_ras array<double>")
+    frame = lambda by: spark.createDataFrame([(n, i + by, j, k - 1, v) for n in (1, 2) for (i, j, k), v in blob.items()], "study_id long, i int, j int, k int, value double")
+    start = spark.createDataFrame([(1, 20.0, 0.0, None)], "study_id long, tx double, ty double, tz double")
+    fixed = frame(0).withColumn("k", F.col("k") + 1)
+    for most in (registration.WHOLE, 0):
+        got = {r["study_id"]: r for r in registration.register(fixed, volumes, frame(6), volumes, 25.0, 8, share=1.0, most=most, start=start).collect()}
+        assert (round(got[1]["tx"]), got[1]["ty"], round(got[1]["tz"])) == (24, 0.0, -4) and got[1]["mi"] > 1
+        assert abs(got[2]["tx"]) <= 7 and got[2]["mi"] < 1

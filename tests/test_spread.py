@@ -159,3 +159,13 @@ def test_candidates_score_as_pairs_one_by_one(spark, most):
 
 def test_few_files_at_a_time():
     assert [len(x) for x in nrrd._few(iter([pd.DataFrame({"n": range(200)})]))] == [96, 96, 8]
+
+
+def test_register_candidates_goes_on_to_turns_and_growth(spark):
+    """The best shift in voxels is where the rounds of shifts, turns and growth begin; here the moving image is a copy shifted by whole voxels, so no round finds better."""
+    got = {r["study_id"]: r for r in queries.queries()["register_candidates"](spark, DATA).collect()}
+    spacing = {r["study_id"]: r["spacing"] for r in lattice.volumes(spark, DATA).collect()}
+    assert len(got) == 10 and {r["cand"] for r in got.values()} == {0, 3, 6}
+    for s, r in got.items():
+        assert [r[p] for p in registration.PARAMETERS] == [queries.SEARCH[r["cand"]][0] * spacing[s][0], *[0.0] * 6]
+        assert r["fine_mi"] == r["mi"]

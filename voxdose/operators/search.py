@@ -33,7 +33,7 @@ from ..sources.store import settled, stored
 from . import gathered
 from .gathered import POINT, VOXEL
 from .masks import AT, bounds, sampled_values, small, volume_center
-from .registration import binned, mutual_information
+from .registration import MAPS, STATE, binned, mutual_information
 
 NAMES = ("tx", "ty", "tz", "rx", "ry", "rz", "sx", "sy", "sz", "hxy", "hxz", "hyz")
 #: Parameters of each method.
@@ -43,8 +43,6 @@ BROADCAST = 20_000
 BRICK = 8
 #: More than a start has candidates.
 MOST = 100
-#: Kinds of further rows of a gathered study: where a start is, and what maps its grids.
-STATE, MAPS = 2, 3
 
 
 class Plan(NamedTuple):
@@ -189,12 +187,12 @@ def search(fixed: DataFrame, fixed_volumes: DataFrame, moving: DataFrame, moving
     return settled(fixed.sparkSession, lambda: _search(fixed, fixed_volumes, moving, moving_volumes, plan, method, most))
 
 
-def _level(fixed: DataFrame, fixed_volumes: DataFrame, moving: DataFrame, moving_volumes: DataFrame, plan: Plan, factor: int) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
-    """Points (with fbin), moving voxels and volumes, and what maps them, of one level."""
+def _level(fixed: DataFrame, fixed_volumes: DataFrame, moving: DataFrame, moving_volumes: DataFrame, plan: Plan, factor: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Points (with fbin), moving voxels, and what maps them, of one level."""
     f, fv = pyramid(fixed, fixed_volumes, factor)
     m, mv = pyramid(moving, moving_volumes, factor)
     points = sampled_values(fv, f, min(1.0, plan.share * factor**3)).select("study_id", *dithered(), binned(F.col("value"), plan.width, plan.bins).alias("fbin"))
-    return points, m, mv, through(fixed_volumes, fv, mv)
+    return points, m, through(fixed_volumes, fv, mv)
 
 
 def _tried(state: DataFrame, maps: DataFrame, n: int) -> DataFrame:
@@ -218,7 +216,7 @@ def _search(fixed: DataFrame, fixed_volumes: DataFrame, moving: DataFrame, movin
 
 
 def _rounds(plan: Plan, factor: int, n: int, first: bool):
-    """The rounds of a level, for studies gathered with their starts (``STATE``: start, step, mi, p) and ``MAPS``: center, reach, to, back, dims of the moving grid."""
+    """The rounds of a level, for studies gathered with their starts (``STATE``: start, step, mi, p) and ``MAPS``: center, reach, to, back."""
     moves = np.concatenate([np.zeros((1, 12)), *[sign * np.eye(12)[k : k + 1] for k in range(n) for sign in (1.0, -1.0)]])
 
     def of_studies(x: gathered.Some, maps: np.ndarray, state: np.ndarray) -> np.ndarray:
@@ -268,7 +266,7 @@ def _rounds(plan: Plan, factor: int, n: int, first: bool):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in gathered.whole_studies(batches):
-            for ids, found in gathered.searched(b, MAPS, STATE, 36, min(0, plan.bins - 1), (21 if first else 1) * plan.bins * (plan.bins + 1), of_studies):
+            for ids, found in gathered.searched(b, MAPS, STATE, min(0, plan.bins - 1), (21 if first else 1) * plan.bins * (plan.bins + 1), of_studies):
                 some = np.repeat(np.arange(len(ids)), found.shape[1])
                 yield pa.RecordBatch.from_arrays([ids.take(pa.array(some)), pa.array(list(found.reshape(-1, found.shape[2])), pa.list_(pa.float64()))], names=["study_id", "s"])
 
@@ -279,15 +277,14 @@ def _search_whole(fixed: DataFrame, fixed_volumes: DataFrame, moving: DataFrame,
     """The search of studies that one task can hold: a level's points, moving voxels and starts meet by one shuffle, and its rounds need no other."""
     state, kind = None, fixed_volumes.schema["study_id"].dataType.simpleString()
     for at, factor in enumerate(plan.levels):
-        points, m, mv, maps = _level(fixed, fixed_volumes, moving, moving_volumes, plan, factor)
-        maps = maps.join(mv.select("study_id", "dims").hint("merge"), "study_id")
+        points, m, maps = _level(fixed, fixed_volumes, moving, moving_volumes, plan, factor)
         if state is None:
             begun = starts(fixed, fixed_volumes, moving, moving_volumes, plan.turn).select("study_id", F.concat(F.array(F.col("start").cast("double"), F.lit(0.0), F.lit(0.0)), "p").alias("s"))
         rows = [
             points.select(*gathered.row(POINT, F.col("fbin"), [F.col(c) for c in "ijk"])),
             m.select(*gathered.row(VOXEL, binned(F.coalesce("value", F.lit(0.0)), plan.width, plan.bins), [F.col(c) for c in "ijk"])),
             (begun if state is None else state).select(*gathered.row(STATE, s=F.col("s"))),
-            maps.select(*gathered.row(MAPS, s=F.concat("center", F.array("reach"), "to", "back", F.transform("dims", lambda d: d.cast("double"))))),
+            maps.select(*gathered.row(MAPS, s=F.concat("center", F.array("reach"), "to", "back"))),
         ]
         rounds = _rounds(plan, factor, METHODS[method], at == 0)
         state = stored(gathered.by_study(reduce(DataFrame.unionByName, rows)).mapInArrow(rounds, f"study_id {kind}, s array<double>"))
@@ -299,7 +296,7 @@ def _search_tables(fixed: DataFrame, fixed_volumes: DataFrame, moving: DataFrame
     """The search through tables, one row of points for each candidate: for studies of any size."""
     n, state = METHODS[method], None
     for at, factor in enumerate(plan.levels):
-        points, m, _, maps = _level(fixed, fixed_volumes, moving, moving_volumes, plan, factor)
+        points, m, maps = _level(fixed, fixed_volumes, moving, moving_volumes, plan, factor)
         points, values, maps = stored(points), stored(bricks(m)), stored(maps)
         if state is None:
             begun = stored(starts(fixed, fixed_volumes, moving, moving_volumes, plan.turn).join(maps.hint("merge"), "study_id").withColumn("cand", F.lit(0)))
